@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, lm, mixing, simhash, substring
+from . import decontam, linededup, lm, mixing, mtree, quality, simhash, substring
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.encode("item_ids", "UTF-8"), 256).alias("items_sha256"), "contaminated")
@@ -36,5 +40,9 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_substring_dedup, op4_lm_scoring, op7_decontamination, op8_source_mix)}
-ORACLE = {"op1_line_dedup": linededup.ORACLE_SQL, "op7_decontamination": decontam.ORACLE_SQL}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_substring_dedup, op4_lm_scoring, op6_exact_top_k, op7_decontamination, op8_source_mix, op9_quality)}
+ORACLE = {"op1_line_dedup": linededup.ORACLE_SQL, "op6_exact_top_k": mtree.ORACLE_SQL, "op7_decontamination": decontam.ORACLE_SQL}
