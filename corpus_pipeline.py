@@ -1,7 +1,66 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: documents of low quality go, repeated lines go, one
+document of each near-duplicate group stays, documents that hold a benchmark
+passage go, and what is left is mixed to the sources' target weights.
 
+Every stage reads the Parquet output of the one before and works on all of it.
+All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphweave.llm import decontam, linededup, mixing, quality, simhash
+from graphweave.llm.common import save, table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that a later window of three covers go, and documents of which nothing is left; n_chars follows the text."""
+    out = linededup.dedup_lines(docs)
+    out = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id stays of each group: of several texts under that id one, of equal rows one. A row
+    without an id goes if its group has one with an id, and else stays once for each text."""
+    groups = simhash.near_duplicates(docs)
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("k", F.coalesce(F.col("doc_id"), F.col("t")))
+    stay = stay.groupBy("k", "doc_id", "root").agg(F.min("t").alias("stay_t")).select("k", F.col("doc_id").alias("stay_id"), "stay_t").distinct()
+    own = docs.withColumns({"in_t": F.xxhash64("text"), "in_k": F.coalesce(F.col("doc_id"), F.xxhash64("text"))})
+    same = (F.col("in_k") == F.col("k")) & (F.col("in_t") == F.col("stay_t")) & F.col("doc_id").eqNullSafe(F.col("stay_id"))
+    return own.join(stay.hint("merge"), same).dropDuplicates(["in_k", "in_t"]).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    hits = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("t").alias("hit_t")).distinct()
+    return docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_t")), "left_anti")
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document: doc_id, source, size, source_size, target, repeats, extra, taken."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_filter), ("line dedup", line_dedup), ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate), ("source mixing", source_mix),
+]
+#: SimHash groups and trained trees are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = save(docs)
+    return docs

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, lm, mixing, mtree, quality, simhash, substring
+from . import chat, decontam, html, linededup, lm, mixing, mtree, quality, simhash, substring
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -44,5 +48,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_substring_dedup, op4_lm_scoring, op6_exact_top_k, op7_decontamination, op8_source_mix, op9_quality)}
-ORACLE = {"op1_line_dedup": linededup.ORACLE_SQL, "op6_exact_top_k": mtree.ORACLE_SQL, "op7_decontamination": decontam.ORACLE_SQL}
+def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    span = lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))
+    return chat.rotate(table(spark, sf_dir, "conversations")).withColumn("loss_spans", F.array_join(F.transform("loss_spans", span), ","))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_substring_dedup, op4_lm_scoring, op5_html_extraction, op6_exact_top_k, op7_decontamination, op8_source_mix, op9_quality, op10_chat_rotation)}
+ORACLE = {"op1_line_dedup": linededup.ORACLE_SQL, "op6_exact_top_k": mtree.ORACLE_SQL, "op7_decontamination": decontam.ORACLE_SQL, "op10_chat_rotation": chat.ORACLE_SQL}

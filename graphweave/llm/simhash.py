@@ -70,15 +70,15 @@ def signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp: long, the fingerprint's bits as a signed number)."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    """(doc_id, t: a hash of the text, fp: the fingerprint's bits as a signed number)."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp, pa.int64())], ["doc_id", "t", "fp"])
 
-    return rows.mapInArrow(run, rows.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
+    return rows.mapInArrow(run, rows.select("doc_id", "t", F.lit(0).cast("long").alias("fp")).schema)
 
 
 def bucket_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -133,14 +133,14 @@ def _then_none(batches):
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs."""
+    """(doc_id, t, fp, root: the component's name among fingerprints, component_id) for every row of docs."""
     rows = save(fingerprints(docs, key, text, shingle))
     fps = save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(fps.select("fp"), radius))
     named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = save(named.join(ids, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = save(named.join(ids, "root").select("fp", "root", "component_id"))
+    return rows.join(named, "fp").select("doc_id", "t", "fp", "root", "component_id")
 
 
 def hex_fingerprint(fp):
