@@ -1,51 +1,21 @@
-"""What the training-data operators share: reading, shared storage, components.
-
-Sizes that grow with the data stay in Spark; the driver only sees counts and
-figures of fixed size.
-"""
+"""What the training-data operators share, beside the library's own shared storage and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
+from ..sources.scratch import save, small
+
 #: Words of a text: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: At most this many rows of a few short columns are broadcast by hint; beyond
-#: it the join is left to Spark, which shuffles and splits skewed keys.
-BROADCAST_ROWS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="graphweave-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def save(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and
-    a lost executor costs no more than the tasks that read these files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphweave/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast where the counted rows are within the bound."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -55,32 +25,4 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges(u, v: long): (node, root), root the
-    smallest node that can be reached. Nodes without an edge are left out.
-
-    Each round every node is hooked to its smallest neighbour, two pointer
-    jumps shorten the paths, and edges inside one tree go. Pointers only ever
-    lead to smaller nodes of the same component, and an edge stays until its
-    ends have the same pointer, so the rounds end with one root a component.
-    """
-    e = save(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    labels = save(e.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node")))
-    while not e.isEmpty():
-        hook = e.groupBy("v").agg(F.min("u").alias("p"))
-        for _ in range(2):
-            up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            hook = hook.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"))
-        hook = save(hook)
-        lo = hook.select(F.col("v").alias("u"), F.col("p").alias("pu"))
-        e = save(
-            e.join(lo, "u", "left").join(hook, "v", "left")
-            .select(F.coalesce("pu", "u").alias("a"), F.coalesce("p", "v").alias("b"))
-            .filter("a <> b")
-            .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        )
-        labels = save(
-            labels.join(hook.withColumnRenamed("v", "root"), "root", "left")
-            .select("node", F.coalesce("p", "root").alias("root"))
-        )
-    return labels
+__all__ = ["ascii_lower", "components", "save", "small", "table", "word_count"]
