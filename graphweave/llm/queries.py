@@ -54,4 +54,4 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_substring_dedup, op4_lm_scoring, op5_html_extraction, op6_exact_top_k, op7_decontamination, op8_source_mix, op9_quality, op10_chat_rotation)}
-ORACLE = {"op1_line_dedup": linededup.ORACLE_SQL, "op6_exact_top_k": mtree.ORACLE_SQL, "op7_decontamination": decontam.ORACLE_SQL, "op10_chat_rotation": chat.ORACLE_SQL}
+ORACLE = {"op1_line_dedup": linededup.ORACLE_SQL, "op3_substring_dedup": substring.ORACLE_SQL, "op6_exact_top_k": mtree.ORACLE_SQL, "op7_decontamination": decontam.ORACLE_SQL, "op10_chat_rotation": chat.ORACLE_SQL}

@@ -196,3 +196,15 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
 
 
 SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+w AS (SELECT doc_id, p, md5(array_to_string(ws[p : p + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS p FROM d)),
+r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, p + k AS p FROM w JOIN r USING (h), range(0, 35) t(k)),
+u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+k AS (SELECT u.doc_id, count(c.p) AS n_removed, string_agg(CASE WHEN c.p IS NULL THEN word END, ' ' ORDER BY u.p) AS kept
+  FROM u LEFT JOIN c ON c.doc_id = u.doc_id AND c.p = u.p GROUP BY u.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
