@@ -33,7 +33,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     own = docs.columns
     rest = [c for c in own if c not in (text, "n_lines", "n_removed")]
     out = docs.select(*[F.col(c).alias(f"in_{c}") for c in own])
-    out = out.join(hit, F.col(f"in_{key}").eqNullSafe(F.col("d")) & (F.xxhash64(F.col(f"in_{text}")) == F.col("t")), "left")
+    # The same plan at every size: both sides are dealt by document, which Spark can split where one is hot.
+    out = out.join(hit.hint("merge"), F.col(f"in_{key}").eqNullSafe(F.col("d")) & (F.xxhash64(F.col(f"in_{text}")) == F.col("t")), "left")
     lines = F.split(F.col(f"in_{text}"), "\n", -1)
     covered = F.flatten(F.transform("hits", lambda i: F.sequence(i, i + (window - 1))))
     keep = F.array_except(F.sequence(F.lit(1), F.size(lines)), covered)
