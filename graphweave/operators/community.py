@@ -11,12 +11,13 @@ a hub costs its number of neighbouring communities.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..sources.scratch import save
 from .components import components
+from .rank import global_rank
 
 #: Bounds of the rounds within a pass and of the passes; both end earlier when nothing moves.
 ROUNDS, PASSES = 12, 6
@@ -115,8 +116,7 @@ def hierarchy(entities: DataFrame, edges: DataFrame, config: EngineConfig = Engi
             split = split.join(several.select("graph"), "graph", "left_semi")
         groups = split.join(ranked, "node").groupBy("graph", "c").agg(F.count(F.lit(1)).alias("size"), F.min("name").alias("first"))
         groups = groups.withColumn("parent", F.col("graph") if parents is not None else F.lit(None).cast("long"))
-        # One row for each community, and no more.
-        groups = save(groups.withColumn("n", F.row_number().over(Window.orderBy("graph", "first")).cast("long") - 1))
+        groups = save(global_rank(groups, [F.col("graph"), F.col("first")], "n"))
         members = save(split.join(groups, ["graph", "c"]).select("node", "n", "parent", "size"))
         named = members.join(ranked, "node").select(
             F.format_string(f"L{level}_C%d", "n").alias("id"), F.lit(level).alias("level"),
