@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.rank import global_rank
 from .common import save, small, word_count
 
 WEIGHTS = (5, 2, 1)
@@ -27,22 +28,10 @@ ROWS_PER_BUCKET = 5_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """sizes(source, s_size) -> (source, s_size, weight, target, n_sources on the driver's side).
-
-    Ranks come from a range partitioning and the row counts of its parts, so no
-    task sorts all sources; each round of water-filling is one aggregate.
-    """
-    order = F.col("source").asc_nulls_last()
-    parts = sizes.repartitionByRange(order).withColumn("part", F.spark_partition_id())
-    ranked = save(parts.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(order))))
-    counts = sorted((x["part"], x["count"]) for x in ranked.groupBy("part").count().collect())
-    start, starts = 0, []
-    for part, n in counts:
-        starts.append((part, start))
-        start += n
-    offsets = sizes.sparkSession.createDataFrame(starts, "part int, start long")
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("start") + F.col("r") - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = ranked.join(F.broadcast(offsets), "part").select("source", "s_size", w.alias("weight"), (F.col("s_size") * max_epochs).cast("double").alias("cap"))
+    """sizes(source, s_size) -> (source, s_size, weight, target). No task sorts all sources; each round of water-filling is one aggregate."""
+    ranked = global_rank(sizes, [F.col("source").asc_nulls_last()], "place")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int"))
+    s = ranked.select("source", "s_size", w.alias("weight"), (F.col("s_size") * max_epochs).cast("double").alias("cap"))
     total, weight = s.agg(F.coalesce(F.sum("s_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
     rate = total / weight if weight else 0.0
     while total:
