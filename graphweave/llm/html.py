@@ -42,13 +42,16 @@ NOT_TEXT = frozenset("nav footer aside form head menu dialog button fieldset opt
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 KEPT_TAGS = frozenset("html body article main".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form note status".split())
-NOT_NAMES = re.compile(
-    r"(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|sidebar\w*|comments?|commenters?|commentlist|disqus|replies|footer\w*|header\w*|masthead"
-    r"|cookies?|consent|gdpr|notice\w*|notification\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|share\w*|sharing|social\w*|related\w*"
-    r"|recommend\w*|breadcrumbs?|pagination|pager|widget\w*|toolbar|searchbox|copyright|disclaimer|paywall|teaser\w*|trending|popular)\Z"
+#: Anywhere in a class or id they say that it is not the article; the weaker ones only as its head word.
+STRONG = re.compile(r"(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|disqus|newsletter\w*|subscri\w*|related\w*|recommend\w*|breadcrumbs?|sharing|share|social\w*)\Z")
+WEAK = re.compile(
+    r"(?:banner\w*|nav\w*|menu\w*|sidebar\w*|footer\w*|header\w*|masthead|notice\w*|notification\w*|alert\w*|popup\w*|modal\w*|overlay|signup|login|pagination|pager"
+    r"|widget\w*|toolbar|searchbox|search|copyright|disclaimer|paywall|teaser\w*|trending|popular)\Z"
 )
 OF_READERS = re.compile(r"(?:comments?|commenters?|commentlist|disqus|replies|responses)\Z")
-CONTENT = frozenset("article content main post entry story body text page wrapper container layout with has no".split())
+#: Words that only hold another; and those that begin a remark on the layout.
+HOLDERS = frozenset("container wrapper wrap box block inner outer area section list item items content body text col column row top bottom left right main slot zone unit panel".split())
+REMARKS = frozenset("has with no without is show hide".split())
 #: What an opening tag closes, up to the given bounds.
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 BOUNDS = frozenset("html body table td th ul ol dl select button article section div main aside nav header footer form".split())
@@ -60,7 +63,7 @@ def _aside(tag: str, attrs: str) -> bool:
         return True
     if not attrs or attrs.isspace():
         return False
-    words: set[str] = set()
+    names: list[list[str]] = []
     for m in NAMES.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -70,12 +73,21 @@ def _aside(tag: str, attrs: str) -> bool:
         if name == "role" and value.lower() in NOT_ROLES:
             return True
         if name in ("class", "id"):
-            words.update(x.lower() for x in WORDS.findall(value))
+            names += [[x.lower() for x in WORDS.findall(v)] for v in value.split()]
     if tag in ("html", "body", "main"):
         return False
-    if any(OF_READERS.match(x) for x in words):
+    names = [n for n in names if n and n[0] not in REMARKS]
+    if any(OF_READERS.match(x) for n in names for x in n):
         return True
-    return tag not in KEPT_TAGS and not words & CONTENT and any(NOT_NAMES.match(x) for x in words)
+    return tag not in KEPT_TAGS and any(_named_aside(n) for n in names)
+
+
+def _named_aside(words: list[str]) -> bool:
+    if any(STRONG.match(x) for x in words):
+        return True
+    while len(words) > 1 and words[-1] in HOLDERS:
+        words = words[:-1]
+    return bool(WEAK.match(words[-1]))
 
 
 class _Page:

@@ -266,6 +266,15 @@ def test_html_main_text():
     assert html.main_text("<p>a &lt;b&gt; c</p><script>x<") == "a <b> c"
 
 
+@pytest.mark.parametrize(("name", "kept"), [
+    ("main-content", True), ("has-sidebar", True), ("article-body", True), ("post", True), ("sidebar-left-layout", True), ("page-text", True), ("header-image-caption", True), ("story", True), ("adventure", True), ("shadow", True), ("gradient", True), ("navy-blue", True),
+    ("ad", False), ("ad-slot", False), ("main-nav", False), ("page-header", False), ("siteFooter", False), ("comment-list", False), ("post-comments", False), ("sidebar-content", False), ("cookie-box", False), ("top-banner", False), ("notice", False), ("newsletter_form", False),
+])
+def test_html_names(name, kept):
+    page = f"<article><p>Some text, with words.</p><div class='{name}'><p>The part, in question.</p></div></article>"
+    assert ("question" in html.main_text(page)) == kept
+
+
 def test_html_extract(spark):
     df = spark.createDataFrame([(1, PAGE, "old"), (2, None, "x"), (1, PAGE, "old")], "page_id long, html string, text string")
     out = html.extract(df)
