@@ -35,8 +35,8 @@ from .common import save
 
 SCALE = 256
 K = 5
-PAGE = 64
-TREE_ROWS = 2048
+PAGE = 256
+TREE_ROWS = 8192
 QUERY_ROWS = 1024
 #: Below it products in double precision are exact.
 EXACT = 1 << 20
