@@ -92,6 +92,23 @@ def statistics(entities: DataFrame, relations: DataFrame) -> DataFrame:
     )
 
 
+def merge_graphs(*mentions: DataFrame) -> DataFrame:
+    """Entity (or relation) mentions of several graphs as those of one; merge_entities and merge_relations do the rest."""
+    out = mentions[0]
+    for m in mentions[1:]:
+        out = out.unionByName(m)
+    return out
+
+
+def entity(entities: DataFrame, name: str) -> DataFrame:
+    return entities.filter(F.col("name") == name)
+
+
+def community_of(members: DataFrame) -> DataFrame:
+    """members(id, level, name) -> (name, id): the first community of each entity, broadest level first."""
+    return members.groupBy("name").agg(F.min_by("id", F.struct("level", "id")).alias("id"))
+
+
 def largest_component(names: DataFrame, edges: DataFrame) -> DataFrame:
     """names(name) of the largest component; of equal ones that with the smallest name. A lone node is a component."""
     inside = edges.join(names.withColumnRenamed("name", "u"), "u", "left_semi").join(names.withColumnRenamed("name", "v"), "v", "left_semi")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import time
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import save
 from .indexing import Index
 from .modes import query
 
@@ -38,6 +41,14 @@ def by_mode(results: DataFrame) -> DataFrame:
         F.avg("answer_term_coverage").alias("avg_answer_term_coverage"), F.avg("latency_ms").alias("avg_latency_ms"), F.avg("drift_actions").alias("avg_drift_actions"))
 
 
+def write_report(results: DataFrame, path: str) -> None:
+    """The summary of each mode and every case's result, as indented JSON. A set has a few hundred cases."""
+    rows = lambda df: [json.loads(x) for x in df.toJSON().collect()]
+    kept = save(results)
+    report = {"summary": rows(by_mode(kept).orderBy("mode")), "results": rows(kept.orderBy("case_id", "mode"))}
+    Path(path).write_text(json.dumps(report, indent=2, ensure_ascii=False), encoding="utf-8")
+
+
 def run(index: Index, cases: DataFrame) -> DataFrame:
     """One row for each case and mode; the cases of a mode are answered together."""
     spark, out = cases.sparkSession, None

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.vectors import hash_embedding
 from ..operators import chunking, claims, community, describe, extract, graph, prune, reports, resolution
 from ..sources.index_store import IndexStore
 from ..sources.scratch import save
+from .embedding import Embedder, HashEmbedder
 from .providers import OfflineProvider, Provider
 
 TABLES = ("text_units", "entities", "relations", "entity_chunks", "claims", "communities", "reports", "vectors", "statistics")
@@ -24,6 +24,11 @@ class Index:
     tables: dict[str, DataFrame]
     config: EngineConfig = field(default_factory=EngineConfig)
 
+    def quality(self) -> dict:
+        """Rows of each table, and the graph's figures."""
+        counts = {name: df.count() for name, df in self.tables.items() if name != "statistics"}
+        return counts | self.tables["statistics"].first().asDict()
+
     def __getattr__(self, name: str) -> DataFrame:
         try:
             return self.__dict__["tables"][name]
@@ -57,9 +62,10 @@ def build_graph(entity_mentions: DataFrame, relation_mentions: DataFrame, config
     }
 
 
-def embed(index: dict[str, DataFrame], config: EngineConfig) -> DataFrame:
+def embed(index: dict[str, DataFrame], config: EngineConfig, embedder: Embedder | None = None) -> DataFrame:
     """(kind, key, vector) of entities, chunks and reports."""
-    v = lambda kind, df, key, text: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), hash_embedding(text, config.embedding_dimension).alias("vector"))
+    embedder = embedder or HashEmbedder(config.embedding_dimension)
+    v = lambda kind, df, key, text: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), embedder.embed(text).alias("vector"))
     e = v("entity", index["entities"], "name", F.concat(F.col("name"), F.lit(": "), F.coalesce("description", F.lit(""))))
     t = v("chunk", index["text_units"], "chunk_id", F.col("text"))
     c = v("community", index["reports"].filter("summary <> ''"), "id", F.col("summary"))

@@ -139,3 +139,10 @@ def test_claims(spark):
     assert got == [("Acme", "Bob", "EMPLOYS", "TRUE"), ("Acme", "the moon", "EMPLOYS", "UNKNOWN"), ("Bob", None, "FACT", "UNKNOWN")]
     ids = claims.resolve(raw, lookup).withColumn("id", claims.claim_id("text_unit_id", "subject_id", "object_id", "raw_type", "description"))
     assert all(x.id.startswith("claim_") and len(x.id) == 22 for x in ids.collect())
+
+
+def test_lookups(spark):
+    m = spark.createDataFrame([("L0_C1", 0, "a"), ("L1_C0", 1, "a"), ("L0_C0", 0, "b")], "id string, level int, name string")
+    assert {x.name: x.id for x in graph.community_of(m).collect()} == {"a": "L0_C1", "b": "L0_C0"}
+    both = graph.merge_entities(graph.merge_graphs(ents(spark, ["A", "B"]), ents(spark, ["A"])))
+    assert graph.entity(both, "A").first().mention_count == 2

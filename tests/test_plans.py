@@ -157,6 +157,37 @@ def test_evaluation(spark, index, tmp_path):
     assert (row.cases, row.success_rate, row.avg_source_recall, row.avg_latency_ms, row.avg_drift_actions) == (2, 0.5, 0.5, 15.0, None)
 
 
+def test_service_and_report(spark, tmp_path, index):
+    from graphweave.plans.service import Service
+
+    s = Service(spark, str(tmp_path / "indexes"), replace(CONFIG, max_documents=5), WordProvider())
+    quality = s.create("demo", ["Alice knows Bob.", "Bob lives in Rome."])
+    assert quality["entities"] == 3 and s.quality("demo") == quality and s.list() == ["demo"] and s.statistics("demo")["levels"] == [0]
+    with pytest.raises(FileExistsError):
+        s.create("demo", ["x"])
+    with pytest.raises(ValueError):
+        s.create("other", ["a"] * 6)
+    answer, sources = s.query("demo", "Who knows Bob?", "basic", top_k=1)
+    assert answer and [x["type"] for x in sources] == ["text_unit"]
+    assert s.delete("demo") and s.list() == []
+    rows = spark.createDataFrame([("c1", "basic", True, "a", ["x"], 1.0, 0.5, 3.0, None)], "case_id string, mode string, success boolean, answer string, source_ids array<string>, source_recall double, answer_term_coverage double, latency_ms double, drift_actions long")
+    evaluate.write_report(rows, str(tmp_path / "r.json"))
+    report = json.loads((tmp_path / "r.json").read_text())
+    assert report["summary"][0]["avg_source_recall"] == 1.0 and report["results"][0]["case_id"] == "c1"
+
+
+def test_embedders(spark):
+    from pyspark.sql import functions as F
+
+    from graphweave.plans.embedding import make_embedder
+
+    df = spark.createDataFrame([("ab",), ("c",), (None,)], "t string")
+    e = make_embedder("batch", 1, lambda ts: [[float(len(t))] for t in ts])
+    assert sorted(x.v[0] for x in df.select(e.embed(F.col("t")).alias("v")).collect()) == [0.0, 1.0, 2.0]
+    with pytest.raises(ValueError):
+        make_embedder("unknown", 1)
+
+
 def test_ask_tries_again(spark, tmp_path):
     flag = str(tmp_path / "failed")
 
