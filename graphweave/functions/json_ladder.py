@@ -43,3 +43,5 @@ def _as_text(opening: str):
 #: The object (or whatever the whole text is) as JSON text; null where there is none.
 json_object = F.pandas_udf(_as_text("{"), StringType())
 json_array = F.pandas_udf(_as_text("["), StringType())
+#: The same, declared not to be repeatable, so that Spark parses a text once however many filters and columns use it.
+json_object_once = F.pandas_udf(_as_text("{"), StringType()).asNondeterministic()

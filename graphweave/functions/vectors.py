@@ -50,9 +50,14 @@ def hash_embedding(text: Column, dim: int) -> Column:
     return run(text)
 
 
-def sha_bucket(feature: Column, dim: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.sha2(feature, 256), 1, 8), 16, 10).cast("long"), F.lit(dim))
+def sha_number(feature: Column) -> Column:
+    """The first nine hex digits of the feature's SHA-256: eight for its place, the last bit for its sign."""
+    return F.conv(F.substring(F.sha2(feature, 256), 1, 9), 16, 10).cast("long")
 
 
-def sha_sign(feature: Column) -> Column:
-    return F.when(F.conv(F.substring(F.sha2(feature, 256), 9, 1), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
+def sha_bucket(number: Column, dim: int) -> Column:
+    return F.pmod(F.shiftright(number, 4), F.lit(dim))
+
+
+def sha_sign(number: Column) -> Column:
+    return F.when(number % 2 == 1, 1.0).otherwise(-1.0)

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.json_ladder import json_object
+from ..functions.json_ladder import json_object, json_object_once
 from ..functions.text import strip
 from ..plans import prompts
 from ..plans.providers import Provider, ask
 from ..sources.scratch import save
 
 
-def get(doc: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(doc, path, kind)
-
-
 def raw_responses(chunks: DataFrame, provider: Provider, config: EngineConfig = EngineConfig()) -> DataFrame:
     """(ord, chunk_id, response), saved: answers are asked for once and parsed from there."""
     ord_ = F.struct("doc_id", "chunk_index").alias("ord")
@@ -38,14 +37,16 @@ def mentions(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     row has its keys, and every relation's ends are among the answer's own
     entities. Rows of a good answer with an empty name or end are left out.
     """
-    list_of = lambda name: F.try_variant_get(F.col("doc"), f"$.{name}", "array<variant>")
-    field = lambda v, name: F.try_variant_get(v, f"$.{name}", "string")
-    has = lambda v, names: F.coalesce(F.array_contains(F.array(*[F.is_variant_null(F.coalesce(F.try_variant_get(v, f"$.{n}", "variant"), F.parse_json(F.lit("null")))) for n in names]), True), F.lit(False))
-    p = parsed(responses).withColumns({"es": list_of("entities"), "rs": list_of("relations")})
-    names = F.transform("es", lambda e: field(e, "name"))
-    bad_entity = F.exists("es", lambda e: has(e, ("name", "type", "description")))
-    bad_relation = F.exists("rs", lambda r: has(r, ("source", "target", "relation_type", "description")) | ~F.array_contains(F.col("names"), field(r, "source")) | ~F.array_contains(F.col("names"), field(r, "target")))
-    good = p.withColumn("names", names).filter(F.col("es").isNotNull() & F.col("rs").isNotNull()).filter(~F.coalesce(bad_entity, F.lit(True)) & ~F.coalesce(bad_relation, F.lit(True)))
+    rows = "array<map<string, string>>"
+    p = responses.withColumn("doc", F.from_json(json_object_once(F.col("response")), f"entities {rows}, relations {rows}"))
+    p = p.select(*responses.columns, F.col("doc.entities").alias("es"), F.col("doc.relations").alias("rs"))
+    lacks = lambda v, keys: v.isNull() | ~reduce(and_, [F.map_contains_key(v, k) for k in keys])
+    p = p.withColumn("names", F.transform("es", lambda e: e["name"]))
+    bad_entity = F.exists("es", lambda e: lacks(e, ("name", "type", "description")))
+    known = lambda r, end: F.coalesce(F.array_contains(F.col("names"), r[end]), F.lit(False))
+    bad_relation = F.exists("rs", lambda r: lacks(r, ("source", "target", "relation_type", "description")) | ~known(r, "source") | ~known(r, "target"))
+    good = p.filter(F.col("es").isNotNull() & F.col("rs").isNotNull()).filter(~F.coalesce(bad_entity, F.lit(True)) & ~F.coalesce(bad_relation, F.lit(True)))
+    field = lambda v, name: v[name]
     e = good.select("ord", "chunk_id", F.posexplode("es").alias("pos", "v")).select(
         "ord", "pos", "chunk_id", field(F.col("v"), "name").alias("name"), field(F.col("v"), "type").alias("type"), field(F.col("v"), "description").alias("description"), F.lit(1).cast("long").alias("mention_count"))
     r = good.select("ord", "chunk_id", F.posexplode("rs").alias("pos", "v")).select(

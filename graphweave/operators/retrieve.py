@@ -6,10 +6,16 @@ task ranks its own vectors first, and only k rows a question leave it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ..functions.vectors import dot, norm
+from ..functions.vectors import cosine, dot, doubles, norm
 from ..sources.scratch import BROADCAST_ROWS
 
 
@@ -35,6 +41,42 @@ def rank_top(scored: DataFrame, k: Column | int, *ties: Column | str, by: tuple[
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def score_pairs(pairs: DataFrame, vectors: DataFrame, questions: DataFrame, name: str = "key", vector: str = "vector") -> DataFrame:
+    """pairs(question_id, key) with score: only these are computed."""
+    q = questions.select("question_id", "question")
+    both = pairs.join(vectors.select(name, vector), name).join(q, "question_id")
+    return both.withColumn("score", cosine(F.col(vector), F.col("question"))).drop(vector, "question")
+
+
 def rank_named(vectors: DataFrame, questions: DataFrame, k: int, name: str = "key", vector: str = "vector") -> DataFrame:
-    """(question_id, rank, key, score): score descending, name ascending."""
-    return rank_top(score(vectors.select(name, vector), questions, vector), k, name)
+    """(question_id, rank, key, score): score descending, name ascending.
+
+    A task multiplies its batches of vectors with the matrix of the questions
+    and passes on what may be among the k best of a batch (ties included), so
+    what is shuffled does not grow with the vectors' dimension.
+    """
+    rows = questions.select("question_id", doubles(F.col("question")).alias("question")).limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} questions in one call; ask in blocks")
+    fields = [questions.schema["question_id"], vectors.schema[name], StructField("score", DoubleType())]
+    schema = StructType([StructField("question_id", fields[0].dataType), StructField("key", fields[1].dataType), fields[2]])
+    if not rows:
+        return vectors.sparkSession.createDataFrame([], StructType([*schema.fields[:1], StructField("rank", IntegerType()), *schema.fields[1:]]))
+    ids = [r["question_id"] for r in rows]
+    q = np.array([r["question"] for r in rows], np.float64).reshape(len(rows), -1)
+    size = np.linalg.norm(q, axis=1, keepdims=True)
+    unit = np.divide(q, size, out=np.zeros_like(q), where=size > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
+            if not len(x):
+                continue
+            own = np.linalg.norm(x, axis=1)
+            s = np.divide(unit @ x.T, own, out=np.zeros((len(unit), len(x))), where=own > 0)
+            least = np.partition(s, max(0, len(x) - k), axis=1)[:, max(0, len(x) - k)]
+            i, j = np.nonzero(s >= least[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[n] for n in i], to_arrow_type(schema[0].dataType)), b.column(0).take(pa.array(j)), pa.array(s[i, j])], ["question_id", "key", "score"])
+
+    best = vectors.select(F.col(name).alias("key"), doubles(F.col(vector)).alias("v")).mapInArrow(run, schema)
+    return rank_top(best, k, "key").select("question_id", "rank", "key", "score").withColumnRenamed("key", name)

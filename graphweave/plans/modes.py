@@ -72,7 +72,7 @@ def local_context(index: Index, questions: DataFrame, top_k: int, max_tokens: in
     claims = c.join(names.withColumnRenamed("name", "subject_id"), "subject_id").select(Q, *c.columns).unionByName(
         c.join(names.withColumnRenamed("name", "object_id"), "object_id").select(Q, *c.columns)).dropDuplicates([Q, "id"])
     chunks = names.join(index.entity_chunks, "name").select(Q, F.col("chunk_id").alias("key")).distinct()
-    scored = retrieve.score(_vectors(index, "chunk").join(chunks.select("key").distinct(), "key", "left_semi"), q).join(chunks, [Q, "key"])
+    scored = retrieve.score_pairs(chunks, _vectors(index, "chunk"), q)
     top = retrieve.rank_top(scored, config.max_text_units, "key").join(index.text_units.withColumnRenamed("chunk_id", "key"), "key")
     return {"seeds": seeds, "entities": save(entities), "relations": save(relations), "claims": save(claims), "text_units": save(budget.select_within(top, max_tokens, [Q]))}
 

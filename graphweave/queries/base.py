@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..sources.scratch import save
 from ..sources.table_graph import entity_mentions, relation_mentions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,8 +33,10 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merge_entities(entity_mentions(spark, sf_dir))
 
 
-def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.merge_relations(relation_mentions(spark, sf_dir), entities(spark, sf_dir))
+def relations(spark: SparkSession, sf_dir: str, reuse: bool = False) -> DataFrame:
+    """reuse: written once, for queries that read them several times."""
+    r = graph.merge_relations(relation_mentions(spark, sf_dir), entities(spark, sf_dir))
+    return save(r) if reuse else r
 
 
 def longs(df: DataFrame, *names: str) -> DataFrame:

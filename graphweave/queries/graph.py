@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..operators import community, describe, graph, prune, reports
 from ..operators.components import components
+from ..sources.scratch import save
 from ..sources.table_graph import entity_mentions, relation_mentions
 from .base import GRAPH, entities, longs, query, relations, table
 
@@ -41,7 +42,7 @@ SELECT seed, name, min(depth)::BIGINT AS depth FROM (SELECT seed, name, 1 AS dep
 def khop_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two hops around every region, one search each."""
     seeds = table(spark, sf_dir, "region").select(F.col("r_name").alias("seed"), F.col("r_name").alias("name"))
-    return longs(graph.neighbors(seeds, graph.undirected(relations(spark, sf_dir)), 2, by=("seed",)), "depth")
+    return longs(graph.neighbors(seeds, graph.undirected(relations(spark, sf_dir, True)), 2, by=("seed",)), "depth")
 
 
 @query(GRAPH + ", n AS (SELECT name FROM e WHERE type IN ('NATION', 'SUPPLIER', 'PART')) SELECT source, target, relation_type, weight FROM r WHERE source IN (SELECT name FROM n) AND target IN (SELECT name FROM n)")
@@ -71,7 +72,7 @@ SELECT entities::BIGINT AS entities, relations::BIGINT AS relations, em::BIGINT
   ((SELECT count(DISTINCT component) FROM comp) + entities - (SELECT count(*) FROM comp))::BIGINT AS components FROM f, g, m""")
 def graph_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of the graph of places; parts are lone nodes there."""
-    s = graph.statistics(entities(spark, sf_dir), relations(spark, sf_dir).filter(F.col("relation_type").isin("LOCATED_IN", "PART_OF")))
+    s = graph.statistics(entities(spark, sf_dir), relations(spark, sf_dir, True).filter(F.col("relation_type").isin("LOCATED_IN", "PART_OF")))
     s = s.withColumns({"avg_degree": F.round("avg_degree", 6), "density": F.round("density", 9)})
     return longs(s, "entities", "relations", "entity_mentions", "relation_mentions", "components")
 
@@ -121,7 +122,7 @@ def prune_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(GRAPH + ", t AS (SELECT quantile_cont(weight, 0.5) AS threshold FROM r) SELECT source, target, relation_type, weight, threshold FROM r, t WHERE weight >= threshold")
 def prune_edges_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = relations(spark, sf_dir)
+    r = relations(spark, sf_dir, True)
     return r.crossJoin(F.broadcast(prune.edge_threshold(r, 50.0))).filter("weight >= threshold").select("source", "target", "relation_type", "weight", "threshold")
 
 
@@ -136,7 +137,7 @@ a AS (SELECT count(*) AS n FROM r, t WHERE weight >= threshold AND source IN (SE
 SELECT (SELECT count(*) FROM e)::BIGINT AS entities_before, (SELECT count(*) FROM r)::BIGINT AS relations_before, (SELECT count(*) FROM k)::BIGINT AS entities_after, (SELECT n FROM a)::BIGINT AS relations_after,
   (SELECT count(*) FROM q WHERE reasons <> '')::BIGINT AS nodes_with_reason, threshold FROM t""")
 def prune_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, r = entities(spark, sf_dir), relations(spark, sf_dir)
+    e, r = entities(spark, sf_dir), relations(spark, sf_dir, True)
     return prune.prune_report(e, r, prune.prune(e, r, STRICT))
 
 
@@ -154,7 +155,7 @@ def nation_members(r: DataFrame, nation: DataFrame) -> DataFrame:
 i AS (SELECT cu AS c, sum(weight) AS l FROM x WHERE cu = cv GROUP BY cu), t AS (SELECT c, sum(weight) AS k FROM (SELECT cu AS c, weight FROM x UNION ALL SELECT cv, weight FROM x) GROUP BY c)
 SELECT round(sum(coalesce(l, 0) / m - pow(k / (2 * m), 2)), 9) AS q FROM t LEFT JOIN i USING (c), m""")
 def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = relations(spark, sf_dir)
+    r = relations(spark, sf_dir, True)
     edges = graph.undirected(r.filter("relation_type = 'LOCATED_IN'"))
     return community.modularity(edges, nation_members(r, table(spark, sf_dir, "nation"))).select(F.round("q", 9).alias("q"))
 
@@ -162,12 +163,12 @@ def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def louvain_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of the whole table graph; tests hold their invariants and quality."""
-    return community.hierarchy(entities(spark, sf_dir), graph.undirected(relations(spark, sf_dir)))
+    return community.hierarchy(save(entities(spark, sf_dir)), graph.undirected(relations(spark, sf_dir, True)))
 
 
 @query()
 def leiden_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return community.hierarchy(entities(spark, sf_dir), graph.undirected(relations(spark, sf_dir)), replace(EngineConfig(), community_algorithm="leiden", max_community_levels=2))
+    return community.hierarchy(save(entities(spark, sf_dir)), graph.undirected(relations(spark, sf_dir, True)), replace(EngineConfig(), community_algorithm="leiden", max_community_levels=2))
 
 
 @query("""WITH c AS (SELECT n_regionkey % 2 * 2 AS level FROM nation), q AS (SELECT unnest([0, 1, 3]) AS requested)
@@ -184,6 +185,6 @@ def choose_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(GRAPH + NATIONS + """, i AS (SELECT a.c AS id, count(*) AS n FROM r JOIN mem a ON a.name = r.source JOIN mem b ON b.name = r.target AND a.c = b.c GROUP BY a.c)
 SELECT c AS id, count(DISTINCT name)::BIGINT AS n_entities, coalesce(any_value(n), 0)::BIGINT AS n_relations FROM mem LEFT JOIN i ON i.id = mem.c GROUP BY c""")
 def report_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = relations(spark, sf_dir)
+    r = relations(spark, sf_dir, True)
     members = nation_members(r, table(spark, sf_dir, "nation")).withColumnRenamed("c", "id")
     return longs(reports.report_counts(members, r), "n_entities", "n_relations")

@@ -61,8 +61,8 @@ f AS (SELECT doc_id, unnest(ws || CASE WHEN len(ws) > 1 THEN list_transform(rang
 SELECT doc_id, (concat('0x', substr(sha256(f), 1, 8))::BIGINT % 256)::BIGINT AS dim, sum(CASE WHEN concat('0x', substr(sha256(f), 9, 1))::BIGINT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0 END) AS value FROM f GROUP BY ALL""")
 def sha_feature_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed feature hashing, native: sums by document and dimension."""
-    f = table(spark, sf_dir, "documents").select("doc_id", F.explode(features(F.col("text"))).alias("f"))
-    return f.groupBy("doc_id", vectors.sha_bucket(F.col("f"), 256).cast("long").alias("dim")).agg(F.sum(vectors.sha_sign(F.col("f"))).alias("value"))
+    f = table(spark, sf_dir, "documents").select("doc_id", F.explode(features(F.col("text"))).alias("f")).withColumn("n", vectors.sha_number(F.col("f")))
+    return f.groupBy("doc_id", vectors.sha_bucket(F.col("n"), 256).cast("long").alias("dim")).agg(F.sum(vectors.sha_sign(F.col("n"))).alias("value"))
 
 
 @query()
@@ -85,16 +85,17 @@ n AS (SELECT q, name FROM seeds UNION SELECT q, w.b FROM seeds JOIN w ON w.a = s
 """
 
 
-def local_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+def local_names(spark: SparkSession, sf_dir: str, r: DataFrame | None = None) -> DataFrame:
     seeds = table(spark, sf_dir, "region").select(F.col("r_name").alias("q"), F.col("r_name").alias("name"))
-    return seeds.unionByName(graph.neighbors(seeds, graph.undirected(relations(spark, sf_dir)), 1, by=("q",)).select("q", "name")).distinct()
+    return seeds.unionByName(graph.neighbors(seeds, graph.undirected(r if r is not None else relations(spark, sf_dir)), 1, by=("q",)).select("q", "name")).distinct()
 
 
 @query(GRAPH + LOCAL + "SELECT q, 'entity' AS kind, name AS id FROM n UNION ALL SELECT a.q, 'relation', source || '>' || relation_type || '>' || target FROM r JOIN n a ON a.name = source JOIN n b ON b.name = target AND b.q = a.q")
 def local_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Around each region: entities, and relations with both ends among them."""
-    names = local_names(spark, sf_dir)
-    rel = graph.induced(relations(spark, sf_dir), names, by=("q",))
+    r = relations(spark, sf_dir, True)
+    names = save(local_names(spark, sf_dir, r))
+    rel = graph.induced(r, names, by=("q",))
     return names.select("q", F.lit("entity").alias("kind"), F.col("name").alias("id")).unionByName(
         rel.select("q", F.lit("relation").alias("kind"), F.concat_ws(">", "source", "relation_type", "target").alias("id")))
 
