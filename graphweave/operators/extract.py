@@ -38,7 +38,9 @@ def mentions(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     entities. Rows of a good answer with an empty name or end are left out.
     """
     rows = "array<map<string, string>>"
-    p = responses.withColumn("doc", F.from_json(json_object_once(F.col("response")), f"entities {rows}, relations {rows}"))
+    doc = F.from_json(json_object_once(F.col("response")), f"entities {rows}, relations {rows}")
+    # A generator's column is made once; a plain one would be parsed again by each filter below.
+    p = responses.select("*", F.explode(F.array(doc)).alias("doc"))
     p = p.select(*responses.columns, F.col("doc.entities").alias("es"), F.col("doc.relations").alias("rs"))
     lacks = lambda v, keys: v.isNull() | ~reduce(and_, [F.map_contains_key(v, k) for k in keys])
     p = p.withColumn("names", F.transform("es", lambda e: e["name"]))

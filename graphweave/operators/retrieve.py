@@ -69,14 +69,14 @@ def rank_named(vectors: DataFrame, questions: DataFrame, k: int, name: str = "ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-            if not len(x):
+            if not b.num_rows:
                 continue
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             own = np.linalg.norm(x, axis=1)
             s = np.divide(unit @ x.T, own, out=np.zeros((len(unit), len(x))), where=own > 0)
             least = np.partition(s, max(0, len(x) - k), axis=1)[:, max(0, len(x) - k)]
             i, j = np.nonzero(s >= least[:, None])
             yield pa.RecordBatch.from_arrays([pa.array([ids[n] for n in i], to_arrow_type(schema[0].dataType)), b.column(0).take(pa.array(j)), pa.array(s[i, j])], ["question_id", "key", "score"])
 
-    best = vectors.select(F.col(name).alias("key"), doubles(F.col(vector)).alias("v")).mapInArrow(run, schema)
+    best = vectors.filter(F.col(vector).isNotNull()).select(F.col(name).alias("key"), doubles(F.col(vector)).alias("v")).mapInArrow(run, schema)
     return rank_top(best, k, "key").select("question_id", "rank", "key", "score").withColumnRenamed("key", name)
