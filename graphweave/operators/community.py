@@ -2,9 +2,9 @@
 
 One round of local moving: every node weighs the communities of its neighbours
 and goes to the best strict gain (ties to the smaller community). All nodes
-decide at once on the same state, so only those move whose turn it is, a half
-picked by hash and round; that keeps neighbours from swapping for ever. When
-no node gains, communities become nodes and the next pass begins. The sums of
+decide at once on the same state, so only those move whose turn it is: a half
+picked by hash, then the other half, then by another hash; that keeps
+neighbours from swapping for ever. When no node gains, communities become nodes and the next pass begins. The sums of
 a community are aggregates, the neighbours a join; no group is gathered, and
 a hub costs its number of neighbouring communities.
 """
@@ -23,38 +23,34 @@ from .rank import global_rank
 ROUNDS, PASSES = 12, 6
 
 
-def _moves(nodes: DataFrame, arcs: DataFrame, total: DataFrame, resolution: float, turn: int, refine: bool) -> DataFrame:
-    """nodes(graph, node, c, k) -> (graph, node, c) of those that move. arcs: both ways, without loops."""
+def _round(nodes: DataFrame, arcs: DataFrame, resolution: float, turn: int) -> DataFrame:
+    """nodes(graph, node, c, k, total) after one round, with wants: whether a node has something to gain. arcs: both
+    ways, without loops; total is twice the weight of the graph."""
     sums = nodes.groupBy("graph", "c").agg(F.sum("k").alias("tot"))
-    links = arcs.join(nodes.select("graph", F.col("node").alias("b"), F.col("c").alias("to")), ["graph", "b"]).groupBy("graph", F.col("a").alias("node"), "to").agg(F.sum("weight").alias("w"))
-    own = nodes.join(links, ["graph", "node"]).join(sums.withColumnRenamed("c", "to"), ["graph", "to"]).join(F.broadcast(total), "graph")
-    # Without the node itself in its own community; 2m = total.
-    rest = F.col("tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
-    own = own.withColumn("gain", F.col("w") - resolution * F.col("k") * rest / F.col("total"))
-    best = own.groupBy("graph", "node").agg(
-        F.max(F.struct("gain", F.struct((-F.col("to")).alias("neg")).alias("x"))).alias("best"),
-        F.max(F.when(F.col("to") == F.col("c"), F.col("gain"))).alias("stay"), F.max("c").alias("c"), F.max("k").alias("k"))
-    best = best.join(sums.withColumnRenamed("tot", "c_tot"), ["graph", "c"]).join(F.broadcast(total), "graph")
-    stay = F.coalesce("stay", -resolution * F.col("k") * (F.col("c_tot") - F.col("k")) / F.col("total"))
-    to = -F.col("best.x.neg")
-    go = (F.col("best.gain") > stay + 1e-9) & (to != F.col("c"))
-    if refine:  # only from being alone, as refinement merges and never splits
-        go = go & (F.abs(F.col("c_tot") - F.col("k")) < 1e-9)
-    return best.filter(go & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)).select("graph", "node", to.alias("c"))
-
-
-def _local(nodes: DataFrame, arcs: DataFrame, total: DataFrame, resolution: float, refine: bool = False) -> tuple[DataFrame, bool]:
-    still, moved_once = 0, False
+    state = nodes.select("graph", "node", "c", "k", "total").join(sums, ["graph", "c"])
+    to = state.select("graph", F.col("node").alias("b"), F.col("c").alias("to"), F.col("tot").alias("to_tot"))
+    links = arcs.join(to, ["graph", "b"]).groupBy("graph", F.col("a").alias("node"), "to").agg(F.sum("weight").alias("w"), F.max("to_tot").alias("to_tot"))
+    # Without the node itself in its own community.
+    lost = resolution * F.col("k") / F.col("total")
+    here = F.col("to") == F.col("c")
+    gain = F.col("w") - lost * (F.col("to_tot") - F.when(here, F.col("k")).otherwise(0.0))
+    best = links.join(state, ["graph", "node"]).withColumn("gain", gain).groupBy("graph", "node").agg(
+        F.min(F.struct((-F.col("gain")).alias("loss"), "to")).alias("best"), F.max(F.when(here, F.col("gain"))).alias("stay"))
+    own = state.join(best, ["graph", "node"], "left")
+    stay = F.coalesce("stay", -lost * (F.col("tot") - F.col("k")))
+    wants = F.coalesce((-F.col("best.loss") > stay + 1e-9) & (F.col("best.to") != F.col("c")), F.lit(False))
+    turns = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
+    return own.withColumn("wants", wants).select("graph", "node", F.when(F.col("wants") & turns, F.col("best.to")).otherwise(F.col("c")).alias("c"), "k", "total", "wants")
+
+
+def _local(nodes: DataFrame, arcs: DataFrame, resolution: float) -> tuple[DataFrame, bool]:
+    moved = False
     for turn in range(ROUNDS):
-        moves = save(_moves(nodes, arcs, total, resolution, turn, refine))
-        if moves.isEmpty():
-            still += 1
-            if still == 2:  # neither half wants to move
-                break
-            continue
-        still, moved_once = 0, True
-        nodes = save(nodes.join(moves.withColumnRenamed("c", "new"), ["graph", "node"], "left").select("graph", "node", F.coalesce("new", "c").alias("c"), "k"))
-    return nodes, moved_once
+        nodes = save(_round(nodes, arcs, resolution, turn))
+        if nodes.filter("wants").isEmpty():
+            break
+        moved = True
+    return nodes.select("graph", "node", "c"), moved
 
 
 def partition(edges: DataFrame, nodes: DataFrame, resolution: float, algorithm: str = "louvain") -> DataFrame:
@@ -69,14 +65,15 @@ def partition(edges: DataFrame, nodes: DataFrame, resolution: float, algorithm:
     e = edges.select("graph", "u", "v", "weight")
     for _ in range(PASSES):
         e = save(e)
-        total = save(e.groupBy("graph").agg((2 * F.sum("weight")).alias("total")))
-        if total.isEmpty():
+        if e.isEmpty():
             break
+        total = e.groupBy("graph").agg((2 * F.sum("weight")).alias("total"))
         arcs = e.filter("u <> v").select("graph", F.col("u").alias("a"), F.col("v").alias("b"), "weight")
         arcs = save(arcs.unionByName(arcs.select("graph", F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
         k = e.select("graph", F.explode(F.array("u", "v")).alias("node"), "weight").groupBy("graph", "node").agg(F.sum("weight").alias("k"))
-        level = member.select("graph", F.col("c").alias("node")).distinct().join(k, ["graph", "node"]).select("graph", "node", F.col("node").alias("c"), "k")
-        level, moved = _local(save(level), arcs, total, resolution)
+        # Every end of an edge stands for a community; those without edges have nowhere to go.
+        level = k.join(total, "graph").select("graph", "node", F.col("node").alias("c"), "k", "total")
+        level, moved = _local(save(level), arcs, resolution)
         if not moved:
             break
         if algorithm == "leiden":
@@ -93,7 +90,7 @@ def _connected(level: DataFrame, e: DataFrame) -> DataFrame:
     own = level.select("graph", "node", "c")
     inner = e.join(own.select("graph", F.col("node").alias("u"), F.col("c").alias("cu")), ["graph", "u"]).join(own.select("graph", F.col("node").alias("v"), F.col("c").alias("cv")), ["graph", "v"])
     roots = components(inner.filter("cu = cv").select("u", "v"))
-    return save(level.join(roots, "node", "left").select("graph", "node", F.coalesce("root", "node").alias("c"), "k"))
+    return save(level.join(roots, "node", "left").select("graph", "node", F.coalesce("root", "node").alias("c")))
 
 
 def hierarchy(entities: DataFrame, edges: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
