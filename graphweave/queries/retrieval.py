@@ -11,7 +11,7 @@ from ..config import EngineConfig
 from ..functions import vectors
 from ..functions.text import features, normalize_question
 from ..functions.vectors import hash_embedding
-from ..operators import budget, chunking, extract, graph, retrieve
+from ..operators import budget, chunking, claims, extract, graph, retrieve
 from ..operators.community import choose_level
 from ..plans import evaluate, indexing, modes
 from ..plans.providers import CannedProvider
@@ -19,6 +19,7 @@ from ..sources.index_store import IndexStore
 from ..sources.scratch import save, shared_dir
 from ..sources.table_graph import entity_mentions
 from .base import GRAPH, entities, longs, query, relations, table
+from .text import event_claims
 
 BULK = replace(EngineConfig(), max_documents=None, max_characters=None)
 COSINE = "CASE WHEN sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})) > 0 THEN list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1}))) ELSE 0.0 END"
@@ -283,24 +284,29 @@ def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (lambda t: t["entities"].select(F.lit("entities").alias("name")).unionByName(t["relations"].select(F.lit("relations").alias("name"))))(store.load(name)).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def table_graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The documents as text units, and the whole table graph with its evidence and claims."""
+    mentions = entity_mentions(spark, sf_dir)
+    e = save(entities(spark, sf_dir).withColumn("description", F.col("type")))
+    r = save(relations(spark, sf_dir).withColumn("description", F.col("relation_type")))
+    units = save(chunking.chunk_documents(table(spark, sf_dir, "documents"), BULK))
+    # An entity stands in all chunks of the documents with its customer's, supplier's or parts' numbers.
+    number = F.regexp_extract("chunk_id", r"^(?:customer|supplier|part)_(\d+)$", 1).try_cast("long")
+    rows = mentions.select("name", number.alias("doc_id")).filter("doc_id is not null").distinct()
+    where = save(rows.join(units.select("doc_id", "chunk_id"), "doc_id").select("name", "chunk_id").distinct())
+    found = claims.dedupe(event_claims(spark, sf_dir, mentions.select("ord", "name", F.col("name").alias("alias"))).drop("raw_type"))
+    return {"text_units": units, "entities": e, "relations": r, "entity_chunks": where, "claims": save(found)}
+
+
 def table_index(spark: SparkSession, sf_dir: str) -> indexing.Index:
-    """An index over the documents (as text units) and the graph of places."""
-    config = replace(BULK, max_community_levels=2)
-    r = save(relations(spark, sf_dir).filter(F.col("relation_type").isin("LOCATED_IN", "PART_OF")).withColumn("description", F.col("relation_type")))
-    e = save(entities(spark, sf_dir).filter("type <> 'PART'").withColumn("description", F.col("type")))
-    units = save(chunking.chunk_documents(table(spark, sf_dir, "documents"), config))
-    members = graph.undirected(r)
+    """An index over the documents (as text units) and the whole table graph."""
     from ..operators import community, reports
 
-    c = community.hierarchy(e, members, config)
-    # An entity stands in the chunks of the document with its customer's or supplier's number.
-    number = F.regexp_extract("name", r"(\d+)$", 1).try_cast("long")
-    where = e.select("name", F.concat(number.cast("string"), F.lit("_chunk_0")).alias("chunk_id")).filter("chunk_id is not null")
-    claims = spark.createDataFrame([], "id string, text_unit_id string, subject_id string, object_id string, type string, status string, description string")
-    tables = {"text_units": units, "entities": e, "relations": r, "entity_chunks": where, "claims": claims, "communities": c,
-              "reports": reports.reports(c, e, r, CannedProvider({}))}
-    tables["vectors"] = save(indexing.embed(tables, config))
-    return indexing.Index(tables, config)
+    tables = table_graph(spark, sf_dir)
+    tables["communities"] = c = community.hierarchy(tables["entities"], graph.undirected(tables["relations"]), BULK)
+    tables["reports"] = reports.reports(c, tables["entities"], tables["relations"], CannedProvider({}))
+    tables["vectors"] = save(indexing.embed(tables, BULK))
+    return indexing.Index(tables, BULK)
 
 
 def _mode(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:

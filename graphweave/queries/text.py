@@ -148,6 +148,18 @@ def claim_alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.alias_lookup(m.select("ord", F.trim("name").alias("name"), F.col("name").alias("alias")))
 
 
+def event_claims(spark: SparkSession, sf_dir: str, names: DataFrame) -> DataFrame:
+    """Events as claims, those of one id not yet merged; names(ord, name, alias)."""
+    e = table(spark, sf_dir, "events")
+    padded = lambda x: F.lpad(x.cast("string"), 9, "0")
+    k = F.col("event_id")
+    raw = e.select(
+        k.alias("ord"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("chunk_id"), F.concat(F.lit("CUSTOMER#"), padded(F.col("user_id"))).alias("subject"),
+        F.when(k % 2 == 0, F.concat(F.lit("Customer "), padded(F.col("user_id") + 1))).otherwise(F.concat(F.lit("page "), F.col("user_id").cast("string"))).alias("object"),
+        F.lit("FACT").alias("type"), F.when(k % 3 == 0, "true").when(k % 3 == 1, "odd").alias("status"), F.col("event_type").alias("description"))
+    return claims.resolve(raw, claims.alias_lookup(names)).withColumn("id", F.concat_ws("|", "text_unit_id", "subject_id", "object_id", "description"))
+
+
 @query(r"""WITH names AS (SELECT lower(c_name) AS key, c_name AS name FROM customer), surf AS (SELECT trim(regexp_replace(key, '[^\p{L}\p{N}_\s]', ' ', 'g')) AS surface, name FROM names),
 c AS (SELECT event_id AS ord, 'user_' || user_id AS chunk_id, 'CUSTOMER#' || lpad(user_id::VARCHAR, 9, '0') AS subject,
   CASE WHEN event_id % 2 = 0 THEN 'Customer ' || lpad((user_id + 1)::VARCHAR, 9, '0') ELSE 'page ' || user_id END AS object, event_type, CASE WHEN event_id % 3 = 0 THEN 'true' WHEN event_id % 3 = 1 THEN 'odd' ELSE NULL END AS status FROM events),
@@ -156,14 +168,7 @@ j AS (SELECT ord, chunk_id, s.name AS subject_id, coalesce(o.name, c.object) AS
 SELECT chunk_id || '|' || subject_id || '|' || object_id || '|' || event_type AS id, arg_max(status, ord) AS status, count(*)::BIGINT AS n FROM j GROUP BY 1""")
 def claim_resolve_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as claims about customers; a claim that comes again replaces the one before."""
-    e = table(spark, sf_dir, "events")
-    padded = lambda x: F.lpad(x.cast("string"), 9, "0")
-    k = F.col("event_id")
-    raw = e.select(
-        k.alias("ord"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("chunk_id"), F.concat(F.lit("CUSTOMER#"), padded(F.col("user_id"))).alias("subject"),
-        F.when(k % 2 == 0, F.concat(F.lit("Customer "), padded(F.col("user_id") + 1))).otherwise(F.concat(F.lit("page "), F.col("user_id").cast("string"))).alias("object"),
-        F.lit("FACT").alias("type"), F.when(k % 3 == 0, "true").when(k % 3 == 1, "odd").alias("status"), F.col("event_type").alias("description"))
     names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_name").alias("name"), F.col("c_name").alias("alias"))
-    c = claims.resolve(raw, claims.alias_lookup(names)).withColumn("id", F.concat_ws("|", "text_unit_id", "subject_id", "object_id", "description"))
+    c = event_claims(spark, sf_dir, names)
     last = claims.dedupe(c.select("id", "ord", "status"))
     return last.join(c.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id").select("id", "status", "n")
