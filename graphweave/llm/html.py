@@ -5,7 +5,10 @@ node that owns it and the share of it that is link text. A block passes points
 for its length and commas to the containers above it, in full to the nearest
 and less to those further up; a container's points are discounted by its link
 density. The best container is kept, widened to the article element around it,
-and so are siblings that score a fifth as much or are plain paragraphs.
+and so are sibling articles, and siblings that score a fifth as much or are plain
+paragraphs. Where no article or main element is around it, all other text of the
+page that is no aside and no list of links is kept too: headings, short blocks,
+lists and tables.
 Menus, headers (but for their headings), footers, sidebars, notices, adverts,
 forms, comments of readers, scripts and styles give no blocks, wherever they
 stand.
@@ -52,6 +55,8 @@ OF_READERS = re.compile(r"(?:comments?|commenters?|commentlist|disqus|replies|re
 #: Words that only hold another; and those that begin a remark on the layout.
 HOLDERS = frozenset("container wrapper wrap box block inner outer area section list item items content body text col column row top bottom left right main slot zone unit panel".split())
 REMARKS = frozenset("has with no without is show hide".split())
+#: Text with this share of links, or more, is a menu where no article or main element is around the best container.
+LINKS = 0.5
 #: What an opening tag closes, up to the given bounds.
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 BOUNDS = frozenset("html body table td th ul ol dl select button article section div main aside nav header footer form".split())
@@ -95,6 +100,7 @@ class _Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.out, self.head = [-1], ["#page"], [False], [False]
+        self.other: set[int] = set()  # article elements with the name of an aside
         self.blocks: list[tuple[str, int, int]] = []  # text, link characters, owner
         self.stack = [0]
         self.run: list[str] = []
@@ -159,6 +165,8 @@ class _Page:
         self.tag.append(tag)
         self.out.append(self.out[top] or _aside(tag, attrs))
         self.head.append(self.head[top] or tag == "header")
+        if tag == "article" and _aside("section", attrs):
+            self.other.add(len(self.tag) - 1)
         self.stack.append(len(self.tag) - 1)
         self.links += tag == "a"
         if tag in BLOCK or tag in ("td", "th"):
@@ -225,19 +233,25 @@ def main_text(source: str | None) -> str:
     if not blocks:
         return ""
     best = max(range(n), key=lambda i: (score[i], i))
-    node = best
+    node, enclosed = best, False
     while node > 0:
         if page.tag[node] in ("article", "main"):
-            best = node
+            best, enclosed = node, True
             if page.tag[node] == "article":
                 break
         node = page.parent[node]
     kept = [False] * n
+    around = [False] * n  # the nodes around the best one, where nothing says what the article is
+    node = page.parent[best] if not enclosed else -1
+    while node >= 0:
+        around[node], node = True, page.parent[node]
     for i in range(n):
         near = page.parent[i] == page.parent[best] and page.tag[best] != "body" and best > 0
         plain = near and page.tag[i] in ("p", "pre", "blockquote") and chars[i] > 80 and linked[i] < 0.25 * chars[i]
-        kept[i] = i == best or (i > 0 and kept[page.parent[i]]) or plain or (near and score[i] > 0 and score[i] >= 0.2 * score[best])
-    return "\n\n".join(text for text, _, owner in blocks if kept[owner])
+        part = near and page.tag[i] == page.tag[best] == "article" and i not in page.other
+        beside = i > 0 and not around[i] and around[page.parent[i]] and i not in page.other and linked[i] < LINKS * chars[i]
+        kept[i] = i == best or (i > 0 and kept[page.parent[i]]) or plain or part or beside or (near and score[i] > 0 and score[i] >= 0.2 * score[best])
+    return "\n\n".join(text for text, links, owner in blocks if kept[owner] or around[owner] and links < LINKS * len(text))
 
 
 def extract(pages: DataFrame, source: str = "html", name: str = "text") -> DataFrame:
