@@ -77,6 +77,29 @@ def graph_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(s, "entities", "relations", "entity_mentions", "relation_mentions", "components")
 
 
+#: The smallest name that each node of the whole graph can reach; a node is looked at again only when its root changes.
+ROOTS = """, ew AS (SELECT u AS a, v AS b FROM u WHERE u <> v UNION SELECT v, u FROM u WHERE u <> v),
+root(name, root) USING KEY (name) AS (SELECT name, name FROM e UNION
+  SELECT ew.b, min(root.root) FROM root JOIN ew ON ew.a = root.name JOIN recurring.root k ON k.name = ew.b GROUP BY ew.b HAVING min(root.root) < min(k.root))
+"""
+
+
+@query(GRAPH + ROOTS + "SELECT name, root AS component FROM root WHERE name IN (SELECT a FROM ew)")
+def connected_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components by all relations, orders and supplies included."""
+    return components(graph.undirected(relations(spark, sf_dir)).select("u", "v")).select(F.col("node").alias("name"), F.col("root").alias("component"))
+
+
+@query(GRAPH + ROOTS + """, f AS (SELECT count(*) AS entities, sum(mention_count) AS em FROM e), g AS (SELECT count(*) AS relations, coalesce(sum(mention_count), 0) AS rm FROM r), m AS (SELECT count(*) AS edges FROM u)
+SELECT entities::BIGINT AS entities, relations::BIGINT AS relations, em::BIGINT AS entity_mentions, rm::BIGINT AS relation_mentions, round(2.0::DOUBLE * edges / entities, 6) AS avg_degree,
+  round(2.0::DOUBLE * edges / (entities::DOUBLE * (entities - 1)), 9) AS density, (SELECT count(DISTINCT root) FROM root)::BIGINT AS components FROM f, g, m""")
+def graph_statistics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the whole table graph."""
+    s = graph.statistics(entities(spark, sf_dir), relations(spark, sf_dir, True))
+    s = s.withColumns({"avg_degree": F.round("avg_degree", 6), "density": F.round("density", 9)})
+    return longs(s, "entities", "relations", "entity_mentions", "relation_mentions", "components")
+
+
 @query(GRAPH + "SELECT name, type, mention_count, n_chunks FROM e")
 def graph_union_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two graphs over halves of the mentions, merged again."""
@@ -132,6 +155,12 @@ def prune_lcc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.largest_component(entities(spark, sf_dir).select("name"), graph.undirected(r))
 
 
+@query(GRAPH + ROOTS + ", z AS (SELECT root, count(*) AS n FROM root GROUP BY ALL ORDER BY n DESC, root LIMIT 1) SELECT name FROM root WHERE root = (SELECT root FROM z)")
+def prune_lcc_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest component by all relations."""
+    return graph.largest_component(entities(spark, sf_dir).select("name"), graph.undirected(relations(spark, sf_dir)))
+
+
 @query(GRAPH + REASONS + """, t AS (SELECT quantile_cont(weight, 0.5) AS threshold FROM r), k AS (SELECT name FROM q WHERE reasons = ''),
 a AS (SELECT count(*) AS n FROM r, t WHERE weight >= threshold AND source IN (SELECT name FROM k) AND target IN (SELECT name FROM k))
 SELECT (SELECT count(*) FROM e)::BIGINT AS entities_before, (SELECT count(*) FROM r)::BIGINT AS relations_before, (SELECT count(*) FROM k)::BIGINT AS entities_after, (SELECT n FROM a)::BIGINT AS relations_after,
@@ -160,6 +189,24 @@ def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.modularity(edges, nation_members(r, table(spark, sf_dir, "nation"))).select(F.round("q", 9).alias("q"))
 
 
+#: Every node in a community: its nation's, else its own.
+COVER = ", cov AS (SELECT e.name, coalesce(mem.c, e.name) AS c FROM e LEFT JOIN mem USING (name))"
+
+
+def cover(e: DataFrame, members: DataFrame) -> DataFrame:
+    return e.select("name").join(members, "name", "left").select("name", F.coalesce("c", "name").alias("c"))
+
+
+@query(GRAPH + NATIONS + COVER + """, x AS (SELECT a.c AS cu, b.c AS cv, weight FROM u JOIN cov a ON a.name = u JOIN cov b ON b.name = v), m AS (SELECT sum(weight) AS m FROM x),
+i AS (SELECT cu AS c, sum(weight) AS l FROM x WHERE cu = cv GROUP BY cu), t AS (SELECT c, sum(weight) AS k FROM (SELECT cu AS c, weight FROM x UNION ALL SELECT cv, weight FROM x) GROUP BY c)
+SELECT round(sum(coalesce(l, 0) / m - pow(k / (2 * m), 2)), 9) AS q FROM t LEFT JOIN i USING (c), m""")
+def modularity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as communities of the whole graph; parts and regions, in no nation, are communities of their own."""
+    r = relations(spark, sf_dir, True)
+    members = cover(entities(spark, sf_dir), nation_members(r, table(spark, sf_dir, "nation")))
+    return community.modularity(graph.undirected(r), members).select(F.round("q", 9).alias("q"))
+
+
 @query()
 def louvain_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of the whole table graph; tests hold their invariants and quality."""

@@ -1,9 +1,12 @@
 """Queries that do the whole job: nothing of the tables is left out."""
 
+import os
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from graphweave.queries import retrieval, text
+from graphweave.queries import ORACLE, QUERIES, retrieval, text
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +44,20 @@ def test_index_keeps_the_default_levels(spark, index_graph, monkeypatch):
     monkeypatch.setattr(retrieval, "table_graph", lambda *_: index_graph)
     retrieval.table_index(spark, SF)
     assert seen == [3]
+
+
+def by_sql(name):
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
+    return sorted(map(repr, con.execute(ORACLE[name]).fetchall()))
+
+
+def by_query(spark, name):
+    return sorted(repr(tuple(x)) for x in QUERIES[name](spark, SF).collect())
+
+
+@pytest.mark.parametrize("name", ["connected_components_whole", "graph_statistics_whole", "prune_lcc_whole", "modularity_whole"])
+def test_whole_graph_equals_sql(spark, name):
+    got = by_query(spark, name)
+    assert got == by_sql(name) and got != by_query(spark, name.removesuffix("_whole"))
