@@ -158,6 +158,14 @@ def drift_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(modes.folds(e, 3), "fold")
 
 
+@query("""WITH k AS (SELECT user_id AS question_id, event_id AS rank, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT question_id, rank, (i % least(3, n))::BIGINT AS fold FROM k""")
+def drift_folds_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds of every event."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("question_id"), F.col("event_id").alias("rank"))
+    return longs(modes.folds(e, 3), "fold")
+
+
 FOLLOWUPS = """WITH j AS (SELECT user_id AS question_id, event_id, event_type, value FROM events), c AS (SELECT question_id, event_id || '_0' AS id, event_type || ' of ' || (event_id % 4) || '?' AS question, greatest(0.0::DOUBLE, least(100.0::DOUBLE, value)) AS score FROM j
   UNION ALL SELECT question_id, event_id || '_1', upper(event_type) || '  of ' || (event_id % 3), 50.0 FROM j),
 m AS (SELECT *, regexp_replace(trim(regexp_replace(lower(question), '\\s+', ' ', 'g')), '[?.! ]+$', '') AS norm FROM c),

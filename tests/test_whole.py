@@ -61,3 +61,8 @@ def by_query(spark, name):
 def test_whole_graph_equals_sql(spark, name):
     got = by_query(spark, name)
     assert got == by_sql(name) and got != by_query(spark, name.removesuffix("_whole"))
+
+
+def test_every_event_has_a_fold(spark):
+    got = by_query(spark, "drift_folds_whole")
+    assert got == by_sql("drift_folds_whole") and len(got) == spark.read.parquet(f"{SF}/events.parquet").count()
