@@ -215,7 +215,7 @@ def louvain_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def leiden_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return community.hierarchy(save(entities(spark, sf_dir)), graph.undirected(relations(spark, sf_dir, True)), replace(EngineConfig(), community_algorithm="leiden", max_community_levels=2))
+    return community.hierarchy(save(entities(spark, sf_dir)), graph.undirected(relations(spark, sf_dir, True)), replace(EngineConfig(), community_algorithm="leiden"))
 
 
 @query("""WITH c AS (SELECT n_regionkey % 2 * 2 AS level FROM nation), q AS (SELECT unnest([0, 1, 3]) AS requested)

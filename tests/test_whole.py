@@ -66,3 +66,10 @@ def test_whole_graph_equals_sql(spark, name):
 def test_every_event_has_a_fold(spark):
     got = by_query(spark, "drift_folds_whole")
     assert got == by_sql("drift_folds_whole") and len(got) == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_leiden_keeps_the_default_levels(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr("graphweave.operators.community.hierarchy", lambda e, r, config: seen.append(config) or e)
+    QUERIES["leiden_hierarchy"](spark, SF)
+    assert [(x.community_algorithm, x.max_community_levels) for x in seen] == [("leiden", 3)]
