@@ -4,25 +4,29 @@ A page is read into blocks: runs of text between block elements, each with the
 node that owns it and the share of it that is link text. A block passes points
 for its length and commas to the containers above it, in full to the nearest
 and less to those further up; a container's points are discounted by its link
-density. The best container is kept, widened to the article element around it,
-and so are sibling articles, and siblings that score a fifth as much or are plain
-paragraphs. Where no article or main element is around it, all other text of the
-page that is no aside and no list of links is kept too: headings, short blocks,
-lists and tables.
+density. The page itself is a container too, and of equal ones the outermost
+wins, so a page without <html> or <body> loses nothing. The best container is
+kept, widened to the article or main element around it (markup that names the
+article says more than a score inside it), and so are sibling articles, and
+siblings that score a fifth as much or are plain paragraphs. Where no article
+or main element is around it, all other text of the page that is no aside and
+no list of links is kept too: headings, short blocks, lists and tables.
 Menus, headers (but for their headings), footers, sidebars, notices, adverts,
 forms, comments of readers, scripts and styles give no blocks, wherever they
 stand.
 
-Defined cases: a null, empty or text-free page gives an empty text; unclosed
+Defined cases: a null, empty or text-free page gives an empty text, and so does
+one of links alone outside of article and main; unclosed
 and crossed tags are closed as browsers do, and a page that breaks off ends
-there; nothing is cut from long pages, and depth costs no recursion; equal rows
-give equal texts; an empty table gives no rows. Only the html column is read.
+there; nothing is cut from long pages, depth costs no recursion, and end tags
+that match nothing open cost no walk; equal rows give equal texts; an empty table gives no rows. Only the html column is read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,6 +45,9 @@ BLOCK = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Their points go to what is around them.
 LEAVES = HEADINGS | frozenset("p pre li dd dt td th tr figcaption summary blockquote center address".split())
+CELLS = frozenset("td th".split())
+#: What a page may be without; such a container is judged by its parts.
+OUTERMOST = frozenset("#page html body".split())
 NOT_TEXT = frozenset("nav footer aside form head menu dialog button fieldset option".split())
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 KEPT_TAGS = frozenset("html body article main".split())
@@ -102,7 +109,10 @@ class _Page:
         self.parent, self.tag, self.out, self.head = [-1], ["#page"], [False], [False]
         self.other: set[int] = set()  # article elements with the name of an aside
         self.blocks: list[tuple[str, int, int]] = []  # text, link characters, owner
+        self.home = [0]  # the node that owns text standing directly in each node
         self.stack = [0]
+        self.opened: Counter[str] = Counter()  # open block elements by tag
+        self.inline: list[Counter[str]] = [Counter()]  # open inline elements by tag, for each open block
         self.run: list[str] = []
         self.linked = self.links = 0
         self.owner = 0
@@ -146,7 +156,7 @@ class _Page:
             self.run, self.linked = [], 0
 
     def open(self, tag: str, attrs: str, empty: bool) -> None:
-        if tag == "br" or tag in ("td", "th"):
+        if tag == "br" or tag in CELLS:
             self.run.append(" ")
         if self.tag[self.stack[-1]] == "head" and tag not in IN_HEAD:
             self.close("head")
@@ -157,7 +167,7 @@ class _Page:
         if tag in HEADINGS and self.tag[self.stack[-1]] in HEADINGS:
             self.pop()
         if tag in CLOSES:
-            self.up_to(CLOSES[tag], BOUNDS - {"td", "th"} if tag in ("td", "th", "tr") else BOUNDS)
+            self.up_to(CLOSES[tag], BOUNDS - CELLS if tag in CELLS or tag == "tr" else BOUNDS)
         if tag in VOID:
             return
         top = self.stack[-1]
@@ -165,18 +175,26 @@ class _Page:
         self.tag.append(tag)
         self.out.append(self.out[top] or _aside(tag, attrs))
         self.head.append(self.head[top] or tag == "header")
+        node, block = len(self.tag) - 1, tag in BLOCK or tag in CELLS
+        self.home.append(node if block or self.out[-1] else self.home[top])
         if tag == "article" and _aside("section", attrs):
-            self.other.add(len(self.tag) - 1)
-        self.stack.append(len(self.tag) - 1)
+            self.other.add(node)
+        self.stack.append(node)
         self.links += tag == "a"
-        if tag in BLOCK or tag in ("td", "th"):
-            self.owner = self.stack[-1]
-        elif self.out[-1] != self.out[top]:  # an inline advert is a block of its own
-            self.flush()
-            self.owner = self.stack[-1]
+        if block:
+            self.opened[tag] += 1
+            self.inline.append(Counter())
+            self.owner = node
+        else:
+            self.inline[-1][tag] += 1
+            if self.out[-1] != self.out[top]:  # an inline advert is a block of its own
+                self.flush()
+                self.owner = node
 
     def up_to(self, tags: tuple[str, ...], bounds: frozenset[str]) -> None:
         """Close the nearest of the tags that is open within the bounds."""
+        if not any(self.opened[t] for t in tags):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             own = self.tag[self.stack[i]]
             if own in tags:
@@ -189,28 +207,28 @@ class _Page:
     def close(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        for i in range(len(self.stack) - 1, 0, -1):
-            own = self.tag[self.stack[i]]
-            if own == tag:
-                while len(self.stack) > i:
-                    self.pop()
-                return
-            if tag not in BLOCK and own in BLOCK:  # inline ends don't close blocks
-                return
+        # Inline ends don't close blocks.
+        if not (self.opened if tag in BLOCK or tag in CELLS else self.inline[-1])[tag]:
+            return
+        while self.tag[self.stack[-1]] != tag:
+            self.pop()
+        self.pop()
 
     def pop(self) -> None:
         node = self.stack.pop()
         tag = self.tag[node]
         self.links -= tag == "a"
-        if tag in BLOCK or tag in ("td", "th") or self.owner == node:
-            if tag not in ("td", "th"):
+        if tag in BLOCK or tag in CELLS:
+            self.opened[tag] -= 1
+            self.inline.pop()
+        else:
+            self.inline[-1][tag] -= 1
+        if tag in BLOCK or tag in CELLS or self.owner == node:
+            if tag not in CELLS:
                 self.flush()
             else:
                 self.run.append(" ")
-            top = self.stack[-1]
-            while self.tag[top] not in BLOCK and self.parent[top] >= 0 and not self.out[top]:
-                top = self.parent[top]
-            self.owner = top
+            self.owner = self.home[self.stack[-1]]
 
 
 def main_text(source: str | None) -> str:
@@ -223,7 +241,7 @@ def main_text(source: str | None) -> str:
         linked[owner] += links
         gain = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * (1 - links / len(text))
         node, level = page.parent[owner] if page.tag[owner] in LEAVES else owner, 0
-        while node > 0 and level < 5:
+        while node >= 0 and level < 5:
             points[node] += gain / (1, 2, 6, 9, 12)[level]
             node, level = page.parent[node], level + 1
     for i in range(n - 1, 0, -1):
@@ -232,7 +250,7 @@ def main_text(source: str | None) -> str:
     score = [p * (1 - linked[i] / chars[i]) if chars[i] else 0.0 for i, p in enumerate(points)]
     if not blocks:
         return ""
-    best = max(range(n), key=lambda i: (score[i], i))
+    best = max(range(n), key=lambda i: (score[i], -i))
     node, enclosed = best, False
     while node > 0:
         if page.tag[node] in ("article", "main"):
@@ -242,7 +260,8 @@ def main_text(source: str | None) -> str:
         node = page.parent[node]
     kept = [False] * n
     around = [False] * n  # the nodes around the best one, where nothing says what the article is
-    node = page.parent[best] if not enclosed else -1
+    whole = page.tag[best] in OUTERMOST
+    node = -1 if enclosed else best if whole else page.parent[best]
     while node >= 0:
         around[node], node = True, page.parent[node]
     for i in range(n):
@@ -250,7 +269,7 @@ def main_text(source: str | None) -> str:
         plain = near and page.tag[i] in ("p", "pre", "blockquote") and chars[i] > 80 and linked[i] < 0.25 * chars[i]
         part = near and page.tag[i] == page.tag[best] == "article" and i not in page.other
         beside = i > 0 and not around[i] and around[page.parent[i]] and i not in page.other and linked[i] < LINKS * chars[i]
-        kept[i] = i == best or (i > 0 and kept[page.parent[i]]) or plain or part or beside or (near and score[i] > 0 and score[i] >= 0.2 * score[best])
+        kept[i] = (i == best and not around[i]) or (i > 0 and kept[page.parent[i]]) or plain or part or beside or (near and score[i] > 0 and score[i] >= 0.2 * score[best])
     return "\n\n".join(text for text, links, owner in blocks if kept[owner] or around[owner] and links < LINKS * len(text))
 
 
