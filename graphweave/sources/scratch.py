@@ -1,9 +1,14 @@
-"""Where lineage is cut: tables in the folder that driver and executors share."""
+"""Where lineage is cut: tables in the folder that driver and executors share.
+
+What save() and save_buckets() write lives until release() or, at the latest,
+until the driver's JVM ends.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,24 +16,66 @@ from pyspark.sql import functions as F
 #: At most this many short rows are broadcast by hint; beyond it the join is
 #: left to Spark, which shuffles and splits skewed keys.
 BROADCAST_ROWS = 50_000
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named."""
+    """The cluster's shared folder; a temporary one only on a local master that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="graphweave-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def _new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/graphweave/{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _kept(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    fs, p = _files(spark, path)
+    fs.deleteOnExit(p)
+    _paths[df] = path
+    return df
+
+
 def save(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and
     a lost executor costs no more than the tasks that read these files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphweave/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, _new_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _kept(spark, spark.read.schema(df.schema).parquet(path), path)
+
+
+def save_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """The same, dealt by key into buckets as it is written: groups and joins by the key don't shuffle it."""
+    spark, path = df.sparkSession, _new_path(df.sparkSession)
+    name = f"graphweave_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).format("parquet").saveAsTable(name)
+    return _kept(spark, spark.table(name), path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what was saved under these; whatever still reads it must be done."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            fs, p = _files(df.sparkSession, path)
+            fs.delete(p, True)
+
+
+def settled(out: DataFrame, *tables: DataFrame) -> DataFrame:
+    """out, saved; the tables it was made from are released."""
+    out = save(out)
+    release(*tables)
+    return out
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
