@@ -1,20 +1,25 @@
 """Substring dedup by recompression.
 
-Words become 64-bit names. In every round, runs of one symbol are named by
-symbol and length, then pairs of neighbours: a hash of the round splits the
-alphabet in two, and a left symbol before a right symbol is replaced by the
-pair's name. Names are hashes of what they stand for, so they are global
-without being looked up, and equal words get equal symbols wherever the
-decisions were the same. For each symbol the span of words that decided it is
-kept; an equal window elsewhere that holds the whole span holds the same
-symbol. So a window can only repeat if every symbol decided inside it stands
-at least twice in the corpus. The symbols are counted over all texts (one
-exchange); windows that pass are verified by a hash of their own words, counted
-over all texts (a second exchange). Windows with no decided symbol inside are
-always verified, so long runs and odd texts lose nothing.
-
-Two texts that are judged equal agree in a 64-bit hash of the window and in
-all the symbols inside it.
+Spark names words, then symbols, in rounds. A round of naming is a job over the
+corpus: every block sends the distinct symbols it has, each is given a name,
+which is the same wherever it stands, or is found to stand once. Between two
+namings a text is recompressed twice: runs of one symbol become one symbol, then
+pairs of neighbours (a hash of the names splits the alphabet in two; a left
+symbol before a right symbol is joined with it). Equal passages so get equal
+symbols wherever the decisions were the same. For each symbol the span of words
+that decided it is kept: an equal window elsewhere that holds the whole span
+holds the same symbol.
+
+Shared symbols reveal repeats: a window that holds the span of a symbol that
+stands once cannot repeat and goes; later rounds only name what is left.
+They verify them as well: a window is written in symbols, the highest whose
+spans it holds and towards its edges lower ones and at last words, and two
+windows are equal exactly when they are written alike. That writing, as a hash
+of 96 bits of names and places, is counted over the corpus.
+
+Names are given to 64-bit hashes of words and of pairs of names. Two different
+symbols of one hash would share a name; that matters only where two windows
+agree in everything else.
 
 Defined cases: a null or empty text, or one shorter than a window, keeps all
 its words; windows overlap freely and may repeat in one document; equal rows
@@ -25,177 +30,241 @@ are read, so other columns may have any name.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .blocks import PARCEL, answer, hashed, mix64, pack, pair64, parcels, ranges_for, totals, unpack
+from ..sources.scratch import settled
+from .blocks import PARCEL, SCHEMA, Tokens, each, mix64, named, pair64, parcels, ranges_for, tokenise, totals
 
 WINDOW = 35
-ROUNDS = 5
-#: An odd number and its inverse modulo 2^64, for rolling hashes.
-BASE = 0x9E3779B97F4A7C15
-SYMBOL, SPAN = 0, 1
-
-
-class Block:
-    """The words of a block's texts in one row, with the documents' bounds."""
-
-    def __init__(self, data: bytes):
-        self.keys, texts = unpack(data)
-        self.words = [x.split() for x in texts]
-        self.lengths = np.array([len(x) for x in self.words], np.int64)
-        self.ends = np.cumsum(self.lengths)
-        self.names = mix64(hashed([w for x in self.words for w in x]))
-
-
-def symbols(names: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The symbols after the rounds, and for each the words [lo, hi) that decided it."""
-    n = len(names)
-    s, start = names, np.arange(n)
-    lo, hi = start.copy(), start + 1
-    new = np.zeros(n, bool)  # a document begins here
-    new[ends[ends < n]] = True
-    if n:
-        new[0] = True
-    for r in range(rounds):
-        if not len(s):
-            break
-        # Runs: a neighbour on either side was looked at, if there is one.
-        head = new.copy()
-        head[1:] |= s[1:] != s[:-1]
-        at = np.flatnonzero(head)
-        tail = np.append(at[1:], len(s)) - 1
-        length = tail - at + 1
-        left = np.where(new[at], lo[at], lo[np.maximum(at - 1, 0)])
-        after = np.minimum(tail + 1, len(s) - 1)
-        last = (tail + 1 >= len(s)) | new[after]
-        right = np.where(last, hi[tail], hi[after])
-        # Where a text ends, the text's bound decided: no other place can tell, so the span reaches beyond it.
-        lo, hi = np.where(new[at], lo[at] - 1, np.minimum(left, lo[at])), np.where(last, hi[tail] + 1, np.maximum(right, hi[tail]))
-        s = np.where(length > 1, pair64(s[at], length.astype(np.uint64)), s[at])
-        start, new = start[at], new[at]
-        # Pairs: left symbols look right, right symbols look left.
-        is_left = (mix64(s + np.uint64(r + 1)) & np.uint64(1)) == 0
-        joint = np.zeros(len(s), bool)  # joined with the next
-        joint[:-1] = is_left[:-1] & ~is_left[1:] & ~new[1:]
-        nxt = np.minimum(np.arange(len(s)) + 1, len(s) - 1)
-        prv = np.maximum(np.arange(len(s)) - 1, 0)
-        end = np.append(new[1:], True)
-        lo2 = np.where(is_left, lo, np.where(new, lo - 1, np.minimum(lo, lo[prv])))
-        hi2 = np.where(is_left, np.where(end, hi + 1, np.maximum(hi, hi[nxt])), hi)
-        second = np.zeros(len(s), bool)
-        second[1:] = joint[:-1]
-        keep = ~second
-        s = np.where(joint, pair64(s, s[nxt]), s)[keep]
-        hi = np.where(joint, np.maximum(hi2, hi2[nxt]), hi2)[keep]
-        lo = np.where(joint, np.minimum(lo2, lo2[nxt]), lo2)[keep]
-        start, new = start[keep], new[keep]
-    return s, lo, hi
-
-
-def _within(block: Block, window: int) -> np.ndarray:
-    """For each word, whether a window of one document starts there."""
-    n = len(block.names)
-    left = np.repeat(block.ends, block.lengths) - np.arange(n)
-    return left >= window
-
-
-def useful(block: Block, window: int, rounds: int):
-    """Symbols whose deciding span fits into a window of their own text."""
-    s, lo, hi = symbols(block.names, block.ends, rounds)
-    n = len(block.names)
-    doc = np.repeat(np.arange(len(block.lengths)), block.lengths)
-    ok = (hi - lo <= window) & (lo >= 0) & (hi <= n)
-    ok[ok] = doc[lo[ok]] == doc[hi[ok] - 1]
-    return s[ok], lo[ok], hi[ok]
-
-
-def candidates(block: Block, window: int, rounds: int, shared: np.ndarray) -> np.ndarray:
-    """Starts of windows in which every decided symbol is shared. shared: of the sorted distinct symbols."""
-    s, lo, hi = useful(block, window, rounds)
-    own = np.unique(s)
-    lone = ~(shared[np.searchsorted(own, s)] >= 2) if len(s) else np.zeros(0, bool)
-    n = len(block.names)
-    change = np.bincount(np.maximum(hi[lone] - window, 0), minlength=n + 1) - np.bincount(lo[lone] + 1, minlength=n + 1)
-    return np.flatnonzero(_within(block, window) & (np.cumsum(change[:n]) == 0))
-
-
-def window_hashes(names: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """Polynomial hashes of the windows, all from one running sum."""
-    n = len(names)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    back = np.cumprod(np.full(n + 1, pow(BASE, -1, 1 << 64), np.uint64), dtype=np.uint64)
-    ahead = np.cumprod(np.full(n + 1, BASE, np.uint64), dtype=np.uint64)
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(names * back[:n], dtype=np.uint64)])
-    return mix64((run[starts + window] - run[starts]) * ahead[starts])
-
-
-def _sent(kind: int, block: int, values: np.ndarray, ranges: int) -> pd.DataFrame:
-    own, counts = np.unique(values, return_counts=True)
-    return pd.DataFrame(parcels(kind, block, own, np.minimum(counts, 2), ranges))
+#: Rounds of naming after the words', and recompressions before each: nearly every window of 35 words holds the
+#: span of some symbol of the last, and few would hold one two recompressions later.
+ROUNDS, STEPS = 2, 2
+#: Odd numbers, for rolling hashes.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+WRITTEN = 100
+
+
+@dataclass
+class Level:
+    """Symbols in text order: the words [start, next start) they stand for, the words [lo, hi) that decided them, and whether a text begins."""
+
+    names: np.ndarray
+    start: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    new: np.ndarray
+
+
+def recompress(x: Level, salt: int) -> Level:
+    """Runs, then pairs. Where a text's bound decided, the span reaches beyond it: no other place can tell."""
+    s, start, lo, hi, new = x.names, x.start, x.lo, x.hi, x.new
+    if not len(s):
+        return x
+    # Runs: a neighbour on either side was looked at, if there is one.
+    head = new.copy()
+    head[1:] |= s[1:] != s[:-1]
+    at = np.flatnonzero(head)
+    tail = np.append(at[1:], len(s)) - 1
+    length = tail - at + 1
+    after = np.minimum(tail + 1, len(s) - 1)
+    last = (tail + 1 >= len(s)) | new[after]
+    lo, hi = np.where(new[at], lo[at] - 1, np.minimum(lo[np.maximum(at - 1, 0)], lo[at])), np.where(last, hi[tail] + 1, np.maximum(hi[after], hi[tail]))
+    s = np.where(length > 1, pair64(s[at], length.astype(np.uint64) + np.uint64(salt << 8)), s[at])
+    start, new = start[at], new[at]
+    # Pairs: left symbols look right, right symbols look left.
+    is_left = (mix64(s + np.uint64(salt)) & np.uint64(1)) == 0
+    joint = np.zeros(len(s), bool)  # joined with the next
+    joint[:-1] = is_left[:-1] & ~is_left[1:] & ~new[1:]
+    nxt, prv = np.minimum(np.arange(len(s)) + 1, len(s) - 1), np.maximum(np.arange(len(s)) - 1, 0)
+    end = np.append(new[1:], True)
+    lo2 = np.where(is_left, lo, np.where(new, lo - 1, np.minimum(lo, lo[prv])))
+    hi2 = np.where(is_left, np.where(end, hi + 1, np.maximum(hi, hi[nxt])), hi)
+    keep = np.ones(len(s), bool)
+    keep[1:] = ~joint[:-1]
+    s = np.where(joint, pair64(s, s[nxt]), s)[keep]
+    lo, hi = np.where(joint, np.minimum(lo2, lo2[nxt]), lo2)[keep], np.where(joint, np.maximum(hi2, hi2[nxt]), hi2)[keep]
+    return Level(s, start[keep], lo, hi, new[keep])
+
+
+class Parse:
+    """A block's texts on the named levels, and the windows that may still repeat.
+
+    names_of(level, hashes): the names that Spark gave to the sorted distinct
+    hashes of a level, 0 for what stands once."""
+
+    def __init__(self, b: Tokens, window: int, rounds: int, names_of: Callable[[int, np.ndarray], np.ndarray]):
+        self.window, n = window, len(b.tokens)
+        self.n = n
+        new = np.zeros(n, bool)
+        new[b.first[b.lengths > 0]] = True
+        places = np.arange(n)
+        self.text = np.repeat(np.arange(len(b.lengths)), b.lengths)
+        self.alive = np.repeat(b.ends, b.lengths) - places >= window  # windows start here
+        self.levels: list[Level] = []
+        x = Level(b.words[b.tokens], places, places, places + 1, new)
+        for r in range(rounds):
+            x = self.with_names(self.raised(x, r), r, names_of)
+        self.last = x
+
+    def raised(self, x: Level, r: int) -> Level:
+        """Level r, not yet named, from the level below."""
+        for i in range(STEPS if r else 0):
+            x = recompress(x, r * STEPS + i)
+        return x
+
+    def sent(self, x: Level) -> np.ndarray:
+        """Which symbols are decided within one of the living windows of their text."""
+        lo, hi = x.lo, x.hi
+        ok = (hi - lo <= self.window) & (lo >= 0) & (hi <= self.n)
+        ok[ok] = self.text[lo[ok]] == self.text[hi[ok] - 1]
+        living = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.alive)])
+        ok[ok] = living[lo[ok] + 1] > living[np.maximum(hi[ok] - self.window, 0)]
+        return ok
+
+    def with_names(self, x: Level, r: int, names_of) -> Level:
+        """The level with Spark's names; windows that hold a symbol that stands once go."""
+        ok = self.sent(x)
+        own, at = np.unique(x.names[ok], return_inverse=True)
+        got = names_of(r, own)[at]
+        lone = got == 0
+        lo, hi = x.lo[ok], x.hi[ok]
+        change = np.bincount(np.maximum(hi[lone] - self.window, 0), minlength=self.n + 1) - np.bincount(lo[lone] + 1, minlength=self.n + 1)
+        self.alive &= np.cumsum(change[: self.n]) == 0
+        names = mix64(x.names ^ np.uint64(0xA5A5A5A5A5A5A5A5))  # of what no living window holds: any
+        names[ok] = np.where(lone, names[ok], pair64(got, np.full(len(got), r + 1, np.uint64)))
+        x = Level(names, x.start, x.lo, x.hi, x.new)
+        self.levels.append(x)
+        return x
+
+    def written(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the living windows, and how each is written: 64 and 32 bits."""
+        p = np.flatnonzero(self.alive)
+        end = p + self.window
+        out = []
+        for base in BASES:
+            back, ahead = (np.cumprod(np.append(np.uint64(1), np.full(self.n, f, np.uint64)), dtype=np.uint64) for f in (pow(base, -1, 1 << 64), base))
+            total = np.zeros(len(p), np.uint64)
+            left, right = p.copy(), p.copy()  # the words that higher symbols cover so far: none
+            covered = np.zeros(len(p), bool)
+            for depth in range(len(self.levels) - 1, -1, -1):
+                x = self.levels[depth]
+                run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(x.names) * back[x.start], dtype=np.uint64)])
+                # Spans are in order, so the symbols that a window decides are neighbours.
+                i, j = np.searchsorted(self.monotone(x.lo, True), p), np.searchsorted(self.monotone(x.hi, False), end, side="right")
+                some = j > i
+                stop = np.append(x.start[1:], self.n)
+                i, j = np.where(some, i, 0), np.where(some, j, 1)
+                s, e = x.start[i], stop[j - 1]
+                a, z = np.searchsorted(x.start, left), np.searchsorted(x.start, right)
+                part = np.where(covered, run[a] - run[i] + run[j] - run[z], run[j] - run[i])
+                total += np.where(some, part, np.uint64(0))
+                left, right, covered = np.where(some, s, left), np.where(some, e, right), covered | some
+            out.append(mix64(total * ahead[p]))
+        return p, out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+
+    @staticmethod
+    def monotone(a: np.ndarray, low: bool) -> np.ndarray:
+        """lo as it can only grow, hi as it must: a symbol counts if all beside it towards the window's middle do."""
+        return np.maximum.accumulate(a) if low else np.minimum.accumulate(a[::-1])[::-1]
+
+
+def _all(left: pa.Table, schema: pa.Schema, of: Callable[[Tokens], pa.Table | dict]) -> pa.Table:
+    out = [schema.empty_table()]
+    for b in each(left):
+        x = of(b)
+        out.append(x if isinstance(x, pa.Table) else pa.Table.from_pydict(x, schema))
+    return pa.concat_tables(out)
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """One row for each document: doc_id, n_words, n_removed, kept_sha256."""
-    packed = pack(docs, key, text)
-    n_words = packed.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    packed = tokenise(docs, key, text, spell=True)
+    n_words = packed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     ranges = ranges_for(n_words // 4)
-
-    def send_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s, _, _ = useful(Block(data), window, rounds)
-                yield pa.RecordBatch.from_pandas(_sent(SYMBOL, block, s, ranges), SCHEMA)
-
-    shared = totals(packed.select("block", "data").mapInArrow(send_symbols, PARCEL), at_most=2)
-
-    def send_windows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for block, data in zip(left["block"], left["data"]):
-            b = Block(data)
-            at = candidates(b, window, rounds, answer(right, SYMBOL))
-            out.append(_sent(SPAN, block, window_hashes(b.names, at, window), ranges))
-        return pd.concat(out) if out else pd.DataFrame(parcels(SPAN, 0, np.zeros(0, np.uint64), np.zeros(0), ranges))
-
-    blocks = packed.select("block", "data").groupBy("block")
-    spans = totals(blocks.cogroup(shared.groupBy("block")).applyInPandas(send_windows, PARCEL), at_most=2)
-
-    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        for data in left["data"]:
-            b = Block(data)
-            n = len(b.names)
-            at = candidates(b, window, rounds, answer(right, SYMBOL))
-            h = window_hashes(b.names, at, window)
-            own = np.unique(h)
-            twice = at[answer(right, SPAN)[np.searchsorted(own, h)] >= 2] if len(at) else at
+    blocks = packed.groupBy("block")
+    spelt = [c for c in packed.columns if c != "spelling"]
+    slim_blocks = packed.select(*spelt).groupBy("block")
+
+    def parse(b: Tokens, got: pd.DataFrame, upto: int) -> Parse:
+        return Parse(b, window, upto, lambda r, own: named(got, r, b.block))
+
+    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in each(batches):
+            yield from _all_symbols(b, None, 0).to_batches()
+
+    def _all_symbols(b: Tokens, got: pd.DataFrame | None, r: int) -> pa.Table:
+        """The symbols of level r that a living window decides; names of the levels below are in got."""
+        p = parse(b, got, r)
+        top = p.raised(p.last, r)
+        own, n = np.unique(top.names[p.sent(top)], return_counts=True)
+        return pa.Table.from_pydict(parcels(r, b.block, own, np.minimum(n, 2), ranges), SCHEMA)
+
+    def sender(r: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def send(left: pa.Table, got: pa.Table) -> pa.Table:
+            return _all(left, SCHEMA, lambda b: _all_symbols(b, got.to_pandas(), r))
+
+        return send
+
+    tables = [totals(packed.select(*spelt).mapInArrow(send_words, PARCEL), name=True)]
+    for r in range(1, rounds + 1):
+        tables.append(totals(slim_blocks.cogroup(_answers(tables)).applyInArrow(sender(r), PARCEL), name=True))
+
+    def windows(b: Tokens, got: pd.DataFrame):
+        """Where the living windows start, and the places of their writings among the distinct ones."""
+        p = parse(b, got, rounds + 1)
+        at, h, g = p.written()
+        order = np.lexsort((g, h))
+        head = np.ones(len(h), bool)
+        head[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+        place = np.empty(len(h), np.int64)
+        place[order] = np.cumsum(head) - 1
+        return at, h[order][head], g[order][head], place
+
+    def send_windows(left: pa.Table, got: pa.Table) -> pa.Table:
+        def of(b: Tokens) -> dict:
+            at, h, g, place = windows(b, got.to_pandas())
+            return parcels(WRITTEN, b.block, h, np.minimum(np.bincount(place, minlength=len(h)), 2), ranges, more=g)
+
+        return _all(left, SCHEMA, of)
+
+    repeats = totals(slim_blocks.cogroup(_answers(tables)).applyInArrow(send_windows, PARCEL), name=True, more=True)
+    schema = docs.select(F.col(key).alias("doc_id")).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
+    out_schema = to_arrow_schema(schema)
+
+    def finish(left: pa.Table, got: pa.Table) -> pa.Table:
+        def of(b: Tokens) -> dict:
+            pdf = got.to_pandas()
+            at, h, _, place = windows(b, pdf)
+            twice = at[named(pdf, WRITTEN, b.block)[place] > 0]
+            n = len(b.tokens)
             change = np.zeros(n + window + 1, np.int64)
             change[twice] += 1
             change[twice + window] -= 1  # starts are distinct
-            gone = np.cumsum(change[:n]) > 0
-            begin = 0
-            for k, words in zip(b.keys, b.words):
-                out = gone[begin : begin + len(words)]
-                begin += len(words)
-                if out.any():
-                    words_left = [w for w, x in zip(words, out.tolist()) if not x]
-                else:
-                    words_left = words
-                rows.append((k, len(words), len(words) - len(words_left), hashlib.sha256(b" ".join(words_left)).hexdigest()))
-        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": object})
-
-    kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
-    both = shared.unionByName(spans)
-    return blocks.cogroup(both.groupBy("block")).applyInPandas(finish, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
-
-
-SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+            kept = np.cumsum(change[:n]) == 0
+            words = np.array(b.spelling, dtype=object)[b.tokens]
+            removed = np.add.reduceat(np.append(~kept, False).astype(np.int64), b.first) * (b.lengths > 0) if len(b.first) else b.first
+            sha = [hashlib.sha256(b" ".join(words[s:e][kept[s:e]].tolist())).hexdigest() for s, e in zip(b.first.tolist(), b.ends.tolist())]
+            return {"doc_id": b.keys, "n_words": b.lengths, "n_removed": removed, "kept_sha256": sha}
+
+        return _all(left, out_schema, of)
+
+    return settled(blocks.cogroup(_answers([*tables, repeats])).applyInArrow(finish, schema), packed, *tables, repeats)
+
+
+def _answers(tables: list[DataFrame]):
+    out = tables[0].select("kind", "bucket", "block", "totals")
+    for t in tables[1:]:
+        out = out.unionByName(t.select("kind", "bucket", "block", "totals"))
+    return out.groupBy("block")
+
 
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
