@@ -20,7 +20,7 @@ def find_json(text: str | None, opening: str = "{") -> object | None:
     for t in tries:
         try:
             return json.loads(t)
-        except ValueError:
+        except (ValueError, RecursionError):  # nested too deep counts as broken
             pass
     # An opening sign inside a value that failed is tried too, so noise before an object does no harm.
     at = text.find(opening)
@@ -29,9 +29,28 @@ def find_json(text: str | None, opening: str = "{") -> object | None:
             return DECODER.raw_decode(text, at)[0]
         except ValueError:
             at = text.find(opening, at + 1)
+        except RecursionError:  # what is nested inside it is too, until the run of signs ends
+            at = text.find(opening, _run_end(text, at, opening))
     return None
 
 
+def _run_end(text: str, at: int, opening: str) -> int:
+    """Where a run of nested openings, with keys between them, ends; at least one further."""
+    m = re.compile(r'(?:[\[{]\s*(?:"[^"]*"\s*:\s*)?)+').match(text, at)
+    return max(at + 1, m.end() if m else at + 1)
+
+
+def has_keys(value: object, keys: tuple[str, ...]) -> bool:
+    """Whether a value is an object with all the keys."""
+    return isinstance(value, dict) and all(k in value for k in keys)
+
+
+def json_or(text: str | None, default: object = None, keys: tuple[str, ...] = ()) -> object:
+    """The object in a text if there is one with the keys, else the default; never an error."""
+    found = find_json(text)
+    return found if found is not None and (not keys or has_keys(found, keys)) else default
+
+
 def _as_text(opening: str):
     def run(s: pd.Series) -> pd.Series:
         found = (find_json(x, opening) for x in s)

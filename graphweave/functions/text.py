@@ -65,6 +65,6 @@ def normalize_question(x: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(x), r"\s+", " ")), r"[?.! ]+$", "")
 
 
-def ordered_distinct_join(parts: Column, sep: str = " | ") -> Column:
-    """The distinct non-blank stripped parts, first seen first, joined."""
-    return F.array_join(F.array_distinct(F.filter(F.transform(parts, strip), lambda p: p != "")), sep)
+def merge_text(left: Column, right: Column, sep: str = " | ") -> Column:
+    """Two texts as one: both, unless one is blank or they are the same. A text that was merged before is not taken apart."""
+    return F.when(right == "", left).when((left == "") | (left == right), right).otherwise(F.concat(left, F.lit(sep), right))

@@ -9,19 +9,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.json_ladder import json_object, json_object_once
+from ..functions.json_ladder import has_keys, json_object, json_object_once, json_or
 from ..functions.text import strip
 from ..plans import prompts
 from ..plans.providers import Provider, ask
 from ..sources.scratch import save
 
 
+ENTITY_KEYS, RELATION_KEYS = ("name", "type", "description"), ("source", "target", "relation_type", "description")
+
+
+def usable(response: str | None) -> bool:
+    """Whether mentions() would take the answer, so that it need not be asked for again."""
+    doc = json_or(response, keys=("entities", "relations"))
+    if not isinstance(doc, dict) or not all(isinstance(doc[k], list) for k in ("entities", "relations")):
+        return False
+    if not all(has_keys(e, ENTITY_KEYS) for e in doc["entities"]) or not all(has_keys(r, RELATION_KEYS) for r in doc["relations"]):
+        return False
+    names = [e["name"] for e in doc["entities"]]
+    return all(r["source"] in names and r["target"] in names for r in doc["relations"])
+
+
 def raw_responses(chunks: DataFrame, provider: Provider, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """(ord, chunk_id, response), saved: answers are asked for once and parsed from there."""
+    """(ord, chunk_id, response), saved: answers are parsed from there. An answer that cannot be used is asked for
+    again; a provider that keeps failing leaves its chunk with an empty answer and the others untouched."""
     ord_ = F.struct("doc_id", "chunk_index").alias("ord")
     rows = chunks.select(ord_, "chunk_id", "text")
     prompt = prompts.extraction(F.col("text"), config.max_entities, config.max_relations)
-    return save(ask(rows, provider, F.lit("entity_extraction"), prompt, retries=config.max_retry).select("ord", "chunk_id", "response"))
+    got = ask(rows.withColumn("prompt", prompt), provider, F.lit("entity_extraction"), F.col("prompt"), retries=config.max_retry, parallel=config.provider_parallelism, valid=usable, instead="", strict=False)
+    return save(got.select("ord", "chunk_id", *(["prompt"] if config.keep_payloads else []), "response"))
 
 
 def parsed(responses: DataFrame) -> DataFrame:
@@ -44,9 +60,9 @@ def mentions(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     p = p.select(*responses.columns, F.col("doc.entities").alias("es"), F.col("doc.relations").alias("rs"))
     lacks = lambda v, keys: v.isNull() | ~reduce(and_, [F.map_contains_key(v, k) for k in keys])
     p = p.withColumn("names", F.transform("es", lambda e: e["name"]))
-    bad_entity = F.exists("es", lambda e: lacks(e, ("name", "type", "description")))
+    bad_entity = F.exists("es", lambda e: lacks(e, ENTITY_KEYS))
     known = lambda r, end: F.coalesce(F.array_contains(F.col("names"), r[end]), F.lit(False))
-    bad_relation = F.exists("rs", lambda r: lacks(r, ("source", "target", "relation_type", "description")) | ~known(r, "source") | ~known(r, "target"))
+    bad_relation = F.exists("rs", lambda r: lacks(r, RELATION_KEYS) | ~known(r, "source") | ~known(r, "target"))
     good = p.filter(F.col("es").isNotNull() & F.col("rs").isNotNull()).filter(~F.coalesce(bad_entity, F.lit(True)) & ~F.coalesce(bad_relation, F.lit(True)))
     field = lambda v, name: v[name]
     e = good.select("ord", "chunk_id", F.posexplode("es").alias("pos", "v")).select(

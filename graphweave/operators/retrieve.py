@@ -7,6 +7,7 @@ task ranks its own vectors first, and only k rows a question leave it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,18 +17,29 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions.vectors import cosine, dot, doubles, norm
-from ..sources.scratch import BROADCAST_ROWS
+from ..sources.scratch import BROADCAST_ROWS, save
+from .rank import global_rank
 
 
 def with_norm(vectors: DataFrame, vector: str = "vector") -> DataFrame:
     return vectors.withColumn("norm", norm(F.col(vector)))
 
 
+def question_blocks(questions: DataFrame) -> list[DataFrame]:
+    """questions in saved parts of at most BROADCAST_ROWS rows each."""
+    own = save(questions)
+    n = own.count()
+    if n <= BROADCAST_ROWS:
+        return [own]
+    placed = save(global_rank(own, [F.xxhash64("question_id"), F.col("question_id")], "place_"))
+    return [placed.filter(F.floor(F.col("place_") / BROADCAST_ROWS) == i).drop("place_") for i in range(-(-n // BROADCAST_ROWS))]
+
+
 def score(vectors: DataFrame, questions: DataFrame, vector: str = "vector") -> DataFrame:
     """Every vector of vectors(.., vector) with every question(question_id, question): adds score, the cosine."""
-    n = questions.count()
-    if n > BROADCAST_ROWS:
-        raise ValueError(f"{n} questions in one call; ask in blocks of at most {BROADCAST_ROWS}")
+    parts = question_blocks(questions)
+    if len(parts) > 1:
+        return reduce(DataFrame.unionByName, [score(vectors, p, vector) for p in parts])
     q = F.broadcast(with_norm(questions, "question").withColumnRenamed("norm", "q_norm"))
     both = with_norm(vectors, vector).join(q)
     size = F.col("norm") * F.col("q_norm")
@@ -53,11 +65,13 @@ def rank_named(vectors: DataFrame, questions: DataFrame, k: int, name: str = "ke
 
     A task multiplies its batches of vectors with the matrix of the questions
     and passes on what may be among the k best of a batch (ties included), so
-    what is shuffled does not grow with the vectors' dimension.
+    what is shuffled does not grow with the vectors' dimension. Questions go in
+    blocks of BROADCAST_ROWS, each against all vectors.
     """
-    rows = questions.select("question_id", doubles(F.col("question")).alias("question")).limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} questions in one call; ask in blocks")
+    parts = question_blocks(questions)
+    if len(parts) > 1:
+        return reduce(DataFrame.unionByName, [rank_named(vectors, p, k, name, vector) for p in parts])
+    rows = questions.select("question_id", doubles(F.col("question")).alias("question")).collect()  # one block
     fields = [questions.schema["question_id"], vectors.schema[name], StructField("score", DoubleType())]
     schema = StructType([StructField("question_id", fields[0].dataType), StructField("key", fields[1].dataType), fields[2]])
     if not rows:

@@ -15,6 +15,8 @@ from ..functions.vectors import hash_embedding
 
 
 class Embedder(Protocol):
+    """name and dimension (and model, if it has one) say with which other vectors its vectors can be compared."""
+
     name: str
     dimension: int
 
@@ -39,6 +41,7 @@ class BatchEmbedder:
     call: Callable[[list[str]], list[list[float]]]
     dimension: int
     name: str = "batch"
+    model: str = ""
     batch: int = 64
     retries: int = 3
     wait: float = 0.5

@@ -9,16 +9,34 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..sources.scratch import save
 from .indexing import Index
-from .modes import query
+from .modes import MODES, query, source_ids
+from .providers import Provider
 
 CASES = "id string, index_id string, query string, modes array<string>, expected_source_ids array<string>, expected_answer_terms array<string>, top_k int, community_level int"
+RESULTS = "case_id string, mode string, success boolean, answer string, source_ids array<string>, source_recall double, answer_term_coverage double, latency_ms double, error string, drift_actions long"
+TOP_K = 5
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines; a malformed line is an error."""
-    return spark.read.schema(CASES).option("mode", "FAILFAST").json(path).filter("id is not null")
+    """JSON lines; blank ones are skipped. A line that is no case (broken, without id or query, with a mode that
+    is none or numbers out of bounds) is an error that names it."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\\r?\\n")).alias("line", "text")).filter(F.trim("text") != "")
+    rows = save(lines.withColumn("c", F.from_json("text", f"{CASES}, broken string", {"columnNameOfCorruptRecord": "broken"})))
+    c = lambda name: F.col(f"c.{name}")
+    some = lambda name: F.coalesce(c(name) != "", F.lit(False))
+    good = F.col("c").isNotNull() & c("broken").isNull() & some("id") & some("query")
+    good = good & F.coalesce(F.forall(c("modes"), lambda m: F.coalesce(m.isin(*MODES), F.lit(False))), F.lit(True))
+    good = good & F.coalesce(c("top_k").between(1, 50), F.lit(True)) & F.coalesce(c("community_level").between(0, 16), F.lit(True))
+    bad = rows.filter(~good).orderBy("file", "line").first()
+    if bad is not None:
+        raise ValueError(f"line {bad['line'] + 1} of {bad['file']} is no evaluation case")
+    none = F.array().cast("array<string>")
+    return rows.select(
+        "c.id", "c.index_id", "c.query", F.coalesce("c.modes", F.array(*map(F.lit, MODES))).alias("modes"), F.coalesce("c.expected_source_ids", none).alias("expected_source_ids"),
+        F.coalesce("c.expected_answer_terms", none).alias("expected_answer_terms"), F.coalesce("c.top_k", F.lit(TOP_K)).alias("top_k"), "c.community_level")
 
 
 def source_recall(expected: Column, actual: Column) -> Column:
@@ -28,8 +46,8 @@ def source_recall(expected: Column, actual: Column) -> Column:
 
 
 def answer_term_coverage(terms: Column, answer: Column) -> Column:
-    """The share of the terms, repeats included, that the answer holds in any case."""
-    want = F.filter(terms, lambda t: t != "")
+    """The share of the terms, stripped, repeats included, that the answer holds in any case."""
+    want = F.filter(F.transform(terms, strip), lambda t: t != "")
     found = F.filter(want, lambda t: F.contains(F.lower(answer), F.lower(t)))
     return F.when(F.size(want) > 0, F.size(found) / F.size(want)).otherwise(F.lit(1.0))
 
@@ -49,21 +67,54 @@ def write_report(results: DataFrame, path: str) -> None:
     Path(path).write_text(json.dumps(report, indent=2, ensure_ascii=False), encoding="utf-8")
 
 
-def run(index: Index, cases: DataFrame) -> DataFrame:
-    """One row for each case and mode; the cases of a mode are answered together."""
+def _options(mode: str, top_k: int | None, level: int | None, provider: Provider | None) -> dict:
+    """What a case says about a mode, as the mode takes it."""
+    found: dict = {"provider": provider}
+    if mode in ("basic", "local", "global"):
+        found["top_k"] = top_k or TOP_K
+    if mode in ("global", "drift"):
+        found["level"] = level
+    return found
+
+
+def _answered(index: Index, cases: DataFrame, mode: str, options: dict) -> DataFrame:
+    """(case_id, answer, source_ids, drift_actions), all computed when this returns."""
+    got = query(index, cases.select(F.col("id").alias("question_id"), "query"), mode, **options)
+    rows = got.answers.join(source_ids(got.details, mode), "question_id", "left")
+    if mode == "drift":
+        rows = rows.join(got.details["trace"].select("question_id", F.col("actions").cast("long").alias("drift_actions")), "question_id", "left")
+    else:
+        rows = rows.withColumn("drift_actions", F.lit(None).cast("long"))
+    return save(rows.select(F.col("question_id").alias("case_id"), "answer", F.coalesce("source_ids", F.array().cast("array<string>")).alias("source_ids"), "drift_actions"))
+
+
+def run(index: Index, cases: DataFrame, provider: Provider | None = None) -> DataFrame:
+    """One row for each case and mode. Cases of one mode, top_k and level are answered together, and each gets its share
+    of the time until their answers are there. Where that fails, each is tried alone, and one that fails has its error."""
     spark, out = cases.sparkSession, None
-    for mode in [r[0] for r in cases.select(F.explode("modes")).distinct().orderBy("col").collect()]:
-        own = cases.filter(F.array_contains("modes", mode))
-        began = time.perf_counter()
-        got = query(index, own.select(F.col("id").alias("question_id"), "query"), mode)
-        ids = got.sources.groupBy("question_id").agg(F.collect_set("id").alias("source_ids"))
-        rows = own.join(got.answers, own["id"] == F.col("question_id"), "left").drop("question_id").join(ids, F.col("id") == F.col("question_id"), "left")
-        actions = got.details["trace"].select(F.col("question_id").alias("q"), F.col("actions").alias("drift_actions")) if mode == "drift" else spark.createDataFrame([], "q string, drift_actions long")
-        rows = rows.join(actions, F.col("id") == F.col("q"), "left")
+    cases = save(cases)
+    asked = cases.select(F.explode("modes").alias("mode"), "top_k", "community_level").distinct().orderBy("mode", "top_k", "community_level").collect()
+    for mode, top_k, level in asked:  # settings, not rows
+        own = cases.filter(F.array_contains("modes", mode) & F.col("top_k").eqNullSafe(F.lit(top_k)) & F.col("community_level").eqNullSafe(F.lit(level).cast("int")))
+        began, n = time.perf_counter(), own.count()
+        options = _options(mode, top_k, level, provider)
+        try:
+            rows = _answered(index, own, mode, options).withColumns({"error": F.lit(None).cast("string"), "latency_ms": F.lit(1000 * (time.perf_counter() - began) / n)})
+        except Exception:
+            rows = None
+            for case in own.select("id").toLocalIterator():
+                began = time.perf_counter()
+                try:
+                    one = _answered(index, own.filter(F.col("id") == case["id"]), mode, options).withColumn("error", F.lit(None).cast("string"))
+                except Exception as e:
+                    one = spark.createDataFrame([(case["id"], "", [], None, str(e) or type(e).__name__)], "case_id string, answer string, source_ids array<string>, drift_actions long, error string")
+                one = one.withColumn("latency_ms", F.lit(1000 * (time.perf_counter() - began)))
+                rows = one if rows is None else rows.unionByName(one)
         none = F.array().cast("array<string>")
-        rows = rows.select(
-            F.col("id").alias("case_id"), F.lit(mode).alias("mode"), F.col("answer").isNotNull().alias("success"), "answer", F.coalesce("source_ids", none).alias("source_ids"),
+        answer = F.coalesce("answer", F.lit(""))
+        rows = own.join(rows, own["id"] == rows["case_id"], "left").select(
+            F.col("id").alias("case_id"), F.lit(mode).alias("mode"), (F.col("error").isNull() & F.col("answer").isNotNull()).alias("success"), answer.alias("answer"), F.coalesce("source_ids", none).alias("source_ids"),
             source_recall(F.coalesce("expected_source_ids", none), F.coalesce("source_ids", none)).alias("source_recall"),
-            answer_term_coverage(F.coalesce("expected_answer_terms", none), F.coalesce("answer", F.lit(""))).alias("answer_term_coverage"), F.lit(1000 * (time.perf_counter() - began)).alias("latency_ms"), "drift_actions")
+            answer_term_coverage(F.coalesce("expected_answer_terms", none), answer).alias("answer_term_coverage"), "latency_ms", "error", "drift_actions")
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return out if out is not None else spark.createDataFrame([], RESULTS)

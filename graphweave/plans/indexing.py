@@ -11,22 +11,30 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..operators import chunking, claims, community, describe, extract, graph, prune, reports, resolution
-from ..sources.index_store import IndexStore
+from ..sources.index_store import IndexStore, stamp
 from ..sources.scratch import save
 from .embedding import Embedder, HashEmbedder
 from .providers import OfflineProvider, Provider
 
 TABLES = ("text_units", "entities", "relations", "entity_chunks", "claims", "communities", "reports", "vectors", "statistics")
+#: Kept on request: the prompts and answers of extraction.
+PAYLOADS = "payloads"
 
 
 @dataclass
 class Index:
     tables: dict[str, DataFrame]
     config: EngineConfig = field(default_factory=EngineConfig)
+    #: Made questions and texts comparable; None: feature hashing.
+    embedder: Embedder | None = None
+
+    @property
+    def own_embedder(self) -> Embedder:
+        return self.embedder or HashEmbedder(self.config.embedding_dimension)
 
     def quality(self) -> dict:
         """Rows of each table, and the graph's figures."""
-        counts = {name: df.count() for name, df in self.tables.items() if name != "statistics"}
+        counts = {name: self.tables[name].count() for name in TABLES if name in self.tables and name != "statistics"}
         return counts | self.tables["statistics"].first().asDict()
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -36,12 +44,20 @@ class Index:
             raise AttributeError(name) from None
 
 
-def metadata(config: EngineConfig) -> dict:
-    return {"embedding_provider": "hash", "embedding_dimension": config.embedding_dimension}
+def metadata(embedder: Embedder) -> dict:
+    """What vectors must agree in to be comparable."""
+    return {"embedding_provider": embedder.name, "embedding_model": getattr(embedder, "model", embedder.name), "embedding_dimension": embedder.dimension}
+
+
+def described(mentions: DataFrame, provider: Provider, config: EngineConfig, *keys: str) -> DataFrame:
+    if not config.describe:
+        return describe.merged_texts(mentions, *keys)
+    return describe.summarise(mentions, provider, *keys, cap=config.max_description_mentions, parallel=config.provider_parallelism, retries=config.max_retry)
 
 
-def build_graph(entity_mentions: DataFrame, relation_mentions: DataFrame, config: EngineConfig) -> dict[str, DataFrame]:
+def build_graph(entity_mentions: DataFrame, relation_mentions: DataFrame, config: EngineConfig, provider: Provider | None = None) -> dict[str, DataFrame]:
     """Mentions -> resolved, merged, described and pruned entities and relations, and where entities stand."""
+    provider = provider or OfflineProvider()
     if config.entity_resolution == "normalized":
         named = resolution.resolve_entities(entity_mentions, exact=True)
         raw = resolution.raw_name_map(entity_mentions, exact=True)
@@ -49,10 +65,12 @@ def build_graph(entity_mentions: DataFrame, relation_mentions: DataFrame, config
         relation_mentions = save(resolution.resolve_relations(relation_mentions, raw))
     else:
         entity_mentions = save(entity_mentions.withColumn("alias", F.col("name")))
-    entities = save(graph.merge_entities(entity_mentions).join(describe.consolidate(entity_mentions, "name", cap=config.max_description_mentions).drop("n_mentions"), "name"))
+    merged = graph.merge_entities(entity_mentions)
+    typed = entity_mentions.drop("type").join(merged.select("name", "type"), "name")
+    entities = save(merged.join(described(typed, provider, config, "name", "type").drop("n_mentions", "type"), "name"))
     keys = ("source", "target", "relation_type")
     merged = graph.merge_relations(relation_mentions, entities)
-    relations = save(merged.join(describe.consolidate(relation_mentions, *keys, cap=config.max_description_mentions).drop("n_mentions"), list(keys), "left"))
+    relations = save(merged.join(described(relation_mentions, provider, config, *keys).drop("n_mentions"), list(keys), "left"))
     kept = prune.prune(entities, relations, config)
     names = kept.entities.select("name")
     return {
@@ -72,33 +90,49 @@ def embed(index: dict[str, DataFrame], config: EngineConfig, embedder: Embedder
     return e.unionByName(t).unionByName(c)
 
 
-def build_index(docs: DataFrame, config: EngineConfig = EngineConfig(), provider: Provider | None = None) -> Index:
+def build_index(docs: DataFrame, config: EngineConfig = EngineConfig(), provider: Provider | None = None, embedder: Embedder | None = None) -> Index:
     provider = provider or OfflineProvider()
     out = {"text_units": save(chunking.chunk_documents(docs, config))}
-    e, r = extract.mentions(extract.raw_responses(out["text_units"], provider, config))
-    out |= build_graph(e, r, config)
+    raw = extract.raw_responses(out["text_units"], provider, config)
+    e, r = extract.mentions(raw.select("ord", "chunk_id", "response"))
+    out |= build_graph(e, r, config, provider)
     aliases = out.pop("aliases")
     out = {k: save(v) for k, v in out.items()}
     if config.claims_enabled:
         lookup = claims.alias_lookup(aliases)
         out["claims"] = save(claims.extract_claims(out["text_units"], out["entities"], lookup, provider, config))
     else:
-        out["claims"] = docs.sparkSession.createDataFrame([], "id string, text_unit_id string, subject_id string, object_id string, type string, status string, description string")
+        out["claims"] = docs.sparkSession.createDataFrame([], claims.CLAIMS)
     out["communities"] = community.hierarchy(out["entities"], graph.undirected(out["relations"]), config)
     out["reports"] = reports.reports(out["communities"], out["entities"], out["relations"], provider)
-    out["vectors"] = save(embed(out, config))
+    out["vectors"] = save(embed(out, config, embedder))
     out["statistics"] = save(graph.statistics(out["entities"], out["relations"]))
-    return Index(out, config)
+    if config.keep_payloads:
+        out[PAYLOADS] = raw.select("chunk_id", F.lit("entity_extraction").alias("task"), "prompt", "response", F.length("prompt").alias("prompt_length"), F.length("response").alias("response_length"), F.lit(stamp()).alias("timestamp"))
+    return Index(out, config, embedder)
 
 
 def persist(index: Index, spark: SparkSession, root: str, index_id: str, overwrite: bool = False) -> None:
-    IndexStore(spark, root).save(index_id, index.tables, metadata(index.config), overwrite)
+    IndexStore(spark, root).save(index_id, index.tables, metadata(index.own_embedder) | {"quality": index.quality()}, overwrite)
+
+
+def complete(tables: dict[str, DataFrame], dimension: int) -> bool:
+    """Whether every entity, chunk and report has a vector of the length."""
+    vectors = tables["vectors"]
+    want = [("entity", tables["entities"], "name"), ("chunk", tables["text_units"], "chunk_id"), ("community", tables["reports"].filter("summary <> ''"), "id")]
+    keys = None
+    for kind, df, key in want:
+        own = df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"))
+        keys = own if keys is None else keys.unionByName(own)
+    good = vectors.filter(F.size("vector") == dimension)
+    return keys.join(good, ["kind", "key"], "left_anti").isEmpty() and vectors.filter(F.coalesce(F.size("vector"), F.lit(-1)) != dimension).isEmpty()
 
 
-def load(spark: SparkSession, root: str, index_id: str, config: EngineConfig = EngineConfig()) -> Index:
-    """The stored index; vectors of another embedding are made anew."""
+def load(spark: SparkSession, root: str, index_id: str, config: EngineConfig = EngineConfig(), embedder: Embedder | None = None) -> Index:
+    """The stored index; vectors of another embedding, or with gaps, are made anew."""
     store = IndexStore(spark, root)
-    tables = store.load(index_id)
-    if store.metadata(index_id) != metadata(config):
-        tables["vectors"] = save(embed(tables, config))
-    return Index(tables, config)
+    index = Index(store.load(index_id), config, embedder)
+    stored, own = store.metadata(index_id), metadata(index.own_embedder)
+    if any(stored.get(k) != v for k, v in own.items()) or not complete(index.tables, index.own_embedder.dimension):
+        index.tables["vectors"] = save(embed(index.tables, config, index.own_embedder))
+    return index

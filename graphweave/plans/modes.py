@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.json_ladder import json_object
 from ..functions.text import normalize_question, strip, token_count, truncate_tokens
-from ..functions.vectors import hash_embedding
 from ..operators import budget, graph, retrieve
+from ..operators.community import choose_level
 from ..sources.scratch import save
 from . import prompts
 from .indexing import Index
 from .providers import OfflineProvider, Provider, ask
 
+#: Answers without evidence.
 NO_REPORTS = "No community reports were available at the selected hierarchy level."
 NO_POINTS = "The selected community reports did not contain enough relevant evidence to answer the question."
 Q = "question_id"
@@ -33,7 +34,7 @@ def _vectors(index: Index, kind: str) -> DataFrame:
 
 
 def _embedded(questions: DataFrame, index: Index) -> DataFrame:
-    return questions.select(Q, hash_embedding(F.col("query"), index.config.embedding_dimension).alias("question"))
+    return questions.select(Q, index.own_embedder.embed(F.col("query")).alias("question"))
 
 
 def _listed(rows: DataFrame, order: str, text: Column) -> DataFrame:
@@ -45,6 +46,11 @@ def _items(rows: DataFrame, name: str, base: DataFrame) -> DataFrame:
     return base.join(rows.withColumnRenamed("items", name), Q, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
 
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows with r: 1, 2, .. within each question."""
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy(Q).orderBy(order)))
+
+
 def _source(rows: DataFrame, kind: str, id_: str, rank: str, text: Column, chars: int) -> DataFrame:
     return rows.select(Q, F.lit(kind).alias("type"), F.col(id_).alias("id"), F.col(rank).cast("long").alias("rank"), F.substring(F.coalesce(text, F.lit("")), 1, chars).alias("text"))
 
@@ -59,6 +65,17 @@ def basic(index: Index, questions: DataFrame, top_k: int = 5, provider: Provider
     return Answer(got.select(Q, strip(F.col("response")).alias("answer")), _source(hits, "text_unit", "key", "rank", F.col("text"), 240), {"text_units": hits})
 
 
+def claims_about(claims: DataFrame, names: DataFrame) -> DataFrame:
+    """names(question_id, name) -> (question_id, claims' columns): claims whose subject or object is among the names, each once."""
+    by = lambda end: claims.join(names.select(Q, F.col("name").alias(end)), end).select(Q, *claims.columns)
+    return by("subject_id").unionByName(by("object_id")).dropDuplicates([Q, "id"])
+
+
+def evidence_of(names: DataFrame, entity_chunks: DataFrame) -> DataFrame:
+    """names(question_id, name) -> (question_id, key): the distinct chunks in which the entities stand."""
+    return names.join(entity_chunks, "name").select(Q, F.col("chunk_id").alias("key")).distinct()
+
+
 def local_context(index: Index, questions: DataFrame, top_k: int, max_tokens: int) -> dict[str, DataFrame]:
     """Seeds, the entities around them, relations and claims among these, and the best of their chunks within a budget."""
     config = index.config
@@ -68,42 +85,71 @@ def local_context(index: Index, questions: DataFrame, top_k: int, max_tokens: in
     names = save(seeds.select(Q, "name").unionByName(around).distinct())
     entities = names.join(index.entities, "name")
     relations = graph.induced(index.relations, names, by=(Q,))
-    c = index.claims
-    claims = c.join(names.withColumnRenamed("name", "subject_id"), "subject_id").select(Q, *c.columns).unionByName(
-        c.join(names.withColumnRenamed("name", "object_id"), "object_id").select(Q, *c.columns)).dropDuplicates([Q, "id"])
-    chunks = names.join(index.entity_chunks, "name").select(Q, F.col("chunk_id").alias("key")).distinct()
-    scored = retrieve.score_pairs(chunks, _vectors(index, "chunk"), q)
+    claims = claims_about(index.claims, names)
+    scored = retrieve.score_pairs(evidence_of(names, index.entity_chunks), _vectors(index, "chunk"), q)
     top = retrieve.rank_top(scored, config.max_text_units, "key").join(index.text_units.withColumnRenamed("chunk_id", "key"), "key")
     return {"seeds": seeds, "entities": save(entities), "relations": save(relations), "claims": save(claims), "text_units": save(budget.select_within(top, max_tokens, [Q]))}
 
 
-def _local_lists(ctx: dict[str, DataFrame], questions: DataFrame, shown: int = 50) -> DataFrame:
-    first = lambda rows, *order: rows.withColumn("o", F.row_number().over(Window.partitionBy(Q).orderBy(*order))).filter(F.col("o") <= shown)
+def _local_lists(ctx: dict[str, DataFrame], questions: DataFrame, shown: int | None) -> DataFrame:
+    first = lambda rows, *order: rows.withColumn("o", F.row_number().over(Window.partitionBy(Q).orderBy(*order))).filter(F.lit(shown is None) | (F.col("o") <= (shown or 0)))
     rows = _items(_listed(first(ctx["entities"], "name"), "o", F.concat_ws(": ", "name", "description")), "es", questions)
     rows = _items(_listed(first(ctx["relations"], "source", "target", "relation_type"), "o", F.format_string("%s -%s-> %s", "source", "relation_type", "target")), "rs", rows)
     rows = _items(_listed(first(ctx["claims"], "id"), "o", F.col("description")), "cs", rows)
     return _items(_listed(ctx["text_units"], "rank", F.col("text")), "ts", rows)
 
 
+def in_order(parts: DataFrame) -> DataFrame:
+    """parts(question_id, g, o, id) -> (question_id, source_ids): ids by g, then o, each where it stands first."""
+    return parts.groupBy(Q).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("g", "o", "id"))), lambda x: x["id"])).alias("source_ids"))
+
+
+def _part(rows: DataFrame, group: int, order: str, id_: Column) -> DataFrame:
+    return rows.select(Q, F.lit(group).alias("g"), F.col(order).cast("long").alias("o"), id_.alias("id"))
+
+
+def local_ids(ctx: dict[str, DataFrame]) -> DataFrame:
+    """(question_id, source_ids): text units by rank, seeds as entity:NAME by rank, claims."""
+    return in_order(_part(ctx["text_units"], 0, "rank", F.col("key")).unionByName(_part(ctx["seeds"], 1, "rank", F.concat(F.lit("entity:"), "name"))).unionByName(_part(numbered(ctx["claims"], "id"), 2, "r", F.col("id"))))
+
+
+def source_ids(details: dict[str, DataFrame], mode: str) -> DataFrame:
+    """(question_id, source_ids): what an answer of a mode rests on, in order and each once. drift: the reports, then
+    the sources of every piece of evidence in the order in which it was looked for."""
+    if mode == "basic":
+        return in_order(_part(details["text_units"], 0, "rank", F.col("key")))
+    if mode == "local":
+        return local_ids(details)
+    reports = _part(details["reports"], 0, "rank", F.col("id"))
+    if mode == "global":
+        return in_order(reports)
+    evidence = details["evidence"].select(Q, "depth", "place", F.posexplode("source_ids").alias("pos", "id"))
+    at = F.row_number().over(Window.partitionBy(Q).orderBy("depth", "place", "pos"))
+    return in_order(reports.unionByName(_part(evidence.withColumn("at", at), 1, "at", F.col("id"))))
+
+
 def local(index: Index, questions: DataFrame, top_k: int = 5, provider: Provider | None = None) -> Answer:
     ctx = local_context(index, questions, top_k, index.config.local_tokens)
-    rows = _local_lists(ctx, questions)
+    rows = _local_lists(ctx, questions, index.config.shown_items)
     got = ask(rows, provider or OfflineProvider(), F.lit("local_query_answer"), prompts.local(F.col("query"), F.col("es"), F.col("rs"), F.col("ts"), F.col("cs")))
-    by_name = ctx["entities"].withColumn("r", F.row_number().over(Window.partitionBy(Q).orderBy("name"))).filter(F.col("r") <= top_k)
-    by_id = ctx["claims"].withColumn("r", F.row_number().over(Window.partitionBy(Q).orderBy("id")))
+    by_name = numbered(ctx["entities"], "name").filter(F.col("r") <= top_k)
+    by_id = numbered(ctx["claims"], "id")
     sources = _source(ctx["text_units"], "text_unit", "key", "rank", F.col("text"), 240).unionByName(_source(by_name, "entity", "name", "r", F.col("description"), 200)).unionByName(_source(by_id, "claim", "id", "r", F.col("description"), 240))
     return Answer(got.select(Q, strip(F.col("response")).alias("answer")), sources, ctx)
 
 
+def ranked_reports(reports: DataFrame, vectors: DataFrame, embedded: DataFrame, level: int, top_k: int) -> DataFrame:
+    """reports(id, level, summary, ..), vectors(key, vector) -> (question_id, rank, score, id, .., text): the nearest of
+    the level, or of the one that stands for it; blank reports are none."""
+    own = reports.filter(F.col("summary").isNotNull() & (strip(F.col("summary")) != ""))
+    own = own.join(F.broadcast(choose_level(own, level)), "level")
+    near = vectors.join(own.select(F.col("id").alias("key")), "key", "left_semi")
+    return retrieve.rank_named(near, embedded, top_k).withColumnRenamed("key", "id").join(own, "id").withColumnRenamed("summary", "text")
+
+
 def community_context(index: Index, questions: DataFrame, level: int, top_k: int, max_tokens: int) -> DataFrame:
     """(question_id, rank, id, level, parent_id, score, text): reports of the level, best first, within the budget."""
-    from ..operators.community import choose_level
-
-    reports = index.reports.filter(F.col("summary").isNotNull() & (strip(F.col("summary")) != ""))
-    at = choose_level(reports, level).first()["level"]
-    own = reports.filter(F.col("level") == at)
-    vectors = _vectors(index, "community").join(own.select(F.col("id").alias("key")), "key", "left_semi")
-    top = retrieve.rank_named(vectors, _embedded(questions, index), top_k).withColumnRenamed("key", "id").join(own, "id").withColumnRenamed("summary", "text")
+    top = ranked_reports(index.reports, _vectors(index, "community"), _embedded(questions, index), level, top_k)
     return save(budget.select_within(top, max_tokens, [Q]))
 
 
@@ -154,6 +200,12 @@ def parse_followups(rows: DataFrame, prefix: Column, depth: Column, parent: Colu
     return items.select(Q, F.concat("prefix", F.lit("_"), F.col("pos").cast("string")).alias("id"), text.alias("question"), score.alias("score"), "depth", "parent_id").filter("question <> ''")
 
 
+def expansions(found: DataFrame, gate: float) -> DataFrame:
+    """found(question_id, id, depth, confidence, response): follow-ups of what was answered surely enough."""
+    sure = found.filter(F.col("confidence") >= gate)
+    return parse_followups(sure, F.concat("id", F.lit("_q")), F.col("depth") + 1, F.col("id"))
+
+
 def frontier(candidates: DataFrame, seen: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(the k best new questions, all that were new): one for each normalised wording, none that was seen (question_id, norm)."""
     c = candidates.withColumn("norm", normalize_question(F.col("question"))).filter("norm <> ''").join(seen, [Q, "norm"], "left_anti")
@@ -168,7 +220,7 @@ def drift(index: Index, questions: DataFrame, level: int | None = None, provider
     locally and may give more. All questions of a depth are one job."""
     config, provider = index.config, provider or OfflineProvider()
     n = config.drift_primer_folds
-    reports = community_context(index, questions, config.global_community_level if level is None else level, min(3 * n, config.global_top_k), config.drift_primer_tokens)
+    reports = community_context(index, questions, config.drift_community_level if level is None else level, min(3 * n, config.global_top_k), config.drift_primer_tokens)
     dealt = folds(reports, n).groupBy(Q, "fold").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "text"))).alias("r")).join(questions, Q)
     dealt = dealt.withColumn("shown", F.transform("r", lambda x: F.concat(x["id"], F.lit(": "), x["text"])))
     primed = save(ask(dealt, provider, F.lit("drift_primer"), prompts.drift_primer(F.col("query"), F.col("shown"))).select(Q, "fold", "response"))
@@ -179,7 +231,7 @@ def drift(index: Index, questions: DataFrame, level: int | None = None, provider
     seen = save(questions.select(Q, normalize_question(F.col("query")).alias("norm")))
     pending, new = frontier(parse_followups(primed, F.concat(F.lit("primer_"), F.col("fold").cast("string")), F.lit(1), F.lit(None)), seen, config.drift_followups)
     pending, seen = save(pending), save(seen.unionByName(new))
-    evidence = questions.sparkSession.createDataFrame([], f"{Q} {questions.schema[Q].dataType.simpleString()}, id string, question string, answer string, confidence double, depth int, parent_id string, source_ids array<string>")
+    evidence = questions.sparkSession.createDataFrame([], f"{Q} {questions.schema[Q].dataType.simpleString()}, id string, question string, answer string, confidence double, depth int, parent_id string, place int, source_ids array<string>")
     trace: dict[str, DataFrame] = {}
     for depth in range(1, config.drift_depth + 1):
         used = evidence.groupBy(Q).agg(F.count(F.lit(1)).alias("used"))
@@ -189,26 +241,22 @@ def drift(index: Index, questions: DataFrame, level: int | None = None, provider
             break
         # Follow-ups are the questions of a local search of their own.
         key = F.concat_ws("/", F.col(Q).cast("string"), F.col("id"))
-        asked = save(current.select(key.alias("k"), F.col(Q).alias("root"), "id", "question", "depth", "parent_id"))
+        asked = save(current.select(key.alias("k"), F.col(Q).alias("root"), "id", "question", "depth", "parent_id", "place"))
         ctx = local_context(index, asked.select(F.col("k").alias(Q), F.col("question").alias("query")), config.drift_local_k, config.drift_local_tokens)
-        lists = _local_lists(ctx, asked.select(F.col("k").alias(Q), F.col("question").alias("query")))
+        lists = _local_lists(ctx, asked.select(F.col("k").alias(Q), F.col("question").alias("query")), config.shown_items)
         prior = evidence.groupBy(F.col(Q).alias("root")).agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "id", "answer"))), lambda x: x["answer"]).alias("prior"))
         rows = lists.withColumnRenamed(Q, "k").join(asked, "k").join(prior, "root", "left").join(questions.select(F.col(Q).alias("root"), F.col("query").alias("root_query")), "root")
         shown = prompts.local(F.col("question"), F.col("es"), F.col("rs"), F.col("ts"), F.col("cs"))
-        got = save(ask(rows, provider, F.concat(F.lit("drift_followup_"), F.col("id")), prompts.drift_followup(F.col("root_query"), F.col("question"), shown, F.coalesce("prior", F.array().cast("array<string>")))).select("k", F.col("root").alias(Q), "id", "question", "depth", "parent_id", "response"))
-        ids = ctx["text_units"].select(F.col(Q).alias("k"), F.lit(0).alias("g"), F.col("rank").cast("string").alias("o"), F.col("key").alias("s"))
-        ids = ids.unionByName(ctx["seeds"].select(F.col(Q).alias("k"), F.lit(1).alias("g"), F.col("rank").cast("string").alias("o"), F.concat(F.lit("entity:"), "name").alias("s")))
-        ids = ids.unionByName(ctx["claims"].select(F.col(Q).alias("k"), F.lit(2).alias("g"), F.col("id").alias("o"), F.col("id").alias("s")))
-        ids = ids.groupBy("k").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("g", "o", "s"))), lambda x: x["s"])).alias("source_ids"))
+        got = save(ask(rows, provider, F.concat(F.lit("drift_followup_"), F.col("id")), prompts.drift_followup(F.col("root_query"), F.col("question"), shown, F.coalesce("prior", F.array().cast("array<string>")))).select("k", F.col("root").alias(Q), "id", "question", "depth", "parent_id", "place", "response"))
+        ids = local_ids(ctx).withColumnRenamed(Q, "k")
         doc = F.try_parse_json(json_object(F.col("response")))
         confidence = F.when(doc.isNull(), 0.25).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_variant_get(doc, "$.confidence", "double"), F.lit(0.0)))))
         answer = strip(F.coalesce(F.try_variant_get(doc, "$.answer", "string"), F.when(doc.isNull(), F.col("response")), F.lit("")))
-        found = save(got.join(ids, "k", "left").select(Q, "id", "question", answer.alias("answer"), confidence.alias("confidence"), "depth", "parent_id", F.coalesce("source_ids", F.array().cast("array<string>")).alias("source_ids"), "response"))
+        found = save(got.join(ids, "k", "left").select(Q, "id", "question", answer.alias("answer"), confidence.alias("confidence"), "depth", "parent_id", "place", F.coalesce("source_ids", F.array().cast("array<string>")).alias("source_ids"), "response"))
         evidence = save(evidence.unionByName(found.drop("response")))
         if depth == config.drift_depth:
             break
-        sure = found.filter(F.col("confidence") >= config.drift_confidence_gate)
-        pending, new = frontier(parse_followups(sure, F.concat("id", F.lit("_q")), F.col("depth") + 1, F.col("id")), seen, config.drift_followups)
+        pending, new = frontier(expansions(found, config.drift_confidence_gate), seen, config.drift_followups)
         pending, seen = save(pending), save(seen.unionByName(new))
     done = evidence.groupBy(Q).agg(F.count(F.lit(1)).alias("actions"), F.max("depth").alias("max_depth"))
     trace = questions.select(Q).join(done, Q, "left").select(Q, F.coalesce("actions", F.lit(0)).alias("actions"), F.coalesce("max_depth", F.lit(0)).alias("max_depth"))

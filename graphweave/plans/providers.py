@@ -3,8 +3,9 @@ so it must be picklable; it is given the task's name and the prompt."""
 
 from __future__ import annotations
 
+import logging
 import time
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -13,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+log = logging.getLogger("graphweave.providers")
+
+
 class Provider(Protocol):
     name: str
 
@@ -60,21 +64,32 @@ class CannedProvider:
         return self.answers[task] if task in self.answers else self.fallback.complete(task, prompt)
 
 
-def ask(df: DataFrame, provider: Provider, task: Column, prompt: Column, name: str = "response", retries: int = 3, wait: float = 0.5, parallel: int | None = None) -> DataFrame:
-    """df with the provider's answer. Errors are tried again, then raised; parallel bounds how many tasks ask at once."""
+def ask(
+    df: DataFrame, provider: Provider, task: Column, prompt: Column, name: str = "response", retries: int = 3, wait: float = 0.5, parallel: int | None = None,
+    valid: Callable[[str], bool] | None = None, instead: str | None = None, strict: bool = True,
+) -> DataFrame:
+    """df with the provider's answer. Errors, and answers that are not valid, are tried again. After the last try an
+    error is raised if strict, else the answer is `instead`; an invalid answer stays as it is. parallel bounds how many
+    tasks ask at once. Prompts and answers are never logged, only their lengths."""
+
+    def one(t: str, p: str) -> str | None:
+        for turn in range(retries + 1):
+            try:
+                got = provider.complete(t, p)
+                log.info("asked %s for %s: %d characters, %d back", provider.name, t, len(p), len(got or ""))
+                if turn == retries or valid is None or valid(got):
+                    return got
+            except Exception as e:
+                log.warning("asking %s for %s failed: %s", provider.name, t, type(e).__name__)
+                if turn == retries:
+                    if strict:
+                        raise
+                    return instead
+                time.sleep(wait * 2**turn)
+        raise AssertionError
 
     def run(tasks: pd.Series, prompts: pd.Series) -> pd.Series:
-        out = []
-        for t, p in zip(tasks, prompts):
-            for turn in range(retries + 1):
-                try:
-                    out.append(provider.complete(t, p))
-                    break
-                except Exception:
-                    if turn == retries:
-                        raise
-                    time.sleep(wait * 2**turn)
-        return pd.Series(out, dtype=object)
+        return pd.Series([one(t, p) for t, p in zip(tasks, prompts)], dtype=object)
 
     rows = df.repartition(parallel) if parallel else df
     # Not deterministic for Spark: it is asked once a row, and never again for another column.

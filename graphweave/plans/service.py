@@ -9,12 +9,13 @@ from ..config import EngineConfig
 from ..sources.documents import documents_from, guard
 from ..sources.index_store import IndexStore
 from . import indexing, modes
+from .embedding import Embedder
 from .providers import Provider
 
 
 class Service:
-    def __init__(self, spark: SparkSession, root: str, config: EngineConfig = EngineConfig(), provider: Provider | None = None):
-        self.spark, self.root, self.config, self.provider = spark, root, config, provider
+    def __init__(self, spark: SparkSession, root: str, config: EngineConfig = EngineConfig(), provider: Provider | None = None, embedder: Embedder | None = None):
+        self.spark, self.root, self.config, self.provider, self.embedder = spark, root, config, provider, embedder
         self.store = IndexStore(spark, root)
 
     def create(self, index_id: str, documents: list[str] | DataFrame, overwrite: bool = False) -> dict:
@@ -22,9 +23,9 @@ class Service:
         if self.store.exists(index_id) and not overwrite:
             raise FileExistsError(f"index {index_id!r} exists")
         docs = documents if isinstance(documents, DataFrame) else documents_from(self.spark, index_id, documents)
-        index = indexing.build_index(guard(docs, self.config), self.config, self.provider)
-        self.store.save(index_id, index.tables, indexing.metadata(self.config) | {"quality": index.quality()}, overwrite)
-        return index.quality()
+        index = indexing.build_index(guard(docs, self.config), self.config, self.provider, self.embedder)
+        indexing.persist(index, self.spark, self.root, index_id, overwrite)
+        return self.quality(index_id)
 
     def list(self) -> list[str]:
         return self.store.list()
@@ -43,7 +44,7 @@ class Service:
 
     def query(self, index_id: str, text: str, mode: str = "local", **options) -> tuple[str, list[dict]]:
         """(answer, sources) of one question."""
-        index = indexing.load(self.spark, self.root, index_id, self.config)
+        index = indexing.load(self.spark, self.root, index_id, self.config, self.embedder)
         questions = self.spark.createDataFrame([(0, text)], "question_id long, query string")
         if self.provider is not None:
             options.setdefault("provider", self.provider)

@@ -1,14 +1,18 @@
 """Indexes on disk: one folder of Parquet tables a version, and a manifest that names the current one.
 
-A version is written whole before the manifest is renamed over the old one, so
-a reader sees the old index or the new one. Paths go through Hadoop's file
-system, as the tables do.
+A version is written whole before the manifest is renamed over the old one in
+one step, so a reader sees the old index or the new one. The version before
+stays, for those who still read it, until the next one is written; a crash
+leaves the old index or the new one, and at worst files that no manifest names,
+which the next save removes. Paths go through Hadoop's file system, as the
+tables do.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,12 +21,22 @@ from .documents import check_index_id
 SCHEMA_VERSION = 1
 
 
+def stamp() -> str:
+    """Now, in UTC, to the microsecond."""
+    return datetime.now(UTC).strftime("%Y%m%dT%H%M%S.%fZ")
+
+
 class IndexStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(conf)
+        self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        self._overwrite = over
 
     def _dir(self, index_id: str) -> str:
         return f"{self.root}/{check_index_id(index_id)}"
@@ -51,18 +65,17 @@ class IndexStore:
         version = f"v={uuid.uuid4().hex}"
         for name, df in tables.items():
             df.write.parquet(f"{self._dir(index_id)}/{version}/{name}")
-        manifest = {"schema_version": SCHEMA_VERSION, "index_id": index_id, "version": version, "tables": sorted(tables), "metadata": metadata or {}}
+        manifest = {"schema_version": SCHEMA_VERSION, "index_id": index_id, "version": version, "tables": sorted(tables), "metadata": metadata or {}, "timestamp": stamp()}
         new, path = self._path(f"{self._dir(index_id)}/manifest.{version[2:]}.tmp"), self._path(f"{self._dir(index_id)}/manifest.json")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
         old = self._manifest(index_id)["version"] if self._fs.exists(path) else None
-        if old:
-            self._fs.delete(path, False)
-        if not self._fs.rename(new, path):
-            raise OSError(f"could not publish index {index_id!r}")
-        if old:
-            self._fs.delete(self._path(f"{self._dir(index_id)}/{old}"), True)
+        self._files.rename(new, path, self._overwrite)
+        for s in self._fs.listStatus(self._path(self._dir(index_id))):
+            name = s.getPath().getName()
+            if name.startswith("v=") and name not in (version, old) or name.endswith(".tmp"):
+                self._fs.delete(s.getPath(), True)
 
     def load(self, index_id: str) -> dict[str, DataFrame]:
         m = self._manifest(index_id)
