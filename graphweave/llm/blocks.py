@@ -28,7 +28,7 @@ from .common import save
 
 #: Bytes of text in a block; a longer text is a block of its own. Blocks in one
 #: task of a later pass, about, and the tasks at most: beyond, they get more.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 BLOCKS_PER_TASK, TASKS = 4, 50_000
 #: Hashes that one task adds up, about.
 RANGE_ENTRIES = 1 << 20

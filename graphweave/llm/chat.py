@@ -6,8 +6,10 @@ named users. Loss spans cover what the assistant says and its end mark, so a
 model learns each participant's turns from that participant's own rendering.
 
 A rendering comes in parts of PART turns, in order; a usual conversation is
-one part, and no conversation, however long, is gathered in one task. A turn
-number that more than PART messages share is dealt by hash into sub-parts.
+one part, and no conversation, however long, is gathered in one task. Every part
+after the one that holds the conversation's first system message begins with
+it again, so that each stands for itself. A turn number that more than PART
+messages share is cut, in order, into sub-parts of PART messages.
 
 Defined cases: rows that agree in conversation, turn, role and text are one
 message; messages of one turn go by role, then text (nulls first); a null turn
@@ -22,6 +24,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.rank import global_rank
+from .common import save
+
 PART = 64
 SYSTEM = "system"
 UNKNOWN = "unknown"
@@ -29,15 +34,23 @@ BEGIN, END = "<|im_start|>", "<|im_end|>"
 
 
 def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part: int = PART) -> DataFrame:
-    """(conv_id, perspective, part, sub, n_turns, text, loss_spans: array<struct<start, end>> in characters of the text)."""
+    """(conv_id, perspective, part, sub, n_turns: without the system message said again, text, loss_spans: array<struct<start, end>> in characters of the text)."""
     m = messages.select(
         F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit(UNKNOWN)).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     ).distinct()
     m = m.withColumn("part", F.coalesce(F.floor(F.col("turn") / part), F.lit(-1)).cast("long"))
-    crowded = m.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "n")
-    m = m.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")), "left")
-    m = m.withColumn("sub", F.coalesce(F.pmod(F.xxhash64("role", "text"), F.ceil(F.col("n") / part)), F.lit(0)).cast("long"))
+    crowded = m.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"))
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t"))
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    many = save(global_rank(m.join(crowded, same, "left_semi"), order, "place"))
+    first = many.groupBy("conv_id", "turn").agg(F.min("place").alias("least")).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "least")
+    many = many.join(first, same).withColumn("sub", F.floor((F.col("place") - F.col("least")) / part).cast("long"))
+    m = m.join(crowded, same, "left_anti").withColumn("sub", F.lit(0).cast("long")).unionByName(many.select(*m.columns, "sub"))
     parts = m.groupBy("conv_id", "part", "sub").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    system = m.filter(F.col("role") == SYSTEM).groupBy(F.col("conv_id").alias("c")).agg(F.min(F.struct("turn", "role", "text")).alias("lead"))
+    parts = parts.join(system, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    led = F.coalesce(F.col("lead") < F.element_at("m", 1), F.lit(False)) & ~F.coalesce(F.array_contains("m", F.col("lead")), F.lit(False))
+    parts = parts.select("conv_id", "part", "sub", F.size("m").alias("n_turns"), F.when(led, F.concat(F.array("lead"), "m")).otherwise(F.col("m")).alias("m"))
     speakers = m.filter(F.col("role") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
     rows = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("c")))
     own = lambda x: x["role"] == F.col("perspective")
@@ -48,20 +61,22 @@ def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     spans = F.transform(F.filter(before, lambda y: y["x"]["own"]), lambda y: F.struct(
         (y["at"] + F.length(y["x"]["head"])).alias("start"), (y["at"] + F.length(y["x"]["head"]) + F.length(y["x"]["body"])).alias("end")))
     return rows.select(
-        "conv_id", "perspective", "part", "sub", F.size("m").cast("long").alias("n_turns"),
+        "conv_id", "perspective", "part", "sub", F.col("n_turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("s", lambda x: F.concat(x["head"], x["body"], F.lit("\n"))), "").alias("text"), spans.alias("loss_spans"),
     )
 
 
 ORACLE_SQL = """
-WITH m AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, coalesce(floor(turn / 64), -1)::BIGINT AS part FROM conversations),
-p AS (SELECT DISTINCT conv_id, role AS perspective FROM m WHERE role <> 'system'),
-s AS (SELECT p.conv_id, p.perspective, m.part, m.turn, m.role, m.text, m.role = p.perspective AS own,
+WITH own AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, coalesce(floor(turn / 64), -1)::BIGINT AS part FROM conversations),
+sys AS (SELECT conv_id, turn, role, text, part FROM own WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, text) = 1),
+m AS (SELECT *, 0 AS again FROM own UNION ALL SELECT sys.conv_id, sys.turn, sys.role, sys.text, o.part, 1 FROM sys JOIN (SELECT DISTINCT conv_id, part FROM own) o ON o.conv_id IS NOT DISTINCT FROM sys.conv_id AND o.part > sys.part),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM own WHERE role <> 'system'),
+s AS (SELECT p.conv_id, p.perspective, m.part, m.turn, m.role, m.text, again, m.role = p.perspective AS own,
   '<|im_start|>' || CASE WHEN m.role = p.perspective THEN 'assistant' WHEN m.role = 'system' THEN 'system' ELSE 'user name=' || m.role END || chr(10) AS head,
   m.text || '<|im_end|>' AS body FROM p JOIN m ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
-c AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text
+c AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, text
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM s)
-SELECT conv_id, perspective, part, 0::BIGINT AS sub, count(*)::BIGINT AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn, role, text) AS text,
-  coalesce(string_agg(CASE WHEN own THEN (pos + length(head))::VARCHAR || '-' || (pos + length(head) + length(body))::VARCHAR END, ',' ORDER BY turn, role, text), '') AS loss_spans
+SELECT conv_id, perspective, part, 0::BIGINT AS sub, (count(*) - sum(again))::BIGINT AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
+  coalesce(string_agg(CASE WHEN own THEN (pos + length(head))::VARCHAR || '-' || (pos + length(head) + length(body))::VARCHAR END, ',' ORDER BY turn NULLS FIRST, role, text), '') AS loss_spans
 FROM c GROUP BY conv_id, perspective, part
 """

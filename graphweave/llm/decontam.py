@@ -3,13 +3,15 @@
 Item windows of ten words are the sets to find. Their words are ordered by
 rarity over all documents, and the rarest word of a window is its prefix: a
 text that contains the window contains that word, at the window's own offset
-from its start. Only the places of prefix words leave the scan, each with the
-words around it; they are joined to the windows on the prefix word, bounded by
+from its start. The places of prefix words leave the scan, each with the words
+around it; they are joined to the windows on the prefix word, bounded by
 position and length (the window must lie inside the text), and verified word
 by word. No text is shuffled.
 
-Prefix words are handled in blocks of PREFIX_WORDS, so neither the plan nor a
-broadcast grows with the benchmark: more words mean more scans.
+The plan is the same whatever the benchmark: one scan that counts its words and
+one that finds places. Prefix words (and the windows behind them) are broadcast
+while their number and bytes are within stated bounds; beyond these, places are
+shuffled to the words, which are the rarest and so have few.
 
 Defined cases: a null text or item has no words, so no window; an item of
 fewer words than a window is one window; equal items each count; equal rows of
@@ -20,105 +22,88 @@ have any name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, save
 
 WINDOW = 10
-NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-PREFIX_WORDS = 20_000
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Rows and bytes that are broadcast at most.
+PREFIX_WORDS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NO_WORD, -1), lambda w: w != "")
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(ITEM_WORD), F.lit(0))
 
 
 def item_windows(items: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """(item_id, ws: the window's words), distinct."""
+    """(item_id, win, ws: the window's words), distinct; win: two hashes of the words."""
     w = items.select(F.col(key).alias("item_id"), words(F.col(text)).alias("ws")).filter(F.size("ws") > 0)
     at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - (window - 1)))
-    return w.select("item_id", F.explode(F.transform(at, lambda i: F.slice("ws", i, window))).alias("ws")).distinct()
+    each = w.select("item_id", F.explode(F.transform(at, lambda i: F.slice("ws", i, window))).alias("ws")).distinct()
+    return each.select("item_id", F.struct(F.xxhash64("ws").alias("h1"), F.xxhash64(F.lit("w"), "ws").alias("h2")).alias("win"), "ws")
 
 
-def _blocks(ranked: DataFrame, size: int):
-    """The words of each block; a block's size is the bound of what the driver gets."""
-    n = ranked.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0]
-    for b in range(n + 1):
-        yield b, [x["word"] for x in ranked.filter(F.col("block") == b).select("word").distinct().collect()]
+def bounded(df: DataFrame, most: int, *measured: Column) -> DataFrame:
+    """df, saved, to be broadcast if its rows and the measured bytes are within the bounds."""
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(measured, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and size <= BROADCAST_BYTES else df
 
 
-def _in_blocks(vocabulary: DataFrame, size: int) -> DataFrame:
-    """Words dealt by hash into as many blocks as their count needs."""
-    n = max(1, -(-vocabulary.count() * 5 // (4 * size)))  # a fifth is left for uneven hashing
-    return vocabulary.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(n)).cast("int"))
-
-
-def rarity(docs: DataFrame, vocabulary: DataFrame, text: str, size: int) -> DataFrame:
+def rarity(docs: DataFrame, vocabulary: DataFrame, text: str, most: int) -> DataFrame:
     """(word, n): how often each word of the vocabulary stands in all texts."""
-    out = None
-    for _, some in _blocks(_in_blocks(vocabulary, size), size):
-        w = docs.select(F.explode(F.filter(words(F.col(text)), lambda x: x.isin(some))).alias("word"))
-        n = w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        out = n if out is None else out.unionByName(n)
-    seen = vocabulary.select("word", F.lit(0).cast("long").alias("n"))
-    return seen if out is None else out.unionByName(seen).groupBy("word").agg(F.sum("n").alias("n"))
+    every = docs.select(F.explode(words(F.col(text))).alias("word"))
+    n = every.join(bounded(vocabulary, most, F.octet_length("word")), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return vocabulary.join(n, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def places(docs: DataFrame, prefix: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """prefix(word, win, ws, off, len) -> (doc_id, t, start, len, win): where the windows stand, each place once."""
+    base = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("t"), words(F.col(text)).alias("text_words"))
+    at = base.select("doc_id", "t", "text_words", F.posexplode("text_words").alias("i", "word"))
+    some = save(prefix.select("word").distinct())
+    reach = prefix.agg(F.coalesce(F.max(F.greatest(F.col("off"), F.col("len") - F.col("off"))), F.lit(1))).first()[0]
+    # Words around the place, counted from 1; the first is that of place low.
+    low = F.greatest(F.lit(0), F.col("i") - reach)
+    near = F.slice("text_words", low + 1, F.lit(2 * reach + 1))
+    hits = at.join(bounded(some, most, F.octet_length("word")), "word").select("doc_id", "t", "i", "word", low.alias("low"), F.size("text_words").alias("n"), near.alias("near"))
+    own = bounded(prefix, most, F.octet_length(F.array_join("ws", " ")), F.octet_length("word"))
+    start = F.col("i") - F.col("off")
+    inside = (start >= 0) & (start + F.col("len") <= F.col("n"))
+    both = hits.join(own, "word").filter(inside)
+    same = F.slice("near", F.greatest(F.lit(1), start - F.col("low") + 1), F.col("len")) == F.col("ws")
+    return both.filter(same).select("doc_id", "t", start.alias("start"), "len", "win").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = PREFIX_WORDS) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_hit, n_items, item_ids
-    (sorted strings, comma-joined), contaminated."""
+    """One row for each document: doc_id, n_words, n_hit, n_items, item_ids (sorted strings, comma-joined), t (a hash of
+    the text), contaminated. block: the rows that are broadcast at most."""
     each = save(item_windows(items, item_key, item_text, window))
-    windows = each.select("ws").distinct()
+    windows = each.select("win", "ws").distinct()
     vocabulary = save(windows.select(F.explode("ws").alias("word")).distinct())
-    counts = save(rarity(docs, vocabulary, text, block))
+    counts = rarity(docs, vocabulary, text, block)
     # The rarest word of each window, its first place there.
-    placed = windows.select("ws", F.posexplode("ws").alias("off", "word")).join(counts, "word")
-    first = placed.groupBy("ws").agg(F.min(F.struct("n", "word", "off")).alias("m"))
-    prefix = save(first.select("ws", F.size("ws").alias("len"), F.col("m.word").alias("word"), F.col("m.off").alias("off")))
-    lists = prefix.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    blocks = save(_in_blocks(lists.select("word"), block))
-    base = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("t"), words(F.col(text)).alias("ws"))
-    none = F.lit(None).cast("array<string>")
-    found = None
-    for b, some in _blocks(blocks, block):
-        ats = F.filter(F.sequence(F.lit(1), F.size("ws")), lambda i: F.element_at("ws", i).isin(some)) if some else F.array().cast("array<int>")
-        ats = F.when(F.size("ws") > 0, ats).otherwise(F.array().cast("array<int>"))
-        around = F.transform(ats, lambda i: F.struct(
-            i.alias("i"), F.element_at("ws", i).alias("word"),
-            F.slice("ws", F.greatest(F.lit(1), i - (window - 1)), F.least(i, F.lit(window)) + (window - 1)).alias("near"),
-        ))
-        # The first entry stands for the document itself; blocks after the first have none.
-        own = F.array(F.struct(F.lit(0).alias("i"), F.lit(None).cast("string").alias("word"), none.alias("near"))) if b == 0 else None
-        rows = base.select("doc_id", "t", F.size("ws").alias("n_words"), F.explode(F.concat(own, around) if own is not None else around).alias("x"))
-        rows = rows.select("doc_id", "t", "n_words", "x.i", "x.word", "x.near")
-        some_windows = prefix.join(blocks.filter(F.col("block") == b).select("word"), "word").select("word", "ws", "len", "off")
-        rows = rows.join(some_windows if some_windows.count() > 4 * block else F.broadcast(some_windows), "word", "left")
-        start = F.col("i") - F.col("off")  # counted from 1
-        inside = (start >= 1) & (start + F.col("len") - 1 <= F.col("n_words"))
-        same = F.slice("near", start - F.greatest(F.lit(1), F.col("i") - (window - 1)) + 1, F.col("len")) == F.col("ws")
-        rows = rows.filter((F.col("i") == 0) | F.when(inside, same).otherwise(False))
-        rows = rows.select("doc_id", "t", "n_words", "i", start.alias("start"), F.col("len"), "ws")
-        found = rows if found is None else found.unionByName(rows)
-    if found is None:  # no window at all
-        found = base.select("doc_id", "t", F.size("ws").alias("n_words"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len"), none.alias("ws"))
-    found = save(found)
-    keys = ["doc_id", "t", "n_words"]
-    spans = found.groupBy(*keys).agg(
-        F.sum((F.col("i") == 0).cast("long")).alias("copies"),
-        F.collect_set(F.when(F.col("i") > 0, F.struct("start", "len"))).alias("spans"),
-    )
-    of_items = found.filter("i > 0").select("doc_id", "t", "ws").distinct().join(each, "ws")
+    placed = windows.select("win", F.posexplode("ws").alias("off", "word")).join(counts, "word")
+    first = placed.groupBy("win").agg(F.min(F.struct("n", "word", "off")).alias("m"))
+    prefix = save(first.join(windows, "win").select(F.col("m.word").alias("word"), F.col("m.off").alias("off"), F.size("ws").alias("len"), "win", "ws"))
+    found = save(places(docs, prefix, key, text, block))
+    covered = F.flatten(F.transform(F.collect_set(F.struct("start", "len")), lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))
+    spans = found.groupBy("doc_id", "t").agg(F.size(F.array_distinct(covered)).alias("n_hit"))
+    of_items = found.select("doc_id", "t", "win").distinct().join(bounded(each.select("item_id", "win"), block, F.octet_length(F.col("item_id").cast("string"))), "win")
     of_items = of_items.select("doc_id", "t", F.col("item_id").cast("string").alias("item_id")).distinct()
-    of_items = of_items.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("item_id")).alias("ids")).select(F.col("doc_id").alias("d2"), F.col("t").alias("t2"), "ids")
-    covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))))
-    out = spans.join(of_items, F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("t").eqNullSafe(F.col("t2")), "left")
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
-    out = out.select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"),
-        F.size(ids).cast("long").alias("n_items"), F.array_join(ids, ",").alias("item_ids"), "copies", "t",
-    ).withColumn("contaminated", F.col("n_hit") > 0)
-    return out.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copies", "copy")
+    of_items = of_items.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    on = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.t").eqNullSafe(F.col(f"{b}.t"))
+    hits = spans.alias("s").join(of_items.alias("o"), on("s", "o"), "left").select("s.doc_id", "s.t", "n_hit", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+    # Rows that agree in key and text share their hits, and each has its own row.
+    n_words = F.regexp_count(ascii_lower(F.coalesce(F.col(text), F.lit(""))), F.lit(ITEM_WORD))
+    own = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("t"), n_words.cast("long").alias("n_words"))
+    out = own.alias("d").join(hits.alias("h"), on("d", "h"), "left")
+    n_hit = F.coalesce("h.n_hit", F.lit(0)).cast("long")
+    return out.select(
+        "d.doc_id", "n_words", n_hit.alias("n_hit"), F.greatest(F.lit(0), F.coalesce(F.size("ids"), F.lit(0))).cast("long").alias("n_items"),
+        F.coalesce(F.array_join("ids", ","), F.lit("")).alias("item_ids"), "d.t", (n_hit > 0).alias("contaminated"))
 
 
 ORACLE_SQL = r"""

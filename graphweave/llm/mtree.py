@@ -18,7 +18,9 @@ Defined cases: a null vector, or one with a null, NaN or infinite component,
 and a row without an id take no part; vectors of another length than the
 query's are not its candidates; rows of one id are separate rows, and such a
 row may find the other; fewer than k candidates: all of them; an empty table
-gives no rows. Components up to 2^25 in magnitude after scaling are exact.
+gives no rows. Bounds are in double precision, with a slack far beyond their
+error; scores are products of 64-bit integers at every size, and vectors so
+large that these might not fit are an error.
 """
 
 from __future__ import annotations
@@ -31,15 +33,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, small
 
 SCALE = 256
 K = 5
 PAGE = 256
 TREE_ROWS = 8192
 QUERY_ROWS = 1024
-#: Below it products in double precision are exact.
-EXACT = 1 << 20
+#: Relative to the squared lengths: far above the error of a bound, a sum of some thousand rounded terms, below 1e-11.
+SLACK = 1e-9
 
 
 def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -83,8 +85,8 @@ class Page:
 
 def search(root: Page, x: np.ndarray, ids: np.ndarray, uids: np.ndarray, norms: np.ndarray, q: np.ndarray, q_uid: int, k: int, work: list[int]) -> list[tuple[int, int, int]]:
     """The k best (score, id, uid) under the root, without the query's own row."""
-    qq = float(q @ q)
-    slack = 1e-9 * (qq + root.norm) + 1e-6  # of the square roots
+    qq, q_exact = float(q @ q), q.astype(np.int64)
+    slack = SLACK * (qq + root.norm) + 1e-6
     best: list[tuple[int, int, int]] = []  # a heap of (score, -id, -uid)
     kth = -np.inf
     d0 = float(np.sqrt(((q - root.pivot) ** 2).sum()))
@@ -102,12 +104,11 @@ def search(root: Page, x: np.ndarray, ids: np.ndarray, uids: np.ndarray, norms:
             if not len(rows):
                 continue
             work[0] += len(rows)
-            s = x[rows] @ q
-            for i in np.flatnonzero(s >= kth).tolist():
-                r = rows[i]
-                if uids[r] == q_uid:
+            rows = rows[x[rows] @ q >= kth - slack]
+            for r, s in zip(rows.tolist(), (x[rows].astype(np.int64) @ q_exact).tolist()):
+                if uids[r] == q_uid or s < kth:
                     continue
-                item = (int(s[i]), -int(ids[r]), -int(uids[r]))
+                item = (s, -int(ids[r]), -int(uids[r]))
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:
@@ -139,12 +140,11 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     rows = vectors.filter(usable(F.col(vector)) & F.col(key).isNotNull())
     ints = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("double"))
     rows = save(rows.select(F.col(key).cast("long").alias("id"), is_query.alias("q"), ints.alias("v"), F.monotonically_increasing_id().alias("uid")))
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("long")).alias("nq")).collect()
-    # One row for each length of vector; lengths are few.
-    spread = lambda per, n: F.element_at(F.create_map(*[F.lit(x) for s in sizes for x in (s["dim"], max(1, -(-(s[n] or 0) // per)))]), F.size("v"))
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    keyed = rows.select("id", "uid", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("uid"), spread(tree_rows, "n")).alias("tree"))
+    # One row for each length of vector: how many trees and blocks of queries it has.
+    parts = lambda n, per: F.greatest(F.lit(1), F.ceil(n / per)).cast("long")
+    sizes = save(rows.groupBy(F.size("v").alias("dim")).agg(parts(F.count(F.lit(1)), tree_rows).alias("trees"), parts(F.sum(F.col("q").cast("long")), query_rows).alias("blocks")))
+    rows = rows.withColumn("dim", F.size("v")).join(small(sizes, sizes.count()), "dim")
+    keyed = rows.select("id", "uid", "v", "dim", F.pmod(F.xxhash64("uid"), "trees").alias("tree"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), -1)
@@ -153,8 +153,8 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
         return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "tree": pdf["tree"].iloc[:1], "data": [data]})
 
     trees = save(keyed.groupBy("dim", "tree").applyInPandas(build, "dim int, tree long, data binary"))
-    asked = rows.filter("q").select("id", "uid", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("uid"), spread(query_rows, "nq")).alias("block"), spread(tree_rows, "n").alias("trees"), spread(query_rows, "nq").alias("blocks"))
-    left = trees.join(F.broadcast(vectors.sparkSession.createDataFrame([(s["dim"], max(1, -(-(s["nq"] or 0) // query_rows))) for s in sizes], "dim int, blocks long")), "dim")
+    asked = rows.filter("q").select("id", "uid", "v", "dim", F.pmod(F.xxhash64("uid"), "blocks").alias("block"), "trees")
+    left = trees.join(small(sizes, sizes.count()), "dim")
     left = left.select("dim", "tree", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     right = asked.select("dim", "block", "id", "uid", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)).alias("tree"))
 
@@ -163,11 +163,10 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
         if len(tree) and len(queries):
             root, x, ids, uids, norms = pickle.loads(tree["data"].iloc[0])
             qs = np.array(queries["v"].tolist(), np.float64).reshape(len(queries), -1)
-            if max(np.abs(x).max(initial=0), np.abs(qs).max(initial=0)) > EXACT:
-                out = _exact(x, ids, uids, qs, queries, k)
-            else:
-                for q, qid, quid in zip(qs, queries["id"], queries["uid"]):
-                    out += [(qid, quid, i, u, s) for s, i, u in search(root, x, ids, uids, norms, q, quid, k, [0])]
+            if np.abs(x).max(initial=0) * np.abs(qs).max(initial=0) * max(1, x.shape[1]) >= 2.0**62:
+                raise OverflowError("inner products of these vectors may not fit 64 bits")
+            for q, qid, quid in zip(qs, queries["id"], queries["uid"]):
+                out += [(qid, quid, i, u, s) for s, i, u in search(root, x, ids, uids, norms, q, quid, k, [0])]
         return pd.DataFrame(out, columns=["query_id", "query_uid", "vec_id", "uid", "score"]).astype("int64")
 
     by = ["dim", "tree", "block"]
@@ -176,16 +175,6 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     return got.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _exact(x, ids, uids, qs, queries, k):
-    """Large components: products of integers, page by page without bounds."""
-    xi, out = x.astype(np.int64), []
-    for q, qid, quid in zip(qs.astype(np.int64), queries["id"], queries["uid"]):
-        s = xi @ q
-        order = [i for i in np.lexsort((uids, ids, -s)).tolist() if uids[i] != quid][:k]
-        out += [(qid, quid, int(ids[i]), int(uids[i]), int(s[i])) for i in order]
-    return out
-
-
 ORACLE_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score

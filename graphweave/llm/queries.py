@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, html, linededup, lm, mixing, mtree, quality, simhash, substring
+from ..sources.scratch import settle
 from .common import table
 
 
@@ -15,16 +16,16 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    out = settle(lambda: simhash.near_duplicates(table(spark, sf_dir, "documents")))
     return out.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated(table(spark, sf_dir, "documents"))
+    return settle(lambda: substring.repeated(table(spark, sf_dir, "documents")))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"))
+    return settle(lambda: lm.score(table(spark, sf_dir, "documents")))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,16 +33,16 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return settle(lambda: mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = settle(lambda: decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.encode("item_ids", "UTF-8"), 256).alias("items_sha256"), "contaminated")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return settle(lambda: mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

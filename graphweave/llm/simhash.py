@@ -7,6 +7,10 @@ span at most r dimensions, so some v is orthogonal to all of them: that table
 masks every difference out, and the pair collides there. No pair within the
 radius is lost. Codes are dealt so that every table keeps about half the bits.
 
+A bucket of more than BUCKET fingerprints is split by the same masks once more,
+on bits dealt in another order: a pair of it agrees under some second mask too,
+so no link is lost, and Spark deals the parts to several tasks.
+
 Inside a bucket no pairs are emitted: a breadth-first walk over the distances
 finds the bucket's components, and a tree of fan-out 8 over each of them is
 passed on. Fingerprints are made distinct first, so a bucket holds at most the
@@ -27,16 +31,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, save
+from .common import components, save, small
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
+#: Fingerprints of a bucket that one task compares without a second mask.
+BUCKET = 4096
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -57,11 +63,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
-    """One mask for each table; together they cover the radius."""
+def masks(radius: int = RADIUS, bits: int = 64, stride: int = 1) -> list[int]:
+    """One mask for each table; together they cover the radius. stride: deals the codes to the bits in another order."""
     size = 1 << (radius + 1)
     # Codes 1 .. 2^(r+1)-1 in turn: every nonzero v is odd with half of them.
-    codes = [1 + i % (size - 1) for i in range(bits)]
+    codes = [1 + i * stride % bits % (size - 1) for i in range(bits)]
     return [sum(1 << i for i, c in enumerate(codes) if (c & v).bit_count() % 2) for v in range(1, size)]
 
 
@@ -98,11 +104,20 @@ def bucket_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _keys(family: list[int], t: str, k: str) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(i).alias(t), F.col("fp").bitwiseAND(F.lit(signed(m))).alias(k)) for i, m in enumerate(family)])).alias("x")
+
+
+def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """fps(fp) distinct -> edges(u, v) whose components are those of the pairs within the radius."""
-    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for i, m in enumerate(masks(radius))])
-    keyed = fps.select("fp", F.explode(tables).alias("x")).select("x.t", "x.k", "fp")
-    sorted_ = keyed.repartition("t", "k").sortWithinPartitions("t", "k")
+    first = fps.select("fp", _keys(masks(radius), "t", "k")).select("x.t", "x.k", "fp")
+    # A bucket of more than one task's share is found by counting; there can't be many: at most rows / bucket.
+    hot = save(first.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("t", "k"))
+    some = small(hot, hot.count())
+    split = first.join(some, ["t", "k"]).select("t", "k", "fp", _keys(masks(radius, stride=37), "t2", "k2")).select("t", "k", "x.t2", "x.k2", "fp")
+    keyed = first.join(some, ["t", "k"], "left_anti").select("t", "k", F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("k2"), "fp").unionByName(split)
+    by = ["t", "k", "t2", "k2"]
+    sorted_ = keyed.repartition(*by).sortWithinPartitions(*by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []  # the open bucket, which may go on in the next batch
@@ -111,13 +126,13 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                 cols = kept
                 ends = [len(cols[0])] if cols else []
             else:
-                new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
                 cols = [np.concatenate(x) for x in zip(kept, new)] if kept else new
                 if not len(cols[0]):
                     continue
-                ends = (np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1).tolist()
+                ends = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1).tolist()
             starts = [0, *ends[:-1]] if ends else []
-            edges = [e for s, t in zip(starts, ends) if t - s > 1 for e in bucket_links(cols[2][s:t], radius)]
+            edges = [e for s, t in zip(starts, ends) if t - s > 1 for e in bucket_links(cols[4][s:t], radius)]
             if b is not None:
                 kept = [x[ends[-1] if ends else 0 :] for x in cols]
             if edges:

@@ -40,7 +40,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..sources.scratch import settled
 from .blocks import PARCEL, SCHEMA, Tokens, each, mix64, named, pair64, parcels, ranges_for, tokenise, totals
 
 WINDOW = 35
@@ -256,7 +255,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
 
         return _all(left, out_schema, of)
 
-    return settled(blocks.cogroup(_answers([*tables, repeats])).applyInArrow(finish, schema), packed, *tables, repeats)
+    return blocks.cogroup(_answers([*tables, repeats])).applyInArrow(finish, schema)
 
 
 def _answers(tables: list[DataFrame]):

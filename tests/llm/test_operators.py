@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from graphweave.llm import chat, decontam, html, linededup, mixing, mtree, quality, simhash
 
@@ -78,6 +79,40 @@ def test_masks_cover_the_radius():
     assert all(24 <= m.bit_count() <= 40 for m in masks)
 
 
+def test_split_buckets_lose_no_link(spark):
+    """Few far centres with many variants each: with a bound of 8 nearly all buckets are split by second masks."""
+    r = random.Random(5)
+    fps = {r.getrandbits(40) for _ in range(30)}
+    for f in list(fps):
+        fps |= {f ^ sum(1 << i for i in r.sample(range(64), r.randrange(1, 6))) for _ in range(20)}
+    fps = sorted(fps)
+    df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
+    root = {simhash.signed(f): simhash.signed(f) for f in fps}
+
+    def find(root, i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, f in enumerate(fps):
+        for g in fps[:i]:
+            if (f ^ g).bit_count() <= 4:
+                root[find(root, simhash.signed(f))] = find(root, simhash.signed(g))
+    for bucket in (8, simhash.BUCKET):
+        got = {k: k for k in root}
+        for u, v in simhash.links(df, bucket=bucket).collect():
+            got[find(got, u)] = find(got, v)
+        groups = lambda x: sorted(sorted(k for k in x if find(x, k) == c) for c in {find(x, k) for k in x})
+        assert groups(got) == groups(root)
+
+
+def test_second_masks_cover_too():
+    family = simhash.masks(stride=37)
+    r = random.Random(2)
+    diffs = [sum(1 << i for i in r.sample(range(64), 4)) for _ in range(5_000)]
+    assert all(any(d & m == 0 for m in family) for d in diffs) and family != simhash.masks()
+
+
 def test_bucket_links_reach_all():
     r = np.random.default_rng(2)
     base = r.integers(0, 2**63, 5)
@@ -135,7 +170,7 @@ def brute_hits(docs, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [3, 20_000])
+@pytest.mark.parametrize("block", [0, 3, 20_000])
 def test_decontamination_equals_brute_force(spark, block):
     r = random.Random(8)
     word = lambda: r.choice("abcdefghijk") + r.choice("xyz")
@@ -215,6 +250,24 @@ def test_top_k_equals_brute_force(spark, clustered):
     assert mtree.top_k(df.limit(0), df["vec_id"] % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Beyond what doubles hold exactly the tree still finds the integer best; what might not fit 64 bits is an error."""
+    r = np.random.default_rng(8)
+    x = np.floor(r.normal(size=(300, 4)) * 2**21)
+    x[7], x[8] = x[50] * 64 + 1, x[50] * 64
+    rows = [(i, (v / 256).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = mtree.top_k(df, df["vec_id"] % 50 == 0, tree_rows=100, query_rows=3).collect()
+    ints = [[int(a) for a in v] for v in x]
+    want = []
+    for i in range(0, 300, 50):
+        s = sorted((-sum(a * b for a, b in zip(ints[i], v)), j) for j, v in enumerate(ints) if j != i)[:5]
+        want += [(i, n + 1, j, -a) for n, (a, j) in enumerate(s)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    with pytest.raises(Exception, match="64 bits"):
+        mtree.top_k(spark.createDataFrame([(0, [1e12] * 4), (50, [1e12] * 4)], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+
+
 def test_tree_skips_work():
     r = np.random.default_rng(7)
     x = np.floor((r.normal(size=(2000, 8)) * 0.02 + r.normal(size=(20, 8)).repeat(100, axis=0)) * 256)
@@ -245,6 +298,54 @@ def test_quality_learns_and_holds_out(spark):
     assert kept.columns == [x.split()[0] for x in SCHEMA.split(", ")] and kept.filter("doc_id < 600 and doc_id % 3 > 0").count() == 400
 
 
+def brute_tree(x, y, trees, depth):
+    """Boosting by looking at every feature, every bound between bins and every row of a node, one after another."""
+    edges = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, quality.TRAIN_BINS + 1)[1:-1]).tolist())) for j in range(x.shape[1])]
+    start = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    raw, out = [start] * len(y), []
+    for _ in range(trees):
+        p = [1 / (1 + np.exp(-r)) for r in raw]
+        g, h = [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p]
+
+        def node(rows, level):
+            if level == depth:
+                return {"value": -quality.RATE * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + quality.LAMBDA)}
+            worth = lambda rs: sum(g[i] for i in rs) ** 2 / (sum(h[i] for i in rs) + quality.LAMBDA)
+            best = (1e-6, None, np.inf)
+            for j, bounds in enumerate(edges):
+                for b in bounds:
+                    left, right = [i for i in rows if x[i, j] <= b], [i for i in rows if x[i, j] > b]
+                    if min(len(left), len(right)) >= quality.LEAST and worth(left) + worth(right) - worth(rows) > best[0] + 1e-12:
+                        best = (worth(left) + worth(right) - worth(rows), j, b)
+            _, j, b = best
+            left = [i for i in rows if j is None or x[i, j] <= b]
+            right = [i for i in rows if j is not None and x[i, j] > b]
+            return {"feature": j, "bound": b, "left": node(left, level + 1), "right": node(right, level + 1)}
+
+        tree = node(list(range(len(y))), 0)
+        out.append(tree)
+        raw = [r + walk(tree, row) for r, row in zip(raw, x)]
+    return start, out
+
+
+def walk(tree, row):
+    while "value" not in tree:
+        tree = tree["left"] if tree["feature"] is None or row[tree["feature"]] <= tree["bound"] else tree["right"]
+    return tree["value"]
+
+
+def test_trees_equal_brute_force():
+    r = np.random.default_rng(11)
+    x = r.normal(size=(400, 4))  # large nodes: no two splits are equally good
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + r.normal(size=400) * 0.3) > 0).astype(float)
+    grown = quality.grow(x, y, trees=3, depth=2)
+    start, trees = brute_tree(x, y, 3, 2)
+    new = r.normal(size=(200, 4))
+    for rows in (x, new):
+        want = [1 / (1 + np.exp(-(start + sum(walk(t, row) for t in trees)))) for row in rows]
+        assert grown.score(rows) == pytest.approx(want, abs=1e-9)
+
+
 # html
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="has-sidebar">
@@ -297,8 +398,12 @@ def test_chat_rotation(spark):
         said = [r.text[s.start : s.end] for s in r.loss_spans]
         assert all(x.endswith("<|im_end|>") for x in said) and len(said) == r.text.count("<|im_start|>assistant\n")
     assert not [r for r in out if r.conv_id == 2]
+    long = chat.rotate(spark.createDataFrame([(9, 0, "system", "be kind")] + [(9, i, "ab"[i % 2], f"m{i}") for i in range(1, 200)], "conv_id long, turn long, role string, text string")).filter("perspective = 'a'").collect()
+    assert all(r.text.startswith("<|im_start|>system\nbe kind<|im_end|>\n") and r.text.count("system\n") == 1 for r in long) and sum(r.n_turns for r in long) == 200
     parts = sorted((r.part, r.sub) for r in out if r.conv_id == 3 and r.perspective == "a")
     assert parts == [(0, 0), (1, 0), (2, 0), (3, 0)]
     crowd = [r for r in out if r.conv_id == 4]
     assert sum(r.n_turns for r in crowd) == 300 and len(crowd) > 1
+    said = [line for r in sorted(crowd, key=lambda r: r.sub) for line in r.text.split("\n") if line.startswith("t")]
+    assert said == [f"{t}<|im_end|>" for t in sorted(f"t{i}" for i in range(300))]  # in order across the sub-parts
     assert chat.rotate(df.limit(0)).count() == 0

@@ -86,5 +86,40 @@ def test_repeated_and_null_keys(spark, corpus):
         assert stage(spark, docs.limit(0), folder).count() == 0
 
 
+def test_extra_columns_of_any_name_pass_through(spark, corpus):
+    folder, rows, _ = corpus
+    names = ("k", "in_t", "in_k", "stay_id", "stay_t", "hit_id", "hit_t", "t", "own_id", "own_t", "own_k", "row", "root", "n_removed", "n_lines", "d", "score", "c")
+    docs = spark.createDataFrame([(*r, *[f"{n}{r[0]}" for n in names]) for r in rows], f"{COLUMNS}, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(g[n] == f"{n}{g.doc_id}" for g in got for n in names)
+    assert corpus_pipeline.source_mix(spark, docs, folder).count() == len(rows)
+
+
+def test_nulls_and_tables_without_rows(spark, corpus, tmp_path):
+    folder, rows, bench = corpus
+    docs = spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None), (2, "", None, None, 0), (3, "some words that stand here alone", "en", None, 31)], COLUMNS)
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        out = {x.doc_id for x in stage(spark, docs, folder).collect()}
+        assert 3 in out and out - {None} <= {1, 2, 3}
+    for name, df in (("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([], "item_id long, text string")), ("documents", docs.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).count() == 4
+    assert corpus_pipeline.quality_filter(spark, docs, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_run_leaves_only_its_result(spark, corpus):
+    import os
+
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/graphweave"
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, corpus[0])
+    assert out.count() > 0
+    assert len({p for p in set(os.listdir(folder)) - before if not p.startswith(".")}) == 1
+
+
 def test_stages_are_named():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "simhash near-dedup", "benchmark decontamination", "source mixing"]
