@@ -4,26 +4,34 @@ One round of local moving: every node weighs the communities of its neighbours
 and goes to the best strict gain (ties to the smaller community). All nodes
 decide at once on the same state, so only those move whose turn it is: a half
 picked by hash, then the other half, then by another hash; that keeps
-neighbours from swapping for ever. When no node gains, communities become nodes and the next pass begins. The sums of
-a community are aggregates, the neighbours a join; no group is gathered, and
-a hub costs its number of neighbouring communities.
+neighbours from swapping for ever. A pass ends when no node gains; then
+communities become nodes and the next pass begins, until a pass joins nothing.
+The sums of a community are aggregates, the neighbours a join; no group is
+gathered, and a hub costs its number of neighbouring communities.
+
+Leiden adds the refinement: inside every community nodes start alone again and
+join parts they are well connected to, with a gain, so that parts are connected;
+the parts become the nodes of the next pass, which starts from the communities.
+A node may only join while it is alone and it is its turn, and only parts whose
+founder stays put in that round, so no part loses what held it together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..sources.scratch import save
-from .components import components
+from ..sources.scratch import release, save
 from .rank import global_rank
 
-#: Bounds of the rounds within a pass and of the passes; both end earlier when nothing moves.
-ROUNDS, PASSES = 12, 6
 
+def _turn(node: str, turn: int, seed: int) -> Column:
+    """Whether it is a node's turn: a half in even turns, the other half in the next."""
+    return F.pmod(F.xxhash64(node, F.lit(turn // 2), F.lit(seed)), F.lit(2)) == turn % 2
 
-def _round(nodes: DataFrame, arcs: DataFrame, resolution: float, turn: int) -> DataFrame:
+
+def _round(nodes: DataFrame, arcs: DataFrame, resolution: float, turn: int, seed: int) -> DataFrame:
     """nodes(graph, node, c, k, total) after one round, with wants: whether a node has something to gain. arcs: both
     ways, without loops; total is twice the weight of the graph."""
     sums = nodes.groupBy("graph", "c").agg(F.sum("k").alias("tot"))
@@ -39,31 +47,69 @@ def _round(nodes: DataFrame, arcs: DataFrame, resolution: float, turn: int) -> D
     own = state.join(best, ["graph", "node"], "left")
     stay = F.coalesce("stay", -lost * (F.col("tot") - F.col("k")))
     wants = F.coalesce((-F.col("best.loss") > stay + 1e-9) & (F.col("best.to") != F.col("c")), F.lit(False))
-    turns = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
-    return own.withColumn("wants", wants).select("graph", "node", F.when(F.col("wants") & turns, F.col("best.to")).otherwise(F.col("c")).alias("c"), "k", "total", "wants")
+    return own.withColumn("wants", wants).select("graph", "node", F.when(F.col("wants") & _turn("node", turn, seed), F.col("best.to")).otherwise(F.col("c")).alias("c"), "k", "total", "wants")
 
 
-def _local(nodes: DataFrame, arcs: DataFrame, resolution: float) -> tuple[DataFrame, bool]:
+def _local(nodes: DataFrame, arcs: DataFrame, resolution: float, config: EngineConfig) -> tuple[DataFrame, bool]:
+    """Rounds until no node gains; config.community_rounds bounds them."""
     moved = False
-    for turn in range(ROUNDS):
-        nodes = save(_round(nodes, arcs, resolution, turn))
+    for turn in range(config.community_rounds):
+        before, nodes = nodes, save(_round(nodes, arcs, resolution, turn, config.seed))
+        release(before)
         if nodes.filter("wants").isEmpty():
             break
         moved = True
-    return nodes.select("graph", "node", "c"), moved
+    return nodes, moved
+
+
+def _refine(nodes: DataFrame, arcs: DataFrame, resolution: float, config: EngineConfig) -> DataFrame:
+    """nodes(graph, node, c, k, total) -> (graph, node, c, r): r, the part of c, is the node that founded it."""
+    c_of = nodes.select("graph", F.col("node").alias("b"), F.col("c").alias("cb"))
+    inner = arcs.join(nodes.select("graph", F.col("node").alias("a"), "c"), ["graph", "a"]).join(c_of, ["graph", "b"]).filter("c = cb").select("graph", "a", "b", "weight")
+    inner = save(inner)
+    size = nodes.groupBy("graph", "c").agg(F.sum("k").alias("kc"))
+    to_c = inner.groupBy("graph", F.col("a").alias("node")).agg(F.sum("weight").alias("wc"))
+    base = nodes.select("graph", "node", "c", "k", "total").join(size, ["graph", "c"]).join(to_c, ["graph", "node"], "left")
+    own_fit = F.coalesce("wc", F.lit(0.0)) >= resolution * F.col("k") * (F.col("kc") - F.col("k")) / F.col("total") - 1e-12
+    parts = save(base.withColumn("wc", F.coalesce("wc", F.lit(0.0))).withColumn("fit", own_fit).withColumn("r", F.col("node")))
+    idle = 0
+    for turn in range(config.community_rounds):
+        r_of = parts.select("graph", F.col("node").alias("b"), F.col("r").alias("to"))
+        links = inner.join(r_of, ["graph", "b"]).groupBy("graph", F.col("a").alias("node"), "to").agg(F.sum("weight").alias("w"))
+        at_home = links.withColumnRenamed("to", "r").join(parts.select("graph", "node", "r"), ["graph", "node", "r"]).groupBy("graph", "r").agg(F.sum("w").alias("inside"))
+        sums = parts.groupBy("graph", "r").agg(F.sum("k").alias("kr"), F.sum("wc").alias("wr"), F.count(F.lit(1)).alias("n")).join(at_home, ["graph", "r"], "left")
+        state = parts.join(sums, ["graph", "r"])
+        # A part may be joined while it is well connected to the rest of its community.
+        fit = F.col("wr") - F.coalesce("inside", F.lit(0.0)) >= resolution * F.col("kr") * (F.col("kc") - F.col("kr")) / F.col("total") - 1e-12
+        target = state.filter(F.col("r") == F.col("node")).filter(fit & ((F.col("n") > 1) | ~_turn("node", turn, config.seed))).select("graph", F.col("r").alias("to"), F.col("kr").alias("to_k"))
+        alone = state.filter((F.col("n") == 1) & F.col("fit")).select("graph", "node", "k", "total")
+        gain = F.col("w") - resolution * F.col("k") * F.col("to_k") / F.col("total")
+        best = links.join(alone, ["graph", "node"]).filter("node <> to").join(target, ["graph", "to"]).withColumn("gain", gain).filter("gain > 1e-12")
+        best = best.groupBy("graph", "node").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "to")).alias("best")).withColumn("mine", _turn("node", turn, config.seed))
+        step = save(best.select("graph", "node", "best.to", "mine"))
+        # Founders that may be joined change from turn to turn: two turns without a wish end it.
+        idle = idle + 1 if step.isEmpty() else 0
+        if idle == 2:
+            break
+        before, parts = parts, save(parts.join(step.filter("mine").select("graph", "node", "to"), ["graph", "node"], "left").withColumn("r", F.coalesce("to", "r")).drop("to"))
+        release(before, step)
+    release(inner)
+    return parts.select("graph", "node", "c", "r")
 
 
-def partition(edges: DataFrame, nodes: DataFrame, resolution: float, algorithm: str = "louvain") -> DataFrame:
+def partition(edges: DataFrame, nodes: DataFrame, resolution: float, config: EngineConfig = EngineConfig()) -> DataFrame:
     """edges(graph, u, v, weight) over longs, nodes(graph, node) -> (graph, node, c).
 
     Graphs are independent: each has its own total weight. c is a node of the
-    community. A graph without edges is left in single nodes. leiden: every
-    community is split into its connected parts before it becomes a node, and
-    so stays connected.
+    community. A graph without edges is left in single nodes. Louvain's passes
+    end when one joins nothing; config.leiden_iterations bounds Leiden's.
     """
-    member = save(nodes.select("graph", "node", F.col("node").alias("c")))
-    e = edges.select("graph", "u", "v", "weight")
-    for _ in range(PASSES):
+    leiden = config.community_algorithm == "leiden"
+    member = save(nodes.select("graph", "node", F.col("node").alias("at")))  # at: the node of the current graph that holds it
+    start: DataFrame | None = None  # (graph, node of the current graph, c)
+    e, done = edges.select("graph", "u", "v", "weight"), 0
+    while not leiden or done < config.leiden_iterations:
+        done += 1
         e = save(e)
         if e.isEmpty():
             break
@@ -73,24 +119,24 @@ def partition(edges: DataFrame, nodes: DataFrame, resolution: float, algorithm:
         k = e.select("graph", F.explode(F.array("u", "v")).alias("node"), "weight").groupBy("graph", "node").agg(F.sum("weight").alias("k"))
         # Every end of an edge stands for a community; those without edges have nowhere to go.
         level = k.join(total, "graph").select("graph", "node", F.col("node").alias("c"), "k", "total")
-        level, moved = _local(save(level), arcs, resolution)
-        if not moved:
+        if start is not None:
+            level = level.drop("c").join(start, ["graph", "node"], "left").select("graph", "node", F.coalesce("c", "node").alias("c"), "k", "total")
+        level, moved = _local(save(level), arcs, resolution, config)
+        if leiden:
+            step = save(_refine(level, arcs, resolution, config).select("graph", F.col("node").alias("at"), "c", F.col("r").alias("new")))
+            heads = step.groupBy("graph", "c").agg(F.min("new").alias("head"))
+            start = save(step.select("graph", F.col("new").alias("node"), "c").distinct().join(heads, ["graph", "c"]).select("graph", "node", F.col("head").alias("c")))
+        else:
+            step = level.select("graph", F.col("node").alias("at"), F.col("c").alias("new"))
+        n, n_new = step.agg(F.count(F.lit(1)), F.countDistinct("graph", "new")).first()
+        member = save(member.join(step.select("graph", "at", "new"), ["graph", "at"], "left").select("graph", "node", F.coalesce("new", "at").alias("at")))
+        if n == n_new or (not moved and not leiden):
             break
-        if algorithm == "leiden":
-            level = _connected(level, e)
-        step = level.select("graph", F.col("node").alias("c"), F.col("c").alias("new"))
-        member = save(member.join(step, ["graph", "c"], "left").select("graph", "node", F.coalesce("new", "c").alias("c")))
-        a, b = step.select("graph", F.col("c").alias("u"), F.col("new").alias("nu")), step.select("graph", F.col("c").alias("v"), F.col("new").alias("nv"))
+        a, b = step.select("graph", F.col("at").alias("u"), F.col("new").alias("nu")), step.select("graph", F.col("at").alias("v"), F.col("new").alias("nv"))
         e = e.join(a, ["graph", "u"]).join(b, ["graph", "v"]).groupBy("graph", F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).agg(F.sum("weight").alias("weight"))
-    return member
-
-
-def _connected(level: DataFrame, e: DataFrame) -> DataFrame:
-    """Communities cut into their connected parts."""
-    own = level.select("graph", "node", "c")
-    inner = e.join(own.select("graph", F.col("node").alias("u"), F.col("c").alias("cu")), ["graph", "u"]).join(own.select("graph", F.col("node").alias("v"), F.col("c").alias("cv")), ["graph", "v"])
-    roots = components(inner.filter("cu = cv").select("u", "v"))
-    return save(level.join(roots, "node", "left").select("graph", "node", F.coalesce("root", "node").alias("c")))
+    if start is not None:
+        member = member.join(start.withColumnRenamed("node", "at"), ["graph", "at"], "left").select("graph", "node", F.coalesce("c", "at").alias("at"))
+    return save(member.select("graph", "node", F.col("at").alias("c")))
 
 
 def hierarchy(entities: DataFrame, edges: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -100,14 +146,15 @@ def hierarchy(entities: DataFrame, edges: DataFrame, config: EngineConfig = Engi
     with a higher resolution, on the graph inside it, if that gives more than
     one part. Ids are L{level}_C{n}: n counts by parent, then smallest name.
     """
-    ranked = save(entities.select("name").distinct().withColumn("node", F.xxhash64("name")))
+    # Places in the order of the names: dense, and no two names share one.
+    ranked = save(global_rank(entities.select("name").distinct(), [F.col("name")], "node"))
     by_id = lambda x, y: ranked.select(F.col("name").alias(x), F.col("node").alias(y))
     e = save(edges.join(by_id("u", "nu"), "u").join(by_id("v", "nv"), "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"), "weight"))
     graph_edges, graph_nodes = e.select(F.lit(0).cast("long").alias("graph"), "*"), ranked.select(F.lit(0).cast("long").alias("graph"), "node")
     parents: DataFrame | None = None
     resolution, out = config.community_resolution, None
     for level in range(config.max_community_levels):
-        split = partition(graph_edges, graph_nodes, resolution, config.community_algorithm)
+        split = partition(graph_edges, graph_nodes, resolution, config)
         if parents is not None:
             several = split.groupBy("graph").agg(F.countDistinct("c").alias("n")).filter("n > 1")
             split = split.join(several.select("graph"), "graph", "left_semi")

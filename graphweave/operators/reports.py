@@ -26,13 +26,18 @@ def _first(rows: DataFrame, order: list[str], n: int, columns: list[str], name:
     return r.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", *columns))), lambda x: F.struct(*[x[c].alias(c) for c in columns])).alias(name))
 
 
+def report_inputs(members: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(id, es: the first entities by name, rs: the first relations inside): what a report is written from."""
+    es = _first(members.join(entities, "name"), ["name"], SHOWN_ENTITIES, ["name", "type", "description"], "es")
+    rs = _first(induced(relations, members, by=("id",)), ["source", "target", "relation_type"], SHOWN_RELATIONS, ["source", "relation_type", "target"], "rs")
+    return members.select("id").distinct().join(es, "id", "left").join(rs, "id", "left")
+
+
 def reports(members: DataFrame, entities: DataFrame, relations: DataFrame, provider: Provider) -> DataFrame:
     """members(id, level, parent_id, size, name), entities(name, type, description),
     relations(source, target, relation_type, ..) -> (id, level, parent_id, size, summary)."""
     heads = members.select("id", "level", "parent_id", "size").distinct()
-    es = _first(members.join(entities, "name"), ["name"], SHOWN_ENTITIES, ["name", "type", "description"], "es")
-    rs = _first(induced(relations, members, by=("id",)), ["source", "target", "relation_type"], SHOWN_RELATIONS, ["source", "relation_type", "target"], "rs")
-    rows = save(heads.join(es, "id", "left").join(rs, "id", "left"))
+    rows = save(heads.join(report_inputs(members, entities, relations), "id"))
     levels = sorted((r["level"] for r in rows.select("level").distinct().collect()), reverse=True)
     done = None
     no_child = F.array().cast("array<struct<id: string, summary: string>>")

@@ -21,6 +21,9 @@ from ..sources.scratch import BROADCAST_ROWS, save
 from .rank import global_rank
 
 
+DIGITS = 9
+
+
 def with_norm(vectors: DataFrame, vector: str = "vector") -> DataFrame:
     return vectors.withColumn("norm", norm(F.col(vector)))
 
@@ -61,7 +64,8 @@ def score_pairs(pairs: DataFrame, vectors: DataFrame, questions: DataFrame, name
 
 
 def rank_named(vectors: DataFrame, questions: DataFrame, k: int, name: str = "key", vector: str = "vector") -> DataFrame:
-    """(question_id, rank, key, score): score descending, name ascending.
+    """(question_id, rank, key, score): score descending, name ascending. Scores are rounded to DIGITS digits, so that
+    equal vectors tie wherever they are computed.
 
     A task multiplies its batches of vectors with the matrix of the questions
     and passes on what may be among the k best of a batch (ties included), so
@@ -87,7 +91,7 @@ def rank_named(vectors: DataFrame, questions: DataFrame, k: int, name: str = "ke
                 continue
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             own = np.linalg.norm(x, axis=1)
-            s = np.divide(unit @ x.T, own, out=np.zeros((len(unit), len(x))), where=own > 0)
+            s = np.round(np.divide(unit @ x.T, own, out=np.zeros((len(unit), len(x))), where=own > 0), DIGITS)
             least = np.partition(s, max(0, len(x) - k), axis=1)[:, max(0, len(x) - k)]
             i, j = np.nonzero(s >= least[:, None])
             yield pa.RecordBatch.from_arrays([pa.array([ids[n] for n in i], to_arrow_type(schema[0].dataType)), b.column(0).take(pa.array(j)), pa.array(s[i, j])], ["question_id", "key", "score"])

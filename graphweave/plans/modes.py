@@ -51,7 +51,7 @@ def numbered(rows: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(Window.partitionBy(Q).orderBy(order)))
 
 
-def _source(rows: DataFrame, kind: str, id_: str, rank: str, text: Column, chars: int) -> DataFrame:
+def as_sources(rows: DataFrame, kind: str, id_: str, rank: str, text: Column, chars: int) -> DataFrame:
     return rows.select(Q, F.lit(kind).alias("type"), F.col(id_).alias("id"), F.col(rank).cast("long").alias("rank"), F.substring(F.coalesce(text, F.lit("")), 1, chars).alias("text"))
 
 
@@ -62,7 +62,7 @@ def basic(index: Index, questions: DataFrame, top_k: int = 5, provider: Provider
     hits = save(hits.join(index.text_units.withColumnRenamed("chunk_id", "key"), "key"))
     rows = _items(_listed(hits, "rank", F.col("text")), "texts", questions)
     got = ask(rows, provider or OfflineProvider(), F.lit("basic_query_answer"), prompts.basic(F.col("query"), F.col("texts")))
-    return Answer(got.select(Q, strip(F.col("response")).alias("answer")), _source(hits, "text_unit", "key", "rank", F.col("text"), 240), {"text_units": hits})
+    return Answer(got.select(Q, strip(F.col("response")).alias("answer")), as_sources(hits, "text_unit", "key", "rank", F.col("text"), 240), {"text_units": hits})
 
 
 def claims_about(claims: DataFrame, names: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def local(index: Index, questions: DataFrame, top_k: int = 5, provider: Provider
     got = ask(rows, provider or OfflineProvider(), F.lit("local_query_answer"), prompts.local(F.col("query"), F.col("es"), F.col("rs"), F.col("ts"), F.col("cs")))
     by_name = numbered(ctx["entities"], "name").filter(F.col("r") <= top_k)
     by_id = numbered(ctx["claims"], "id")
-    sources = _source(ctx["text_units"], "text_unit", "key", "rank", F.col("text"), 240).unionByName(_source(by_name, "entity", "name", "r", F.col("description"), 200)).unionByName(_source(by_id, "claim", "id", "r", F.col("description"), 240))
+    sources = as_sources(ctx["text_units"], "text_unit", "key", "rank", F.col("text"), 240).unionByName(as_sources(by_name, "entity", "name", "r", F.col("description"), 200)).unionByName(as_sources(by_id, "claim", "id", "r", F.col("description"), 240))
     return Answer(got.select(Q, strip(F.col("response")).alias("answer")), sources, ctx)
 
 
@@ -181,7 +181,7 @@ def global_(index: Index, questions: DataFrame, level: int | None = None, top_k:
     some = reports.select(Q).distinct().withColumn("some", F.lit(True))
     got = ask(rows.filter(F.size("points") > 0), provider, F.lit("global_reduce"), prompts.global_reduce(F.col("query"), F.col("points"))).select(Q, strip(F.col("response")).alias("said"))
     answers = rows.join(some, Q, "left").join(got, Q, "left").select(Q, F.when(F.col("some").isNull(), NO_REPORTS).when(F.size("points") == 0, NO_POINTS).otherwise(F.col("said")).alias("answer"))
-    return Answer(answers, _source(reports, "community", "id", "rank", F.col("text"), 240), {"reports": reports, "map_points": chosen})
+    return Answer(answers, as_sources(reports, "community", "id", "rank", F.col("text"), 240), {"reports": reports, "map_points": chosen})
 
 
 def folds(reports: DataFrame, n: int) -> DataFrame:
@@ -270,7 +270,7 @@ def drift(index: Index, questions: DataFrame, level: int | None = None, provider
     rows = _items(_listed(chosen, "rank", F.col("text")), "evidence", primer)
     got = ask(rows, provider, F.lit("drift_reduce"), prompts.drift_reduce(F.col("query"), F.col("primer"), F.col("evidence")))
     listed = evidence.withColumn("r", F.row_number().over(order))
-    sources = _source(reports, "community", "id", "rank", F.col("text"), 200).unionByName(_source(listed, "drift_evidence", "id", "r", F.col("answer"), 240))
+    sources = as_sources(reports, "community", "id", "rank", F.col("text"), 200).unionByName(as_sources(listed, "drift_evidence", "id", "r", F.col("answer"), 240))
     return Answer(got.select(Q, strip(F.col("response")).alias("answer")), sources, {"reports": reports, "evidence": evidence, "trace": trace, "reduce_evidence": chosen})
 
 

@@ -12,7 +12,7 @@ from ..operators import community, describe, graph, prune, reports
 from ..operators.components import components
 from ..sources.scratch import save
 from ..sources.table_graph import entity_mentions, relation_mentions
-from .base import GRAPH, entities, longs, query, relations, table
+from .base import GRAPH, ORACLE, QUERIES, entities, longs, query, relations, table
 
 
 @query(GRAPH + "SELECT name, type, mention_count, n_chunks FROM e")
@@ -51,32 +51,6 @@ def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.induced(relations(spark, sf_dir), names).select("source", "target", "relation_type", "weight")
 
 
-PLACES = """, p AS (SELECT u, v FROM (SELECT least(source, target) AS u, greatest(source, target) AS v FROM r WHERE relation_type IN ('LOCATED_IN', 'PART_OF')) GROUP BY ALL),
-w2 AS (SELECT u AS a, v AS b FROM p UNION SELECT v, u FROM p),
-cc AS (SELECT a AS name, a AS root FROM w2 UNION SELECT w2.b, cc.root FROM cc JOIN w2 ON w2.a = cc.name),
-comp AS (SELECT name, min(root) AS component FROM cc GROUP BY name)
-"""
-
-
-@query(GRAPH + PLACES + "SELECT * FROM comp")
-def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places and who is there: one component a region."""
-    r = relations(spark, sf_dir).filter(F.col("relation_type").isin("LOCATED_IN", "PART_OF"))
-    return components(r.select(F.col("source").alias("u"), F.col("target").alias("v"))).select(F.col("node").alias("name"), F.col("root").alias("component"))
-
-
-@query(GRAPH + PLACES.replace("WHERE relation_type IN ('LOCATED_IN', 'PART_OF')", "WHERE relation_type IN ('LOCATED_IN', 'PART_OF')") + """,
-f AS (SELECT count(*) AS entities, sum(mention_count) AS em FROM e), g AS (SELECT count(*) AS relations, coalesce(sum(mention_count), 0) AS rm FROM r WHERE relation_type IN ('LOCATED_IN', 'PART_OF')), m AS (SELECT count(*) AS edges FROM p)
-SELECT entities::BIGINT AS entities, relations::BIGINT AS relations, em::BIGINT AS entity_mentions, rm::BIGINT AS relation_mentions, round(2.0::DOUBLE * edges / entities, 6) AS avg_degree,
-  round(2.0::DOUBLE * edges / (entities::DOUBLE * (entities - 1)), 9) AS density,
-  ((SELECT count(DISTINCT component) FROM comp) + entities - (SELECT count(*) FROM comp))::BIGINT AS components FROM f, g, m""")
-def graph_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures of the graph of places; parts are lone nodes there."""
-    s = graph.statistics(entities(spark, sf_dir), relations(spark, sf_dir, True).filter(F.col("relation_type").isin("LOCATED_IN", "PART_OF")))
-    s = s.withColumns({"avg_degree": F.round("avg_degree", 6), "density": F.round("density", 9)})
-    return longs(s, "entities", "relations", "entity_mentions", "relation_mentions", "components")
-
-
 #: The smallest name that each node of the whole graph can reach; a node is looked at again only when its root changes.
 ROOTS = """, ew AS (SELECT u AS a, v AS b FROM u WHERE u <> v UNION SELECT v, u FROM u WHERE u <> v),
 root(name, root) USING KEY (name) AS (SELECT name, name FROM e UNION
@@ -85,7 +59,7 @@ root(name, root) USING KEY (name) AS (SELECT name, name FROM e UNION
 
 
 @query(GRAPH + ROOTS + "SELECT name, root AS component FROM root WHERE name IN (SELECT a FROM ew)")
-def connected_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components by all relations, orders and supplies included."""
     return components(graph.undirected(relations(spark, sf_dir)).select("u", "v")).select(F.col("node").alias("name"), F.col("root").alias("component"))
 
@@ -93,7 +67,7 @@ def connected_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(GRAPH + ROOTS + """, f AS (SELECT count(*) AS entities, sum(mention_count) AS em FROM e), g AS (SELECT count(*) AS relations, coalesce(sum(mention_count), 0) AS rm FROM r), m AS (SELECT count(*) AS edges FROM u)
 SELECT entities::BIGINT AS entities, relations::BIGINT AS relations, em::BIGINT AS entity_mentions, rm::BIGINT AS relation_mentions, round(2.0::DOUBLE * edges / entities, 6) AS avg_degree,
   round(2.0::DOUBLE * edges / (entities::DOUBLE * (entities - 1)), 9) AS density, (SELECT count(DISTINCT root) FROM root)::BIGINT AS components FROM f, g, m""")
-def graph_statistics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def graph_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of the whole table graph."""
     s = graph.statistics(entities(spark, sf_dir), relations(spark, sf_dir, True))
     s = s.withColumns({"avg_degree": F.round("avg_degree", 6), "density": F.round("density", 9)})
@@ -104,7 +78,7 @@ def graph_statistics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_union_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two graphs over halves of the mentions, merged again."""
     m = entity_mentions(spark, sf_dir)
-    return graph.merge_entities(m.filter("ord % 2 = 0").unionByName(m.filter("ord % 2 = 1"))).select("name", "type", "mention_count", "n_chunks")
+    return graph.merge_entities(graph.merge_graphs(m.filter("ord % 2 = 0"), m.filter("ord % 2 = 1"))).select("name", "type", "mention_count", "n_chunks")
 
 
 @query(GRAPH + """, f AS (SELECT name, trim(description) AS x, min(ord) AS ord FROM em WHERE trim(description) <> '' GROUP BY ALL),
@@ -149,14 +123,8 @@ def prune_edges_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.crossJoin(F.broadcast(prune.edge_threshold(r, 50.0))).filter("weight >= threshold").select("source", "target", "relation_type", "weight", "threshold")
 
 
-@query(GRAPH + PLACES + ", z AS (SELECT component, count(*) AS n FROM comp GROUP BY ALL ORDER BY n DESC, component LIMIT 1) SELECT name FROM comp WHERE component = (SELECT component FROM z)")
-def prune_lcc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = relations(spark, sf_dir).filter(F.col("relation_type").isin("LOCATED_IN", "PART_OF"))
-    return graph.largest_component(entities(spark, sf_dir).select("name"), graph.undirected(r))
-
-
 @query(GRAPH + ROOTS + ", z AS (SELECT root, count(*) AS n FROM root GROUP BY ALL ORDER BY n DESC, root LIMIT 1) SELECT name FROM root WHERE root = (SELECT root FROM z)")
-def prune_lcc_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prune_lcc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest component by all relations."""
     return graph.largest_component(entities(spark, sf_dir).select("name"), graph.undirected(relations(spark, sf_dir)))
 
@@ -180,15 +148,6 @@ def nation_members(r: DataFrame, nation: DataFrame) -> DataFrame:
     return r.filter("relation_type = 'LOCATED_IN'").select(F.col("source").alias("name"), F.col("target").alias("c")).unionByName(nation.select(F.col("n_name").alias("name"), F.col("n_name").alias("c"))).distinct()
 
 
-@query(GRAPH + NATIONS + """, x AS (SELECT a.c AS cu, b.c AS cv, weight FROM pe JOIN mem a ON a.name = u JOIN mem b ON b.name = v), m AS (SELECT sum(weight) AS m FROM x),
-i AS (SELECT cu AS c, sum(weight) AS l FROM x WHERE cu = cv GROUP BY cu), t AS (SELECT c, sum(weight) AS k FROM (SELECT cu AS c, weight FROM x UNION ALL SELECT cv, weight FROM x) GROUP BY c)
-SELECT round(sum(coalesce(l, 0) / m - pow(k / (2 * m), 2)), 9) AS q FROM t LEFT JOIN i USING (c), m""")
-def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = relations(spark, sf_dir, True)
-    edges = graph.undirected(r.filter("relation_type = 'LOCATED_IN'"))
-    return community.modularity(edges, nation_members(r, table(spark, sf_dir, "nation"))).select(F.round("q", 9).alias("q"))
-
-
 #: Every node in a community: its nation's, else its own.
 COVER = ", cov AS (SELECT e.name, coalesce(mem.c, e.name) AS c FROM e LEFT JOIN mem USING (name))"
 
@@ -200,7 +159,7 @@ def cover(e: DataFrame, members: DataFrame) -> DataFrame:
 @query(GRAPH + NATIONS + COVER + """, x AS (SELECT a.c AS cu, b.c AS cv, weight FROM u JOIN cov a ON a.name = u JOIN cov b ON b.name = v), m AS (SELECT sum(weight) AS m FROM x),
 i AS (SELECT cu AS c, sum(weight) AS l FROM x WHERE cu = cv GROUP BY cu), t AS (SELECT c, sum(weight) AS k FROM (SELECT cu AS c, weight FROM x UNION ALL SELECT cv, weight FROM x) GROUP BY c)
 SELECT round(sum(coalesce(l, 0) / m - pow(k / (2 * m), 2)), 9) AS q FROM t LEFT JOIN i USING (c), m""")
-def modularity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as communities of the whole graph; parts and regions, in no nation, are communities of their own."""
     r = relations(spark, sf_dir, True)
     members = cover(entities(spark, sf_dir), nation_members(r, table(spark, sf_dir, "nation")))
@@ -229,9 +188,26 @@ def choose_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query(GRAPH + NATIONS + """, x AS (SELECT c AS id, name, type FROM (SELECT DISTINCT c, name FROM mem) JOIN e USING (name) QUALIFY row_number() OVER (PARTITION BY c ORDER BY name) <= 30),
+i AS (SELECT a.c AS id, source, relation_type, target FROM r JOIN mem a ON a.name = r.source JOIN mem b ON b.name = r.target AND a.c = b.c QUALIFY row_number() OVER (PARTITION BY a.c ORDER BY source, target, relation_type) <= 40),
+xs AS (SELECT id, string_agg(name || ':' || type, ',' ORDER BY name) AS entities FROM x GROUP BY id), rs AS (SELECT id, string_agg(source || '>' || relation_type || '>' || target, ',' ORDER BY source, target, relation_type) AS relations FROM i GROUP BY id)
+SELECT xs.id, entities, coalesce(relations, '') AS relations FROM xs LEFT JOIN rs USING (id)""")
+def report_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the report on each nation is written from: its first entities and the first relations inside it."""
+    r = relations(spark, sf_dir, True)
+    members = nation_members(r, table(spark, sf_dir, "nation")).withColumnRenamed("c", "id")
+    rows = reports.report_inputs(members, entities(spark, sf_dir).withColumn("description", F.col("type")), r)
+    text = lambda c, line: F.coalesce(F.array_join(F.transform(c, line), ","), F.lit(""))
+    return rows.select("id", text("es", lambda e: F.concat_ws(":", e["name"], e["type"])).alias("entities"), text("rs", lambda x: F.concat_ws(">", x["source"], x["relation_type"], x["target"])).alias("relations"))
+
+
 @query(GRAPH + NATIONS + """, i AS (SELECT a.c AS id, count(*) AS n FROM r JOIN mem a ON a.name = r.source JOIN mem b ON b.name = r.target AND a.c = b.c GROUP BY a.c)
 SELECT c AS id, count(DISTINCT name)::BIGINT AS n_entities, coalesce(any_value(n), 0)::BIGINT AS n_relations FROM mem LEFT JOIN i ON i.id = mem.c GROUP BY c""")
-def report_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = relations(spark, sf_dir, True)
     members = nation_members(r, table(spark, sf_dir, "nation")).withColumnRenamed("c", "id")
     return longs(reports.report_counts(members, r), "n_entities", "n_relations")
+
+
+for _name in ("connected_components", "graph_statistics", "prune_lcc", "modularity"):
+    QUERIES[f"{_name}_whole"], ORACLE[f"{_name}_whole"] = QUERIES[_name], ORACLE[_name]

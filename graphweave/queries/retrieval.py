@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,13 +13,12 @@ from ..functions import vectors
 from ..functions.text import features, normalize_question
 from ..functions.vectors import hash_embedding
 from ..operators import budget, chunking, claims, extract, graph, retrieve
-from ..operators.community import choose_level
 from ..plans import evaluate, indexing, modes
 from ..plans.providers import CannedProvider
 from ..sources.index_store import IndexStore
-from ..sources.scratch import save, shared_dir
+from ..sources.scratch import save, settle, shared_dir
 from ..sources.table_graph import entity_mentions
-from .base import GRAPH, entities, longs, query, relations, table
+from .base import GRAPH, ORACLE, QUERIES, entities, longs, query, relations, table
 from .text import event_claims
 
 BULK = replace(EngineConfig(), max_documents=None, max_characters=None)
@@ -35,9 +35,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("score", F.round("score", 6))
 
 
-@query(SCORED + " SELECT row_number() OVER (ORDER BY score DESC, vec_id)::BIGINT AS rank, vec_id, score FROM s QUALIFY rank <= 10")
+@query(SCORED.replace(", 6) AS score", ", 9) AS score") + " SELECT row_number() OVER (ORDER BY score DESC, vec_id)::BIGINT AS rank, vec_id, round(score, 6) AS score FROM s QUALIFY rank <= 10")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(retrieve.rank_top(scored(spark, sf_dir), 10, "vec_id"), "rank").select("rank", "vec_id", "score")
+    got = retrieve.rank_named(table(spark, sf_dir, "embeddings"), question_vector(spark, sf_dir), 10, "vec_id", "embedding")
+    return longs(got, "rank").select("rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query(SCORED + " SELECT label, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id)::BIGINT AS rank, vec_id, score FROM s QUALIFY rank <= 5")
@@ -82,7 +83,7 @@ def basic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LOCAL = """, seeds AS (SELECT r_name AS q, r_name AS name FROM region), w AS (SELECT u AS a, v AS b FROM u UNION SELECT v, u FROM u),
-n AS (SELECT q, name FROM seeds UNION SELECT q, w.b FROM seeds JOIN w ON w.a = seeds.name)
+n1 AS (SELECT q, name FROM seeds UNION SELECT q, w.b FROM seeds JOIN w ON w.a = seeds.name), n AS (SELECT q, name FROM n1 UNION SELECT q, w.b FROM n1 JOIN w ON w.a = n1.name)
 """
 
 
@@ -91,7 +92,7 @@ def local_names(spark: SparkSession, sf_dir: str, r: DataFrame | None = None) ->
     return seeds.unionByName(graph.neighbors(seeds, graph.undirected(r if r is not None else relations(spark, sf_dir)), 1, by=("q",)).select("q", "name")).distinct()
 
 
-@query(GRAPH + LOCAL + "SELECT q, 'entity' AS kind, name AS id FROM n UNION ALL SELECT a.q, 'relation', source || '>' || relation_type || '>' || target FROM r JOIN n a ON a.name = source JOIN n b ON b.name = target AND b.q = a.q")
+@query(GRAPH + LOCAL + "SELECT q, 'entity' AS kind, name AS id FROM n1 UNION ALL SELECT a.q, 'relation', source || '>' || relation_type || '>' || target FROM r JOIN n1 a ON a.name = source JOIN n1 b ON b.name = target AND b.q = a.q")
 def local_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Around each region: entities, and relations with both ends among them."""
     r = relations(spark, sf_dir, True)
@@ -102,32 +103,42 @@ def local_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT event_id AS id, 'Customer#' || lpad(user_id::VARCHAR, 9, '0') AS subject_id, 'Customer#' || lpad((user_id + 7)::VARCHAR, 9, '0') AS object_id FROM events),
-n AS (SELECT c_name AS name FROM customer WHERE c_custkey % 5 = 0) SELECT id FROM c WHERE subject_id IN (SELECT name FROM n) OR object_id IN (SELECT name FROM n)""")
+n AS (SELECT c_nationkey AS q, c_name AS name FROM customer) SELECT DISTINCT q::BIGINT AS question_id, id FROM (SELECT q, id FROM c JOIN n ON name = subject_id UNION ALL SELECT q, id FROM c JOIN n ON name = object_id)""")
 def local_claims_or_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims whose subject or object is among the names: two semi joins and no duplicates."""
+    """Claims about the customers of each nation, as subject or object, each once."""
     name = lambda x: F.concat(F.lit("Customer#"), F.lpad(x.cast("string"), 9, "0"))
     c = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), name(F.col("user_id")).alias("subject_id"), name(F.col("user_id") + 7).alias("object_id"))
-    n = table(spark, sf_dir, "customer").filter("c_custkey % 5 = 0").select("c_name")
-    hit = lambda k: c.join(n, F.col(k) == F.col("c_name"), "left_semi").select("id")
-    return hit("subject_id").unionByName(hit("object_id")).distinct()
+    n = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("question_id"), F.col("c_name").alias("name"))
+    return modes.claims_about(c, n).select("question_id", "id")
 
 
-@query(GRAPH + LOCAL + ", k AS (SELECT DISTINCT q, chunk_id FROM n JOIN em USING (name)) SELECT q, chunk_id, row_number() OVER (PARTITION BY q ORDER BY md5(chunk_id), chunk_id)::BIGINT AS rank FROM k QUALIFY rank <= 12")
+@query(GRAPH + LOCAL + f""", k AS (SELECT DISTINCT q, chunk_id FROM n JOIN em USING (name)), v AS (SELECT 'customer_' || vec_id AS chunk_id, embedding::DOUBLE[] AS v FROM embeddings),
+q AS (SELECT r_name AS q, embedding::DOUBLE[] AS qv FROM region JOIN embeddings ON vec_id = r_regionkey), s AS (SELECT q, chunk_id, round({COSINE.format('v', 'qv')}, 6) AS score FROM k JOIN v USING (chunk_id) JOIN q USING (q))
+SELECT q, chunk_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id)::BIGINT AS rank, score FROM s QUALIFY rank <= 12""")
 def evidence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct chunks of the entities around each region, the first twelve by a score of their own."""
-    k = local_names(spark, sf_dir).join(entity_mentions(spark, sf_dir).select("name", "chunk_id"), "name").select("q", "chunk_id").distinct()
-    w = Window.partitionBy("q").orderBy(F.md5("chunk_id"), "chunk_id")
-    return longs(k.withColumn("rank", F.row_number().over(w)).filter("rank <= 12"), "rank")
-
-
-@query(f"""WITH c AS (SELECT vec_id, label % 3 AS level, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0),
-l AS (SELECT coalesce(max(level) FILTER (level <= 5), min(level), 0) AS level FROM c), s AS (SELECT vec_id, c.level, round({COSINE.format('v', 'qv')}, 6) AS score FROM c JOIN l USING (level), q)
-SELECT row_number() OVER (ORDER BY score DESC, vec_id)::BIGINT AS rank, vec_id, level::BIGINT AS level, score FROM s QUALIFY rank <= 24""")
+    """Distinct chunks of the entities within two hops of each region, the nearest twelve; customers' rows have vectors."""
+    seeds = table(spark, sf_dir, "region").select(F.col("r_name").alias("q"), F.col("r_name").alias("name"))
+    around = graph.neighbors(seeds, graph.undirected(relations(spark, sf_dir)), 2, by=("q",)).select("q", "name")
+    names = seeds.unionByName(around).distinct().withColumnRenamed("q", "question_id")
+    v = table(spark, sf_dir, "embeddings")
+    vectors = v.select(F.concat(F.lit("customer_"), F.col("vec_id").cast("string")).alias("key"), F.col("embedding").alias("vector"))
+    q = table(spark, sf_dir, "region").join(v, F.col("vec_id") == F.col("r_regionkey")).select(F.col("r_name").alias("question_id"), F.col("embedding").alias("question"))
+    pairs = modes.evidence_of(names, entity_mentions(spark, sf_dir).select("name", "chunk_id"))
+    best = retrieve.rank_top(retrieve.score_pairs(pairs, vectors, q).withColumn("score", F.round("score", 6)), 12, "key")
+    return longs(best, "rank").select(F.col("question_id").alias("q"), F.col("key").alias("chunk_id"), "rank", "score")
+
+
+@query(f"""WITH c AS (SELECT vec_id, label % 3 AS level, embedding::DOUBLE[] AS v FROM embeddings WHERE label <> 9), q AS (SELECT vec_id AS question_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0),
+l AS (SELECT coalesce(max(level) FILTER (level <= 1), min(level), 0) AS level FROM c), s AS (SELECT question_id, vec_id, c.level, round({COSINE.format('v', 'qv')}, 9) AS score FROM c JOIN l USING (level), q)
+SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id)::BIGINT AS rank, vec_id, level::BIGINT AS level, round(score, 6) AS score FROM s QUALIFY rank <= 24""")
 def community_reports_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of the chosen level, nearest first; vectors stand for reports, labels for levels."""
-    c = scored(spark, sf_dir).withColumn("level", F.col("label") % 3)
-    own = c.join(F.broadcast(choose_level(c, 5)), "level", "left_semi")
-    return longs(retrieve.rank_top(own, 24, "vec_id"), "rank", "level").select("rank", "vec_id", "level", "score")
+    """Reports of the chosen level, nearest first, for every twentieth vector as question; vectors stand for reports,
+    labels for levels, and those of one label are blank."""
+    v = table(spark, sf_dir, "embeddings")
+    own = v.select(F.col("vec_id").alias("id"), (F.col("label") % 3).alias("level"), F.when(F.col("label") != 9, "report").otherwise(" ").alias("summary"))
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question"))
+    got = modes.ranked_reports(own, v.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector")), q, 1, 24)
+    return longs(got, "rank", "level").select("question_id", "rank", F.col("id").alias("vec_id"), "level", F.round("score", 6).alias("score"))
 
 
 ANSWERS = """SELECT event_id, user_id, CASE WHEN event_id % 7 = 0 THEN 'no list, ' || event_type ELSE
@@ -151,19 +162,15 @@ def global_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("user_id", F.row_number().over(w).cast("long").alias("rank"), "event_id", "description", "score")
 
 
-@query("""WITH k AS (SELECT user_id AS question_id, event_id AS rank, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_id % 40 = 0)
+@query("""WITH k AS (SELECT user_id AS question_id, event_id AS rank, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
 SELECT question_id, rank, (i % least(3, n))::BIGINT AS fold FROM k""")
 def drift_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id % 40 = 0").select(F.col("user_id").alias("question_id"), F.col("event_id").alias("rank"))
+    """Each user's events dealt round about."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("question_id"), F.col("event_id").alias("rank"))
     return longs(modes.folds(e, 3), "fold")
 
 
-@query("""WITH k AS (SELECT user_id AS question_id, event_id AS rank, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
-SELECT question_id, rank, (i % least(3, n))::BIGINT AS fold FROM k""")
-def drift_folds_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folds of every event."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("question_id"), F.col("event_id").alias("rank"))
-    return longs(modes.folds(e, 3), "fold")
+QUERIES["drift_folds_whole"], ORACLE["drift_folds_whole"] = drift_folds, ORACLE["drift_folds"]
 
 
 FOLLOWUPS = """WITH j AS (SELECT user_id AS question_id, event_id, event_type, value FROM events), c AS (SELECT question_id, event_id || '_0' AS id, event_type || ' of ' || (event_id % 4) || '?' AS question, greatest(0.0::DOUBLE, least(100.0::DOUBLE, value)) AS score FROM j
@@ -174,14 +181,17 @@ f AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC,
 """
 
 
-def followups(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answers_with_followups(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     n = lambda k: (F.col("event_id") % k).cast("string")
     text = F.concat(
         F.lit('{"answer": "a", "follow_ups": [{"question": "'), "event_type", F.lit(" of "), n(4), F.lit('?", "score": '), F.col("value").cast("string"), F.lit('}, {"question": "'),
         F.upper("event_type"), F.lit("  of "), n(3), F.lit('", "score": 50}, {"question": ""}]}'))
-    rows = e.select(F.col("user_id").alias("question_id"), "event_id", text.alias("response"))
-    return modes.parse_followups(rows, F.col("event_id").cast("string"), F.lit(1), F.lit(None))
+    return e.select(F.col("user_id").alias("question_id"), "event_id", text.alias("response"))
+
+
+def followups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modes.parse_followups(answers_with_followups(spark, sf_dir), F.col("event_id").cast("string"), F.lit(1), F.lit(None))
 
 
 @query(FOLLOWUPS + "SELECT question_id, place, id, question, score FROM f WHERE place <= 3")
@@ -193,12 +203,21 @@ def drift_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(FOLLOWUPS + "SELECT question_id, norm FROM n")
-def drift_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def drift_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything that was new counts as seen from then on, also what the cut left out."""
     seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("question_id"), F.lit("click of 1").alias("norm")).distinct()
     return modes.frontier(followups(spark, sf_dir), seen, 3)[1]
 
 
+@query("""WITH j AS (SELECT user_id AS question_id, event_id, event_type, value FROM events WHERE event_id % 100 / 100.0::DOUBLE >= 0.35)
+SELECT question_id, event_id || '_q_0' AS id, event_type || ' of ' || (event_id % 4) || '?' AS question, greatest(0.0::DOUBLE, least(100.0::DOUBLE, value)) AS score, (2 + event_id % 2)::BIGINT AS depth, event_id::VARCHAR AS parent_id FROM j
+UNION ALL SELECT question_id, event_id || '_q_1', upper(event_type) || '  of ' || (event_id % 3), 50.0, (2 + event_id % 2)::BIGINT, event_id::VARCHAR FROM j""")
+def drift_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only answers that are sure enough lead further; some are exactly at the gate."""
+    rows = answers_with_followups(spark, sf_dir).withColumns({"id": F.col("event_id").cast("string"), "depth": (1 + F.col("event_id") % 2).cast("int"), "confidence": F.col("event_id") % 100 / 100.0})
+    return longs(modes.expansions(rows, EngineConfig().drift_confidence_gate), "depth").select("question_id", "id", "question", "score", "depth", "parent_id")
+
+
 @query(r"""WITH e AS (SELECT user_id, event_id AS id, event_id % 10 / 10.0::DOUBLE AS confidence, event_id % 2 AS depth, len(regexp_extract_all(event_type || ' ' || props, '\s*(?:[\p{L}\p{N}_]+|[^\s])')) AS n FROM events),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, depth, id) AS rank FROM e), s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
 SELECT user_id, rank::BIGINT AS rank, id, least(n, 100 - before)::BIGINT AS used FROM s WHERE before < 100""")
@@ -246,11 +265,34 @@ def eval_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.by_mode(r).withColumns({c: F.round(c, 6) for c in ("success_rate", "avg_source_recall", "avg_answer_term_coverage")})
 
 
-@query(GRAPH + ", k AS (SELECT type, name, row_number() OVER (PARTITION BY type ORDER BY name) AS rank FROM e) SELECT type, name, rank::BIGINT AS rank, substr(type || ' ' || name, 1, 12) AS text FROM k WHERE rank <= 5")
+@query(GRAPH + """, k AS (SELECT type, name, row_number() OVER (PARTITION BY type ORDER BY name) AS rank FROM e)
+SELECT type AS question_id, 'entity' AS type, name AS id, rank::BIGINT AS rank, substr(type || ' ' || name, 1, 12) AS text FROM k""")
 def source_shaping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first entities of a list by name, their texts cut."""
-    e = entities(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("type").orderBy("name"))).filter("rank <= 5")
-    return longs(e, "rank").select("type", "name", "rank", F.substring(F.concat_ws(" ", "type", "name"), 1, 12).alias("text"))
+    """Entities as the sources of an answer, by name, their texts cut; types stand for questions."""
+    e = entities(spark, sf_dir).withColumn("question_id", F.col("type"))
+    return modes.as_sources(modes.numbered(e, "name"), "entity", "name", "r", F.concat_ws(" ", F.col("question_id"), "name"), 12)
+
+
+@query("""WITH e AS (SELECT user_id AS q, event_id AS id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+t AS (SELECT q, 0 AS g, i AS o, 'chunk_' || (id % 50) AS id FROM e WHERE id % 3 = 0), s AS (SELECT q, 1 AS g, i AS o, 'entity:' || event_type AS id FROM e WHERE id % 3 = 1),
+c AS (SELECT q, 2 AS g, row_number() OVER (PARTITION BY q ORDER BY id) AS o, id FROM (SELECT q, 'claim_' || id AS id FROM e WHERE id % 3 = 2)), r AS (SELECT q, 0 AS g, i AS o, 'L0_C' || (id % 9) AS id FROM e WHERE id % 2 = 0),
+v AS (SELECT q, 1 AS g, (id % 2) * 1000000000000 + i * 10 + x.n AS o, CASE x.n WHEN 0 THEN 'chunk_' || (id % 50) ELSE 'L0_C' || (id % 9) END AS id FROM e, (VALUES (0), (1)) x(n)),
+m AS (SELECT 'basic' AS mode, * FROM t UNION ALL SELECT 'local', * FROM t UNION ALL SELECT 'local', * FROM s UNION ALL SELECT 'local', * FROM c UNION ALL SELECT 'global', * FROM r UNION ALL SELECT 'drift', * FROM r UNION ALL SELECT 'drift', * FROM v),
+f AS (SELECT mode, q, id, min(g * 1000000000000000 + o) AS place FROM m GROUP BY ALL)
+SELECT mode, q AS question_id, string_agg(id, ',' ORDER BY place) AS source_ids FROM f GROUP BY mode, q""")
+def eval_source_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What answers of each mode rest on, in order and each once; a user's events stand for what was found for a question."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(w)).withColumnRenamed("user_id", "question_id")
+    k = F.col("event_id")
+    chunk, report = F.concat(F.lit("chunk_"), (k % 50).cast("string")), F.concat(F.lit("L0_C"), (k % 9).cast("string"))
+    details = {
+        "text_units": e.filter("event_id % 3 = 0").select("question_id", F.col("i").alias("rank"), chunk.alias("key")), "seeds": e.filter("event_id % 3 = 1").select("question_id", F.col("i").alias("rank"), F.col("event_type").alias("name")),
+        "claims": e.filter("event_id % 3 = 2").select("question_id", F.concat(F.lit("claim_"), k.cast("string")).alias("id")), "reports": e.filter("event_id % 2 = 0").select("question_id", F.col("i").alias("rank"), report.alias("id")),
+        "evidence": e.select("question_id", (k % 2).alias("depth"), F.col("i").alias("place"), F.array(chunk, report).alias("source_ids")),
+    }
+    rows = [modes.source_ids(details, mode).select(F.lit(mode).alias("mode"), "question_id", F.array_join("source_ids", ",").alias("source_ids")) for mode in modes.MODES]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def noisy_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,16 +322,20 @@ def extraction_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("name", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(GRAPH + "SELECT 'entities' AS name, count(*)::BIGINT AS n FROM e UNION ALL SELECT 'relations', count(*)::BIGINT FROM r")
+@query(GRAPH + "SELECT 'entities' AS name, name AS id, mention_count AS n FROM e UNION ALL SELECT 'relations', source || '>' || relation_type || '>' || target, mention_count FROM r")
 def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index written, listed and read again."""
+    """An index written, listed and read again, row for row."""
     import uuid
 
     store, name = IndexStore(spark, f"{shared_dir(spark)}/indexes"), f"table-graph-{uuid.uuid4().hex}"
     store.save(name, {"entities": entities(spark, sf_dir), "relations": relations(spark, sf_dir)})
     if name not in store.list():
         raise RuntimeError("a saved index is not listed")
-    return (lambda t: t["entities"].select(F.lit("entities").alias("name")).unionByName(t["relations"].select(F.lit("relations").alias("name"))))(store.load(name)).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    t = store.load(name)
+    r = t["relations"].select(F.lit("relations").alias("name"), F.concat_ws(">", "source", "relation_type", "target").alias("id"), F.col("mention_count").alias("n"))
+    out = settle(lambda: t["entities"].select(F.lit("entities").alias("name"), F.col("name").alias("id"), F.col("mention_count").alias("n")).unionByName(r))
+    store.delete(name)
+    return out
 
 
 def table_graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -1,14 +1,16 @@
 """Where lineage is cut: tables in the folder that driver and executors share.
 
-What save() and save_buckets() write lives until release() or, at the latest,
-until the driver's JVM ends.
+What save() and save_buckets() write lives until release(), until the settle()
+around it ends, or at the latest until the driver's JVM ends.
 """
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 #: At most this many short rows are broadcast by hint; beyond it the join is
 #: left to Spark, which shuffles and splits skewed keys.
 BROADCAST_ROWS = 50_000
+#: The paths written inside the innermost settle().
+_inside: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("graphweave_inside", default=None)
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -44,6 +48,8 @@ def _kept(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     fs, p = _files(spark, path)
     fs.deleteOnExit(p)
     _paths[df] = path
+    if (inside := _inside.get()) is not None:
+        inside.append(path)
     return df
 
 
@@ -71,10 +77,21 @@ def release(*tables: DataFrame) -> None:
             fs.delete(p, True)
 
 
-def settled(out: DataFrame, *tables: DataFrame) -> DataFrame:
-    """out, saved; the tables it was made from are released."""
-    out = save(out)
-    release(*tables)
+def settle(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, saved; everything that was saved on the way is deleted."""
+    inside: list[str] = []
+    token = _inside.set(inside)
+    try:
+        out = save(make())
+    finally:
+        _inside.reset(token)
+    kept = _paths[out]
+    for path in inside:
+        if path != kept:
+            fs, p = _files(out.sparkSession, path)
+            fs.delete(p, True)
+    if (outer := _inside.get()) is not None:
+        outer.append(kept)
     return out
 
 
