@@ -6,6 +6,7 @@ import json
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -62,5 +63,11 @@ def _as_text(opening: str):
 #: The object (or whatever the whole text is) as JSON text; null where there is none.
 json_object = F.pandas_udf(_as_text("{"), StringType())
 json_array = F.pandas_udf(_as_text("["), StringType())
-#: The same, declared not to be repeatable, so that Spark parses a text once however many filters and columns use it.
-json_object_once = F.pandas_udf(_as_text("{"), StringType()).asNondeterministic()
+#: Declared not to be repeatable, so that Spark parses a text once however many filters and columns use it.
+_object_once = F.pandas_udf(_as_text("{"), StringType()).asNondeterministic()
+
+
+def json_object_once(text: Column) -> Column:
+    """The same as json_object, parsed once; a text that is JSON as it stands never leaves the JVM."""
+    plain = F.try_parse_json(text).isNotNull()
+    return F.coalesce(_object_once(F.when(~F.coalesce(plain, F.lit(False)), text)), F.when(plain, text))

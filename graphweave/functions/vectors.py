@@ -45,6 +45,24 @@ def hash_features(text: str | None, dim: int) -> np.ndarray:
     return (v / n if n else v).astype(np.float32)
 
 
+def sha_features(text: str | None, dim: int) -> np.ndarray:
+    """The same with SHA-256 and lower case, as sha_bucket() and sha_sign() have it: what other engines can compute too."""
+    words = re.findall(r"\w+", (text or "").lower())
+    counts = Counter(words)
+    counts.update(f"{a}::{b}" for a, b in zip(words, words[1:]))
+    v = np.zeros(dim)
+    for f, n in counts.items():
+        number = int(hashlib.sha256(f.encode()).hexdigest()[:9], 16)
+        v[(number >> 4) % dim] += n if number % 2 else -n
+    size = np.linalg.norm(v)
+    return v / size if size else v
+
+
+def sha_embedding(text: Column, dim: int) -> Column:
+    run = F.pandas_udf(lambda s: pd.Series([sha_features(t, dim) for t in s]), "array<double>")
+    return run(text)
+
+
 def hash_embedding(text: Column, dim: int) -> Column:
     run = F.pandas_udf(lambda s: pd.Series([hash_features(t, dim) for t in s]), "array<float>")
     return run(text)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..sources.scratch import spread
 
 #: Where a window may end early (fixed values).
 MARKS = frozenset(".?!。？！\n")
@@ -38,9 +39,9 @@ def chunk_documents(docs: DataFrame, config: EngineConfig = EngineConfig(), key:
     """(doc_id, chunk_id, chunk_index, text), no row for blank documents.
 
     Where a window starts depends on where the last one ended, so one text is
-    read in order; texts are independent and stay where they are: no shuffle.
+    read in order; texts are independent and stay where they are, if they come in more parts than there are cores.
     """
     size, overlap = config.chunk_size, config.chunk_overlap
     run = F.pandas_udf(lambda s: pd.Series([windows(t, size, overlap) for t in s]), "array<struct<chunk_index: int, text: string>>")
-    rows = docs.select(F.col(key).alias("doc_id"), F.explode(run(F.col(text))).alias("c"))
+    rows = spread(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", F.explode(run(F.col("text"))).alias("c"))
     return rows.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("c.chunk_index").cast("string")).alias("chunk_id"), "c.chunk_index", "c.text")

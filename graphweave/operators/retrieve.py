@@ -34,8 +34,8 @@ def question_blocks(questions: DataFrame) -> list[DataFrame]:
     n = own.count()
     if n <= BROADCAST_ROWS:
         return [own]
-    placed = save(global_rank(own, [F.xxhash64("question_id"), F.col("question_id")], "place_"))
-    return [placed.filter(F.floor(F.col("place_") / BROADCAST_ROWS) == i).drop("place_") for i in range(-(-n // BROADCAST_ROWS))]
+    placed = save(global_rank(own, [F.xxhash64("question_id"), F.col("question_id")], "nth_"))
+    return [placed.filter(F.floor(F.col("nth_") / BROADCAST_ROWS) == i).drop("nth_") for i in range(-(-n // BROADCAST_ROWS))]
 
 
 def score(vectors: DataFrame, questions: DataFrame, vector: str = "vector") -> DataFrame:
@@ -60,7 +60,7 @@ def score_pairs(pairs: DataFrame, vectors: DataFrame, questions: DataFrame, name
     """pairs(question_id, key) with score: only these are computed."""
     q = questions.select("question_id", "question")
     both = pairs.join(vectors.select(name, vector), name).join(q, "question_id")
-    return both.withColumn("score", cosine(F.col(vector), F.col("question"))).drop(vector, "question")
+    return both.withColumn("score", F.round(cosine(F.col(vector), F.col("question")), DIGITS)).drop(vector, "question")
 
 
 def rank_named(vectors: DataFrame, questions: DataFrame, k: int, name: str = "key", vector: str = "vector") -> DataFrame:

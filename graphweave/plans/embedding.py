@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.vectors import hash_embedding
+from ..functions.vectors import hash_embedding, sha_embedding
 
 
 class Embedder(Protocol):
@@ -34,6 +34,17 @@ class HashEmbedder:
         return hash_embedding(text, self.dimension)
 
 
+@dataclass(frozen=True)
+class ShaEmbedder:
+    """The same idea with SHA-256, in double precision."""
+
+    dimension: int = 256
+    name: str = "sha"
+
+    def embed(self, text: Column) -> Column:
+        return sha_embedding(text, self.dimension)
+
+
 @dataclass(frozen=True)
 class BatchEmbedder:
     """Any function of a list of texts to vectors, called in batches from within tasks and tried again on errors."""
@@ -68,8 +79,8 @@ class BatchEmbedder:
 
 
 def make_embedder(name: str, dimension: int, call: Callable | None = None) -> Embedder:
-    if name == "hash":
-        return HashEmbedder(dimension)
+    if name in ("hash", "sha"):
+        return HashEmbedder(dimension) if name == "hash" else ShaEmbedder(dimension)
     if name == "batch" and call is not None:
         return BatchEmbedder(call, dimension)
     raise ValueError(f"unknown embedding provider: {name}")

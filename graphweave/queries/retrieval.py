@@ -16,7 +16,7 @@ from ..operators import budget, chunking, claims, extract, graph, retrieve
 from ..plans import evaluate, indexing, modes
 from ..plans.providers import CannedProvider
 from ..sources.index_store import IndexStore
-from ..sources.scratch import save, settle, shared_dir
+from ..sources.scratch import save, settle, shared_dir, spread
 from ..sources.table_graph import entity_mentions
 from .base import GRAPH, ORACLE, QUERIES, entities, longs, query, relations, table
 from .text import event_claims
@@ -63,7 +63,7 @@ f AS (SELECT doc_id, unnest(ws || CASE WHEN len(ws) > 1 THEN list_transform(rang
 SELECT doc_id, (concat('0x', substr(sha256(f), 1, 8))::BIGINT % 256)::BIGINT AS dim, sum(CASE WHEN concat('0x', substr(sha256(f), 9, 1))::BIGINT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0 END) AS value FROM f GROUP BY ALL""")
 def sha_feature_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed feature hashing, native: sums by document and dimension."""
-    f = table(spark, sf_dir, "documents").select("doc_id", F.explode(features(F.col("text"))).alias("f")).withColumn("n", vectors.sha_number(F.col("f")))
+    f = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(features(F.col("text"))).alias("f")).withColumn("n", vectors.sha_number(F.col("f")))
     return f.groupBy("doc_id", vectors.sha_bucket(F.col("n"), 256).cast("long").alias("dim")).agg(F.sum(vectors.sha_sign(F.col("n"))).alias("value"))
 
 

@@ -95,6 +95,13 @@ def settle(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if it comes in fewer parts than there are cores: a table that small may lie in one row
+    group, which one task would read and work on. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast where the counted rows are within the bound."""
     return F.broadcast(df) if rows <= limit else df
