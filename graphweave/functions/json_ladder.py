@@ -67,6 +67,16 @@ json_array = F.pandas_udf(_as_text("["), StringType())
 _object_once = F.pandas_udf(_as_text("{"), StringType()).asNondeterministic()
 
 
+def object_or(text: Column, keys: tuple[str, ...], default: str) -> Column:
+    """The object in a text as JSON if it has all the keys, else the default."""
+    found = json_object(text)
+    doc = F.try_parse_json(found)
+    whole = doc.isNotNull() & F.startswith(found, F.lit("{"))
+    for k in keys:
+        whole = whole & F.try_variant_get(doc, f"$.{k}", "variant").isNotNull()
+    return F.when(whole, found).otherwise(F.lit(default))
+
+
 def json_object_once(text: Column) -> Column:
     """The same as json_object, parsed once; a text that is JSON as it stands never leaves the JVM."""
     plain = F.try_parse_json(text).isNotNull()

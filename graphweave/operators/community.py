@@ -18,7 +18,7 @@ founder stays put in that round, so no part loses what held it together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -50,16 +50,16 @@ def _round(nodes: DataFrame, arcs: DataFrame, resolution: float, turn: int, seed
     return own.withColumn("wants", wants).select("graph", "node", F.when(F.col("wants") & _turn("node", turn, seed), F.col("best.to")).otherwise(F.col("c")).alias("c"), "k", "total", "wants")
 
 
-def _local(nodes: DataFrame, arcs: DataFrame, resolution: float, config: EngineConfig) -> tuple[DataFrame, bool]:
-    """Rounds until no node gains; config.community_rounds bounds them."""
-    moved = False
-    for turn in range(config.community_rounds):
-        before, nodes = nodes, save(_round(nodes, arcs, resolution, turn, config.seed))
+def _local(nodes: DataFrame, arcs: DataFrame, resolution: float, config: EngineConfig) -> DataFrame:
+    """Rounds until no node gains, one half's and the other's in a job; config.community_rounds bounds them."""
+    for turn in range(0, config.community_rounds, 2):
+        both = _round(_round(nodes, arcs, resolution, turn, config.seed), arcs, resolution, turn + 1, config.seed)
+        wishes = Observation()
+        before, nodes = nodes, save(both.observe(wishes, F.count_if("wants").alias("n")))
         release(before)
-        if nodes.filter("wants").isEmpty():
+        if not wishes.get["n"]:
             break
-        moved = True
-    return nodes, moved
+    return nodes
 
 
 def _refine(nodes: DataFrame, arcs: DataFrame, resolution: float, config: EngineConfig) -> DataFrame:
@@ -121,7 +121,7 @@ def partition(edges: DataFrame, nodes: DataFrame, resolution: float, config: Eng
         level = k.join(total, "graph").select("graph", "node", F.col("node").alias("c"), "k", "total")
         if start is not None:
             level = level.drop("c").join(start, ["graph", "node"], "left").select("graph", "node", F.coalesce("c", "node").alias("c"), "k", "total")
-        level, moved = _local(save(level), arcs, resolution, config)
+        level = _local(save(level), arcs, resolution, config)
         if leiden:
             step = save(_refine(level, arcs, resolution, config).select("graph", F.col("node").alias("at"), "c", F.col("r").alias("new")))
             heads = step.groupBy("graph", "c").agg(F.min("new").alias("head"))
@@ -130,7 +130,7 @@ def partition(edges: DataFrame, nodes: DataFrame, resolution: float, config: Eng
             step = level.select("graph", F.col("node").alias("at"), F.col("c").alias("new"))
         n, n_new = step.agg(F.count(F.lit(1)), F.countDistinct("graph", "new")).first()
         member = save(member.join(step.select("graph", "at", "new"), ["graph", "at"], "left").select("graph", "node", F.coalesce("new", "at").alias("at")))
-        if n == n_new or (not moved and not leiden):
+        if n == n_new:
             break
         a, b = step.select("graph", F.col("at").alias("u"), F.col("new").alias("nu")), step.select("graph", F.col("at").alias("v"), F.col("new").alias("nv"))
         e = e.join(a, ["graph", "u"]).join(b, ["graph", "v"]).groupBy("graph", F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).agg(F.sum("weight").alias("weight"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,13 +10,13 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..operators import extract, graph, reports
-from ..plans import indexing, modes
+from ..plans import evaluate, indexing, modes
 from ..plans.embedding import ShaEmbedder
 from ..plans.providers import OFFLINE_ANSWER, OFFLINE_ANSWERS, CannedProvider
 from ..sources.scratch import save, settle
 from .base import GRAPH, entities, longs, query, relations, table
 from .retrieval import BULK, table_graph
-from .text import CHUNKS, TOKENS, chunking
+from .text import CHUNKS, TOKENS, chunking, noisy_mentions
 
 SAID = dict(OFFLINE_ANSWERS)
 CONFIG = EngineConfig()
@@ -56,10 +57,9 @@ def shown(got: modes.Answer) -> DataFrame:
     return got.sources.join(got.answers, "question_id").select("question_id", "type", "id", "rank", "text", "answer")
 
 
-def place_index(spark: SparkSession, sf_dir: str) -> indexing.Index:
-    """The table graph with regions (level 0) and nations (level 1) as communities."""
-    tables = table_graph(spark, sf_dir)
-    nation, r = table(spark, sf_dir, "nation"), tables["relations"].filter("relation_type = 'LOCATED_IN'")
+def place_members(spark: SparkSession, sf_dir: str, relations_: DataFrame) -> DataFrame:
+    """Regions (level 0) and nations (level 1) as communities: (id, level, parent_id, size, name), saved."""
+    nation, r = table(spark, sf_dir, "nation"), relations_.filter("relation_type = 'LOCATED_IN'")
     inside = r.join(nation, F.col("target") == F.col("n_name")).select(F.col("source").alias("name"), "n_nationkey", "n_regionkey").unionByName(nation.select(F.col("n_name").alias("name"), "n_nationkey", "n_regionkey")).distinct()
     tag = lambda level, k: F.concat(F.lit(f"L{level}_C"), F.col(k).cast("string"))
     low = inside.select(tag(1, "n_nationkey").alias("id"), F.lit(1).alias("level"), tag(0, "n_regionkey").alias("parent_id"), "name")
@@ -67,7 +67,13 @@ def place_index(spark: SparkSession, sf_dir: str) -> indexing.Index:
     high = high.unionByName(table(spark, sf_dir, "region").select(tag(0, "r_regionkey").alias("id"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("name")))
     members = high.unionByName(low).distinct()
     size = members.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
-    tables["communities"] = c = save(members.join(size, "id").select("id", "level", "parent_id", "size", "name"))
+    return save(members.join(size, "id").select("id", "level", "parent_id", "size", "name"))
+
+
+def place_index(spark: SparkSession, sf_dir: str) -> indexing.Index:
+    """The table graph with places as communities."""
+    tables = table_graph(spark, sf_dir)
+    tables["communities"] = c = place_members(spark, sf_dir, tables["relations"])
     tables["reports"] = reports.reports(c, tables["entities"], tables["relations"], CannedProvider({}))
     tables["vectors"] = save(indexing.embed(tables, BULK, EMBEDDER))
     return indexing.Index(tables, BULK, EMBEDDER)
@@ -174,6 +180,58 @@ def graph_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(run)
 
 
+class Counter:
+    """A provider that says how many entities, relations and inner reports a report's prompt shows."""
+
+    name = "counter"
+
+    def complete(self, task: str, prompt: str) -> str:
+        parts = prompt.split("Relations:\n")
+        relations_, inner = parts[1].split("Reports of the communities inside:\n")
+        return ",".join(str(sum(x.startswith("- ") for x in p.split("\n"))) for p in (parts[0], relations_, inner))
+
+
+@query(GRAPH + """, low AS (SELECT source AS name, n_nationkey, n_regionkey FROM r JOIN nation ON target = n_name WHERE relation_type = 'LOCATED_IN' UNION SELECT n_name, n_nationkey, n_regionkey FROM nation),
+mem AS (SELECT 'L1_C' || n_nationkey AS id, 1 AS level, 'L0_C' || n_regionkey AS parent_id, name FROM low UNION SELECT 'L0_C' || n_regionkey, 0, NULL, name FROM low UNION SELECT 'L0_C' || r_regionkey, 0, NULL, r_name FROM region),
+x AS (SELECT id, least(30, count(*)) AS n FROM mem GROUP BY id), y AS (SELECT a.id, least(40, count(*)) AS n FROM r JOIN mem a ON a.name = source JOIN mem b ON b.name = target AND a.id = b.id GROUP BY a.id), z AS (SELECT parent_id AS id, count(DISTINCT id) AS n FROM mem WHERE parent_id IS NOT NULL GROUP BY parent_id)
+SELECT DISTINCT mem.id, level::BIGINT AS level, x.n || ',' || coalesce(y.n, 0) || ',' || coalesce(z.n, 0) AS summary FROM mem JOIN x USING (id) LEFT JOIN y USING (id) LEFT JOIN z USING (id)""")
+def reports_bottom_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports on nations, then on regions, which see those of their nations."""
+
+    def run() -> DataFrame:
+        e = save(entities(spark, sf_dir).withColumn("description", F.col("type")))
+        r = save(relations(spark, sf_dir).withColumn("description", F.col("relation_type")))
+        return longs(reports.reports(place_members(spark, sf_dir, r), e, r, Counter()), "level").select("id", "level", "summary")
+
+    return settle(run)
+
+
+@query(local_sql(QUESTIONS, CONFIG.local_tokens) + """, m AS (SELECT q, max(CASE WHEN seeds.name = n_name THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS recall FROM seeds JOIN nation ON n_nationkey = q GROUP BY q)
+SELECT q::VARCHAR AS case_id, 'local' AS mode, true AS success, recall AS source_recall, 0.5::DOUBLE AS answer_term_coverage FROM m
+UNION ALL SELECT n_nationkey::VARCHAR, 'global', true, 0.0, 0.5 FROM nation""")
+def eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evaluation over all nations in two modes: does a question find its nation, and what does the answer say."""
+
+    def run() -> DataFrame:
+        q = asked(spark, sf_dir).join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("question_id"))
+        cases = q.select(
+            F.col("question_id").cast("string").alias("id"), F.lit("places").alias("index_id"), "query", F.array(F.lit("local"), F.lit("global")).alias("modes"), F.array(F.concat(F.lit("entity:"), "n_name")).alias("expected_source_ids"),
+            F.array(F.lit(" OFFLINE "), F.lit("nothing"), F.lit(" ")).alias("expected_answer_terms"), F.lit(5).alias("top_k"), F.lit(None).cast("int").alias("community_level"))
+        return evaluate.run(place_index(spark, sf_dir), cases).select("case_id", "mode", "success", "source_recall", "answer_term_coverage")
+
+    return settle(run)
+
+
+@query("""WITH m AS (SELECT p_partkey AS ord, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name ELSE '  ' || p_name || '! ' END AS name, lower(p_type) AS type FROM part), l AS (SELECT s_name AS source, m.name AS target FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN m ON ord = l_partkey)
+SELECT 'entity' AS kind, name AS id, count(*)::BIGINT AS n FROM m GROUP BY name""")
+def unresolved_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities without resolution: every spelling is one."""
+    m = noisy_mentions(spark, sf_dir).withColumns({"mention_count": F.lit(1).cast("long"), "description": F.col("name"), "chunk_id": F.concat(F.lit("part_"), F.col("ord").cast("string"))})
+    none = spark.createDataFrame([], "ord long, source string, target string, relation_type string, description string, weight double, chunk_id string")
+    g = indexing.build_graph(m, none, replace(BULK, entity_resolution="none"))
+    return g["entities"].select(F.lit("entity").alias("kind"), F.col("name").alias("id"), F.col("mention_count").alias("n"))
+
+
 @query(GRAPH + """, mem AS (SELECT source AS name, target AS c, 1 AS level FROM r WHERE relation_type = 'LOCATED_IN' UNION SELECT n_name, r_name, 0 FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT n_name, n_name, 1 FROM nation)
 SELECT name, arg_min(c, (level, c)) AS id FROM mem GROUP BY name""")
 def community_of_entity(spark: SparkSession, sf_dir: str) -> DataFrame:

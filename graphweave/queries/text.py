@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions.json_ladder import json_array, object_or
 from ..functions.text import normalize_surface, token_count, truncate_tokens
-from ..operators import budget, chunking, claims, resolution
+from ..operators import budget, chunking, claims, describe, resolution
+from ..plans import prompts
 from ..sources.documents import caps, without_blanks
 from .base import longs, query, table
 
@@ -84,6 +86,39 @@ def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.batches(docs, 2000, ["list"], rank="doc_id").select("list", "doc_id", F.col("batch").cast("long").alias("batch"))
 
 
+@query("""WITH a AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'It is [' || user_id || ', ' || event_id || '] so' WHEN 1 THEN '[]' WHEN 2 THEN 'no list' ELSE '```json' || chr(10) || '["' || event_type || '", [1], {}]' || chr(10) || '```' END AS text FROM events)
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 0 WHEN 2 THEN -1 ELSE 3 END::BIGINT AS items FROM a""")
+def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists out of texts: in prose, alone, fenced, or not there."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id") % 4
+    text = F.when(k == 0, F.concat(F.lit("It is ["), "user_id", F.lit(", "), "event_id", F.lit("] so"))).when(k == 1, "[]").when(k == 2, "no list").otherwise(F.concat(F.lit('```json\n["'), "event_type", F.lit('", [1], {}]\n```')))
+    return e.select("event_id", F.coalesce(F.size(F.try_variant_get(F.try_parse_json(json_array(text)), "$", "array<variant>")), F.lit(-1)).cast("long").alias("items"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN 'none' ELSE 'none' END AS kind FROM events""")
+def json_required_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects that have what is asked of them; others, and texts without one, give the default."""
+    k = F.col("event_id") % 3
+    text = F.when(k == 0, F.concat(F.lit('so {"kind": "'), "event_type", F.lit('", "value": 1} there'))).when(k == 1, F.concat(F.lit('{"kind": "'), "event_type", F.lit('"}'))).otherwise(F.col("event_type"))
+    doc = F.try_parse_json(object_or(text, ("kind", "value"), '{"kind": "none"}'))
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(doc, "$.kind", "string").alias("kind"))
+
+
+@query("""WITH d AS (SELECT user_id, list(event_type ORDER BY event_id) AS ds, count(DISTINCT event_type) AS n FROM events GROUP BY user_id)
+SELECT user_id, n::BIGINT AS n_mentions, list_reduce(ds, lambda a, d: CASE WHEN a = d THEN a ELSE a || ' | ' || d END) AS description FROM d""")
+def merged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions merged in order of mention, without consolidation."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("ord"), F.concat(F.lit(" "), "event_type", F.lit("\n")).alias("description"))
+    return describe.merged_texts(e, "user_id")
+
+
+@query("""SELECT doc_id, md5('Extract at most 20 entities (name, type, description) and at most 30 relations (source, target, relation_type, description) from the text.' || chr(10) ||
+'Answer with one JSON object {"entities": [...], "relations": [...]}; every source and target must be the name of an entity.' || chr(10) || 'Text:' || chr(10) || text) AS prompt FROM documents""")
+def extraction_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = EngineConfig()
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(prompts.extraction(F.col("text"), c.max_entities, c.max_relations)).alias("prompt"))
+
+
 NOISY = "SELECT p_partkey::BIGINT AS ord, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name ELSE '  ' || p_name || '! ' END AS name, lower(p_type) AS type, (1 + p_partkey % 2)::BIGINT AS mention_count FROM part"
 SURFACE = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 CANON = f"""WITH m AS ({NOISY}), s AS (SELECT ord, upper(trim(type)) AS type, trim(name) AS spelling, name AS raw, {SURFACE.format('name')} AS surface, mention_count FROM m),
