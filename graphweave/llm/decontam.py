@@ -28,14 +28,23 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, save
 
 WINDOW = 10
-ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, once A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows and bytes that are broadcast at most.
 PREFIX_WORDS = 500_000
 BROADCAST_BYTES = 64 << 20
 
 
+def split_words(text: Column) -> Column:
+    """Words after an empty first entry; a text that ends with a sign has an empty last entry too."""
+    known = F.coalesce(text, F.lit(""))
+    # lower() does just A-Z where all is ASCII, and is faster.
+    plain = F.when(F.octet_length(known) == F.length(known), F.lower(known)).otherwise(ascii_lower(known))
+    return F.split(F.concat(F.lit(" "), plain), BETWEEN, -1)
+
+
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(ITEM_WORD), F.lit(0))
+    return F.filter(split_words(text), lambda w: w != "")
 
 
 def item_windows(items: DataFrame, key: str, text: str, window: int) -> DataFrame:
@@ -54,27 +63,32 @@ def bounded(df: DataFrame, most: int, *measured: Column) -> DataFrame:
 
 def rarity(docs: DataFrame, vocabulary: DataFrame, text: str, most: int) -> DataFrame:
     """(word, n): how often each word of the vocabulary stands in all texts."""
-    every = docs.select(F.explode(words(F.col(text))).alias("word"))
+    every = docs.select(F.explode_outer(split_words(F.col(text))).alias("word"))
     n = every.join(bounded(vocabulary, most, F.octet_length("word")), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return vocabulary.join(n, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def places(docs: DataFrame, prefix: DataFrame, key: str, text: str, most: int) -> DataFrame:
-    """prefix(word, win, ws, off, len) -> (doc_id, t, start, len, win): where the windows stand, each place once."""
-    base = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("t"), words(F.col(text)).alias("text_words"))
-    at = base.select("doc_id", "t", "text_words", F.posexplode("text_words").alias("i", "word"))
-    some = save(prefix.select("word").distinct())
+    """prefix(word, win, ws, off, len) -> saved (doc_id, t, n, start, len, win): where the windows stand, and for every
+    row of docs one row with start -1."""
+    base = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("t"), split_words(F.col(text)).alias("text_words"))
+    at = base.select("doc_id", "t", "text_words", F.posexplode_outer("text_words").alias("i", "word"))
+    # The empty first entry stands for the row itself: words are at 1, 2, .. No array is empty, and an outer explode
+    # saves the filter on its size that Spark would add, which splits every text once more.
+    some = save(prefix.select("word").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "word string")))
     reach = prefix.agg(F.coalesce(F.max(F.greatest(F.col("off"), F.col("len") - F.col("off"))), F.lit(1))).first()[0]
-    # Words around the place, counted from 1; the first is that of place low.
-    low = F.greatest(F.lit(0), F.col("i") - reach)
-    near = F.slice("text_words", low + 1, F.lit(2 * reach + 1))
-    hits = at.join(bounded(some, most, F.octet_length("word")), "word").select("doc_id", "t", "i", "word", low.alias("low"), F.size("text_words").alias("n"), near.alias("near"))
+    hits = at.join(bounded(some, most, F.octet_length("word")), "word").filter((F.col("word") != "") | (F.col("i") == 0))
+    low = F.greatest(F.lit(1), F.col("i") - reach)
+    n = F.size("text_words") - 1 - F.when((F.size("text_words") > 1) & (F.element_at("text_words", -1) == ""), 1).otherwise(0)
+    near = F.when(F.col("i") > 0, F.slice("text_words", low + 1, F.lit(2 * reach + 1)))
+    hits = save(hits.select("doc_id", "t", "i", "word", low.alias("low"), n.alias("n"), near.alias("near")))
+    rows = hits.filter("i = 0").select("doc_id", "t", "n", F.lit(-1).alias("start"), F.lit(None).cast("int").alias("len"), F.lit(None).cast(prefix.schema["win"].dataType).alias("win"))
     own = bounded(prefix, most, F.octet_length(F.array_join("ws", " ")), F.octet_length("word"))
-    start = F.col("i") - F.col("off")
+    start = F.col("i") - 1 - F.col("off")
     inside = (start >= 0) & (start + F.col("len") <= F.col("n"))
-    both = hits.join(own, "word").filter(inside)
-    same = F.slice("near", F.greatest(F.lit(1), start - F.col("low") + 1), F.col("len")) == F.col("ws")
-    return both.filter(same).select("doc_id", "t", start.alias("start"), "len", "win").distinct()
+    both = hits.filter("i > 0").join(own, "word").filter(inside)
+    same = F.slice("near", F.greatest(F.lit(1), start + 2 - F.col("low")), F.col("len")) == F.col("ws")
+    return save(rows.unionByName(both.filter(same).select("doc_id", "t", "n", start.alias("start"), "len", "win").distinct()))
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = PREFIX_WORDS) -> DataFrame:
@@ -88,7 +102,8 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     placed = windows.select("win", F.posexplode("ws").alias("off", "word")).join(counts, "word")
     first = placed.groupBy("win").agg(F.min(F.struct("n", "word", "off")).alias("m"))
     prefix = save(first.join(windows, "win").select(F.col("m.word").alias("word"), F.col("m.off").alias("off"), F.size("ws").alias("len"), "win", "ws"))
-    found = save(places(docs, prefix, key, text, block))
+    placed = places(docs, prefix, key, text, block)
+    found = placed.filter("start >= 0")
     covered = F.flatten(F.transform(F.collect_set(F.struct("start", "len")), lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))
     spans = found.groupBy("doc_id", "t").agg(F.size(F.array_distinct(covered)).alias("n_hit"))
     of_items = found.select("doc_id", "t", "win").distinct().join(bounded(each.select("item_id", "win"), block, F.octet_length(F.col("item_id").cast("string"))), "win")
@@ -97,8 +112,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     on = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.t").eqNullSafe(F.col(f"{b}.t"))
     hits = spans.alias("s").join(of_items.alias("o"), on("s", "o"), "left").select("s.doc_id", "s.t", "n_hit", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
     # Rows that agree in key and text share their hits, and each has its own row.
-    n_words = F.regexp_count(ascii_lower(F.coalesce(F.col(text), F.lit(""))), F.lit(ITEM_WORD))
-    own = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("t"), n_words.cast("long").alias("n_words"))
+    own = placed.filter("start < 0").select("doc_id", "t", F.col("n").cast("long").alias("n_words"))
     out = own.alias("d").join(hits.alias("h"), on("d", "h"), "left")
     n_hit = F.coalesce("h.n_hit", F.lit(0)).cast("long")
     return out.select(
