@@ -15,6 +15,7 @@ import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .documents import check_index_id
 
@@ -83,3 +84,39 @@ class IndexStore:
 
     def metadata(self, index_id: str) -> dict:
         return self._manifest(index_id)["metadata"]
+
+
+#: The fields of an index that is kept as one JSON object.
+PAYLOAD = (
+    "entities map<string, struct<name string, type string, description string, mention_count bigint, source_chunk_ids array<string>>>, "
+    "relations array<struct<source string, target string, relation_type string, description string, mention_count bigint, weight double, source_chunk_ids array<string>>>, "
+    "communities array<struct<id string, level int, entities array<string>, summary string, parent_id string, size bigint>>, "
+    "covariates array<struct<id string, text_unit_id string, subject_id string, object_id string, type string, status string, description string, start_date string, end_date string, source_text string>>, "
+    "text_chunks array<struct<id string, text string, doc_id string, chunk_index int>>, "
+    "entity_embeddings map<string, array<float>>, chunk_embeddings map<string, array<float>>, community_embeddings map<string, array<float>>"
+)
+
+
+def read_payload(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of an index that is kept as one JSON object, in an envelope (under "graph") or bare, as older files are.
+    Fields that are missing are empty tables. Such a file is read whole; it is small by the guards it was made under."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"graph struct<{PAYLOAD}>, {PAYLOAD}").alias("d"))
+    names = [f.name for f in raw.schema["d"].dataType["graph"].dataType.fields]
+    doc = raw.select(*[F.when(F.col("d.graph").isNotNull(), F.col(f"d.graph.{n}")).otherwise(F.col(f"d.{n}")).alias(n) for n in names])
+    rows = lambda name: doc.select(F.explode(name).alias("x")).select("x.*")
+    entities = doc.select(F.explode("entities").alias("k", "x")).select("x.*")
+    size = lambda c: F.greatest(F.lit(0), F.size(c)).cast("long").alias("n_chunks")
+    communities = rows("communities")
+    vectors = None
+    for kind, name in (("entity", "entity_embeddings"), ("chunk", "chunk_embeddings"), ("community", "community_embeddings")):
+        own = doc.select(F.explode(name).alias("key", "vector")).select(F.lit(kind).alias("kind"), "key", "vector")
+        vectors = own if vectors is None else vectors.unionByName(own)
+    return {
+        "text_units": rows("text_chunks").select("doc_id", F.col("id").alias("chunk_id"), "chunk_index", "text"),
+        "entities": entities.select("name", "type", "mention_count", size("source_chunk_ids"), "description"),
+        "relations": rows("relations").select("source", "target", "relation_type", "weight", "mention_count", size("source_chunk_ids"), "description"),
+        "entity_chunks": entities.select("name", F.explode("source_chunk_ids").alias("chunk_id")).distinct(),
+        "claims": rows("covariates"),
+        "communities": communities.select("id", "level", "parent_id", "size", F.explode("entities").alias("name")),
+        "reports": communities.select("id", "level", "parent_id", "size", "summary"), "vectors": vectors,
+    }

@@ -257,6 +257,20 @@ def test_overwriting_keeps_the_version_before(spark, tmp_path):
     assert len([p for p in os.listdir(tmp_path / "x") if p.startswith("v=")]) == 2 and not [p for p in os.listdir(tmp_path / "x") if p.endswith(".tmp")]
 
 
+def test_payloads_with_and_without_an_envelope(spark, tmp_path):
+    from graphweave.sources.index_store import read_payload
+
+    bare = {
+        "entities": {"A": {"name": "A", "type": "T", "description": "d", "mention_count": 2, "source_chunk_ids": ["c1", "c2"]}}, "relations": [{"source": "A", "target": "A", "relation_type": "R", "description": "", "weight": 2.5}],
+        "communities": [{"id": "L0_C0", "level": 0, "entities": ["A"], "summary": "s", "size": 1}], "text_chunks": [{"id": "c1", "text": "x", "doc_id": "d", "chunk_index": 0}], "entity_embeddings": {"A": [1.0, 0.0]}, "metadata": {"odd": 1}}
+    for name, doc in (("new", {"schema_version": "2.3", "index_id": "i", "graph": bare}), ("old", bare)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc, indent=1))
+        t = read_payload(spark, str(tmp_path / f"{name}.json"))
+        assert t["entities"].first()[:] == ("A", "T", 2, 2, "d") and t["relations"].first().weight == 2.5
+        assert {x.chunk_id for x in t["entity_chunks"].collect()} == {"c1", "c2"} and t["communities"].first().name == "A" and t["reports"].first().summary == "s"
+        assert t["vectors"].first()[:] == ("entity", "A", [1.0, 0.0]) and t["claims"].count() == 0 and t["text_units"].first().chunk_id == "c1"
+
+
 def test_evaluation_keeps_settings_order_and_errors(spark, tmp_path, lengths):
     docs = documents_from(spark, "demo", ["alpha beta.", "gamma delta.", "epsilon."])
     index = indexing.build_index(docs)
