@@ -101,7 +101,7 @@ class Parse:
 
     def __init__(self, b: Tokens, window: int, rounds: int, names_of: Callable[[int, np.ndarray], np.ndarray]):
         self.window, n = window, len(b.tokens)
-        self.n = n
+        self.n, self.b = n, b
         new = np.zeros(n, bool)
         new[b.first[b.lengths > 0]] = True
         places = np.arange(n)
@@ -128,10 +128,17 @@ class Parse:
         ok[ok] = living[lo[ok] + 1] > living[np.maximum(hi[ok] - self.window, 0)]
         return ok
 
+    def distinct(self, x: Level, ok: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct names of some symbols, and each one's place; words are sorted already."""
+        if r:
+            return np.unique(x.names[ok], return_inverse=True)
+        here = np.bincount(self.b.tokens[ok], minlength=len(self.b.words)) > 0
+        return self.b.words[here], (np.cumsum(here) - 1)[self.b.tokens[ok]]
+
     def with_names(self, x: Level, r: int, names_of) -> Level:
         """The level with Spark's names; windows that hold a symbol that stands once go."""
         ok = self.sent(x)
-        own, at = np.unique(x.names[ok], return_inverse=True)
+        own, at = self.distinct(x, ok, r)
         got = names_of(r, own)[at]
         lone = got == 0
         lo, hi = x.lo[ok], x.hi[ok]
@@ -147,27 +154,26 @@ class Parse:
         """Starts of the living windows, and how each is written: 64 and 32 bits."""
         p = np.flatnonzero(self.alive)
         end = p + self.window
-        out = []
-        for base in BASES:
-            back, ahead = (np.cumprod(np.append(np.uint64(1), np.full(self.n, f, np.uint64)), dtype=np.uint64) for f in (pow(base, -1, 1 << 64), base))
-            total = np.zeros(len(p), np.uint64)
-            left, right = p.copy(), p.copy()  # the words that higher symbols cover so far: none
-            covered = np.zeros(len(p), bool)
-            for depth in range(len(self.levels) - 1, -1, -1):
-                x = self.levels[depth]
-                run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(x.names) * back[x.start], dtype=np.uint64)])
-                # Spans are in order, so the symbols that a window decides are neighbours.
-                i, j = np.searchsorted(self.monotone(x.lo, True), p), np.searchsorted(self.monotone(x.hi, False), end, side="right")
-                some = j > i
-                stop = np.append(x.start[1:], self.n)
-                i, j = np.where(some, i, 0), np.where(some, j, 1)
-                s, e = x.start[i], stop[j - 1]
-                a, z = np.searchsorted(x.start, left), np.searchsorted(x.start, right)
+        powers = [tuple(np.cumprod(np.append(np.uint64(1), np.full(self.n, f, np.uint64)), dtype=np.uint64) for f in (pow(base, -1, 1 << 64), base)) for base in BASES]
+        totals_ = [np.zeros(len(p), np.uint64) for _ in BASES]
+        left, right = p.copy(), p.copy()  # the words that higher symbols cover so far: none
+        covered = np.zeros(len(p), bool)
+        for x in reversed(self.levels):
+            # Spans are in order, so the symbols that a window decides are neighbours.
+            i, j = np.searchsorted(self.monotone(x.lo, True), p), np.searchsorted(self.monotone(x.hi, False), end, side="right")
+            some = j > i
+            stop = np.append(x.start[1:], self.n)
+            i, j = np.where(some, i, 0), np.where(some, j, 1)
+            s, e = x.start[i], stop[j - 1]
+            a, z = np.searchsorted(x.start, left), np.searchsorted(x.start, right)
+            mixed = mix64(x.names)
+            for total, (back, _) in zip(totals_, powers):
+                run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * back[x.start], dtype=np.uint64)])
                 part = np.where(covered, run[a] - run[i] + run[j] - run[z], run[j] - run[i])
                 total += np.where(some, part, np.uint64(0))
-                left, right, covered = np.where(some, s, left), np.where(some, e, right), covered | some
-            out.append(mix64(total * ahead[p]))
-        return p, out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+            left, right, covered = np.where(some, s, left), np.where(some, e, right), covered | some
+        h, g = (mix64(total * ahead[p]) for total, (_, ahead) in zip(totals_, powers))
+        return p, h, (g >> np.uint64(32)).astype(np.uint32)
 
     @staticmethod
     def monotone(a: np.ndarray, low: bool) -> np.ndarray:
@@ -203,8 +209,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
         """The symbols of level r that a living window decides; names of the levels below are in got."""
         p = parse(b, got, r)
         top = p.raised(p.last, r)
-        own, n = np.unique(top.names[p.sent(top)], return_counts=True)
-        return pa.Table.from_pydict(parcels(r, b.block, own, np.minimum(n, 2), ranges), SCHEMA)
+        own, at = p.distinct(top, p.sent(top), r)
+        return pa.Table.from_pydict(parcels(r, b.block, own, np.minimum(np.bincount(at, minlength=len(own)), 2), ranges), SCHEMA)
 
     def sender(r: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def send(left: pa.Table, got: pa.Table) -> pa.Table:
