@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, linededup, lm, mixing, mtree, quality, simhash, substring
+from . import chat, decontam, filters, html, linededup, lm, mixing, mtree, quality, simhash, substring
 from ..sources.scratch import settle
 from .common import table
 
@@ -54,5 +54,9 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations")).withColumn("loss_spans", F.array_join(F.transform("loss_spans", span), ","))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_substring_dedup, op4_lm_scoring, op5_html_extraction, op6_exact_top_k, op7_decontamination, op8_source_mix, op9_quality, op10_chat_rotation)}
-ORACLE = {"op1_line_dedup": linededup.ORACLE_SQL, "op3_substring_dedup": substring.ORACLE_SQL, "op6_exact_top_k": mtree.ORACLE_SQL, "op7_decontamination": decontam.ORACLE_SQL, "op10_chat_rotation": chat.ORACLE_SQL}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(settle(lambda: filters.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_substring_dedup, op4_lm_scoring, op5_html_extraction, op6_exact_top_k, op7_decontamination, op8_source_mix, op9_quality, op10_chat_rotation, op11_filter_audit)}
+ORACLE = {"op1_line_dedup": linededup.ORACLE_SQL, "op3_substring_dedup": substring.ORACLE_SQL, "op6_exact_top_k": mtree.ORACLE_SQL, "op7_decontamination": decontam.ORACLE_SQL, "op10_chat_rotation": chat.ORACLE_SQL, "op11_filter_audit": filters.ORACLE_SQL}
