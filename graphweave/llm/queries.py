@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, filters, html, linededup, lm, mixing, mtree, quality, simhash, substring, whitening
+from . import chat, decontam, filters, html, linededup, lm, mixing, mtree, quality, simhash, substring, suffix, whitening
 from ..sources.scratch import settle
 from .common import table
 
@@ -62,5 +62,9 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(lambda: whitening.whiten(table(spark, sf_dir, "embeddings")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_substring_dedup, op4_lm_scoring, op5_html_extraction, op6_exact_top_k, op7_decontamination, op8_source_mix, op9_quality, op10_chat_rotation, op11_filter_audit, op12_whitening)}
-ORACLE = {"op1_line_dedup": linededup.ORACLE_SQL, "op3_substring_dedup": substring.ORACLE_SQL, "op6_exact_top_k": mtree.ORACLE_SQL, "op7_decontamination": decontam.ORACLE_SQL, "op10_chat_rotation": chat.ORACLE_SQL, "op11_filter_audit": filters.ORACLE_SQL}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(lambda: suffix.removed(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_substring_dedup, op4_lm_scoring, op5_html_extraction, op6_exact_top_k, op7_decontamination, op8_source_mix, op9_quality, op10_chat_rotation, op11_filter_audit, op12_whitening, op13_suffix_dedup)}
+ORACLE = {"op1_line_dedup": linededup.ORACLE_SQL, "op3_substring_dedup": substring.ORACLE_SQL, "op6_exact_top_k": mtree.ORACLE_SQL, "op7_decontamination": decontam.ORACLE_SQL, "op10_chat_rotation": chat.ORACLE_SQL, "op11_filter_audit": filters.ORACLE_SQL, "op13_suffix_dedup": suffix.ORACLE_SQL}
