@@ -24,9 +24,11 @@ class EngineConfig:
     max_entities: int = _count(20)
     max_relations: int = _count(30)
     max_retry: int = _setting(3, least=0)
-    #: Tasks that ask a provider at once.
+    #: Calls of a provider that are in flight at once in the whole cluster.
     provider_parallelism: int = _count(4)
-    #: Keep every prompt and answer of an index build as a table.
+    #: Answers are joined from pieces where a provider streams them.
+    stream: bool = False
+    #: Keep every prompt and answer as a table: of an index build with the index, of a question with its details.
     keep_payloads: bool = False
     # resolution and descriptions
     entity_resolution: str = _setting("normalized", among=("normalized", "none"))

@@ -67,7 +67,7 @@ def extract_claims(chunks: DataFrame, entities: DataFrame, lookup: DataFrame, pr
     names = shown.agg(F.array_sort(F.collect_list("name")).alias("names"))  # one row
     rows = chunks.select(F.struct("doc_id", "chunk_index").alias("ord"), "chunk_id", "text").crossJoin(F.broadcast(names))
     prompt = prompts.claims(F.col("text"), F.col("names"), WHAT, config.max_claims_per_chunk)
-    got = ask(rows, provider, F.lit("claim_extraction"), prompt, retries=config.max_retry, parallel=config.provider_parallelism, instead="", strict=False)
+    got = ask(rows, provider, F.lit("claim_extraction"), prompt, retries=config.max_retry, parallel=config.provider_parallelism, instead="", strict=False, stream=config.stream)
     p = parsed(save(got.select("ord", "chunk_id", "response")))
     items = F.slice(F.try_variant_get("doc", "$.claims", "array<variant>"), 1, config.max_claims_per_chunk)
     of = lambda v, n: F.try_variant_get(v, f"$.{n}", "variant")

@@ -36,7 +36,7 @@ def raw_responses(chunks: DataFrame, provider: Provider, config: EngineConfig =
     ord_ = F.struct("doc_id", "chunk_index").alias("ord")
     rows = chunks.select(ord_, "chunk_id", "text")
     prompt = prompts.extraction(F.col("text"), config.max_entities, config.max_relations)
-    got = ask(rows.withColumn("prompt", prompt), provider, F.lit("entity_extraction"), F.col("prompt"), retries=config.max_retry, parallel=config.provider_parallelism, valid=usable, instead="", strict=False)
+    got = ask(rows.withColumn("prompt", prompt), provider, F.lit("entity_extraction"), F.col("prompt"), retries=config.max_retry, parallel=config.provider_parallelism, valid=usable, instead="", strict=False, stream=config.stream)
     return save(got.select("ord", "chunk_id", *(["prompt"] if config.keep_payloads else []), "response"))
 
 

@@ -33,7 +33,7 @@ def report_inputs(members: DataFrame, entities: DataFrame, relations: DataFrame)
     return members.select("id").distinct().join(es, "id", "left").join(rs, "id", "left")
 
 
-def reports(members: DataFrame, entities: DataFrame, relations: DataFrame, provider: Provider) -> DataFrame:
+def reports(members: DataFrame, entities: DataFrame, relations: DataFrame, provider: Provider, parallel: int | None = None, stream: bool = False) -> DataFrame:
     """members(id, level, parent_id, size, name), entities(name, type, description),
     relations(source, target, relation_type, ..) -> (id, level, parent_id, size, summary)."""
     heads = members.select("id", "level", "parent_id", "size").distinct()
@@ -52,7 +52,7 @@ def reports(members: DataFrame, entities: DataFrame, relations: DataFrame, provi
         prompt = prompts.community(
             F.col("id"), F.col("level"), empty("es", "array<struct<name: string, type: string, description: string>>"),
             empty("rs", "array<struct<source: string, relation_type: string, target: string>>"), F.col("children"))
-        got = ask(own, provider, F.concat(F.lit("community_summary_"), F.col("id")), prompt).withColumn("summary", F.trim("response"))
+        got = ask(own, provider, F.concat(F.lit("community_summary_"), F.col("id")), prompt, parallel=parallel, stream=stream).withColumn("summary", F.trim("response"))
         got = save(got.withColumn("summary", F.when(F.col("summary") == "", F.raise_error(F.concat(F.lit("empty report for "), F.col("id")))).otherwise(F.col("summary"))).select("id", "level", "parent_id", "size", "summary"))
         done = got if done is None else done.unionByName(got)
     return done if done is not None else rows.select("id", "level", "parent_id", "size", F.lit(None).cast("string").alias("summary"))

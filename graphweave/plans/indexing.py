@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..operators import chunking, claims, community, describe, extract, graph, prune, reports, resolution
-from ..sources.index_store import IndexStore, stamp
+from ..sources.index_store import IndexStore
 from ..sources.scratch import save
 from .embedding import Embedder, HashEmbedder
-from .providers import OfflineProvider, Provider
+from .providers import OfflineProvider, Provider, keeping, payloads
 
 TABLES = ("text_units", "entities", "relations", "entity_chunks", "claims", "communities", "reports", "vectors", "statistics")
-#: Kept on request: the prompts and answers of extraction.
+#: Kept on request: all prompts and answers.
 PAYLOADS = "payloads"
 
 
@@ -52,7 +52,7 @@ def metadata(embedder: Embedder) -> dict:
 def described(mentions: DataFrame, provider: Provider, config: EngineConfig, *keys: str) -> DataFrame:
     if not config.describe:
         return describe.merged_texts(mentions, *keys)
-    return describe.summarise(mentions, provider, *keys, cap=config.max_description_mentions, parallel=config.provider_parallelism, retries=config.max_retry)
+    return describe.summarise(mentions, provider, *keys, cap=config.max_description_mentions, parallel=config.provider_parallelism, retries=config.max_retry, stream=config.stream)
 
 
 def build_graph(entity_mentions: DataFrame, relation_mentions: DataFrame, config: EngineConfig, provider: Provider | None = None) -> dict[str, DataFrame]:
@@ -90,8 +90,7 @@ def embed(index: dict[str, DataFrame], config: EngineConfig, embedder: Embedder
     return e.unionByName(t).unionByName(c)
 
 
-def build_index(docs: DataFrame, config: EngineConfig = EngineConfig(), provider: Provider | None = None, embedder: Embedder | None = None) -> Index:
-    provider = provider or OfflineProvider()
+def _tables(docs: DataFrame, config: EngineConfig, provider: Provider, embedder: Embedder | None) -> dict[str, DataFrame]:
     out = {"text_units": save(chunking.chunk_documents(docs, config))}
     raw = extract.raw_responses(out["text_units"], provider, config)
     e, r = extract.mentions(raw.select("ord", "chunk_id", "response"))
@@ -104,11 +103,18 @@ def build_index(docs: DataFrame, config: EngineConfig = EngineConfig(), provider
     else:
         out["claims"] = docs.sparkSession.createDataFrame([], claims.CLAIMS)
     out["communities"] = community.hierarchy(out["entities"], graph.undirected(out["relations"]), config)
-    out["reports"] = reports.reports(out["communities"], out["entities"], out["relations"], provider)
+    out["reports"] = reports.reports(out["communities"], out["entities"], out["relations"], provider, config.provider_parallelism, config.stream)
     out["vectors"] = save(embed(out, config, embedder))
     out["statistics"] = save(graph.statistics(out["entities"], out["relations"]))
-    if config.keep_payloads:
-        out[PAYLOADS] = raw.select("chunk_id", F.lit("entity_extraction").alias("task"), "prompt", "response", F.length("prompt").alias("prompt_length"), F.length("response").alias("response_length"), F.lit(stamp()).alias("timestamp"))
+    return out
+
+
+def build_index(docs: DataFrame, config: EngineConfig = EngineConfig(), provider: Provider | None = None, embedder: Embedder | None = None) -> Index:
+    provider = provider or OfflineProvider()
+    with keeping(config.keep_payloads) as kept:
+        out = _tables(docs, config, provider, embedder)
+    if (calls := payloads(kept)) is not None:
+        out[PAYLOADS] = calls
     return Index(out, config, embedder)
 
 

@@ -12,9 +12,9 @@ from ..functions.text import normalize_question, strip, token_count, truncate_to
 from ..operators import budget, graph, retrieve
 from ..operators.community import choose_level
 from ..sources.scratch import save
-from . import prompts
+from . import prompts, providers
 from .indexing import Index
-from .providers import OfflineProvider, Provider, ask
+from .providers import OfflineProvider, Provider, keeping, payloads
 
 #: Answers without evidence.
 NO_REPORTS = "No community reports were available at the selected hierarchy level."
@@ -29,6 +29,10 @@ class Answer:
     details: dict[str, DataFrame]
 
 
+def ask(rows: DataFrame, index: Index, provider: Provider | None, task: Column, prompt: Column) -> DataFrame:
+    return providers.ask(rows, provider or OfflineProvider(), task, prompt, retries=index.config.max_retry, parallel=index.config.provider_parallelism, stream=index.config.stream)
+
+
 def _vectors(index: Index, kind: str) -> DataFrame:
     return index.vectors.filter(F.col("kind") == kind).select("key", "vector")
 
@@ -61,7 +65,7 @@ def basic(index: Index, questions: DataFrame, top_k: int = 5, provider: Provider
     hits = retrieve.rank_named(_vectors(index, "chunk"), _embedded(questions, index), k)
     hits = save(hits.join(index.text_units.withColumnRenamed("chunk_id", "key"), "key"))
     rows = _items(_listed(hits, "rank", F.col("text")), "texts", questions)
-    got = ask(rows, provider or OfflineProvider(), F.lit("basic_query_answer"), prompts.basic(F.col("query"), F.col("texts")))
+    got = ask(rows, index, provider, F.lit("basic_query_answer"), prompts.basic(F.col("query"), F.col("texts")))
     return Answer(got.select(Q, strip(F.col("response")).alias("answer")), as_sources(hits, "text_unit", "key", "rank", F.col("text"), 240), {"text_units": hits})
 
 
@@ -131,7 +135,7 @@ def source_ids(details: dict[str, DataFrame], mode: str) -> DataFrame:
 def local(index: Index, questions: DataFrame, top_k: int = 5, provider: Provider | None = None) -> Answer:
     ctx = local_context(index, questions, top_k, index.config.local_tokens)
     rows = _local_lists(ctx, questions, index.config.shown_items)
-    got = ask(rows, provider or OfflineProvider(), F.lit("local_query_answer"), prompts.local(F.col("query"), F.col("es"), F.col("rs"), F.col("ts"), F.col("cs")))
+    got = ask(rows, index, provider, F.lit("local_query_answer"), prompts.local(F.col("query"), F.col("es"), F.col("rs"), F.col("ts"), F.col("cs")))
     by_name = numbered(ctx["entities"], "name").filter(F.col("r") <= top_k)
     by_id = numbered(ctx["claims"], "id")
     sources = as_sources(ctx["text_units"], "text_unit", "key", "rank", F.col("text"), 240).unionByName(as_sources(by_name, "entity", "name", "r", F.col("description"), 200)).unionByName(as_sources(by_id, "claim", "id", "r", F.col("description"), 240))
@@ -168,18 +172,18 @@ def parse_points(rows: DataFrame) -> DataFrame:
 
 def global_(index: Index, questions: DataFrame, level: int | None = None, top_k: int = 24, provider: Provider | None = None) -> Answer:
     """Reports are packed into batches, a provider lists points for each, the best points within a budget are reduced."""
-    config, provider = index.config, provider or OfflineProvider()
+    config = index.config
     reports = community_context(index, questions, config.global_community_level if level is None else level, min(top_k, config.global_top_k), config.global_tokens)
     packed = budget.batches(reports.select(Q, "rank", "id", "text"), config.map_tokens, [Q])
     maps = packed.groupBy(Q, "batch").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "text"))).alias("r")).join(questions, Q)
     maps = maps.withColumn("shown", F.transform("r", lambda x: F.concat(x["id"], F.lit(": "), x["text"])))
-    got = ask(maps, provider, F.concat(F.lit("global_map_"), (F.col("batch") - 1).cast("string")), prompts.global_map(F.col("query"), F.col("shown")))
+    got = ask(maps, index, provider, F.concat(F.lit("global_map_"), (F.col("batch") - 1).cast("string")), prompts.global_map(F.col("query"), F.col("shown")))
     points = parse_points(save(got.select(Q, "batch", F.transform("r", lambda x: x["id"]).alias("source_reports"), "response"))).filter("score > 0")
     points = points.withColumn("rank", F.row_number().over(Window.partitionBy(Q).orderBy(F.desc("score"), "description", "batch"))).withColumnRenamed("description", "text")
     chosen = save(budget.select_within(points, config.reduce_tokens, [Q]))
     rows = _items(_listed(chosen, "rank", F.col("text")), "points", questions)
     some = reports.select(Q).distinct().withColumn("some", F.lit(True))
-    got = ask(rows.filter(F.size("points") > 0), provider, F.lit("global_reduce"), prompts.global_reduce(F.col("query"), F.col("points"))).select(Q, strip(F.col("response")).alias("said"))
+    got = ask(rows.filter(F.size("points") > 0), index, provider, F.lit("global_reduce"), prompts.global_reduce(F.col("query"), F.col("points"))).select(Q, strip(F.col("response")).alias("said"))
     answers = rows.join(some, Q, "left").join(got, Q, "left").select(Q, F.when(F.col("some").isNull(), NO_REPORTS).when(F.size("points") == 0, NO_POINTS).otherwise(F.col("said")).alias("answer"))
     return Answer(answers, as_sources(reports, "community", "id", "rank", F.col("text"), 240), {"reports": reports, "map_points": chosen})
 
@@ -218,12 +222,12 @@ def frontier(candidates: DataFrame, seen: DataFrame, k: int) -> tuple[DataFrame,
 def drift(index: Index, questions: DataFrame, level: int | None = None, provider: Provider | None = None) -> Answer:
     """Bounded exploration: a first answer from community reports gives follow-ups; each depth's best are looked into
     locally and may give more. All questions of a depth are one job."""
-    config, provider = index.config, provider or OfflineProvider()
+    config = index.config
     n = config.drift_primer_folds
     reports = community_context(index, questions, config.drift_community_level if level is None else level, min(3 * n, config.global_top_k), config.drift_primer_tokens)
     dealt = folds(reports, n).groupBy(Q, "fold").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "text"))).alias("r")).join(questions, Q)
     dealt = dealt.withColumn("shown", F.transform("r", lambda x: F.concat(x["id"], F.lit(": "), x["text"])))
-    primed = save(ask(dealt, provider, F.lit("drift_primer"), prompts.drift_primer(F.col("query"), F.col("shown"))).select(Q, "fold", "response"))
+    primed = save(ask(dealt, index, provider, F.lit("drift_primer"), prompts.drift_primer(F.col("query"), F.col("shown"))).select(Q, "fold", "response"))
     doc = F.try_parse_json(json_object(F.col("response")))
     said = primed.withColumn("a", strip(F.coalesce(F.try_variant_get(doc, "$.answer", "string"), F.when(doc.isNull(), F.col("response")), F.lit("")))).filter("a <> ''")
     primer = questions.join(said.groupBy(Q).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fold", "a"))), lambda x: x["a"]), "\n").alias("primer")), Q, "left").select(Q, "query", F.coalesce("primer", F.lit("")).alias("primer"))
@@ -247,7 +251,7 @@ def drift(index: Index, questions: DataFrame, level: int | None = None, provider
         prior = evidence.groupBy(F.col(Q).alias("root")).agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "id", "answer"))), lambda x: x["answer"]).alias("prior"))
         rows = lists.withColumnRenamed(Q, "k").join(asked, "k").join(prior, "root", "left").join(questions.select(F.col(Q).alias("root"), F.col("query").alias("root_query")), "root")
         shown = prompts.local(F.col("question"), F.col("es"), F.col("rs"), F.col("ts"), F.col("cs"))
-        got = save(ask(rows, provider, F.concat(F.lit("drift_followup_"), F.col("id")), prompts.drift_followup(F.col("root_query"), F.col("question"), shown, F.coalesce("prior", F.array().cast("array<string>")))).select("k", F.col("root").alias(Q), "id", "question", "depth", "parent_id", "place", "response"))
+        got = save(ask(rows, index, provider, F.concat(F.lit("drift_followup_"), F.col("id")), prompts.drift_followup(F.col("root_query"), F.col("question"), shown, F.coalesce("prior", F.array().cast("array<string>")))).select("k", F.col("root").alias(Q), "id", "question", "depth", "parent_id", "place", "response"))
         ids = local_ids(ctx).withColumnRenamed(Q, "k")
         doc = F.try_parse_json(json_object(F.col("response")))
         confidence = F.when(doc.isNull(), 0.25).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_variant_get(doc, "$.confidence", "double"), F.lit(0.0)))))
@@ -268,7 +272,7 @@ def drift(index: Index, questions: DataFrame, level: int | None = None, provider
     ranked = evidence.withColumn("rank", F.row_number().over(order)).withColumn("text", text).join(primer.select(Q, "left"), Q)
     chosen = save(budget.select_within(ranked, F.col("left"), [Q]))
     rows = _items(_listed(chosen, "rank", F.col("text")), "evidence", primer)
-    got = ask(rows, provider, F.lit("drift_reduce"), prompts.drift_reduce(F.col("query"), F.col("primer"), F.col("evidence")))
+    got = ask(rows, index, provider, F.lit("drift_reduce"), prompts.drift_reduce(F.col("query"), F.col("primer"), F.col("evidence")))
     listed = evidence.withColumn("r", F.row_number().over(order))
     sources = as_sources(reports, "community", "id", "rank", F.col("text"), 200).unionByName(as_sources(listed, "drift_evidence", "id", "r", F.col("answer"), 240))
     return Answer(got.select(Q, strip(F.col("response")).alias("answer")), sources, {"reports": reports, "evidence": evidence, "trace": trace, "reduce_evidence": chosen})
@@ -283,4 +287,8 @@ def query(index: Index, questions: DataFrame, mode: str, **options) -> Answer:
     limit = index.config.max_query_characters
     if limit is not None and not questions.filter(F.length("query") > limit).isEmpty():
         raise ValueError("a question is too long")
-    return MODES[mode](index, questions, **options)
+    with keeping(index.config.keep_payloads) as kept:
+        answer = MODES[mode](index, questions, **options)
+    if (calls := payloads(kept)) is not None:
+        answer.details["payloads"] = calls
+    return answer

@@ -1,18 +1,30 @@
 """Text providers: who answers a prompt. A provider is asked from within tasks,
-so it must be picklable; it is given the task's name and the prompt."""
+so it must be picklable; it is given the task's name and the prompt.
+
+A provider mostly waits, so each task keeps a window of calls in flight, in
+threads, and hands their answers on in the order of its rows. How many calls the
+cluster makes at once is bounded by tasks times window: no prompt is moved.
+"""
 
 from __future__ import annotations
 
+import contextvars
 import logging
 import time
-from collections.abc import Callable, Mapping
+from collections import deque
+from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import Future, ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import save
 
 log = logging.getLogger("graphweave.providers")
 
@@ -64,18 +76,74 @@ class CannedProvider:
         return self.answers[task] if task in self.answers else self.fallback.complete(task, prompt)
 
 
+class StreamingProvider(Provider, Protocol):
+    """One that can hand out an answer piece by piece."""
+
+    def stream(self, task: str, prompt: str) -> Iterator[str]: ...
+
+
+#: Where ask() leaves what was asked and answered, inside keeping().
+_kept: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("graphweave_payloads", default=None)
+
+
+@contextmanager
+def keeping(wanted: bool = True) -> Iterator[list[DataFrame]]:
+    """Every call that is made inside is kept, for payloads(); unless it isn't wanted."""
+    kept: list[DataFrame] = []
+    token = _kept.set(kept if wanted else None)
+    try:
+        yield kept
+    finally:
+        _kept.reset(token)
+
+
+def payloads(kept: list[DataFrame]) -> DataFrame | None:
+    """(task, prompt, response, prompt_length, response_length, provider, timestamp) of all calls kept; None without any."""
+    return reduce(DataFrame.unionByName, kept) if kept else None
+
+
+def calls_at_once(cores: int, parallel: int | None) -> tuple[int | None, int]:
+    """(at most so many tasks, calls in flight in each) for so many calls in the whole cluster: tasks use all cores and
+    share the calls; where there are fewer calls than cores, there are fewer tasks of one call each."""
+    if parallel is None:
+        return None, 1
+    return (parallel, 1) if parallel < cores else (None, parallel // cores)
+
+
+def in_order(calls: Iterator[Callable[[], str | None]], window: int) -> Iterator[str | None]:
+    """The calls' results in their order, window calls in flight. The first error, in that order, is raised; calls that
+    have not begun by then are dropped."""
+    with ThreadPoolExecutor(window) as pool:
+        flying: deque[Future] = deque()
+        try:
+            for call in calls:
+                flying.append(pool.submit(call))
+                # Those behind the window are ready when one ends; answers wait here no longer than for the slowest.
+                if len(flying) > 2 * window:
+                    yield flying.popleft().result()
+            while flying:
+                yield flying.popleft().result()
+        finally:
+            for f in flying:
+                f.cancel()
+
+
 def ask(
     df: DataFrame, provider: Provider, task: Column, prompt: Column, name: str = "response", retries: int = 3, wait: float = 0.5, parallel: int | None = None,
-    valid: Callable[[str], bool] | None = None, instead: str | None = None, strict: bool = True,
+    valid: Callable[[str], bool] | None = None, instead: str | None = None, strict: bool = True, stream: bool = False,
 ) -> DataFrame:
-    """df with the provider's answer. Errors, and answers that are not valid, are tried again. After the last try an
-    error is raised if strict, else the answer is `instead`; an invalid answer stays as it is. parallel bounds how many
-    tasks ask at once. Prompts and answers are never logged, only their lengths."""
+    """df with the provider's answer. Errors, and answers that are not valid, are tried again, after a wait that doubles.
+    After the last try an error is raised if strict, else the answer is `instead`; an invalid answer stays as it is.
+    parallel bounds the calls in flight in the whole cluster; tasks are joined, without a shuffle, only where it is less
+    than the cores. stream: an answer is joined from its pieces where the provider has any. Prompts and answers are
+    never logged, only their lengths."""
+    tasks, window = calls_at_once(df.sparkSession.sparkContext.defaultParallelism, parallel)
+    pieces = getattr(provider, "stream", None) if stream else None
 
     def one(t: str, p: str) -> str | None:
         for turn in range(retries + 1):
             try:
-                got = provider.complete(t, p)
+                got = "".join(pieces(t, p)) if pieces else provider.complete(t, p)
                 log.info("asked %s for %s: %d characters, %d back", provider.name, t, len(p), len(got or ""))
                 if turn == retries or valid is None or valid(got):
                     return got
@@ -88,9 +156,35 @@ def ask(
                 time.sleep(wait * 2**turn)
         raise AssertionError
 
-    def run(tasks: pd.Series, prompts: pd.Series) -> pd.Series:
-        return pd.Series([one(t, p) for t, p in zip(tasks, prompts)], dtype=object)
-
-    rows = df.repartition(parallel) if parallel else df
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        sizes: deque[int] = deque()
+
+        def calls() -> Iterator[Callable[[], str | None]]:
+            for ts, ps in batches:
+                sizes.append(len(ts))
+                yield from (lambda t=t, p=p: one(t, p) for t, p in zip(ts, ps))
+
+        done: list[str | None] = []
+        for answer in in_order(calls(), window):
+            done.append(answer)
+            while sizes and len(done) >= sizes[0]:
+                n = sizes.popleft()
+                yield pd.Series(done[:n], dtype=object)
+                done = done[n:]
+        yield from (pd.Series([], dtype=object) for _ in sizes)  # empty batches at the end
+
+    rows = df.coalesce(tasks) if tasks else df
+    kept = _kept.get()
+    if kept is not None:
+        rows = rows.withColumns({"task_": task, "prompt_": prompt})
+        task, prompt = F.col("task_"), F.col("prompt_")
     # Not deterministic for Spark: it is asked once a row, and never again for another column.
-    return rows.withColumn(name, F.pandas_udf(run, "string").asNondeterministic()(task, prompt))
+    got = rows.withColumn(name, F.pandas_udf(run, "string").asNondeterministic()(task, prompt))
+    if kept is None:
+        return got
+    got = save(got)
+    now = F.lit(datetime.now(timezone.utc).isoformat())
+    kept.append(got.select(
+        F.col("task_").alias("task"), F.col("prompt_").alias("prompt"), F.col(name).alias("response"), F.length("prompt_").alias("prompt_length"), F.length(name).alias("response_length"),
+        F.lit(provider.name).alias("provider"), now.alias("timestamp")))
+    return got.drop("task_", "prompt_")

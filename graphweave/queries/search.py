@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import replace
 from functools import reduce
 
@@ -12,7 +14,7 @@ from ..config import EngineConfig
 from ..operators import extract, graph, reports
 from ..plans import evaluate, indexing, modes
 from ..plans.embedding import ShaEmbedder
-from ..plans.providers import OFFLINE_ANSWER, OFFLINE_ANSWERS, CannedProvider
+from ..plans.providers import OFFLINE_ANSWER, OFFLINE_ANSWERS, CannedProvider, ask
 from ..sources.scratch import save, settle
 from .base import GRAPH, entities, longs, query, relations, table
 from .retrieval import BULK, table_graph
@@ -152,7 +154,6 @@ class FirstWords:
 
     def complete(self, task: str, prompt: str) -> str:
         import json
-        import re
 
         words = re.findall(r"[A-Za-z]+", prompt.split("Text:\n", 1)[1])[:2]
         es = [{"name": w, "type": "word", "description": f"a word of {len(w)} letters"} for w in words]
@@ -180,6 +181,42 @@ def graph_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(run)
 
 
+class Pieces:
+    """A provider that streams: the first three words of a text, piece by piece, and its length. Every prompt whose length
+    is a multiple of five fails at first."""
+
+    name = "pieces"
+
+    def __init__(self) -> None:
+        self.failed: set[str] = set()
+
+    def complete(self, task: str, prompt: str) -> str:
+        raise NotImplementedError("it streams")
+
+    def stream(self, task: str, prompt: str) -> Iterator[str]:
+        text = prompt.split("Text:\n", 1)[1]
+        for w in re.findall("[A-Za-z]+", text)[:3]:
+            yield w.upper()
+            yield " "
+        if len(text) % 5 == 0 and prompt not in self.failed:
+            self.failed.add(prompt)
+            raise OSError("broken off")
+        yield f"{task}:{len(text)}"
+
+
+@query("""SELECT doc_id, concat_ws(' ', nullif(array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')[1:3], lambda w: upper(w)), ' '), ''), 'sum up:' || length(coalesce(text, ''))) AS answer,
+  length('Text:' || chr(10) || coalesce(text, ''))::BIGINT AS prompt_length FROM documents""")
+def provider_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's prompt, many in flight, answers joined from pieces and tried again where they broke off."""
+
+    def run() -> DataFrame:
+        docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Text:\n"), F.coalesce("text", F.lit(""))).alias("prompt"))
+        got = ask(docs, Pieces(), F.lit("sum up"), F.col("prompt"), "answer", wait=0.001, parallel=64, stream=True)
+        return got.select("doc_id", "answer", F.length("prompt").cast("long").alias("prompt_length"))
+
+    return settle(run)
+
+
 class Counter:
     """A provider that says how many entities, relations and inner reports a report's prompt shows."""
 
