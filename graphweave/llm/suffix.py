@@ -53,9 +53,9 @@ HOT = 4096
 #: Rows that a range has, about, before those go whose anchors stand once.
 RANGE_ROWS = 1 << 16
 #: Of texts in a block: the least, and the most, for corpora that would make too many blocks.
-BLOCK_BYTES, MOST_BYTES, BLOCKS = 3 << 20, 12 << 20, 1 << 22
+BLOCK_BYTES, MOST_BYTES, BLOCKS = 2 << 20, 12 << 20, 1 << 22
 #: Positions that are hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 ANCHORS, MERGED, COUNTED = 0, 1, 2
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: The first k bytes of a symbol.
@@ -87,27 +87,41 @@ class Text:
             h ^= h >> np.uint64(29)
         return mix64(h)
 
-    def anchors(self) -> np.ndarray:
-        """Of every window, also of those that cross texts."""
-        out = np.empty(max(0, self.n - self.window + 1), np.int64)
+    def anchors(self, s: int, e: int) -> np.ndarray:
+        """Of the windows that begin in [s, e), also of those that cross texts."""
         span = self.window - self.gram + 1
         low = np.uint64((1 << (CHUNK + span).bit_length()) - 1)
-        for s in range(0, len(out), CHUNK):
-            e = min(len(out), s + CHUNK)
-            place = np.arange(e - s + span - 1, dtype=np.uint64)
-            out[s:e] = s + (sliding_min(self.folded(slice(s, e + span - 1)) & ~low | place, span) & low).astype(np.int64)
-        return out
+        place = np.arange(e - s + span - 1, dtype=np.uint64)
+        return s + (sliding_min(self.folded(slice(s, e + span - 1)) & ~low | place, span) & low).astype(np.int64)
 
     def rows(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First window, number of windows, anchor of each row."""
-        anchor = self.anchors()
-        ends = np.cumsum(lengths)
-        p = np.flatnonzero((np.repeat(ends, lengths) - np.arange(self.n))[: len(anchor)] >= self.window)
-        a = anchor[p]
-        head = np.ones(len(p), bool)
-        head[1:] = (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)
-        at = np.flatnonzero(head)
-        return p[at], np.diff(np.append(at, len(p))), a[at]
+        whole = np.ones(self.n, bool)  # a window begins here and ends in the same text
+        cut = np.minimum(lengths, self.window - 1)
+        whole[np.repeat(np.cumsum(lengths) - cut, cut) + ramp(cut)] = False
+        parts: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        before = (-2, -1)  # the window before this chunk and its anchor
+        for s in range(0, self.n - self.window + 1, CHUNK):
+            e = min(self.n - self.window + 1, s + CHUNK)
+            p = np.flatnonzero(whole[s:e])
+            if not len(p):
+                continue
+            a, p = self.anchors(s, e)[p], p + s
+            head = np.ones(len(p), bool)
+            head[0] = before != (p[0] - 1, a[0])
+            head[1:] = (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)
+            at = np.flatnonzero(head)
+            parts.append((p[at], a[at]))
+            before = int(p[-1]), int(a[-1])
+        first, anchor = (np.concatenate(x) for x in zip(*parts))
+        # A row ends where the next begins or its text has no more windows.
+        stop = np.cumsum(lengths) - self.window + 1
+        return first, np.minimum(np.append(first[1:], self.n), stop[np.searchsorted(stop, first, side="right")]) - first, anchor
+
+
+def ramp(counts: np.ndarray) -> np.ndarray:
+    """0, 1, .. for each count."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def pack(docs: DataFrame, key: str, text: str, window: int, gram: int) -> DataFrame:
@@ -147,11 +161,6 @@ def pack(docs: DataFrame, key: str, text: str, window: int, gram: int) -> DataFr
     return save_buckets(rows.mapInArrow(run, f"block long, keys array<{kind}>, lengths binary, text binary, n_rows long, first binary, windows binary, anchor binary"), "block", min(TASKS, max(8, n_bytes // (most * BLOCKS_PER_TASK))))
 
 
-def ramp(counts: np.ndarray) -> np.ndarray:
-    """0, 1, .. for each count."""
-    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-
-
 class Shard(Text):
     """A block and its rows."""
 
@@ -192,12 +201,16 @@ class Shard(Text):
     def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Windows of hot anchors: their starts, their distinct hashes of 64 and 32 bits, and the place of each among these."""
         p = np.repeat(self.first[self.hot], self.windows[self.hot]) + ramp(self.windows[self.hot])
-        hashes = []
-        for base in BASES if len(p) else ():
-            back, ahead = (np.cumprod(np.append(np.uint64(1), np.full(self.n, f, np.uint64)), dtype=np.uint64) for f in (pow(base, -1, 1 << 64), base))
-            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * back[: self.n], dtype=np.uint64)])
-            hashes.append(mix64((run[p + self.window] - run[p]) * ahead[p]))
-        h, g = hashes or (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        h, g = np.zeros(len(p), np.uint64), np.zeros(len(p), np.uint64)
+        cuts = np.searchsorted(p, np.arange(0, self.n + CHUNK, CHUNK)).tolist()  # p grows
+        for s, (i, j) in enumerate(zip(cuts, cuts[1:])):
+            if j > i:
+                t = self.bytes[s * CHUNK : (s + 1) * CHUNK + self.window].astype(np.uint64) + np.uint64(1)
+                at = p[i:j] - s * CHUNK
+                for out, base in zip((h, g), BASES):
+                    back, ahead = (np.cumprod(np.append(np.uint64(1), np.full(len(t) - 1, f, np.uint64)), dtype=np.uint64) for f in (pow(base, -1, 1 << 64), base))
+                    run = np.append(np.uint64(0), np.cumsum(t * back, dtype=np.uint64))
+                    out[i:j] = mix64((run[at + self.window] - run[at]) * ahead[at])
         g = (g >> np.uint64(32)).astype(np.uint32)
         order = np.lexsort((g, h))
         head = np.ones(len(h), bool)
@@ -336,13 +349,13 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
             change = np.zeros(s.n + 1, np.int32)
             change[starts] += 1  # a window is in one row
             change[starts + window] -= 1
-            gone = np.cumsum(change[: s.n]) > 0
+            gone = np.cumsum(change[: s.n], dtype=np.int32) > 0
             ends = np.cumsum(s.lengths)
             opens = gone.copy()
             opens[1:] &= ~gone[:-1]
             begin = (ends - s.lengths)[s.lengths > 0]
             opens[begin] = gone[begin]
-            sums = [np.append(0, np.cumsum(x)) for x in (gone, opens)]
+            sums = [np.append(np.int32(0), np.cumsum(x, dtype=np.int32)) for x in (gone, opens)]
             kept = s.bytes[~gone].tobytes()
             end = (ends - sums[0][ends]).tolist()
             out.append({

@@ -85,9 +85,30 @@ def test_interleave_is_the_order_of_all_texts(seed):
     assert common[1:].tolist() == [lcp(texts[a], texts[b]) for a, b in zip(rows, rows[1:])]
 
 
+@pytest.mark.parametrize("chunk", [50, 333, 1 << 18])
+def test_rows_across_chunks(monkeypatch, chunk):
+    """Rows are the runs of windows of one anchor within a text, however the block is cut for hashing."""
+    r = random.Random(chunk)
+    texts = ["".join(r.choices("ab", k=k)).encode() for k in (0, 30, 24, 23, 900, 0, 200, 24)] + [b"c" * 90]
+    data = b"".join(texts)
+    text = suffix.Text(data, 24, 8)
+    every = text.anchors(0, len(data) - 23)
+    monkeypatch.setattr(suffix, "CHUNK", chunk)
+    first, windows, anchor = text.rows(np.array([len(t) for t in texts]))
+    want, start = [], 0
+    for t in texts:
+        for p in range(start, start + len(t) - 23):
+            if want and want[-1][2] == every[p] and want[-1][0] + want[-1][1] == p and p > start:
+                want[-1][1] += 1
+            else:
+                want.append([p, 1, every[p]])
+        start += len(t)
+    assert [list(x) for x in zip(first.tolist(), windows.tolist(), anchor.tolist())] == want
+
+
 def test_equal_windows_have_equal_anchors():
     r = random.Random(4)
     p = "".join(r.choices("ab", k=400)).encode()
     text = suffix.Text(b"x" * 77 + p + b"yy" * 150 + p, 200, 56)
-    a = text.anchors()
+    a = text.anchors(0, text.n - 199)
     assert (a[77 : 77 + 201] - 77 == a[777 : 777 + 201] - 777).all()
