@@ -13,7 +13,10 @@ or main element is around it, all other text of the page that is no aside and
 no list of links is kept too: headings, short blocks, lists and tables.
 Menus, headers (but for their headings), footers, sidebars, notices, adverts,
 forms, comments of readers, scripts and styles give no blocks, wherever they
-stand.
+stand: what an element is, or a name that says only that, decides. A name that
+may mean something else (related-work, market-share, responses) is a doubt, and
+the content decides: an element with links, controls or little text goes, any other
+stays, and so does every doubtful part of a sentence, a list or a table.
 
 Defined cases: a null, empty or text-free page gives an empty text, and so does
 one of links alone outside of article and main; unclosed
@@ -52,61 +55,80 @@ NOT_TEXT = frozenset("nav footer aside form head menu dialog button fieldset opt
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 KEPT_TAGS = frozenset("html body article main".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form note status".split())
-#: Anywhere in a class or id they say that it is not the article; the weaker ones only as its head word.
-STRONG = re.compile(r"(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|disqus|newsletter\w*|subscri\w*|related\w*|recommend\w*|breadcrumbs?|sharing|share|social\w*)\Z")
+#: In a class or id these raise a doubt; they decide if they are its head word (the sure ones), or if all its words are
+#: of this kind.
+DOUBTFUL = re.compile(
+    r"(?:ad|ads|adv|advert\w*|sponsor\w*|promo|promos|promot\w*|cookies?|consent|gdpr|disqus|newsletter\w*|subscri\w*|related|recommend\w*|breadcrumbs?|sharing|share|shares|socials?"
+    r"|comments?|commenters?|commentlist|replies|responses)\Z")
+SURE = re.compile(r"(?:ad|ads|advert|adverts|advertis\w+|sponsor\w*|promo|promos|promoted|cookies?|gdpr|disqus|newsletter\w*|subscribe|breadcrumbs?|comments?|commenters?|commentlist)\Z")
+#: As its head word they decide too.
 WEAK = re.compile(
     r"(?:banner\w*|nav\w*|menu\w*|sidebar\w*|footer\w*|header\w*|masthead|notice\w*|notification\w*|alert\w*|popup\w*|modal\w*|overlay|signup|login|pagination|pager"
     r"|widget\w*|toolbar|searchbox|search|copyright|disclaimer|paywall|teaser\w*|trending|popular)\Z"
 )
-OF_READERS = re.compile(r"(?:comments?|commenters?|commentlist|disqus|replies|responses)\Z")
 #: Words that only hold another; and those that begin a remark on the layout.
 HOLDERS = frozenset("container wrapper wrap box block inner outer area section list item items content body text col column row top bottom left right main slot zone unit panel".split())
+#: Words that go with those of menus, adverts and comments.
+COMPANY = frozenset(
+    "button buttons link links icon icons bar form label message post posts article articles story stories news now more us you your also like this here close toggle site page blog "
+    "global primary secondary sticky fixed floating media network networks tools google user users reader readers visitor visitors count policy preferences settings".split()
+)
 REMARKS = frozenset("has with no without is show hide".split())
 #: Text with this share of links, or more, is a menu where no article or main element is around the best container.
 LINKS = 0.5
+#: A doubtful element goes with this share of links or more, or with fewer characters.
+DOUBTFUL_LINKS, DOUBTFUL_CHARS = 0.3, 80
+CONTROLS = frozenset("input button select textarea form".split())
 #: What an opening tag closes, up to the given bounds.
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 BOUNDS = frozenset("html body table td th ul ol dl select button article section div main aside nav header footer form".split())
 
 
-def _aside(tag: str, attrs: str) -> bool:
+STAYS, DOUBT, GOES = range(3)
+
+
+def _aside(tag: str, attrs: str) -> int:
     """Whether an element is outside of the article by what it is or says."""
     if tag in NOT_TEXT:
-        return True
+        return GOES
     if not attrs or attrs.isspace():
-        return False
+        return STAYS
     names: list[list[str]] = []
     for m in NAMES.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return GOES
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return GOES
         if name == "role" and value.lower() in NOT_ROLES:
-            return True
+            return GOES
         if name in ("class", "id"):
             names += [[x.lower() for x in WORDS.findall(v)] for v in value.split()]
     if tag in ("html", "body", "main"):
-        return False
-    names = [n for n in names if n and n[0] not in REMARKS]
-    if any(OF_READERS.match(x) for n in names for x in n):
-        return True
-    return tag not in KEPT_TAGS and any(_named_aside(n) for n in names)
+        return STAYS
+    named = max((_named(n) for n in names if n and n[0] not in REMARKS), default=STAYS)
+    # An article element is only what readers wrote, or a doubt to its neighbours.
+    return named if tag not in KEPT_TAGS or any(x in ("comment", "comments") for n in names for x in n[-1:]) else STAYS
 
 
-def _named_aside(words: list[str]) -> bool:
-    if any(STRONG.match(x) for x in words):
-        return True
-    while len(words) > 1 and words[-1] in HOLDERS:
+def _named(words: list[str]) -> int:
+    words = [x for x in words if not x.isdigit()]
+    doubt = any(DOUBTFUL.match(x) for x in words)
+    own = [x for x in words if x not in HOLDERS]
+    if doubt and len(own) > 1 and all(DOUBTFUL.match(x) or WEAK.match(x) or x in COMPANY for x in own):
+        return GOES
+    while len(words) > 1 and (words[-1] in HOLDERS):
         words = words[:-1]
-    return bool(WEAK.match(words[-1]))
+    if words and (WEAK.match(words[-1]) or SURE.match(words[-1])):
+        return GOES
+    return DOUBT if doubt else STAYS
 
 
 class _Page:
     """Nodes as parallel lists, parents first; blocks in page order."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.out, self.head = [-1], ["#page"], [False], [False]
+        self.parent, self.tag, self.out, self.head, self.doubt, self.controls = [-1], ["#page"], [False], [False], [False], [0]
         self.other: set[int] = set()  # article elements with the name of an aside
         self.blocks: list[tuple[str, int, int]] = []  # text, link characters, owner
         self.home = [0]  # the node that owns text standing directly in each node
@@ -131,6 +153,8 @@ class _Page:
             if m[1]:
                 self.close(tag)
                 continue
+            if tag in CONTROLS:
+                self.controls[self.stack[-1]] += 1
             if tag in RAW:
                 low = low if low is not None else source.lower()
                 if len(low) != len(source):  # letters whose lower case is longer
@@ -173,9 +197,12 @@ class _Page:
         top = self.stack[-1]
         self.parent.append(top)
         self.tag.append(tag)
-        self.out.append(self.out[top] or _aside(tag, attrs))
+        said, block = _aside(tag, attrs), tag in BLOCK or tag in CELLS
+        self.out.append(self.out[top] or said == GOES)
+        self.doubt.append(said == DOUBT and block)
+        self.controls.append(0)
         self.head.append(self.head[top] or tag == "header")
-        node, block = len(self.tag) - 1, tag in BLOCK or tag in CELLS
+        node = len(self.tag) - 1
         self.home.append(node if block or self.out[-1] else self.home[top])
         if tag == "article" and _aside("section", attrs):
             self.other.add(node)
@@ -231,8 +258,33 @@ class _Page:
             self.owner = self.home[self.stack[-1]]
 
 
+def _sums(page: _Page, values: list[int]) -> list[int]:
+    """Of each node, with all below it."""
+    for i in range(len(values) - 1, 0, -1):
+        values[page.parent[i]] += values[i]
+    return values
+
+
+def _settle(page: _Page) -> None:
+    """What is doubtful by name goes by its content."""
+    if not any(page.doubt):
+        return
+    chars, linked = [0] * len(page.tag), [0] * len(page.tag)
+    for text, links, owner in page.blocks:
+        if not page.out[owner]:
+            chars[owner] += len(text)
+            linked[owner] += links
+    chars, linked, controls = (_sums(page, x) for x in (chars, linked, page.controls))
+    for i, doubt in enumerate(page.doubt):
+        if doubt:
+            part = page.tag[i] in LEAVES or page.tag[i] in ("tr", "tbody", "thead", "tfoot")
+            page.out[i] |= linked[i] > 0 and linked[i] >= DOUBTFUL_LINKS * chars[i] or not part and (controls[i] > 0 or chars[i] < DOUBTFUL_CHARS)
+        page.out[i] |= i > 0 and page.out[page.parent[i]]
+
+
 def main_text(source: str | None) -> str:
     page = _Page(source or "")
+    _settle(page)
     n = len(page.tag)
     points, chars, linked = [0.0] * n, [0] * n, [0] * n
     blocks = [b for b in page.blocks if not page.out[b[2]] and (not page.head[b[2]] or page.tag[b[2]] in HEADINGS)]
@@ -244,9 +296,7 @@ def main_text(source: str | None) -> str:
         while node >= 0 and level < 5:
             points[node] += gain / (1, 2, 6, 9, 12)[level]
             node, level = page.parent[node], level + 1
-    for i in range(n - 1, 0, -1):
-        chars[page.parent[i]] += chars[i]
-        linked[page.parent[i]] += linked[i]
+    chars, linked = _sums(page, chars), _sums(page, linked)
     score = [p * (1 - linked[i] / chars[i]) if chars[i] else 0.0 for i, p in enumerate(points)]
     if not blocks:
         return ""
