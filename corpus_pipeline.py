@@ -54,8 +54,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = stay.groupBy("k", "doc_id", "root").agg(F.min("t").alias("stay_t")).select("k", F.col("doc_id").alias("stay_id"), "stay_t").distinct()
     own = _apart(docs).withColumn("own_k", F.coalesce("own_id", "own_t"))
     same = (F.col("own_k") == F.col("k")) & (F.col("own_t") == F.col("stay_t")) & F.col("own_id").eqNullSafe(F.col("stay_id"))
-    # One row for each key and text, the smallest: the same one at every run.
-    return own.join(stay.hint("merge"), same).groupBy("own_k", "own_t").agg(F.min("row").alias("row")).select("row.*")
+    # One row for each key and text, the same one at every run: columns of any type can be written as JSON, not all compared.
+    place = F.sha2(F.to_json("row"), 256)
+    return own.join(stay.hint("merge"), same).groupBy("own_k", "own_t").agg(F.min_by("row", place).alias("row")).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

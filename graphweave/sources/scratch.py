@@ -1,11 +1,14 @@
 """Where lineage is cut: tables in the folder that driver and executors share.
 
 What save() and save_buckets() write lives until release(), until the settle()
-around it ends, or at the latest until the driver's JVM ends.
+around it ends, or at the latest until the driver's JVM ends. Buckets are known
+to the catalog by a name, which goes with the files.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import contextvars
 import tempfile
 import uuid
@@ -21,6 +24,8 @@ BROADCAST_ROWS = 50_000
 #: The paths written inside the innermost settle().
 _inside: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("graphweave_inside", default=None)
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: The catalog's names of what save_buckets() wrote, by path.
+_names: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +58,22 @@ def _kept(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return df
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    if name := _names.pop(path, None):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    fs, p = _files(spark, path)
+    fs.delete(p, True)
+
+
+@atexit.register
+def _drop_names() -> None:
+    """What nobody released, if the session is still there: a catalog may outlive it."""
+    spark = SparkSession.getActiveSession()
+    for name in _names.values() if spark is not None else ():
+        with contextlib.suppress(Exception):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def save(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and
     a lost executor costs no more than the tasks that read these files."""
@@ -66,6 +87,7 @@ def save_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
     spark, path = df.sparkSession, _new_path(df.sparkSession)
     name = f"graphweave_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).format("parquet").saveAsTable(name)
+    _names[path] = name
     return _kept(spark, spark.table(name), path)
 
 
@@ -73,8 +95,7 @@ def release(*tables: DataFrame) -> None:
     """Delete what was saved under these; whatever still reads it must be done."""
     for df in tables:
         if path := _paths.pop(df, None):
-            fs, p = _files(df.sparkSession, path)
-            fs.delete(p, True)
+            _delete(df.sparkSession, path)
 
 
 def settle(make: Callable[[], DataFrame]) -> DataFrame:
@@ -88,8 +109,7 @@ def settle(make: Callable[[], DataFrame]) -> DataFrame:
     kept = _paths[out]
     for path in inside:
         if path != kept:
-            fs, p = _files(out.sparkSession, path)
-            fs.delete(p, True)
+            _delete(out.sparkSession, path)
     if (outer := _inside.get()) is not None:
         outer.append(kept)
     return out
