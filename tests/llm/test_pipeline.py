@@ -98,6 +98,31 @@ def test_extra_columns_of_any_name_pass_through(spark, corpus):
     assert corpus_pipeline.source_mix(spark, docs, folder).count() == len(rows)
 
 
+def test_columns_that_cannot_be_compared_pass_through(spark, corpus):
+    """Maps, variants and what is nested in them; equal keys and texts with other such columns stay once, the same one at every run."""
+    folder, rows, _ = corpus
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3).select(
+        "*", F.create_map(F.lit("k"), "doc_id", F.lit("l"), F.lit(None)).alias("m"), F.parse_json(F.concat(F.lit('{"a": ['), F.col("doc_id").cast("string"), F.lit("]}"))).alias("v"),
+        F.array(F.struct(F.create_map(F.lit(1), "lang").alias("inner"), F.lit(b"x").alias("b"))).alias("n"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        got = out.select("doc_id", F.col("m")["k"].alias("k"), F.variant_get("v", "$.a[0]", "long").alias("a"), F.col("n")[0]["inner"][1].alias("lang")).collect()
+        assert got and all((g.k, g.a, g["lang"]) == (g.doc_id, g.doc_id, "en") for g in got)
+    twice = docs.unionByName(docs.withColumn("m", F.create_map(F.lit("k"), F.lit(-1).cast("long"), F.lit("l"), F.lit(2).cast("long"))))
+    picks = [sorted((x.doc_id, x.k) for x in corpus_pipeline.near_dedup(spark, t, folder).select("doc_id", F.col("m")["k"].alias("k")).collect()) for t in (twice, twice.repartition(7))]
+    assert picks[0] == picks[1] and len({i for i, _ in picks[0]}) == len(picks[0])
+
+
+def test_no_names_stay_in_the_catalog(spark, corpus):
+    from graphweave.llm import queries
+
+    before = {t.name for t in spark.catalog.listTables()}
+    for q in ("op3_substring_dedup", "op4_lm_scoring", "op11_filter_audit", "op13_suffix_dedup"):
+        assert queries.QUERIES[q](spark, corpus[0]).count() > 0
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_nulls_and_tables_without_rows(spark, corpus, tmp_path):
     folder, rows, bench = corpus
     docs = spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None), (2, "", None, None, 0), (3, "some words that stand here alone", "en", None, 31)], COLUMNS)
