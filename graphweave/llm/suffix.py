@@ -171,7 +171,8 @@ class Shard(Text):
         self.first = np.cumsum(get(row["first"], "<u8")).astype(np.int64)
         self.windows = get(row["windows"], "<u2").astype(np.int64)
         self.anchor = self.first + get(row["anchor"], "<u2")
-        self.grams, self.gram_of = np.unique(self.folded(self.anchor), return_inverse=True)
+        # Anchors have small hashes; mixed again, they spread over all ranges.
+        self.grams, self.gram_of = np.unique(mix64(self.folded(self.anchor) * np.uint64(BASES[1])), return_inverse=True)
 
     def of(self, got: pd.DataFrame, ranges: int, hot: int) -> None:
         """Which rows are merged: sent[i] is one of each, in the order of ranges, row_of the place of every merged row among these."""
