@@ -33,6 +33,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows and bytes that are broadcast at most.
 PREFIX_WORDS = 500_000
 BROADCAST_BYTES = 64 << 20
+#: Longs of the bit filter, as a power of two: 16 MB at every size.
+FILTER_BITS = 20
 
 
 def split_words(text: Column) -> Column:
@@ -55,19 +57,66 @@ def item_windows(items: DataFrame, key: str, text: str, window: int) -> DataFram
     return each.select("item_id", F.struct(F.xxhash64("ws").alias("h1"), F.xxhash64(F.lit("w"), "ws").alias("h2")).alias("win"), "ws")
 
 
-def bounded(df: DataFrame, most: int, *measured: Column) -> DataFrame:
-    """df, saved, to be broadcast if its rows and the measured bytes are within the bounds."""
+def within(df: DataFrame, most: int, *measured: Column) -> bool:
+    """Whether the rows and the measured bytes of df, saved, may be broadcast."""
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(measured, F.lit(0))), F.lit(0))).first()
-    return F.broadcast(df) if n <= most and size <= BROADCAST_BYTES else df
+    return n <= most and size <= BROADCAST_BYTES
+
+
+def bounded(df: DataFrame, most: int, *measured: Column) -> DataFrame:
+    """df, saved, to be broadcast if it is within the bounds."""
+    return F.broadcast(df) if within(df, most, *measured) else df
+
+
+def sieve(words_: DataFrame) -> DataFrame:
+    """words_(word) -> (at, bits): a filter of 2^26 bits at most; words that pass() it may be among these."""
+    h = F.xxhash64("word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
+    return words_.select(h.bitwiseAND((1 << FILTER_BITS) - 1).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+
+
+def passing(rows: DataFrame, filter_: DataFrame) -> DataFrame:
+    """rows(word, ..) without those that the filter rules out."""
+    h = F.xxhash64("word")
+    at = rows.withColumns({"at": h.bitwiseAND((1 << FILTER_BITS) - 1), "bit": F.shiftrightunsigned(h, 58).cast("int")})
+    return at.join(F.broadcast(filter_), "at").filter(F.getbit("bits", F.col("bit")) == 1).drop("at", "bit", "bits")
 
 
 def rarity(docs: DataFrame, vocabulary: DataFrame, text: str, most: int) -> DataFrame:
-    """(word, n): how often each word of the vocabulary stands in all texts."""
+    """(word, n): how often each word of the vocabulary stands in all texts. Occurrences are added up before they meet
+    the vocabulary by a shuffle: a word is a row for each task."""
     every = docs.select(F.explode_outer(split_words(F.col(text))).alias("word"))
-    n = every.join(bounded(vocabulary, most, F.octet_length("word")), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    if within(vocabulary, most, F.octet_length("word")):
+        n = every.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        n = passing(every, save(sieve(vocabulary))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return vocabulary.join(n, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _n_words(texts: str) -> Column:
+    """Of what split_words() gave."""
+    return F.size(texts) - 1 - F.when((F.size(texts) > 1) & (F.element_at(texts, -1) == ""), 1).otherwise(0)
+
+
+def places_shuffled(docs: DataFrame, prefix: DataFrame, key: str, text: str) -> DataFrame:
+    """The same as places(), for prefix words that are too many to broadcast."""
+    base = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("t"), split_words(F.col(text)).alias("text_words"))
+    each = base.select("doc_id", "t", F.posexplode_outer("text_words").alias("i", "word"))
+    some = save(prefix.select("word").distinct())
+    found = passing(each, save(sieve(some))).filter((F.col("word") != "") & (F.col("i") > 0))
+    start = F.col("i") - 1 - F.col("off")
+    starts = found.join(prefix, "word").filter(start >= 0).groupBy("doc_id", "t").agg(F.collect_set(F.struct(start.alias("start"), "len", F.col("win.h1").alias("h1"))).alias("starts"))
+    starts = starts.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), "starts")
+    both = base.withColumn("n", _n_words("text_words")).join(starts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t").eqNullSafe(F.col("u"))), "left")
+    # An array is never null here, and words start behind its empty first entry. Hashes first, the words of what is left then.
+    own = lambda x: F.slice("text_words", x["start"] + 2, x["len"])
+    likely = F.filter("starts", lambda x: (x["start"] + x["len"] <= F.col("n")) & (F.xxhash64(own(x)) == x["h1"]))
+    both = save(both.select("doc_id", "t", "n", F.transform(likely, lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len"), own(x).alias("ws"))).alias("likely")))
+    rows = both.select("doc_id", "t", "n", F.lit(-1).alias("start"), F.lit(None).cast("int").alias("len"), F.lit(None).cast(prefix.schema["win"].dataType).alias("win"))
+    sure = both.select("doc_id", "t", "n", F.explode("likely").alias("x")).select("doc_id", "t", "n", "x.*").join(prefix.select("ws", "win"), "ws")
+    return save(rows.unionByName(sure.select(*rows.columns).distinct()))
+
+
 def places(docs: DataFrame, prefix: DataFrame, key: str, text: str, most: int) -> DataFrame:
     """prefix(word, win, ws, off, len) -> saved (doc_id, t, n, start, len, win): where the windows stand, and for every
     row of docs one row with start -1."""
@@ -76,12 +125,13 @@ def places(docs: DataFrame, prefix: DataFrame, key: str, text: str, most: int) -
     # The empty first entry stands for the row itself: words are at 1, 2, .. No array is empty, and an outer explode
     # saves the filter on its size that Spark would add, which splits every text once more.
     some = save(prefix.select("word").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "word string")))
+    if not within(some, most, F.octet_length("word")):
+        return places_shuffled(docs, prefix, key, text)
     reach = prefix.agg(F.coalesce(F.max(F.greatest(F.col("off"), F.col("len") - F.col("off"))), F.lit(1))).first()[0]
-    hits = at.join(bounded(some, most, F.octet_length("word")), "word").filter((F.col("word") != "") | (F.col("i") == 0))
+    hits = at.join(F.broadcast(some), "word").filter((F.col("word") != "") | (F.col("i") == 0))
     low = F.greatest(F.lit(1), F.col("i") - reach)
-    n = F.size("text_words") - 1 - F.when((F.size("text_words") > 1) & (F.element_at("text_words", -1) == ""), 1).otherwise(0)
     near = F.when(F.col("i") > 0, F.slice("text_words", low + 1, F.lit(2 * reach + 1)))
-    hits = save(hits.select("doc_id", "t", "i", "word", low.alias("low"), n.alias("n"), near.alias("near")))
+    hits = save(hits.select("doc_id", "t", "i", "word", low.alias("low"), _n_words("text_words").alias("n"), near.alias("near")))
     rows = hits.filter("i = 0").select("doc_id", "t", "n", F.lit(-1).alias("start"), F.lit(None).cast("int").alias("len"), F.lit(None).cast(prefix.schema["win"].dataType).alias("win"))
     own = bounded(prefix, most, F.octet_length(F.array_join("ws", " ")), F.octet_length("word"))
     start = F.col("i") - 1 - F.col("off")

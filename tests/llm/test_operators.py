@@ -1,6 +1,7 @@
 """The other operators on small tables: brute force, edge rows, clashing columns."""
 
 import random
+import time
 import re
 
 import numpy as np
@@ -192,6 +193,35 @@ def test_decontamination_equals_brute_force(spark, block):
     assert decontam.contamination(frame(spark, []), bench).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that this session has written to shuffles so far."""
+    time.sleep(0.5)  # the status store follows the tasks
+    return sum(x.totalShuffleWrite() for x in iter_java(spark._jsparkSession.sparkContext().statusStore().executorList(False)))
+
+
+def iter_java(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_decontamination_without_broadcasts_is_linear(spark, monkeypatch):
+    """Prefix words that are too many to broadcast, on long texts: what is shuffled follows the text's length, and hits are the same."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(r.choices(words, k=40))) for i in range(150)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    moved, took = [], []
+    for n in (2_000, 8_000, 32_000):
+        docs = [(i, " ".join([*r.choices(words, k=n), *items[i][1].split()[5:30], *r.choices(words, k=n // 2)]), "s") for i in range(4)]
+        df = frame(spark, docs)
+        want = sorted(map(tuple, decontam.contamination(df, bench).drop("t").collect()))
+        before, began = shuffled(spark), time.time()
+        got = sorted(map(tuple, decontam.contamination(df, bench, block=0).drop("t").collect()))
+        moved.append(shuffled(spark) - before)
+        took.append(time.time() - began)
+        assert got == want and all(x[2] >= 25 for x in got)
+    assert moved[2] < 4.5 * moved[1] < 4.5 * 4.5 * moved[0] and took[2] < 60
+
+
 # mixing
 
 
