@@ -423,17 +423,34 @@ def test_chat_rotation(spark):
     out = chat.rotate(df).collect()
     one = {r.perspective: r for r in out if r.conv_id == 1 and r.part == 0}
     assert set(one) == {"ann", "bob", "unknown"}
-    assert one["ann"].text == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>assistant\nbye<|im_end|>\n"
+    assert one["ann"].text == "<|im_start|>user name=unknown\n?<|im_end|>\n<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>assistant\nbye<|im_end|>\n"
     for r in out:
         said = [r.text[s.start : s.end] for s in r.loss_spans]
-        assert all(x.endswith("<|im_end|>") for x in said) and len(said) == r.text.count("<|im_start|>assistant\n")
+        # What is said again at the head of a later part carries no loss.
+        again = r.text.count("<|im_start|>") - r.n_turns
+        assert said and all(x.endswith("<|im_end|>") for x in said) and 0 <= again <= (5 if r.part else 0)
+        assert len(said) == sum(x.startswith("assistant\n") for x in r.text.split("<|im_start|>")[1 + again :])
     assert not [r for r in out if r.conv_id == 2]
     long = chat.rotate(spark.createDataFrame([(9, 0, "system", "be kind")] + [(9, i, "ab"[i % 2], f"m{i}") for i in range(1, 200)], "conv_id long, turn long, role string, text string")).filter("perspective = 'a'").collect()
     assert all(r.text.startswith("<|im_start|>system\nbe kind<|im_end|>\n") and r.text.count("system\n") == 1 for r in long) and sum(r.n_turns for r in long) == 200
-    parts = sorted((r.part, r.sub) for r in out if r.conv_id == 3 and r.perspective == "a")
-    assert parts == [(0, 0), (1, 0), (2, 0), (3, 0)]
-    crowd = [r for r in out if r.conv_id == 4]
-    assert sum(r.n_turns for r in crowd) == 300 and len(crowd) > 1
-    said = [line for r in sorted(crowd, key=lambda r: r.sub) for line in r.text.split("\n") if line.startswith("t")]
-    assert said == [f"{t}<|im_end|>" for t in sorted(f"t{i}" for i in range(300))]  # in order across the sub-parts
+    assert sorted(r.part for r in out if r.conv_id == 3 and r.perspective == "a") == [0, 1, 2, 3]
+    crowd = sorted((r for r in out if r.conv_id == 4), key=lambda r: r.part)
+    assert sum(r.n_turns for r in crowd) == 300 and len(crowd) == 5
+    said = [line for r in crowd for line in r.text.split("\n")[:-1] if line.startswith("t")]
+    every = [f"{t}<|im_end|>" for t in sorted(f"t{i}" for i in range(300))]  # in order across the parts, each after the last four of the one before
+    assert said == [x for p in range(5) for x in every[max(0, 64 * p - 4) : 64 * p + 64]]
     assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_parts_follow_places_and_not_turn_numbers(spark):
+    """Times, gaps and message ids as turns give the parts that dense turns give; each turn is learnt once for its speaker."""
+    n = 150
+    dense = [(1, i, "ab"[i % 2] if i % 50 else f"guest{i}", f"m{i}") for i in range(n)]
+    times = [(1, 1_700_000_000 + 977 * i * i, r, t) for _, i, r, t in dense]
+    schema = "conv_id long, turn long, role string, text string"
+    a, b = (sorted(map(tuple, chat.rotate(spark.createDataFrame(x, schema)).collect())) for x in (dense, times))
+    assert a == b and max(r[2] for r in a) == 2
+    learnt = [r[4][s.start : s.end] for r in a for s in r[5]]
+    assert sorted(learnt) == sorted(f"m{i}<|im_end|>" for i in range(n))
+    assert {(r[1], r[2]) for r in a if r[1].startswith("guest")} == {("guest0", 0), ("guest50", 0), ("guest100", 1)}
+    assert next(r for r in a if r[2] == 1)[4].split("\n")[1] == "m60<|im_end|>"
