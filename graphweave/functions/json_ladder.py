@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +13,8 @@ from pyspark.sql.types import StringType
 
 FENCE = re.compile(r"```[ \t]*(?:json|JSON)?\s*(.*?)```", re.S)
 DECODER = json.JSONDecoder()
+#: Opening signs before what may follow them in a value.
+BEGINS = {"{": re.compile(r'\{(?=[ \t\n\r]*["}])'), "[": re.compile(r'\[(?=[ \t\n\r]*[\]\[{"\-0-9tfnNI])')}
 
 
 def find_json(text: str | None, opening: str = "{") -> object | None:
@@ -24,21 +27,75 @@ def find_json(text: str | None, opening: str = "{") -> object | None:
         except (ValueError, RecursionError):  # nested too deep counts as broken
             pass
     # An opening sign inside a value that failed is tried too, so noise before an object does no harm.
-    at = text.find(opening)
-    while at >= 0:
-        try:
-            return DECODER.raw_decode(text, at)[0]
-        except ValueError:
-            at = text.find(opening, at + 1)
-        except RecursionError:  # what is nested inside it is too, until the run of signs ends
-            at = text.find(opening, _run_end(text, at, opening))
+    broken: set[int] = set()
+    for at in (m.start() for m in BEGINS[opening].finditer(text)):
+        if at not in broken:
+            try:
+                return decoded(text, at)
+            except json.JSONDecodeError as e:
+                broken |= hopeless(text, at, at + e.pos)
+            except RecursionError:
+                broken |= hopeless(text, at, len(text))
     return None
 
 
-def _run_end(text: str, at: int, opening: str) -> int:
-    """Where a run of nested openings, with keys between them, ends; at least one further."""
-    m = re.compile(r'(?:[\[{]\s*(?:"[^"]*"\s*:\s*)?)+').match(text, at)
-    return max(at + 1, m.end() if m else at + 1)
+def decoded(text: str, at: int) -> object:
+    """The object or array that begins at a place. Errors count from there; they count the lines before them, so the
+    decoder sees no more of a long text than it needs."""
+    size = 1 << 10
+    while True:
+        try:
+            return DECODER.raw_decode(text[at : at + size])[0]
+        except json.JSONDecodeError as e:
+            # Where a part ends within a string or word, that is no error.
+            if at + size >= len(text) or e.pos < size - 32 and not e.msg.startswith("Unterminated"):
+                raise
+        size *= 4
+
+
+#: What opens, closes or quotes.
+SIGN = re.compile(r'[{}\[\]"]')
+#: The rest of a string from behind its quote.
+STRING = re.compile(r'[^"\\]*+(?:\\.[^"\\]*+)*+"?', re.S)
+
+
+@cache
+def deepest() -> int:
+    """How deep values may be nested for the decoder, about."""
+    low, high = 1, 1 << 20
+    while low + 1 < high:
+        n = (low + high) // 2
+        try:
+            DECODER.raw_decode("[" * n + "]" * n)
+            low = n
+        except RecursionError:
+            high = n
+    return low
+
+
+def hopeless(text: str, at: int, end: int) -> set[int]:
+    """Of the values that begin in a value which begins at `at` and is in order up to `end`: those that are still open
+    there, which break where it broke, and those nested too deep. One pass, so a text costs what it is long, however
+    much of it is nested; what stands in strings is not judged."""
+    open_: list[list[int]] = []  # where each begins, levels found in it
+    out: set[int] = set()
+    while at < end and (m := SIGN.search(text, at, end)):
+        sign, at = m[0], m.end()
+        if sign == '"':
+            at = STRING.match(text, at).end()
+        elif sign in "{[":
+            open_.append([m.start(), 0])
+        elif open_ and text[open_[-1][0]] == ("{" if sign == "}" else "["):
+            start, levels = open_.pop()
+            if levels + 1 > deepest():
+                out.add(start)
+            if open_:
+                open_[-1][1] = max(open_[-1][1], levels + 1)
+        else:
+            break
+        if not open_:
+            break
+    return out | {start for start, _ in open_}
 
 
 def has_keys(value: object, keys: tuple[str, ...]) -> bool:

@@ -1,7 +1,8 @@
 """Vector retrieval for a set of questions at once.
 
-Questions are few and short-lived, so they are broadcast behind a count; each
-task ranks its own vectors first, and only k rows a question leave it.
+Questions go to the tasks in blocks of bounded rows and bytes. Each task ranks
+its own vectors: it works in tiles of bounded size, carries the k best of every
+question from batch to batch, and only these leave it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -22,6 +24,8 @@ from .rank import global_rank
 
 
 DIGITS = 9
+#: Bytes of the questions of a block, and of the scores that a task has at a time.
+QUESTION_BYTES, TILE_BYTES = 32 << 20, 16 << 20
 
 
 def with_norm(vectors: DataFrame, vector: str = "vector") -> DataFrame:
@@ -29,13 +33,14 @@ def with_norm(vectors: DataFrame, vector: str = "vector") -> DataFrame:
 
 
 def question_blocks(questions: DataFrame) -> list[DataFrame]:
-    """questions in saved parts of at most BROADCAST_ROWS rows each."""
+    """questions in saved parts of at most BROADCAST_ROWS rows and QUESTION_BYTES of vectors each, or of one row."""
     own = save(questions)
-    n = own.count()
-    if n <= BROADCAST_ROWS:
+    n, longest = own.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("question")), F.lit(0))).first()
+    rows = max(1, min(BROADCAST_ROWS, QUESTION_BYTES // (8 * max(1, longest))))
+    if n <= rows:
         return [own]
     placed = save(global_rank(own, [F.xxhash64("question_id"), F.col("question_id")], "nth_"))
-    return [placed.filter(F.floor(F.col("nth_") / BROADCAST_ROWS) == i).drop("nth_") for i in range(-(-n // BROADCAST_ROWS))]
+    return [placed.filter(F.floor(F.col("nth_") / rows) == i).drop("nth_") for i in range(-(-n // rows))]
 
 
 def score(vectors: DataFrame, questions: DataFrame, vector: str = "vector") -> DataFrame:
@@ -63,14 +68,62 @@ def score_pairs(pairs: DataFrame, vectors: DataFrame, questions: DataFrame, name
     return both.withColumn("score", F.round(cosine(F.col(vector), F.col("question")), DIGITS)).drop(vector, "question")
 
 
+class Best:
+    """The k best of each question so far: by score, then by key. Scores are whole numbers of the last digit kept."""
+
+    def __init__(self, unit: np.ndarray, k: int):
+        self.unit, self.k = unit, k
+        self.least = np.full(len(unit), np.iinfo(np.int64).min)  # a question's k-th score, once it has k
+        self.found: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.n = 0
+
+    def add(self, keys: pa.Array, x: np.ndarray) -> None:
+        order = pc.sort_indices(keys)
+        keys, x = keys.take(order), x[order.to_numpy()]
+        size, n, k = np.linalg.norm(x, axis=1), len(x), min(self.k, len(x))
+        bits = n.bit_length()
+        earlier = (1 << bits) - 1 - np.arange(n)  # of equal scores the smaller key is greater
+        tile = max(1, TILE_BYTES // (8 * n))
+        for t in range(0, len(self.unit), tile):
+            s = np.divide(self.unit[t : t + tile] @ x.T, size, out=np.zeros((len(self.unit[t : t + tile]), n)), where=size > 0)
+            s = (np.rint(s * 10**DIGITS).astype(np.int64) << bits) | earlier
+            j = np.argpartition(s, n - k, axis=1)[:, n - k :]
+            score_ = np.take_along_axis(s, j, axis=1) >> bits
+            row, col = np.nonzero(score_ >= self.least[t : t + tile, None])
+            self.found.append((row + t, score_[row, col], keys.take(pa.array(j[row, col]))))
+            self.n += len(row)
+            if self.n > max(1 << 16, 2 * len(self.unit) * self.k):
+                self.settle()
+
+    def settle(self) -> None:
+        if not self.found:
+            return
+        t = pa.table({"q": np.concatenate([f[0] for f in self.found]), "s": np.concatenate([f[1] for f in self.found]), "key": pa.chunked_array([f[2] for f in self.found])})
+        t = t.take(pc.sort_indices(t, sort_keys=[("q", "ascending"), ("s", "descending"), ("key", "ascending")]))
+        q = t["q"].to_numpy()
+        head = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+        place = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
+        t = t.filter(pa.array(place < self.k))
+        q, s = t["q"].to_numpy(), t["s"].to_numpy()
+        last = place[place < self.k] == self.k - 1
+        self.least[q[last]] = s[last]
+        self.found, self.n = [(q, s, t["key"].combine_chunks())], len(q)
+
+    def slices(self, rows: int = 1 << 14) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+        self.settle()
+        for q, s, key in self.found:
+            key = pa.concat_arrays(key.chunks) if isinstance(key, pa.ChunkedArray) else key
+            for at in range(0, len(q), rows):
+                yield q[at : at + rows], key.slice(at, rows), s[at : at + rows] / 10**DIGITS
+
+
 def rank_named(vectors: DataFrame, questions: DataFrame, k: int, name: str = "key", vector: str = "vector") -> DataFrame:
     """(question_id, rank, key, score): score descending, name ascending. Scores are rounded to DIGITS digits, so that
     equal vectors tie wherever they are computed.
 
-    A task multiplies its batches of vectors with the matrix of the questions
-    and passes on what may be among the k best of a batch (ties included), so
-    what is shuffled does not grow with the vectors' dimension. Questions go in
-    blocks of BROADCAST_ROWS, each against all vectors.
+    A task multiplies its batches of vectors with the matrix of the questions, tile by tile, and carries the k best of
+    each question along, so what it holds and what is shuffled depends neither on the vectors' number nor on their
+    dimension, and ties cost nothing. Questions go in blocks, each against all vectors.
     """
     parts = question_blocks(questions)
     if len(parts) > 1:
@@ -85,16 +138,16 @@ def rank_named(vectors: DataFrame, questions: DataFrame, k: int, name: str = "ke
     size = np.linalg.norm(q, axis=1, keepdims=True)
     unit = np.divide(q, size, out=np.zeros_like(q), where=size > 0)
 
+    told = vectors.sparkSession.sparkContext.broadcast(unit)
+    kind = to_arrow_type(schema[0].dataType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(told.value, k)
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            own = np.linalg.norm(x, axis=1)
-            s = np.round(np.divide(unit @ x.T, own, out=np.zeros((len(unit), len(x))), where=own > 0), DIGITS)
-            least = np.partition(s, max(0, len(x) - k), axis=1)[:, max(0, len(x) - k)]
-            i, j = np.nonzero(s >= least[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array([ids[n] for n in i], to_arrow_type(schema[0].dataType)), b.column(0).take(pa.array(j)), pa.array(s[i, j])], ["question_id", "key", "score"])
+            if b.num_rows:
+                best.add(b.column(0), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+        for q, key, score_ in best.slices():
+            yield pa.RecordBatch.from_arrays([pa.array([ids[n] for n in q], kind), key, pa.array(score_)], ["question_id", "key", "score"])
 
     best = vectors.filter(F.col(vector).isNotNull()).select(F.col(name).alias("key"), doubles(F.col(vector)).alias("v")).mapInArrow(run, schema)
     return rank_top(best, k, "key").select("question_id", "rank", "key", "score").withColumnRenamed("key", name)
