@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import token_count, truncate_tokens
+from ..functions.tokenizers import WORDS, Tokenizer
 
 #: Ranks that one task adds up.
 RANGE = 4096
@@ -28,12 +28,12 @@ def running_before(rows: DataFrame, by: list[str], rank: str, value: str, name:
     return r.join(starts, [*by, "range_"]).withColumn(name, F.col("start_") + F.col("inner_")).drop("range_", "start_", "inner_")
 
 
-def select_within(rows: DataFrame, budget: Column | int, by: list[str], rank: str = "rank", text: str = "text") -> DataFrame:
+def select_within(rows: DataFrame, budget: Column | int, by: list[str], rank: str = "rank", text: str = "text", tokenizer: Tokenizer = WORDS) -> DataFrame:
     """The first rows of each list whose texts fit into the budget, the last one cut; adds used, the tokens taken of it."""
     budget = F.lit(budget) if isinstance(budget, int) else budget
-    counted = running_before(rows.withColumn("tokens_", token_count(F.col(text))), by, rank, "tokens_", "before_")
+    counted = running_before(rows.withColumn("tokens_", tokenizer.count(F.col(text))), by, rank, "tokens_", "before_")
     fits = counted.filter(F.col("before_") < budget).withColumn("used", F.least(F.col("tokens_"), budget - F.col("before_")))
-    cut = F.when(F.col("used") < F.col("tokens_"), truncate_tokens(F.col(text), F.col("used"))).otherwise(F.col(text))
+    cut = F.when(F.col("used") < F.col("tokens_"), tokenizer.truncate(F.col(text), F.col("used"))).otherwise(F.col(text))
     return fits.withColumn(text, cut).drop("tokens_", "before_")
 
 
@@ -49,10 +49,10 @@ def next_fit(tokens: list[int], budget: int) -> list[int]:
     return out
 
 
-def batches(rows: DataFrame, budget: int, by: list[str], rank: str = "rank", text: str = "text") -> DataFrame:
+def batches(rows: DataFrame, budget: int, by: list[str], rank: str = "rank", text: str = "text", tokenizer: Tokenizer = WORDS) -> DataFrame:
     """rows with batch: each list packed in order, every text cut to the budget. Where a batch ends depends on all
     before it, so a list goes through one task; lists are the ranked reports of one question, and short."""
-    counted = rows.withColumn("tokens", token_count(F.col(text)))
+    counted = rows.withColumn("tokens", tokenizer.count(F.col(text)))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(rank)
@@ -61,4 +61,4 @@ def batches(rows: DataFrame, budget: int, by: list[str], rank: str = "rank", tex
     slim = counted.select(*by, rank, "tokens")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields)
     packed = slim.groupBy(*by).applyInPandas(pack, f"{schema}, batch int").filter("batch > 0")
-    return rows.join(packed, [*by, rank]).withColumn(text, truncate_tokens(F.col(text), budget))
+    return rows.join(packed, [*by, rank]).withColumn(text, tokenizer.truncate(F.col(text), budget))

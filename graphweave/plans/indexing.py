@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions.tokenizers import WORDS, Tokenizer
 from ..operators import chunking, claims, community, describe, extract, graph, prune, reports, resolution
 from ..sources.index_store import IndexStore
 from ..sources.scratch import save
@@ -27,6 +28,12 @@ class Index:
     config: EngineConfig = field(default_factory=EngineConfig)
     #: Made questions and texts comparable; None: feature hashing.
     embedder: Embedder | None = None
+    #: Counts what budgets allow; None: words and signs.
+    tokenizer: Tokenizer | None = None
+
+    @property
+    def own_tokenizer(self) -> Tokenizer:
+        return self.tokenizer or WORDS
 
     @property
     def own_embedder(self) -> Embedder:
@@ -109,13 +116,13 @@ def _tables(docs: DataFrame, config: EngineConfig, provider: Provider, embedder:
     return out
 
 
-def build_index(docs: DataFrame, config: EngineConfig = EngineConfig(), provider: Provider | None = None, embedder: Embedder | None = None) -> Index:
+def build_index(docs: DataFrame, config: EngineConfig = EngineConfig(), provider: Provider | None = None, embedder: Embedder | None = None, tokenizer: Tokenizer | None = None) -> Index:
     provider = provider or OfflineProvider()
     with keeping(config.keep_payloads) as kept:
         out = _tables(docs, config, provider, embedder)
     if (calls := payloads(kept)) is not None:
         out[PAYLOADS] = calls
-    return Index(out, config, embedder)
+    return Index(out, config, embedder, tokenizer)
 
 
 def persist(index: Index, spark: SparkSession, root: str, index_id: str, overwrite: bool = False) -> None:
@@ -134,10 +141,10 @@ def complete(tables: dict[str, DataFrame], dimension: int) -> bool:
     return keys.join(good, ["kind", "key"], "left_anti").isEmpty() and vectors.filter(F.coalesce(F.size("vector"), F.lit(-1)) != dimension).isEmpty()
 
 
-def load(spark: SparkSession, root: str, index_id: str, config: EngineConfig = EngineConfig(), embedder: Embedder | None = None) -> Index:
+def load(spark: SparkSession, root: str, index_id: str, config: EngineConfig = EngineConfig(), embedder: Embedder | None = None, tokenizer: Tokenizer | None = None) -> Index:
     """The stored index; vectors of another embedding, or with gaps, are made anew."""
     store = IndexStore(spark, root)
-    index = Index(store.load(index_id), config, embedder)
+    index = Index(store.load(index_id), config, embedder, tokenizer)
     stored, own = store.metadata(index_id), metadata(index.own_embedder)
     if any(stored.get(k) != v for k, v in own.items()) or not complete(index.tables, index.own_embedder.dimension):
         index.tables["vectors"] = save(embed(index.tables, config, index.own_embedder))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.json_ladder import json_object
-from ..functions.text import normalize_question, strip, token_count, truncate_tokens
+from ..functions.text import normalize_question, strip
 from ..operators import budget, graph, retrieve
 from ..operators.community import choose_level
 from ..sources.scratch import save
@@ -92,7 +92,7 @@ def local_context(index: Index, questions: DataFrame, top_k: int, max_tokens: in
     claims = claims_about(index.claims, names)
     scored = retrieve.score_pairs(evidence_of(names, index.entity_chunks), _vectors(index, "chunk"), q)
     top = retrieve.rank_top(scored, config.max_text_units, "key").join(index.text_units.withColumnRenamed("chunk_id", "key"), "key")
-    return {"seeds": seeds, "entities": save(entities), "relations": save(relations), "claims": save(claims), "text_units": save(budget.select_within(top, max_tokens, [Q]))}
+    return {"seeds": seeds, "entities": save(entities), "relations": save(relations), "claims": save(claims), "text_units": save(budget.select_within(top, max_tokens, [Q], tokenizer=index.own_tokenizer))}
 
 
 def _local_lists(ctx: dict[str, DataFrame], questions: DataFrame, shown: int | None) -> DataFrame:
@@ -154,7 +154,7 @@ def ranked_reports(reports: DataFrame, vectors: DataFrame, embedded: DataFrame,
 def community_context(index: Index, questions: DataFrame, level: int, top_k: int, max_tokens: int) -> DataFrame:
     """(question_id, rank, id, level, parent_id, score, text): reports of the level, best first, within the budget."""
     top = ranked_reports(index.reports, _vectors(index, "community"), _embedded(questions, index), level, top_k)
-    return save(budget.select_within(top, max_tokens, [Q]))
+    return save(budget.select_within(top, max_tokens, [Q], tokenizer=index.own_tokenizer))
 
 
 def parse_points(rows: DataFrame) -> DataFrame:
@@ -174,13 +174,13 @@ def global_(index: Index, questions: DataFrame, level: int | None = None, top_k:
     """Reports are packed into batches, a provider lists points for each, the best points within a budget are reduced."""
     config = index.config
     reports = community_context(index, questions, config.global_community_level if level is None else level, min(top_k, config.global_top_k), config.global_tokens)
-    packed = budget.batches(reports.select(Q, "rank", "id", "text"), config.map_tokens, [Q])
+    packed = budget.batches(reports.select(Q, "rank", "id", "text"), config.map_tokens, [Q], tokenizer=index.own_tokenizer)
     maps = packed.groupBy(Q, "batch").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "text"))).alias("r")).join(questions, Q)
     maps = maps.withColumn("shown", F.transform("r", lambda x: F.concat(x["id"], F.lit(": "), x["text"])))
     got = ask(maps, index, provider, F.concat(F.lit("global_map_"), (F.col("batch") - 1).cast("string")), prompts.global_map(F.col("query"), F.col("shown")))
     points = parse_points(save(got.select(Q, "batch", F.transform("r", lambda x: x["id"]).alias("source_reports"), "response"))).filter("score > 0")
     points = points.withColumn("rank", F.row_number().over(Window.partitionBy(Q).orderBy(F.desc("score"), "description", "batch"))).withColumnRenamed("description", "text")
-    chosen = save(budget.select_within(points, config.reduce_tokens, [Q]))
+    chosen = save(budget.select_within(points, config.reduce_tokens, [Q], tokenizer=index.own_tokenizer))
     rows = _items(_listed(chosen, "rank", F.col("text")), "points", questions)
     some = reports.select(Q).distinct().withColumn("some", F.lit(True))
     got = ask(rows.filter(F.size("points") > 0), index, provider, F.lit("global_reduce"), prompts.global_reduce(F.col("query"), F.col("points"))).select(Q, strip(F.col("response")).alias("said"))
@@ -266,11 +266,11 @@ def drift(index: Index, questions: DataFrame, level: int | None = None, provider
     trace = questions.select(Q).join(done, Q, "left").select(Q, F.coalesce("actions", F.lit(0)).alias("actions"), F.coalesce("max_depth", F.lit(0)).alias("max_depth"))
     trace = trace.withColumn("termination", F.when(F.col("actions") >= config.drift_actions, "max_actions").when(F.col("max_depth") >= config.drift_depth, "max_depth").otherwise("no_followups"))
     share = max(1, config.drift_reduce_tokens // 4)
-    primer = primer.withColumn("primer", truncate_tokens(F.col("primer"), share)).withColumn("left", F.greatest(F.lit(1), F.lit(config.drift_reduce_tokens) - token_count(F.col("primer"))))
+    primer = primer.withColumn("primer", index.own_tokenizer.truncate(F.col("primer"), share)).withColumn("left", F.greatest(F.lit(1), F.lit(config.drift_reduce_tokens) - index.own_tokenizer.count(F.col("primer"))))
     order = Window.partitionBy(Q).orderBy(F.desc("confidence"), "depth", "id")
     text = F.concat(F.lit("Question: "), "question", F.lit("\nAnswer: "), "answer", F.lit("\nSources: "), F.array_join("source_ids", ", "))
     ranked = evidence.withColumn("rank", F.row_number().over(order)).withColumn("text", text).join(primer.select(Q, "left"), Q)
-    chosen = save(budget.select_within(ranked, F.col("left"), [Q]))
+    chosen = save(budget.select_within(ranked, F.col("left"), [Q], tokenizer=index.own_tokenizer))
     rows = _items(_listed(chosen, "rank", F.col("text")), "evidence", primer)
     got = ask(rows, index, provider, F.lit("drift_reduce"), prompts.drift_reduce(F.col("query"), F.col("primer"), F.col("evidence")))
     listed = evidence.withColumn("r", F.row_number().over(order))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions.json_ladder import json_array, object_or
 from ..functions.text import normalize_surface, token_count, truncate_tokens
+from ..functions.tokenizers import BytePairTokenizer
 from ..operators import budget, chunking, claims, describe, resolution
 from ..plans import prompts
 from ..sources.documents import caps, without_blanks
@@ -56,6 +57,15 @@ def blank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS = r"len(regexp_extract_all(text, '\s*(?:[\p{L}\p{N}_]+|[^\s])'))"
 
 
+#: Single bytes, "th" and "the": a vocabulary that SQL can follow.
+FEW_RANKS = {bytes([i]): i for i in range(256)} | {b"th": 256, b"the": 257}
+
+
+@query("SELECT doc_id, (strlen(coalesce(text, '')) - len(regexp_extract_all(coalesce(text, ''), 'th')) - len(regexp_extract_all(coalesce(text, ''), 'the')))::BIGINT AS tokens FROM documents")
+def token_counts_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", BytePairTokenizer(FEW_RANKS).count(F.col("text")).alias("tokens"))
+
+
 @query(f"SELECT doc_id, {TOKENS}::BIGINT AS tokens FROM documents")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
