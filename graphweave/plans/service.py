@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions.tokenizers import Tokenizer
 from ..sources.documents import documents_from, guard
 from ..sources.index_store import IndexStore
 from . import indexing, modes
@@ -14,8 +15,9 @@ from .providers import Provider
 
 
 class Service:
-    def __init__(self, spark: SparkSession, root: str, config: EngineConfig = EngineConfig(), provider: Provider | None = None, embedder: Embedder | None = None):
-        self.spark, self.root, self.config, self.provider, self.embedder = spark, root, config, provider, embedder
+    def __init__(self, spark: SparkSession, root: str, config: EngineConfig = EngineConfig(), provider: Provider | None = None, embedder: Embedder | None = None, tokenizer: Tokenizer | None = None):
+        self.spark, self.root, self.config, self.provider, self.embedder, self.tokenizer = spark, root, config, provider, embedder, tokenizer
+        self._open: dict[str, tuple[str, indexing.Index]] = {}
         self.store = IndexStore(spark, root)
 
     def create(self, index_id: str, documents: list[str] | DataFrame, overwrite: bool = False) -> dict:
@@ -23,14 +25,22 @@ class Service:
         if self.store.exists(index_id) and not overwrite:
             raise FileExistsError(f"index {index_id!r} exists")
         docs = documents if isinstance(documents, DataFrame) else documents_from(self.spark, index_id, documents)
-        index = indexing.build_index(guard(docs, self.config), self.config, self.provider, self.embedder)
+        index = indexing.build_index(guard(docs, self.config), self.config, self.provider, self.embedder, self.tokenizer)
         indexing.persist(index, self.spark, self.root, index_id, overwrite)
         return self.quality(index_id)
 
     def list(self) -> list[str]:
         return self.store.list()
 
+    def open(self, index_id: str) -> indexing.Index:
+        """The index, loaded once for any number of questions, until another version of it is saved."""
+        version = self.store.version(index_id)
+        if index_id not in self._open or self._open[index_id][0] != version:
+            self._open[index_id] = version, indexing.load(self.spark, self.root, index_id, self.config, self.embedder, self.tokenizer)
+        return self._open[index_id][1]
+
     def delete(self, index_id: str) -> bool:
+        self._open.pop(index_id, None)
         return self.store.delete(index_id)
 
     def quality(self, index_id: str) -> dict:
@@ -44,7 +54,7 @@ class Service:
 
     def query(self, index_id: str, text: str, mode: str = "local", **options) -> tuple[str, list[dict]]:
         """(answer, sources) of one question."""
-        index = indexing.load(self.spark, self.root, index_id, self.config, self.embedder)
+        index = self.open(index_id)
         questions = self.spark.createDataFrame([(0, text)], "question_id long, query string")
         if self.provider is not None:
             options.setdefault("provider", self.provider)

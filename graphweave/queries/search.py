@@ -16,6 +16,7 @@ from ..plans import evaluate, indexing, modes
 from ..plans.embedding import ShaEmbedder
 from ..plans.providers import OFFLINE_ANSWER, OFFLINE_ANSWERS, CannedProvider, ask
 from ..sources.scratch import save, settle
+from ..sources.table_graph import entity_mentions, relation_mentions
 from .base import GRAPH, entities, longs, query, relations, table
 from .retrieval import BULK, table_graph
 from .text import CHUNKS, TOKENS, chunking, noisy_mentions
@@ -217,6 +218,30 @@ def provider_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(run)
 
 
+PRUNED = replace(BULK, prune_enabled=True, min_node_degree=32, min_edge_weight_percentile=10.0, describe=False)
+
+
+@query(GRAPH + """, x AS (SELECT name, mention_count, degree FROM e JOIN d USING (name)), keep AS (SELECT name FROM x WHERE degree >= 32), t AS (SELECT quantile_cont(weight, 0.1) AS w FROM r),
+k AS (SELECT r.* FROM r, t WHERE weight >= w AND source IN (SELECT name FROM keep) AND target IN (SELECT name FROM keep))
+SELECT 'resolution' AS stage, 'mentions' AS figure, (SELECT count(*) FROM em)::DOUBLE AS value UNION ALL SELECT 'resolution', 'canonical_entities', (SELECT count(*) FROM e)
+UNION ALL SELECT 'resolution', 'aliases_merged', (SELECT count(*) FROM em) - (SELECT count(*) FROM e) UNION ALL SELECT 'pruning', 'enabled', 1 UNION ALL SELECT 'pruning', 'edge_weight_threshold', (SELECT w FROM t)
+UNION ALL SELECT 'pruning', 'before_entities', (SELECT count(*) FROM e) UNION ALL SELECT 'pruning', 'before_relations', (SELECT count(*) FROM r)
+UNION ALL SELECT 'pruning', 'after_entities', (SELECT count(*) FROM keep) UNION ALL SELECT 'pruning', 'after_relations', (SELECT count(*) FROM k)
+UNION ALL SELECT 'pruning', 'before_entity_mentions', (SELECT sum(mention_count) FROM e) UNION ALL SELECT 'pruning', 'after_entity_mentions', (SELECT sum(mention_count) FROM x WHERE degree >= 32)
+UNION ALL SELECT 'pruning', 'before_relation_mentions', (SELECT sum(mention_count) FROM r) UNION ALL SELECT 'pruning', 'after_relation_mentions', (SELECT sum(mention_count) FROM k)
+UNION ALL SELECT 'pruning', 'removed_entities', (SELECT count(*) FROM x WHERE degree < 32) UNION ALL SELECT 'pruning', 'removed_relations', (SELECT count(*) FROM r) - (SELECT count(*) FROM k)
+UNION ALL SELECT 'pruning', 'reason_min_node_degree', count(*) FROM x WHERE degree < 32 HAVING count(*) > 0""")
+def quality_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What resolution and pruning of the whole table graph report, but for the shapes of the graph that graph_statistics has."""
+
+    def run() -> DataFrame:
+        unresolved = replace(PRUNED, entity_resolution="none")
+        g = indexing.build_graph(entity_mentions(spark, sf_dir), relation_mentions(spark, sf_dir).withColumn("description", F.col("relation_type")), unresolved)
+        return g["figures"].filter(~F.col("figure").rlike("avg_degree|density|components"))
+
+    return settle(run)
+
+
 class Counter:
     """A provider that says how many entities, relations and inner reports a report's prompt shows."""
 

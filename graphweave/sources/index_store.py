@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .documents import check_index_id
 
-SCHEMA_VERSION = 1
+#: 1: plain tables. 2: tables may lie in folders by a column. Both are read.
+SCHEMA_VERSION = 2
 
 
 def stamp() -> str:
@@ -60,12 +61,15 @@ class IndexStore:
     def delete(self, index_id: str) -> bool:
         return bool(self._fs.delete(self._path(self._dir(index_id)), True))
 
-    def save(self, index_id: str, tables: dict[str, DataFrame], metadata: dict | None = None, overwrite: bool = False) -> None:
+    def save(self, index_id: str, tables: dict[str, DataFrame], metadata: dict | None = None, overwrite: bool = False, parted: dict[str, str] | None = None) -> None:
+        """parted: of tables by name, the column by whose values their files lie in folders."""
         if self.exists(index_id) and not overwrite:
             raise FileExistsError(f"index {index_id!r} exists")
         version = f"v={uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.parquet(f"{self._dir(index_id)}/{version}/{name}")
+            column = (parted or {}).get(name)
+            writer = df.write.partitionBy(column) if column in df.columns else df.write
+            writer.parquet(f"{self._dir(index_id)}/{version}/{name}")
         manifest = {"schema_version": SCHEMA_VERSION, "index_id": index_id, "version": version, "tables": sorted(tables), "metadata": metadata or {}, "timestamp": stamp()}
         new, path = self._path(f"{self._dir(index_id)}/manifest.{version[2:]}.tmp"), self._path(f"{self._dir(index_id)}/manifest.json")
         out = self._fs.create(new, True)
@@ -80,11 +84,17 @@ class IndexStore:
 
     def load(self, index_id: str) -> dict[str, DataFrame]:
         m = self._manifest(index_id)
+        if m["schema_version"] > SCHEMA_VERSION:
+            raise ValueError(f"index {index_id!r} has layout {m['schema_version']}; this library reads up to {SCHEMA_VERSION}")
         return {t: self.spark.read.parquet(f"{self._dir(index_id)}/{m['version']}/{t}") for t in m["tables"]}
 
     def metadata(self, index_id: str) -> dict:
         return self._manifest(index_id)["metadata"]
 
+    def version(self, index_id: str) -> str:
+        """Another one after every save."""
+        return self._manifest(index_id)["version"]
+
 
 #: The fields of an index that is kept as one JSON object.
 PAYLOAD = (
