@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.lines import numbered_lines
 from ..sources.scratch import save
 from .indexing import Index
 from .modes import MODES, query, source_ids
@@ -23,7 +24,7 @@ TOP_K = 5
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; blank ones are skipped. A line that is no case (broken, without id or query, with a mode that
     is none or numbers out of bounds) is an error that names it."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\\r?\\n")).alias("line", "text")).filter(F.trim("text") != "")
+    lines = numbered_lines(spark, path).filter(F.trim("text") != "")
     rows = save(lines.withColumn("c", F.from_json("text", f"{CASES}, broken string", {"columnNameOfCorruptRecord": "broken"})))
     c = lambda name: F.col(f"c.{name}")
     some = lambda name: F.coalesce(c(name) != "", F.lit(False))
@@ -32,7 +33,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     good = good & F.coalesce(c("top_k").between(1, 50), F.lit(True)) & F.coalesce(c("community_level").between(0, 16), F.lit(True))
     bad = rows.filter(~good).orderBy("file", "line").first()
     if bad is not None:
-        raise ValueError(f"line {bad['line'] + 1} of {bad['file']} is no evaluation case")
+        raise ValueError(f"line {bad['line']} of {bad['file']} is no evaluation case")
     none = F.array().cast("array<string>")
     return rows.select(
         "c.id", "c.index_id", "c.query", F.coalesce("c.modes", F.array(*map(F.lit, MODES))).alias("modes"), F.coalesce("c.expected_source_ids", none).alias("expected_source_ids"),

@@ -97,10 +97,13 @@ def local_context(index: Index, questions: DataFrame, top_k: int, max_tokens: in
 
 def _local_lists(ctx: dict[str, DataFrame], questions: DataFrame, shown: int | None) -> DataFrame:
     first = lambda rows, *order: rows.withColumn("o", F.row_number().over(Window.partitionBy(Q).orderBy(*order))).filter(F.lit(shown is None) | (F.col("o") <= (shown or 0)))
-    rows = _items(_listed(first(ctx["entities"], "name"), "o", F.concat_ws(": ", "name", "description")), "es", questions)
-    rows = _items(_listed(first(ctx["relations"], "source", "target", "relation_type"), "o", F.format_string("%s -%s-> %s", "source", "relation_type", "target")), "rs", rows)
-    rows = _items(_listed(first(ctx["claims"], "id"), "o", F.col("description")), "cs", rows)
-    return _items(_listed(ctx["text_units"], "rank", F.col("text")), "ts", rows)
+    has = lambda rows, name: F.coalesce(F.col(name).cast("string"), F.lit("")) if name in rows.columns else F.lit("")
+    e, r, c = ctx["entities"], ctx["relations"], ctx["claims"]
+    rows = _items(_listed(first(e, "name"), "o", F.format_string("%s (%s): %s", "name", has(e, "type"), has(e, "description"))), "es", questions)
+    rows = _items(_listed(first(r, "source", "target", "relation_type"), "o", F.format_string("%s -%s-> %s: %s", "source", "relation_type", "target", has(r, "description"))), "rs", rows)
+    claim = F.format_string("[%s] status=%s %s -> %s: %s", "id", has(c, "status"), has(c, "subject_id"), has(c, "object_id"), has(c, "description"))
+    rows = _items(_listed(first(c, "id"), "o", claim), "cs", rows)
+    return _items(_listed(ctx["text_units"], "rank", F.format_string("[%s] %s", "key", "text")), "ts", rows)
 
 
 def in_order(parts: DataFrame) -> DataFrame:
@@ -248,7 +251,7 @@ def drift(index: Index, questions: DataFrame, level: int | None = None, provider
         asked = save(current.select(key.alias("k"), F.col(Q).alias("root"), "id", "question", "depth", "parent_id", "place"))
         ctx = local_context(index, asked.select(F.col("k").alias(Q), F.col("question").alias("query")), config.drift_local_k, config.drift_local_tokens)
         lists = _local_lists(ctx, asked.select(F.col("k").alias(Q), F.col("question").alias("query")), config.shown_items)
-        prior = evidence.groupBy(F.col(Q).alias("root")).agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "id", "answer"))), lambda x: x["answer"]).alias("prior"))
+        prior = evidence.groupBy(F.col(Q).alias("root")).agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "id", F.concat("question", F.lit(": "), "answer").alias("said")))), lambda x: x["said"]).alias("prior"))
         rows = lists.withColumnRenamed(Q, "k").join(asked, "k").join(prior, "root", "left").join(questions.select(F.col(Q).alias("root"), F.col("query").alias("root_query")), "root")
         shown = prompts.local(F.col("question"), F.col("es"), F.col("rs"), F.col("ts"), F.col("cs"))
         got = save(ask(rows, index, provider, F.concat(F.lit("drift_followup_"), F.col("id")), prompts.drift_followup(F.col("root_query"), F.col("question"), shown, F.coalesce("prior", F.array().cast("array<string>")))).select("k", F.col("root").alias(Q), "id", "question", "depth", "parent_id", "place", "response"))

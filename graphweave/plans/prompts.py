@@ -67,7 +67,7 @@ def drift_primer(query: Column, reports: Column) -> Column:
 
 
 def drift_followup(root: Column, question: Column, context: Column, prior: Column) -> Column:
-    """prior: array of strings; the last six are shown."""
+    """prior: array of earlier questions with their answers; the last six are shown."""
     shown = F.when(F.size(prior) > 6, F.slice(prior, F.size(prior) - 5, 6)).otherwise(prior)
     return _prompt(
         'Answer the follow-up from these data, as {"answer", "confidence": 0 to 1, "follow_ups": [{"question", "score"}]}.',

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.tokenizers import Tokenizer
-from ..sources.documents import documents_from, guard
+from ..sources.documents import documents_from, guard, with_ids
 from ..sources.index_store import IndexStore
 from . import indexing, modes
 from .embedding import Embedder
@@ -21,10 +21,10 @@ class Service:
         self.store = IndexStore(spark, root)
 
     def create(self, index_id: str, documents: list[str] | DataFrame, overwrite: bool = False) -> dict:
-        """Index a request's texts, or a DataFrame (doc_id, text); an index that exists stays unless it may be overwritten."""
+        """Index a request's texts, or a DataFrame (text, and doc_id if it has any); an index that exists stays unless it may be overwritten."""
         if self.store.exists(index_id) and not overwrite:
             raise FileExistsError(f"index {index_id!r} exists")
-        docs = documents if isinstance(documents, DataFrame) else documents_from(self.spark, index_id, documents)
+        docs = with_ids(documents, index_id) if isinstance(documents, DataFrame) else documents_from(self.spark, index_id, documents)
         index = indexing.build_index(guard(docs, self.config), self.config, self.provider, self.embedder, self.tokenizer)
         indexing.persist(index, self.spark, self.root, index_id, overwrite)
         return self.quality(index_id)

@@ -117,6 +117,26 @@ def local_search_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(lambda: shown(modes.query(place_index(spark, sf_dir), asked(spark, sf_dir), "local")))
 
 
+class Citer:
+    """A provider that reads its prompt: how many entities it shows with a type, and the ids of claims and texts in order."""
+
+    name = "citer"
+
+    def complete(self, task: str, prompt: str) -> str:
+        shown, rest = prompt.split("\nRelations:\n", 1)
+        claims_, texts = rest.split("\nClaims:\n", 1)[1].split("\nTexts:\n", 1)
+        ids = lambda part: ",".join(re.findall(r"^- \[([^\]]+)\]", part, re.M))
+        return f"{len(re.findall(r'^- .+ [(][A-Z]+[)]: ', shown, re.M))};{ids(claims_)};{ids(texts)}"
+
+
+@query(local_sql(QUESTIONS, CONFIG.local_tokens) + """, n AS (SELECT q, count(*) AS n FROM names JOIN e USING (name) GROUP BY q), c AS (SELECT q, string_agg(id, ',' ORDER BY id) AS ids FROM about GROUP BY q),
+t AS (SELECT q, string_agg(key, ',' ORDER BY rank) AS ids FROM packed GROUP BY q)
+SELECT key AS question_id, coalesce(n, 0) || ';' || coalesce(c.ids, '') || ';' || coalesce(t.ids, '') AS answer FROM q_t LEFT JOIN n ON n.q = key LEFT JOIN c ON c.q = key LEFT JOIN t ON t.q = key""")
+def local_answers_cite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local answers of a provider that cites what its prompt shows: entities with types, claims and texts with ids."""
+    return settle(lambda: modes.query(place_index(spark, sf_dir), asked(spark, sf_dir), "local", provider=Citer()).answers)
+
+
 REPORTS = f""", rep AS (SELECT 'L1_C' || n_nationkey AS id, row_number() OVER (ORDER BY 'L1_C' || n_nationkey) AS rank, '{SAID['community_summary']}' AS text FROM nation)"""
 
 

@@ -13,7 +13,7 @@ from ..functions.text import normalize_surface, token_count, truncate_tokens
 from ..functions.tokenizers import BytePairTokenizer
 from ..operators import budget, chunking, claims, describe, resolution
 from ..plans import prompts
-from ..sources.documents import caps, without_blanks
+from ..sources.documents import caps, with_ids, without_blanks
 from .base import longs, query, table
 
 BULK = replace(EngineConfig(), max_documents=None, max_characters=None)
@@ -57,6 +57,12 @@ def blank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS = r"len(regexp_extract_all(text, '\s*(?:[\p{L}\p{N}_]+|[^\s])'))"
 
 
+@query("SELECT 'own_doc_' || (row_number() OVER (ORDER BY text NULLS FIRST) - 1) AS doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents")
+def keyless_document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids for documents that have none."""
+    return with_ids(table(spark, sf_dir, "documents").drop("doc_id"), "own").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
 #: Single bytes, "th" and "the": a vocabulary that SQL can follow.
 FEW_RANKS = {bytes([i]): i for i in range(256)} | {b"th": 256, b"the": 257}
 

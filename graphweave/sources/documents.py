@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.text import is_blank
+from ..operators.rank import global_rank
 
 #: Fixed value: what an index may be called.
 INDEX_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,127}")
@@ -34,6 +35,15 @@ def documents_from(spark: SparkSession, index_id: str, texts: list[str]) -> Data
     return spark.createDataFrame([(f"{index_id}_doc_{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
 
 
+def with_ids(docs: DataFrame, index_id: str) -> DataFrame:
+    """docs with doc_id: as they have it, or else {index_id}_doc_{place in the order of the texts}. A table has no order of
+    its own; equal texts have places one after the other, and the same table has the same ids every time."""
+    if "doc_id" in docs.columns:
+        return docs
+    placed = global_rank(docs, [F.col("text").asc_nulls_first()], "nth_id_")
+    return placed.select(F.concat(F.lit(f"{index_id}_doc_"), F.col("nth_id_").cast("string")).alias("doc_id"), *docs.columns)
+
+
 def caps(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """One row: docs, chars, over_cap."""
     n = docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("chars"))
