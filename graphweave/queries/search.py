@@ -129,9 +129,10 @@ class Citer:
         return f"{len(re.findall(r'^- .+ [(][A-Z]+[)]: ', shown, re.M))};{ids(claims_)};{ids(texts)}"
 
 
-@query(local_sql(QUESTIONS, CONFIG.local_tokens) + """, n AS (SELECT q, count(*) AS n FROM names JOIN e USING (name) GROUP BY q), c AS (SELECT q, string_agg(id, ',' ORDER BY id) AS ids FROM about GROUP BY q),
-t AS (SELECT q, string_agg(key, ',' ORDER BY rank) AS ids FROM packed GROUP BY q)
-SELECT key AS question_id, coalesce(n, 0) || ';' || coalesce(c.ids, '') || ';' || coalesce(t.ids, '') AS answer FROM q_t LEFT JOIN n ON n.q = key LEFT JOIN c ON c.q = key LEFT JOIN t ON t.q = key""")
+@query(local_sql(QUESTIONS, CONFIG.local_tokens) + """, shown_n AS (SELECT q, count(*) AS n FROM names JOIN e USING (name) GROUP BY q), shown_c AS (SELECT q, string_agg(id, ',' ORDER BY id) AS ids FROM about GROUP BY q),
+shown_t AS (SELECT q, string_agg(key, ',' ORDER BY rank) AS ids FROM packed GROUP BY q)
+SELECT q_t.key AS question_id, coalesce(n, 0) || ';' || coalesce(shown_c.ids, '') || ';' || coalesce(shown_t.ids, '') AS answer
+FROM q_t LEFT JOIN shown_n ON shown_n.q = q_t.key LEFT JOIN shown_c ON shown_c.q = q_t.key LEFT JOIN shown_t ON shown_t.q = q_t.key""")
 def local_answers_cite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local answers of a provider that cites what its prompt shows: entities with types, claims and texts with ids."""
     return settle(lambda: modes.query(place_index(spark, sf_dir), asked(spark, sf_dir), "local", provider=Citer()).answers)
