@@ -4,10 +4,12 @@ One round of local moving: every node weighs the communities of its neighbours
 and goes to the best strict gain (ties to the smaller community). All nodes
 decide at once on the same state, so only those move whose turn it is: a half
 picked by hash, then the other half, then by another hash; that keeps
-neighbours from swapping for ever. A pass ends when no node gains; then
-communities become nodes and the next pass begins, until a pass joins nothing.
-The sums of a community are aggregates, the neighbours a join; no group is
-gathered, and a hub costs its number of neighbouring communities.
+neighbours from swapping for ever. After a round only the nodes next to one that
+moved, and those that still want to, are weighed again: the edges of all others
+stay out of the next round, so rounds shrink as a graph settles. A pass ends when
+none of these gains; then communities become nodes and the next pass begins, until
+a pass joins nothing. The sums of a community are aggregates, the neighbours a
+join; no group is gathered, and a hub costs its number of neighbouring communities.
 
 Leiden adds the refinement: inside every community nodes start alone again and
 join parts they are well connected to, with a gain, so that parts are connected;
@@ -18,6 +20,8 @@ founder stays put in that round, so no part loses what held it together.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -25,6 +29,8 @@ from ..config import EngineConfig
 from ..sources.scratch import release, save
 from .rank import global_rank
 
+log = logging.getLogger("graphweave.communities")
+
 
 def _turn(node: str, turn: int, seed: int) -> Column:
     """Whether it is a node's turn: a half in even turns, the other half in the next."""
@@ -50,15 +56,29 @@ def _round(nodes: DataFrame, arcs: DataFrame, resolution: float, turn: int, seed
     return own.withColumn("wants", wants).select("graph", "node", F.when(F.col("wants") & _turn("node", turn, seed), F.col("best.to")).otherwise(F.col("c")).alias("c"), "k", "total", "wants")
 
 
-def _local(nodes: DataFrame, arcs: DataFrame, resolution: float, config: EngineConfig) -> DataFrame:
-    """Rounds until no node gains, one half's and the other's in a job; config.community_rounds bounds them."""
+def _awake(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """The arcs of nodes that are to be weighed again: next to one that moved, or still with a wish."""
+    moved = nodes.filter("c <> was").select("graph", F.col("node").alias("b"))
+    again = arcs.join(moved, ["graph", "b"]).select("graph", "a").unionByName(nodes.filter("wants").select("graph", F.col("node").alias("a"))).distinct()
+    return arcs.join(again, ["graph", "a"], "left_semi")
+
+
+def _local(nodes: DataFrame, arcs: DataFrame, resolution: float, config: EngineConfig, weighed: list[int] | None = None) -> DataFrame:
+    """Rounds until no node gains, one half's and the other's in a job; config.community_rounds bounds them, and a pass
+    that it ends is logged. weighed: gets the arcs that each job looks at."""
     for turn in range(0, config.community_rounds, 2):
-        both = _round(_round(nodes, arcs, resolution, turn, config.seed), arcs, resolution, turn + 1, config.seed)
+        near = _awake(nodes, arcs) if turn else arcs
+        if weighed is not None:
+            weighed.append(near.count())
+        both = _round(_round(nodes, near, resolution, turn, config.seed), near, resolution, turn + 1, config.seed)
+        was = nodes.select("graph", "node", F.col("c").alias("was"))
         wishes = Observation()
-        before, nodes = nodes, save(both.observe(wishes, F.count_if("wants").alias("n")))
+        before, nodes = nodes, save(both.join(was, ["graph", "node"]).observe(wishes, F.count_if("wants").alias("n")))
         release(before)
         if not wishes.get["n"]:
             break
+    else:
+        log.warning("a pass of local moving ended after %d rounds with %d nodes that still gain", config.community_rounds, wishes.get["n"])
     return nodes
 
 
