@@ -15,7 +15,9 @@ Leiden adds the refinement: inside every community nodes start alone again and
 join parts they are well connected to, with a gain, so that parts are connected;
 the parts become the nodes of the next pass, which starts from the communities.
 A node may only join while it is alone and it is its turn, and only parts whose
-founder stays put in that round, so no part loses what held it together.
+founder stays put in that round, so no part loses what held it together. At the
+end a community that moving has left in several pieces is these pieces: that
+costs no edge, so modularity can only gain.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..sources.scratch import release, save
+from .components import components
 from .rank import global_rank
 
 log = logging.getLogger("graphweave.communities")
@@ -156,7 +159,19 @@ def partition(edges: DataFrame, nodes: DataFrame, resolution: float, config: Eng
         e = e.join(a, ["graph", "u"]).join(b, ["graph", "v"]).groupBy("graph", F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).agg(F.sum("weight").alias("weight"))
     if start is not None:
         member = member.join(start.withColumnRenamed("node", "at"), ["graph", "at"], "left").select("graph", "node", F.coalesce("c", "at").alias("at"))
-    return save(member.select("graph", "node", F.col("at").alias("c")))
+    found = save(member.select("graph", "node", F.col("at").alias("c")))
+    return save(_pieces(edges, found)) if leiden else found
+
+
+def _pieces(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """found(graph, node, c) with every community's connected pieces as communities, each named by its smallest node."""
+    key = lambda node: F.concat_ws("|", F.col("graph").cast("string"), F.col(node).cast("string"))
+    of = lambda end: found.select("graph", F.col("node").alias(end), F.col("c").alias(f"{end}_c"))
+    inner = edges.filter("u <> v").join(of("u"), ["graph", "u"]).join(of("v"), ["graph", "v"]).filter("u_c = v_c")
+    roots = components(inner.select(key("u").alias("u"), key("v").alias("v"))).withColumnRenamed("node", "key")
+    placed = found.withColumn("key", key("node")).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    names = placed.groupBy("root").agg(F.min("node").alias("least"))
+    return placed.join(names, "root").select("graph", "node", F.col("least").alias("c"))
 
 
 def hierarchy(entities: DataFrame, edges: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:

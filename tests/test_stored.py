@@ -29,7 +29,7 @@ class Words:
 
 
 TEXTS = ["Ann Bob Cid.", "ANN Bob Dan.", "Ann Cid Eve.", "Zoe alone."]
-CONFIG = replace(EngineConfig(), prune_enabled=True, min_node_degree=1, claims_enabled=True, keep_payloads=True)
+CONFIG = replace(EngineConfig(), prune_enabled=True, min_node_degree=1, claims_enabled=True, keep_payloads=True, max_community_levels=1)
 
 
 @pytest.fixture(scope="module")

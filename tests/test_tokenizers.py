@@ -2,10 +2,12 @@
 
 import base64
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from graphweave.config import EngineConfig
 from graphweave.functions.tokenizers import WORDS, BytePairTokenizer, tokenizer_for
 from graphweave.operators import budget
 from graphweave.plans import indexing, modes
@@ -89,7 +91,7 @@ def test_unknown_models_fall_back(pairs):
 def test_modes_take_the_index_own_tokenizer(spark, pairs):
     """A local context under a small budget holds as many tokens as the index's tokenizer allows."""
     docs = spark.createDataFrame([(i, f"The thing number {i} and the other thing, erring in the end. " * 12) for i in range(6)], "doc_id long, text string")
-    index = indexing.build_index(docs, tokenizer=pairs)
+    index = indexing.build_index(docs, replace(EngineConfig(), max_community_levels=1), tokenizer=pairs)
     q = spark.createDataFrame([(1, "the thing")], "question_id long, query string")
     for t in (pairs, WORDS):
         index.tokenizer = t
