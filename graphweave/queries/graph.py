@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..operators import community, describe, graph, prune, reports
 from ..operators.components import components
-from ..sources.scratch import save
+from ..sources.scratch import save, settle
 from ..sources.table_graph import entity_mentions, relation_mentions
 from .base import GRAPH, ORACLE, QUERIES, entities, longs, query, relations, table
 
@@ -177,6 +178,43 @@ def leiden_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.hierarchy(save(entities(spark, sf_dir)), graph.undirected(relations(spark, sf_dir, True)), replace(EngineConfig(), community_algorithm="leiden"))
 
 
+def invariants(communities: DataFrame, e: DataFrame, edges: DataFrame, floor: DataFrame) -> DataFrame:
+    """(figure, value) of what does not depend on ties: entities covered by level 0, names that stand twice in a level,
+    members outside their parent, sizes that are wrong, communities in several parts, and modularity, but no more than floor(q)."""
+    one = lambda df, name: df.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(name).alias("figure"), "value")
+    members = save(communities)
+    top = members.filter("level = 0")
+    sizes = members.groupBy("id", "size").agg(F.count(F.lit(1)).alias("n"))
+    parents = members.select(F.col("id").alias("parent_id"), "name")
+    own = members.select("id", "name", F.concat_ws("|", "id", "name").alias("key"))
+    ends = lambda end: own.select("id", F.col("name").alias(end), F.col("key").alias(f"{end}_key"))
+    inner = edges.join(ends("u"), "u").join(ends("v"), ["id", "v"]).select(F.col("u_key").alias("u"), F.col("v_key").alias("v"))
+    linked = components(inner).withColumnRenamed("node", "key").join(own, "key").groupBy("id").agg(F.countDistinct("root").alias("parts"), F.count(F.lit(1)).alias("linked"))
+    parts = sizes.join(linked, "id", "left").select(F.coalesce("parts", F.lit(0)) + F.col("n") - F.coalesce("linked", F.lit(0)))
+    q = community.modularity(edges, top.select("name", F.col("id").alias("c"))).crossJoin(floor.select(F.col("q").alias("floor")))  # one row each
+    rows = [
+        one(top.join(e.select("name"), "name", "left_semi").select("name").distinct(), "covered"), one(members.groupBy("level", "name").count().filter("count > 1"), "repeated"),
+        one(members.filter("level > 0").join(parents, ["parent_id", "name"], "left_anti"), "outside_parent"), one(sizes.filter("n <> size"), "wrong_size"),
+        one(parts.toDF("n").filter("n > 1"), "in_parts"), q.select(F.lit("modularity_up_to_floor").alias("figure"), F.round(F.least("q", "floor"), 6).alias("value")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query(GRAPH + NATIONS + COVER + """, x AS (SELECT a.c AS cu, b.c AS cv, weight FROM u JOIN cov a ON a.name = u JOIN cov b ON b.name = v), m AS (SELECT sum(weight) AS m FROM x),
+i AS (SELECT cu AS c, sum(weight) AS l FROM x WHERE cu = cv GROUP BY cu), t AS (SELECT c, sum(weight) AS k FROM (SELECT cu AS c, weight FROM x UNION ALL SELECT cv, weight FROM x) GROUP BY c)
+SELECT 'covered' AS figure, count(*)::DOUBLE AS value FROM e UNION ALL SELECT unnest(['repeated', 'outside_parent', 'wrong_size', 'in_parts']), 0
+UNION ALL SELECT 'modularity_up_to_floor', round(sum(coalesce(l, 0) / m - pow(k / (2 * m), 2)), 6) FROM t LEFT JOIN i USING (c), m""")
+def leiden_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the whole table graph: cover, nesting, sizes, connectedness, and a modularity that is not below that of the nations."""
+
+    def run() -> DataFrame:
+        e, edges = save(entities(spark, sf_dir)), save(graph.undirected(relations(spark, sf_dir, True)))
+        found = community.hierarchy(e, edges, replace(EngineConfig(), community_algorithm="leiden"))
+        return invariants(found, e, edges, modularity(spark, sf_dir))
+
+    return settle(run)
+
+
 @query("""WITH c AS (SELECT n_regionkey % 2 * 2 AS level FROM nation), q AS (SELECT unnest([0, 1, 3]) AS requested)
 SELECT requested::BIGINT AS requested, coalesce(max(level) FILTER (level <= requested), min(level), 0)::BIGINT AS level FROM c, q GROUP BY requested""")
 def choose_level(spark: SparkSession, sf_dir: str) -> DataFrame:

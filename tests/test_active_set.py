@@ -40,3 +40,19 @@ def test_rounds_shrink_and_the_result_is_as_good(spark, caplog):
     nodes, arcs = start(spark, edges)
     community._local(nodes, arcs, 1.0, replace(EngineConfig(), community_rounds=2))
     assert "ended after 2 rounds" in caplog.text
+
+
+def test_invariants_of_a_hierarchy(spark):
+    """Cover, nesting, sizes and connectedness of Leiden's communities; the figures see what is wrong with others."""
+    from graphweave.queries.graph import invariants
+
+    edges = planted(2, groups=6, size=10)
+    named = spark.createDataFrame([(f"n{a:03d}", f"n{b:03d}", 1.0) for a, b in edges], "u string, v string, weight double")
+    names = spark.createDataFrame([(f"n{i:03d}",) for i in range(61)], "name string")  # one of them without edges
+    found = community.hierarchy(names, named, replace(EngineConfig(), community_algorithm="leiden", max_community_levels=2, max_cluster_size=5))
+    floor = spark.createDataFrame([(0.3,)], "q double")
+    figures = {r["figure"]: r["value"] for r in invariants(found, names, named, floor).collect()}
+    assert figures == {"covered": 61, "repeated": 0, "outside_parent": 0, "wrong_size": 0, "in_parts": 0, "modularity_up_to_floor": 0.3}
+    wrong = spark.createDataFrame([("A", 0, None, 3, "n000"), ("A", 0, None, 3, "n060"), ("B", 0, None, 1, "n000"), ("C", 1, "A", 1, "n005")], "id string, level int, parent_id string, size long, name string")
+    figures = {r["figure"]: r["value"] for r in invariants(wrong, names, named, floor).collect()}
+    assert figures["covered"] == 2 and figures["repeated"] == figures["outside_parent"] == figures["wrong_size"] == figures["in_parts"] == 1 and figures["modularity_up_to_floor"] < 0.3
