@@ -14,7 +14,7 @@ from ..config import EngineConfig
 from ..operators import extract, graph, reports
 from ..plans import evaluate, indexing, modes
 from ..plans.embedding import ShaEmbedder
-from ..plans.providers import OFFLINE_ANSWER, OFFLINE_ANSWERS, CannedProvider, ask
+from ..plans.providers import OFFLINE_ANSWER, OFFLINE_ANSWERS, CannedProvider, Provider, ask
 from ..sources.scratch import save, settle
 from ..sources.table_graph import entity_mentions, relation_mentions
 from .base import GRAPH, entities, longs, query, relations, table
@@ -73,13 +73,13 @@ def place_members(spark: SparkSession, sf_dir: str, relations_: DataFrame) -> Da
     return save(members.join(size, "id").select("id", "level", "parent_id", "size", "name"))
 
 
-def place_index(spark: SparkSession, sf_dir: str) -> indexing.Index:
-    """The table graph with places as communities."""
+def place_index(spark: SparkSession, sf_dir: str, provider: Provider = CannedProvider({}), config: EngineConfig = BULK) -> indexing.Index:
+    """The table graph with places as communities, whose reports the provider writes."""
     tables = table_graph(spark, sf_dir)
     tables["communities"] = c = place_members(spark, sf_dir, tables["relations"])
-    tables["reports"] = reports.reports(c, tables["entities"], tables["relations"], CannedProvider({}))
-    tables["vectors"] = save(indexing.embed(tables, BULK, EMBEDDER))
-    return indexing.Index(tables, BULK, EMBEDDER)
+    tables["reports"] = reports.reports(c, tables["entities"], tables["relations"], provider)
+    tables["vectors"] = save(indexing.embed(tables, config, EMBEDDER))
+    return indexing.Index(tables, config, EMBEDDER)
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
