@@ -278,6 +278,9 @@ def test_top_k_equals_brute_force(spark, clustered):
             want += [(q, n + 1, k, -a) for n, (a, k) in enumerate(s)]
     assert sorted(map(tuple, got)) == sorted(want)
     assert mtree.top_k(df.limit(0), df["vec_id"] % 50 == 0).count() == 0
+    # Groves of several trees, looked into in rounds that start from the scores known.
+    again = mtree.top_k(df, df["vec_id"] % 50 == 0, tree_rows=20, query_rows=7, first_groves=1).collect()
+    assert sorted(map(tuple, again)) == sorted(want)
 
 
 def test_top_k_of_large_components(spark):
@@ -298,6 +301,30 @@ def test_top_k_of_large_components(spark):
         mtree.top_k(spark.createDataFrame([(0, [1e12] * 4), (50, [1e12] * 4)], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
 
 
+def test_top_k_of_products_beyond_64_bits(spark):
+    """Products that do not fit 64 bits are added up exactly; only a score among the best must fit."""
+    big = [(0, [2.0**50, 2.0**50, 1.0, 0.0])] + [(i, [2.0**50, -(2.0**50), float(i), 7.0]) for i in range(1, 40)] + [(40, [-(2.0**60), -(2.0**60), 0.0, 0.0])]
+    df = spark.createDataFrame([(i, [a / 256 for a in v]) for i, v in big], "vec_id long, embedding array<double>").repartition(3)
+    got = mtree.top_k(df, df["vec_id"] % 50 == 0, tree_rows=10, first_groves=1).collect()
+    assert sorted(map(tuple, got)) == [(0, n + 1, 39 - n, 39 - n) for n in range(5)]
+
+
+def test_tree_goes_on_from_what_is_known():
+    r = np.random.default_rng(9)
+    x = np.floor(r.normal(size=(1200, 6)) * 64)
+    ids, norms = np.arange(1200), (x**2).sum(axis=1)
+    tree = lambda part: mtree.Page(x, part, norms, 32)
+    for q in range(0, 40, 5):
+        want = sorted((-int(x[j] @ x[q]), j) for j in range(1200) if j != q)[:5]
+        first = mtree.search(tree(ids[:500]), x, ids, ids, norms, x[q], q, 5, [0])
+        cold, warm, floored = [0], [0], [0]
+        mtree.search(tree(ids[500:]), x, ids, ids, norms, x[q], q, 5, cold)
+        best = mtree.search(tree(ids[500:]), x, ids, ids, norms, x[q], q, 5, warm, known=first)
+        assert [(-a, i) for a, i, _ in best] == want and warm[0] <= cold[0]
+        rest = mtree.search(tree(ids[500:]), x, ids, ids, norms, x[q], q, 5, floored, floor=first[-1][0])
+        assert sorted((-a, i) for a, i, _ in first + rest)[:5] == want and floored[0] <= cold[0]
+
+
 def test_tree_skips_work():
     r = np.random.default_rng(7)
     x = np.floor((r.normal(size=(2000, 8)) * 0.02 + r.normal(size=(20, 8)).repeat(100, axis=0)) * 256)
