@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..operators.rank import global_rank
 from ..sources.lines import numbered_lines
 from ..sources.scratch import save
 from .indexing import Index
@@ -81,7 +82,7 @@ def _options(mode: str, top_k: int | None, level: int | None, provider: Provider
 def _answered(index: Index, cases: DataFrame, mode: str, options: dict) -> DataFrame:
     """(case_id, answer, source_ids, drift_actions), all computed when this returns."""
     got = query(index, cases.select(F.col("id").alias("question_id"), "query"), mode, **options)
-    rows = got.answers.join(source_ids(got.details, mode), "question_id", "left")
+    rows = got.answers.join(source_ids(got.details, mode, index.config.shown_items), "question_id", "left")
     if mode == "drift":
         rows = rows.join(got.details["trace"].select("question_id", F.col("actions").cast("long").alias("drift_actions")), "question_id", "left")
     else:
@@ -89,28 +90,30 @@ def _answered(index: Index, cases: DataFrame, mode: str, options: dict) -> DataF
     return save(rows.select(F.col("question_id").alias("case_id"), "answer", F.coalesce("source_ids", F.array().cast("array<string>")).alias("source_ids"), "drift_actions"))
 
 
+def _tried(index: Index, cases: DataFrame, mode: str, options: dict) -> DataFrame:
+    """cases(id, query, nth) -> (case_id, answer, source_ids, drift_actions, error, latency_ms) of all of them."""
+    began = time.perf_counter()
+    lo, hi, n, name = cases.agg(F.min("nth"), F.max("nth"), F.count(F.lit(1)), F.min("id")).first()
+    try:
+        rows = _answered(index, cases, mode, options).withColumn("error", F.lit(None).cast("string"))
+    except Exception as e:
+        if n > 1:
+            middle = (lo + hi) // 2
+            return _tried(index, cases.filter(F.col("nth") <= middle), mode, options).unionByName(_tried(index, cases.filter(F.col("nth") > middle), mode, options))
+        rows = cases.sparkSession.createDataFrame([(name, "", [], None, str(e) or type(e).__name__)], "case_id string, answer string, source_ids array<string>, drift_actions long, error string")
+    return rows.withColumn("latency_ms", F.lit(1000 * (time.perf_counter() - began) / n))
+
+
 def run(index: Index, cases: DataFrame, provider: Provider | None = None) -> DataFrame:
     """One row for each case and mode. Cases of one mode, top_k and level are answered together, and each gets its share
-    of the time until their answers are there. Where that fails, each is tried alone, and one that fails has its error."""
+    of the time until their answers are there. Where that fails, halves are tried, down to the case that fails alone and
+    has its error: of n cases, one that fails costs about 2 log2(n) more runs."""
     spark, out = cases.sparkSession, None
     cases = save(cases)
     asked = cases.select(F.explode("modes").alias("mode"), "top_k", "community_level").distinct().orderBy("mode", "top_k", "community_level").collect()
     for mode, top_k, level in asked:  # settings, not rows
         own = cases.filter(F.array_contains("modes", mode) & F.col("top_k").eqNullSafe(F.lit(top_k)) & F.col("community_level").eqNullSafe(F.lit(level).cast("int")))
-        began, n = time.perf_counter(), own.count()
-        options = _options(mode, top_k, level, provider)
-        try:
-            rows = _answered(index, own, mode, options).withColumns({"error": F.lit(None).cast("string"), "latency_ms": F.lit(1000 * (time.perf_counter() - began) / n)})
-        except Exception:
-            rows = None
-            for case in own.select("id").toLocalIterator():
-                began = time.perf_counter()
-                try:
-                    one = _answered(index, own.filter(F.col("id") == case["id"]), mode, options).withColumn("error", F.lit(None).cast("string"))
-                except Exception as e:
-                    one = spark.createDataFrame([(case["id"], "", [], None, str(e) or type(e).__name__)], "case_id string, answer string, source_ids array<string>, drift_actions long, error string")
-                one = one.withColumn("latency_ms", F.lit(1000 * (time.perf_counter() - began)))
-                rows = one if rows is None else rows.unionByName(one)
+        rows = _tried(index, global_rank(own, [F.col("id")], "nth"), mode, _options(mode, top_k, level, provider))
         none = F.array().cast("array<string>")
         answer = F.coalesce("answer", F.lit(""))
         rows = own.join(rows, own["id"] == rows["case_id"], "left").select(

@@ -20,6 +20,8 @@ from .providers import OfflineProvider, Provider, keeping, payloads
 NO_REPORTS = "No community reports were available at the selected hierarchy level."
 NO_POINTS = "The selected community reports did not contain enough relevant evidence to answer the question."
 Q = "question_id"
+#: Entities, relations or claims around one question that a prompt or a list of sources may hold without a setting.
+LISTED = 50_000
 
 
 @dataclass
@@ -95,14 +97,22 @@ def local_context(index: Index, questions: DataFrame, top_k: int, max_tokens: in
     return {"seeds": seeds, "entities": save(entities), "relations": save(relations), "claims": save(claims), "text_units": save(budget.select_within(top, max_tokens, [Q], tokenizer=index.own_tokenizer))}
 
 
+def first(rows: DataFrame, shown: int | None, what: str, *order: str) -> DataFrame:
+    """rows with o: 1, 2, .. within each question, the first `shown`. Without that setting all of them, but more than
+    LISTED are an error before they are gathered in a row: everything around a hub fits into no prompt."""
+    rows = rows.withColumn("o", F.row_number().over(Window.partitionBy(Q).orderBy(*order)))
+    if shown is not None:
+        return rows.filter(F.col("o") <= shown)
+    return rows.withColumn("o", F.when(F.col("o") > LISTED, F.raise_error(F.lit(f"over {LISTED} {what} are around one question; set shown_items")).cast("int")).otherwise(F.col("o")))
+
+
 def _local_lists(ctx: dict[str, DataFrame], questions: DataFrame, shown: int | None) -> DataFrame:
-    first = lambda rows, *order: rows.withColumn("o", F.row_number().over(Window.partitionBy(Q).orderBy(*order))).filter(F.lit(shown is None) | (F.col("o") <= (shown or 0)))
     has = lambda rows, name: F.coalesce(F.col(name).cast("string"), F.lit("")) if name in rows.columns else F.lit("")
     e, r, c = ctx["entities"], ctx["relations"], ctx["claims"]
-    rows = _items(_listed(first(e, "name"), "o", F.format_string("%s (%s): %s", "name", has(e, "type"), has(e, "description"))), "es", questions)
-    rows = _items(_listed(first(r, "source", "target", "relation_type"), "o", F.format_string("%s -%s-> %s: %s", "source", "relation_type", "target", has(r, "description"))), "rs", rows)
+    rows = _items(_listed(first(e, shown, "entities", "name"), "o", F.format_string("%s (%s): %s", "name", has(e, "type"), has(e, "description"))), "es", questions)
+    rows = _items(_listed(first(r, shown, "relations", "source", "target", "relation_type"), "o", F.format_string("%s -%s-> %s: %s", "source", "relation_type", "target", has(r, "description"))), "rs", rows)
     claim = F.format_string("[%s] status=%s %s -> %s: %s", "id", has(c, "status"), has(c, "subject_id"), has(c, "object_id"), has(c, "description"))
-    rows = _items(_listed(first(c, "id"), "o", claim), "cs", rows)
+    rows = _items(_listed(first(c, shown, "claims", "id"), "o", claim), "cs", rows)
     return _items(_listed(ctx["text_units"], "rank", F.format_string("[%s] %s", "key", "text")), "ts", rows)
 
 
@@ -115,18 +125,18 @@ def _part(rows: DataFrame, group: int, order: str, id_: Column) -> DataFrame:
     return rows.select(Q, F.lit(group).alias("g"), F.col(order).cast("long").alias("o"), id_.alias("id"))
 
 
-def local_ids(ctx: dict[str, DataFrame]) -> DataFrame:
-    """(question_id, source_ids): text units by rank, seeds as entity:NAME by rank, claims."""
-    return in_order(_part(ctx["text_units"], 0, "rank", F.col("key")).unionByName(_part(ctx["seeds"], 1, "rank", F.concat(F.lit("entity:"), "name"))).unionByName(_part(numbered(ctx["claims"], "id"), 2, "r", F.col("id"))))
+def local_ids(ctx: dict[str, DataFrame], shown: int | None = None) -> DataFrame:
+    """(question_id, source_ids): text units by rank, seeds as entity:NAME by rank, the claims that a prompt shows."""
+    return in_order(_part(ctx["text_units"], 0, "rank", F.col("key")).unionByName(_part(ctx["seeds"], 1, "rank", F.concat(F.lit("entity:"), "name"))).unionByName(_part(first(ctx["claims"], shown, "claims", "id"), 2, "o", F.col("id"))))
 
 
-def source_ids(details: dict[str, DataFrame], mode: str) -> DataFrame:
+def source_ids(details: dict[str, DataFrame], mode: str, shown: int | None = None) -> DataFrame:
     """(question_id, source_ids): what an answer of a mode rests on, in order and each once. drift: the reports, then
     the sources of every piece of evidence in the order in which it was looked for."""
     if mode == "basic":
         return in_order(_part(details["text_units"], 0, "rank", F.col("key")))
     if mode == "local":
-        return local_ids(details)
+        return local_ids(details, shown)
     reports = _part(details["reports"], 0, "rank", F.col("id"))
     if mode == "global":
         return in_order(reports)
@@ -255,7 +265,7 @@ def drift(index: Index, questions: DataFrame, level: int | None = None, provider
         rows = lists.withColumnRenamed(Q, "k").join(asked, "k").join(prior, "root", "left").join(questions.select(F.col(Q).alias("root"), F.col("query").alias("root_query")), "root")
         shown = prompts.local(F.col("question"), F.col("es"), F.col("rs"), F.col("ts"), F.col("cs"))
         got = save(ask(rows, index, provider, F.concat(F.lit("drift_followup_"), F.col("id")), prompts.drift_followup(F.col("root_query"), F.col("question"), shown, F.coalesce("prior", F.array().cast("array<string>")))).select("k", F.col("root").alias(Q), "id", "question", "depth", "parent_id", "place", "response"))
-        ids = local_ids(ctx).withColumnRenamed(Q, "k")
+        ids = local_ids(ctx, config.shown_items).withColumnRenamed(Q, "k")
         doc = F.try_parse_json(json_object(F.col("response")))
         confidence = F.when(doc.isNull(), 0.25).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_variant_get(doc, "$.confidence", "double"), F.lit(0.0)))))
         answer = strip(F.coalesce(F.try_variant_get(doc, "$.answer", "string"), F.when(doc.isNull(), F.col("response")), F.lit("")))
