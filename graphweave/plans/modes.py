@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +21,9 @@ from .providers import OfflineProvider, Provider, keeping, payloads
 NO_REPORTS = "No community reports were available at the selected hierarchy level."
 NO_POINTS = "The selected community reports did not contain enough relevant evidence to answer the question."
 Q = "question_id"
-#: Entities, relations or claims around one question that a prompt or a list of sources may hold without a setting.
-LISTED = 50_000
+#: Entities, relations or claims of one question that a prompt may hold without a setting where the provider takes it as
+#: one string; one that reads prompts in pieces has no such bound.
+LISTED = 5_000_000
 
 
 @dataclass
@@ -97,23 +99,37 @@ def local_context(index: Index, questions: DataFrame, top_k: int, max_tokens: in
     return {"seeds": seeds, "entities": save(entities), "relations": save(relations), "claims": save(claims), "text_units": save(budget.select_within(top, max_tokens, [Q], tokenizer=index.own_tokenizer))}
 
 
-def first(rows: DataFrame, shown: int | None, what: str, *order: str) -> DataFrame:
-    """rows with o: 1, 2, .. within each question, the first `shown`. Without that setting all of them, but more than
-    LISTED are an error before they are gathered in a row: everything around a hub fits into no prompt."""
+def first(rows: DataFrame, shown: int | None, *order: str) -> DataFrame:
+    """rows with o: 1, 2, .. within each question; the first `shown`, or all."""
     rows = rows.withColumn("o", F.row_number().over(Window.partitionBy(Q).orderBy(*order)))
-    if shown is not None:
-        return rows.filter(F.col("o") <= shown)
-    return rows.withColumn("o", F.when(F.col("o") > LISTED, F.raise_error(F.lit(f"over {LISTED} {what} are around one question; set shown_items")).cast("int")).otherwise(F.col("o")))
+    return rows if shown is None else rows.filter(F.col("o") <= shown)
 
 
-def _local_lists(ctx: dict[str, DataFrame], questions: DataFrame, shown: int | None) -> DataFrame:
+def _local_lines(ctx: dict[str, DataFrame], shown: int | None) -> DataFrame:
+    """(question_id, section, k1, k2, k3, line): what a local prompt lists, in order of k1, k2, k3; never gathered here."""
     has = lambda rows, name: F.coalesce(F.col(name).cast("string"), F.lit("")) if name in rows.columns else F.lit("")
-    e, r, c = ctx["entities"], ctx["relations"], ctx["claims"]
-    rows = _items(_listed(first(e, shown, "entities", "name"), "o", F.format_string("%s (%s): %s", "name", has(e, "type"), has(e, "description"))), "es", questions)
-    rows = _items(_listed(first(r, shown, "relations", "source", "target", "relation_type"), "o", F.format_string("%s -%s-> %s: %s", "source", "relation_type", "target", has(r, "description"))), "rs", rows)
+    e, r, c, t = ctx["entities"], ctx["relations"], ctx["claims"], ctx["text_units"]
+
+    def of(section: int, rows: DataFrame, line: Column, *order: str, most: int | None = shown) -> DataFrame:
+        keys = [F.col(x) for x in order] + [F.lit("")] * (3 - len(order))
+        own = rows if most is None else first(rows, most, *order)
+        return own.select(Q, F.lit(section).alias("section"), *[k.alias(f"k{i}") for i, k in enumerate(keys, 1)], line.alias("line"))
+
     claim = F.format_string("[%s] status=%s %s -> %s: %s", "id", has(c, "status"), has(c, "subject_id"), has(c, "object_id"), has(c, "description"))
-    rows = _items(_listed(first(c, shown, "claims", "id"), "o", claim), "cs", rows)
-    return _items(_listed(ctx["text_units"], "rank", F.format_string("[%s] %s", "key", "text")), "ts", rows)
+    parts = [
+        of(0, e, F.format_string("%s (%s): %s", "name", has(e, "type"), has(e, "description")), "name"),
+        of(1, r, F.format_string("%s -%s-> %s: %s", "source", "relation_type", "target", has(r, "description")), "source", "target", "relation_type"),
+        of(2, c, claim, "id"),
+        of(3, t.withColumn("at", F.format_string("%010d", "rank")), F.format_string("[%s] %s", "key", "text"), "at", most=None),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ask_local(rows: DataFrame, ctx: dict[str, DataFrame], index: Index, provider: Provider | None, task: Column, head: Column, tail: Column | None = None) -> DataFrame:
+    """rows(question_id, ..) with the provider's answer to head, the lists of the context, and tail."""
+    config = index.config
+    return providers.ask_lists(
+        rows, _local_lines(ctx, config.shown_items), Q, provider or OfflineProvider(), task, head, prompts.LOCAL, tail, listed=LISTED, retries=config.max_retry, parallel=config.provider_parallelism, stream=config.stream)
 
 
 def in_order(parts: DataFrame) -> DataFrame:
@@ -127,7 +143,7 @@ def _part(rows: DataFrame, group: int, order: str, id_: Column) -> DataFrame:
 
 def local_ids(ctx: dict[str, DataFrame], shown: int | None = None) -> DataFrame:
     """(question_id, source_ids): text units by rank, seeds as entity:NAME by rank, the claims that a prompt shows."""
-    return in_order(_part(ctx["text_units"], 0, "rank", F.col("key")).unionByName(_part(ctx["seeds"], 1, "rank", F.concat(F.lit("entity:"), "name"))).unionByName(_part(first(ctx["claims"], shown, "claims", "id"), 2, "o", F.col("id"))))
+    return in_order(_part(ctx["text_units"], 0, "rank", F.col("key")).unionByName(_part(ctx["seeds"], 1, "rank", F.concat(F.lit("entity:"), "name"))).unionByName(_part(first(ctx["claims"], shown, "id"), 2, "o", F.col("id"))))
 
 
 def source_ids(details: dict[str, DataFrame], mode: str, shown: int | None = None) -> DataFrame:
@@ -147,8 +163,7 @@ def source_ids(details: dict[str, DataFrame], mode: str, shown: int | None = Non
 
 def local(index: Index, questions: DataFrame, top_k: int = 5, provider: Provider | None = None) -> Answer:
     ctx = local_context(index, questions, top_k, index.config.local_tokens)
-    rows = _local_lists(ctx, questions, index.config.shown_items)
-    got = ask(rows, index, provider, F.lit("local_query_answer"), prompts.local(F.col("query"), F.col("es"), F.col("rs"), F.col("ts"), F.col("cs")))
+    got = ask_local(questions, ctx, index, provider, F.lit("local_query_answer"), prompts.local(F.col("query")))
     by_name = numbered(ctx["entities"], "name").filter(F.col("r") <= top_k)
     by_id = numbered(ctx["claims"], "id")
     sources = as_sources(ctx["text_units"], "text_unit", "key", "rank", F.col("text"), 240).unionByName(as_sources(by_name, "entity", "name", "r", F.col("description"), 200)).unionByName(as_sources(by_id, "claim", "id", "r", F.col("description"), 240))
@@ -260,11 +275,11 @@ def drift(index: Index, questions: DataFrame, level: int | None = None, provider
         key = F.concat_ws("/", F.col(Q).cast("string"), F.col("id"))
         asked = save(current.select(key.alias("k"), F.col(Q).alias("root"), "id", "question", "depth", "parent_id", "place"))
         ctx = local_context(index, asked.select(F.col("k").alias(Q), F.col("question").alias("query")), config.drift_local_k, config.drift_local_tokens)
-        lists = _local_lists(ctx, asked.select(F.col("k").alias(Q), F.col("question").alias("query")), config.shown_items)
         prior = evidence.groupBy(F.col(Q).alias("root")).agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "id", F.concat("question", F.lit(": "), "answer").alias("said")))), lambda x: x["said"]).alias("prior"))
-        rows = lists.withColumnRenamed(Q, "k").join(asked, "k").join(prior, "root", "left").join(questions.select(F.col(Q).alias("root"), F.col("query").alias("root_query")), "root")
-        shown = prompts.local(F.col("question"), F.col("es"), F.col("rs"), F.col("ts"), F.col("cs"))
-        got = save(ask(rows, index, provider, F.concat(F.lit("drift_followup_"), F.col("id")), prompts.drift_followup(F.col("root_query"), F.col("question"), shown, F.coalesce("prior", F.array().cast("array<string>")))).select("k", F.col("root").alias(Q), "id", "question", "depth", "parent_id", "place", "response"))
+        rows = asked.join(prior, "root", "left").join(questions.select(F.col(Q).alias("root"), F.col("query").alias("root_query")), "root").withColumnRenamed("k", Q)
+        head, tail = prompts.drift_followup(F.col("root_query"), F.col("question")), prompts.found_before(F.coalesce("prior", F.array().cast("array<string>")))
+        got = ask_local(rows, ctx, index, provider, F.concat(F.lit("drift_followup_"), F.col("id")), head, tail)
+        got = got.select(F.col(Q).alias("k"), F.col("root").alias(Q), "id", "question", "depth", "parent_id", "place", "response")
         ids = local_ids(ctx, config.shown_items).withColumnRenamed(Q, "k")
         doc = F.try_parse_json(json_object(F.col("response")))
         confidence = F.when(doc.isNull(), 0.25).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_variant_get(doc, "$.confidence", "double"), F.lit(0.0)))))

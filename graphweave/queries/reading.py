@@ -6,12 +6,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import modes
+from ..plans import modes, prompts
+from ..plans.providers import lines_of
 from ..sources.scratch import settle
 from .base import longs, query
 from .retrieval import BULK
@@ -32,6 +34,8 @@ class Scout:
     def complete(self, task: str, prompt: str) -> str:
         if task.startswith("community_summary"):
             return self.report(prompt)
+        if task.startswith("drift_followup"):
+            return self.read(task, [prompt])
         asked_ = int(re.search(r"^Question: .*?(\d+)\?$", prompt, re.M)[1])
         reports_ = [int(c) for c in re.findall(r"^- L\d+_C(\d+): ", prompt, re.M)]
         if task.startswith("global_map"):
@@ -42,8 +46,6 @@ class Scout:
         if task == "drift_primer":
             more = [{"question": FOLLOW_UP.format(c), "score": (37 * c + asked_) % 101} for c in reports_ if asked_ % 5 != 4]
             return json.dumps({"answer": f"{len(reports_)} reports, first L1_C{reports_[0]}", "follow_ups": more})
-        if task.startswith("drift_followup"):
-            return self.followed(prompt, asked_)
         return hashlib.md5(prompt.split("First answer: ", 1)[1].encode()).hexdigest()
 
     def report(self, prompt: str) -> str:
@@ -53,16 +55,29 @@ class Scout:
         n = len(re.findall("^- ", shown, re.M))
         return f"{relations_[0] if relations_ else 'nowhere'} has {n} entities and {len(relations_)} relations" + (" in all" if n % 2 == 0 else "")
 
-    def followed(self, prompt: str, root: int) -> str:
+    def read(self, task: str, pieces: Iterable[str]) -> str:
         """What is shown of each kind; the next questions are the nations among the entities, and one by the numbers shown."""
-        context, prior = prompt.rsplit("\nFound before:\n", 1)
-        shown, rest = context.split("\nEntities:\n", 1)[1].split("\nRelations:\n", 1)
-        claims_, texts = rest.split("\nClaims:\n", 1)[1].split("\nTexts:\n", 1)
-        e, c, t = len(re.findall(r"^- .+ [(][A-Z]+[)]: ", shown, re.M)), len(re.findall(r"^- \[", claims_, re.M)), len(re.findall(r"^- \[", texts, re.M))
-        own = int(re.search(r"^Follow-up: .*?(\d+)\?$", prompt, re.M)[1])
-        nations = [int(x) for x in re.findall(r"^- NATION_(\d+) [(]NATION[)]: ", shown, re.M)]
+        e = c = t = before = 0
+        root = own = section = None
+        nations = []
+        for line in lines_of(pieces):
+            if line in (*prompts.LOCAL, "Found before:"):
+                section = line
+            elif section is None:
+                if root is None and (m := re.fullmatch(r"Question: .*?(\d+)\?", line)):
+                    root = int(m[1])
+                elif m := re.fullmatch(r"Follow-up: .*?(\d+)\?", line):
+                    own = int(m[1])
+            elif section == "Entities:":
+                e += re.match(r"- .+ [(][A-Z]+[)]: ", line) is not None
+                if m := re.match(r"- NATION_(\d+) [(]NATION[)]: ", line):
+                    nations.append(int(m[1]))
+            else:
+                c += section == "Claims:" and line.startswith("- [")
+                t += section == "Texts:" and line.startswith("- [")
+                before += section == "Found before:" and line.startswith("- ")
         more = [{"question": FOLLOW_UP.format(x), "score": (11 * x + e) % 101} for x in [*nations, (own + e + c + root) % 25]]
-        said = f"{e} entities, {c} claims, {t} texts, {len(re.findall('^- ', prior, re.M))} before"
+        said = f"{e} entities, {c} claims, {t} texts, {before} before"
         return json.dumps({"answer": said, "confidence": (e + 3 * t + 7 * c + own + root) % 10 / 10, "follow_ups": more})
 
 
