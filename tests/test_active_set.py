@@ -56,3 +56,20 @@ def test_invariants_of_a_hierarchy(spark):
     wrong = spark.createDataFrame([("A", 0, None, 3, "n000"), ("A", 0, None, 3, "n060"), ("B", 0, None, 1, "n000"), ("C", 1, "A", 1, "n005")], "id string, level int, parent_id string, size long, name string")
     figures = {r["figure"]: r["value"] for r in invariants(wrong, names, named, floor).collect()}
     assert figures["covered"] == 2 and figures["repeated"] == figures["outside_parent"] == figures["wrong_size"] == figures["in_parts"] == 1 and figures["modularity_up_to_floor"] < 0.3
+
+
+def test_a_large_graph_shuffles_sums_and_no_edges(spark, monkeypatch):
+    """Edges lie in buckets by the end whose community is asked for; moves are those of a small graph."""
+    nodes, arcs = start(spark, planted(3))
+    nodes = nodes.withColumn("was", F.col("c"))
+    want = {r.node: r.c for r in community._half(nodes, arcs, None, 1.0, 0, 42)[0].collect()}
+    plans, real = [], community.save
+    monkeypatch.setattr(community, "BUCKET_ARCS", 500)
+    monkeypatch.setattr(community, "save", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    dealt = community._dealt(arcs, arcs.count())
+    got = {r.node: r.c for r in community._half(nodes, dealt, None, 1.0, 0, 42)[0].collect()}
+    assert got == want and len(set(got.values())) < len(got)
+    lines = plans[-1].splitlines()
+    at = next(i for i, x in enumerate(lines) if "SelectedBucketsCount" in x)
+    join = max(i for i, x in enumerate(lines[:at]) if "ShuffledHashJoin" in x)
+    assert not any("Exchange" in x for x in lines[join:at])
