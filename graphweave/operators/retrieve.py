@@ -144,10 +144,12 @@ def rank_named(vectors: DataFrame, questions: DataFrame, k: int, name: str = "ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(told.value, k)
         for b in batches:
+            # Nulls go here: a filter before would have Spark make the vectors twice where they are a function of a text.
+            b = b.filter(b.column(1).is_valid())
             if b.num_rows:
                 best.add(b.column(0), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
         for q, key, score_ in best.slices():
             yield pa.RecordBatch.from_arrays([pa.array([ids[n] for n in q], kind), key, pa.array(score_)], ["question_id", "key", "score"])
 
-    best = vectors.filter(F.col(vector).isNotNull()).select(F.col(name).alias("key"), doubles(F.col(vector)).alias("v")).mapInArrow(run, schema)
+    best = vectors.select(F.col(name).alias("key"), doubles(F.col(vector)).alias("v")).mapInArrow(run, schema)
     return rank_top(best, k, "key").select("question_id", "rank", "key", "score").withColumnRenamed("key", name)
