@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from graphweave.functions import vectors
 from graphweave.functions.text import features
-from graphweave.operators import retrieve
+from graphweave.operators import describe, graph, retrieve
 
 
 def plan(df) -> str:
@@ -26,3 +26,28 @@ def test_ranking_makes_vectors_once_and_skips_nulls(spark):
     assert plan(best).count("ArrowEvalPython") == 1 and best.count() == 2
     some = spark.createDataFrame([("a", [1.0] * 16), ("n", None)], "key string, vector array<double>")
     assert [r["key"] for r in retrieve.rank_named(some, q, 2).collect()] == ["a"]
+
+
+def test_each_hop_reads_the_edges_that_were_saved(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "c", 2.0), ("c", "d", 1.0)], "u string, v string, weight double")
+    assert plan(graph.both_ways(edges)).count("LogicalRDD") == 1
+    assert sorted(map(tuple, graph.both_ways(edges).filter("a = 'c' or b = 'c'").collect())) == [("b", "c", 1.0), ("c", "b", 1.0), ("c", "c", 2.0), ("c", "d", 1.0), ("d", "c", 1.0)]
+    seeds = spark.createDataFrame([("a",)], "name string")
+    around = graph.neighbors(seeds, edges, 2)
+    assert sorted((r["name"], r["depth"]) for r in around.collect()) == [("b", 1), ("c", 2)]
+    assert plan(around).count("LogicalRDD") <= 1  # the seeds
+
+
+def test_descriptions_read_mentions_once(spark):
+    m = spark.createDataFrame([("x", 2, "b"), ("x", 1, " a "), ("x", 3, "a"), ("y", 1, " "), ("z", 1, None), ("x", 4, "")], "name string, ord int, description string")
+    out = describe.listed(m, "name", cap=2)
+    assert plan(out).count("LogicalRDD") == 1
+    assert {r["name"]: r["ds"] for r in out.collect()} == {"x": ["a", "b"], "y": [], "z": []}
+
+
+def test_merging_long_lists_is_not_quadratic(spark):
+    said = {"same": ["a", "a", " a "], "again": ["a", "", "b", "b"], "whole": ["a", "b", "a | b", "c"], "none": ["", " "]}
+    rows = [(k, i, d) for k, ds in said.items() for i, d in enumerate(ds)] + [("hub", i, f"text {i} " + "x" * 200) for i in range(20_000)]
+    got = {r["k"]: r["description"] for r in describe.merged_texts(spark.createDataFrame(rows, "k string, ord int, description string"), "k").collect()}
+    assert got.pop("hub") == " | ".join(d for k, _, d in rows if k == "hub")
+    assert got == {"same": "a", "again": "a | b | b", "whole": "a | b | c", "none": ""}
