@@ -1,10 +1,12 @@
 """Steps whose work must not grow faster than their input."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from graphweave.functions import vectors
 from graphweave.functions.text import features
-from graphweave.operators import describe, graph, retrieve
+from graphweave.operators import describe, extract, graph, retrieve
 
 
 def plan(df) -> str:
@@ -51,3 +53,21 @@ def test_merging_long_lists_is_not_quadratic(spark):
     got = {r["k"]: r["description"] for r in describe.merged_texts(spark.createDataFrame(rows, "k string, ord int, description string"), "k").collect()}
     assert got.pop("hub") == " | ".join(d for k, _, d in rows if k == "hub")
     assert got == {"same": "a", "again": "a | b | b", "whole": "a | b | c", "none": ""}
+
+
+def test_answers_are_parsed_once_and_by_the_ladder(spark):
+    entity = lambda name, said="d": {"name": name, "type": "t", "description": said}
+    good = json.dumps({"entities": [entity("a"), entity("b", None)], "relations": [{"source": "a", "target": "b", "relation_type": "r", "description": "d"}]})
+    number = '{"entities": [{"name": "n", "type": "t", "description": 1.50}, {"name": 5, "type": "t", "description": {"x" :1}}], "relations": [{"source": "5", "target": "n", "relation_type": "r", "description": true}]}'
+    half = json.dumps({"entities": [entity("h", "\ud83d")], "relations": []})
+    said = {"plain": good, "fenced": f"```json\n{good}\n```", "behind a list": f"[] {good}", "empty first": f"{{}}\n```json\n{good}\n```", "no text": number, "half": half, "broken": good[:40], "dangling": good.replace('"target": "b"', '"target": "c"'), "null": None}
+    responses = spark.createDataFrame(list(said.items()), "chunk_id string, response string").withColumn("ord", F.col("chunk_id"))
+    e, r = extract.mentions(responses)
+    assert [plan(x).count("ArrowEvalPython") for x in (e, r)] == [1, 1] and "VariantExpression" not in plan(r)
+    names = {}
+    for x in e.orderBy("ord").collect():
+        names.setdefault(x["chunk_id"], []).append((x["name"], x["description"]))
+    assert set(names) == {"plain", "fenced", "behind a list", "empty first", "no text", "half"}
+    assert names["plain"] == names["behind a list"] == names["empty first"] == [("a", "d"), ("b", None)]
+    assert names["no text"] == [("n", "1.5"), ("5", '{"x":1}')]
+    assert sorted((x["chunk_id"], x["source"], x["target"], x["description"]) for x in r.collect()) == [(c, "a", "b", "d") for c in ("behind a list", "empty first", "fenced")] + [("no text", "5", "n", "true"), ("plain", "a", "b", "d")]
