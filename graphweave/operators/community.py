@@ -240,12 +240,11 @@ def hierarchy(entities: DataFrame, edges: DataFrame, config: EngineConfig = Engi
 def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0) -> DataFrame:
     """edges(u, v, weight), members(name, c) -> one row q."""
     e = edges.join(members.select(F.col("name").alias("u"), F.col("c").alias("cu")), "u").join(members.select(F.col("name").alias("v"), F.col("c").alias("cv")), "v")
-    inside = e.filter("cu = cv").groupBy(F.col("cu").alias("c")).agg(F.sum("weight").alias("l"))
-    tot = e.select(F.explode(F.array("cu", "cv")).alias("c"), "weight").groupBy("c").agg(F.sum("weight").alias("k"))
-    m = e.agg(F.sum("weight").alias("m"))
-    parts = tot.join(inside, "c", "left").crossJoin(F.broadcast(m))
-    q = F.coalesce("l", F.lit(0.0)) / F.col("m") - resolution * F.pow(F.col("k") / (2 * F.col("m")), 2)
-    return parts.agg(F.coalesce(F.sum(q), F.lit(0.0)).alias("q"))
+    # Either end of an edge adds its weight to its community; twice the weight inside is what both ends share.
+    end = lambda c: F.struct(F.col(c).alias("c"), "weight", F.when(F.col("cu") == F.col("cv"), F.col("weight")).otherwise(0.0).alias("own"))
+    parts = e.select(F.inline(F.array(end("cu"), end("cv")))).groupBy("c").agg(F.sum("weight").alias("k"), F.sum("own").alias("l"))
+    whole = parts.agg(F.sum("l").alias("l"), F.sum(F.pow("k", F.lit(2.0))).alias("k2"), F.sum("k").alias("m2"))
+    return whole.select(F.coalesce(F.col("l") / F.col("m2") - resolution * F.col("k2") / F.pow("m2", F.lit(2.0)), F.lit(0.0)).alias("q"))
 
 
 def choose_level(communities: DataFrame, requested: int) -> DataFrame:

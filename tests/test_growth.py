@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphweave.functions import vectors
 from graphweave.functions.text import features
-from graphweave.operators import describe, extract, graph, retrieve
+from graphweave.operators import community, describe, extract, graph, retrieve
 
 
 def plan(df) -> str:
@@ -71,3 +71,20 @@ def test_answers_are_parsed_once_and_by_the_ladder(spark):
     assert names["plain"] == names["behind a list"] == names["empty first"] == [("a", "d"), ("b", None)]
     assert names["no text"] == [("n", "1.5"), ("5", '{"x":1}')]
     assert sorted((x["chunk_id"], x["source"], x["target"], x["description"]) for x in r.collect()) == [(c, "a", "b", "d") for c in ("behind a list", "empty first", "fenced")] + [("no text", "5", "n", "true"), ("plain", "a", "b", "d")]
+
+
+def test_weights_alone_are_those_of_merged_relations_without_chunks(spark):
+    rows = [(i, "ab"[i % 2], "bcx"[i % 3], "r", float(i), f"c{i % 4}") for i in range(24)]
+    m = spark.createDataFrame(rows, "ord int, source string, target string, relation_type string, weight double, chunk_id string")
+    names = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    alone, keys = graph.merge_weights(m, names), ["source", "target", "relation_type", "weight"]
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, graph.merge_relations(m, names).select(keys).collect()))
+    assert alone.columns == keys and "chunk_id" not in plan(alone).split("LogicalRDD")[0] and "RepartitionByExpression" not in plan(alone)
+
+
+def test_modularity_goes_over_the_edges_once(spark):
+    edges = spark.createDataFrame([("a", "b", 2.0), ("b", "c", 1.0), ("c", "d", 3.0), ("d", "d", 1.0)], "u string, v string, weight double")
+    members = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 2)], "name string, c int")
+    q = community.modularity(edges, members)
+    assert plan(q).count("LogicalRDD") == 3 and abs(q.first()["q"] - (2 / 7 - (5 / 14) ** 2 + 4 / 7 - (9 / 14) ** 2)) < 1e-12
+    assert community.modularity(edges.limit(0), members).first()["q"] == 0
