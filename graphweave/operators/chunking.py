@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..config import EngineConfig
 from ..sources.scratch import spread
 
 #: Where a window may end early (fixed values).
-MARKS = frozenset(".?!。？！\n")
+MARKS = ".?!。？！\n"
+#: Documents whose windows a task holds at a time.
+SLICE = 64
 
 
 def windows(text: str | None, size: int, overlap: int) -> list[dict]:
@@ -21,10 +26,7 @@ def windows(text: str | None, size: int, overlap: int) -> list[dict]:
     while True:
         stop = min(at + size, len(text))
         if stop < len(text):
-            for i in range(stop - 1, at + size // 2 - 1, -1):
-                if text[i] in MARKS:
-                    stop = i + 1
-                    break
+            stop = max(text.rfind(m, at + size // 2, stop) for m in MARKS) + 1 or stop
         piece = text[at:stop].strip()
         if piece:
             out.append({"chunk_index": len(out), "text": piece})
@@ -42,6 +44,15 @@ def chunk_documents(docs: DataFrame, config: EngineConfig = EngineConfig(), key:
     read in order; texts are independent and stay where they are, if they come in more parts than there are cores.
     """
     size, overlap = config.chunk_size, config.chunk_overlap
-    run = F.pandas_udf(lambda s: pd.Series([windows(t, size, overlap) for t in s]), "array<struct<chunk_index: int, text: string>>")
-    rows = spread(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", F.explode(run(F.col("text"))).alias("c"))
-    return rows.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("c.chunk_index").cast("string")).alias("chunk_id"), "c.chunk_index", "c.text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                found = [(i, w["chunk_index"], w["text"]) for i, t in enumerate(part.column(1)) for w in windows(t.as_py(), size, overlap)]
+                own, index, texts = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int32())), pa.array(index, pa.int32()), pa.array(texts, pa.string())], ["doc_id", "chunk_index", "text"])
+
+    rows = spread(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
+    rows = rows.mapInArrow(run, StructType([rows.schema["doc_id"], StructField("chunk_index", IntegerType()), StructField("text", StringType())]))
+    return rows.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index", "text")

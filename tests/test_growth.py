@@ -1,12 +1,15 @@
 """Steps whose work must not grow faster than their input."""
 
 import json
+import random
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from graphweave.config import EngineConfig
 from graphweave.functions import vectors
 from graphweave.functions.text import features
-from graphweave.operators import community, describe, extract, graph, retrieve
+from graphweave.operators import chunking, community, describe, extract, graph, retrieve
 
 
 def plan(df) -> str:
@@ -88,3 +91,28 @@ def test_modularity_goes_over_the_edges_once(spark):
     q = community.modularity(edges, members)
     assert plan(q).count("LogicalRDD") == 3 and abs(q.first()["q"] - (2 / 7 - (5 / 14) ** 2 + 4 / 7 - (9 / 14) ** 2)) < 1e-12
     assert community.modularity(edges.limit(0), members).first()["q"] == 0
+
+
+def test_windows_of_many_documents_are_made_in_slices(spark, monkeypatch):
+    def by_sign(text, size, overlap):
+        at, out = 0, []
+        while True:
+            stop = min(at + size, len(text))
+            if stop < len(text):
+                stop = next((i + 1 for i in range(stop - 1, at + size // 2 - 1, -1) if text[i] in chunking.MARKS), stop)
+            out += [p] if (p := text[at:stop].strip()) else []
+            if stop == len(text):
+                return out
+            at = stop - overlap
+
+    r = random.Random(3)
+    texts = ["".join(r.choices("ab c.?。\n", [20, 20, 5, 5, 1, r.random(), r.random(), r.random()], k=r.randrange(1, 400))) for _ in range(300)]
+    monkeypatch.setattr(chunking, "SLICE", 7)
+    config = replace(EngineConfig(), chunk_size=100, chunk_overlap=20)
+    docs = spark.createDataFrame([*enumerate(texts), (900, None), (901, " ")], "doc_id int, text string")
+    own = chunking.chunk_documents(docs, config)
+    assert plan(own).count("MapInArrow") == 1 and "Generate" not in plan(own)
+    got = {}
+    for x in own.orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(x["doc_id"], []).append(x["text"])
+    assert got == {i: w for i, t in enumerate(texts) if not t.isspace() and (w := by_sign(t, 100, 20))}
