@@ -10,6 +10,7 @@ from graphweave.config import EngineConfig
 from graphweave.functions import vectors
 from graphweave.functions.text import features
 from graphweave.operators import chunking, community, describe, extract, graph, retrieve
+from graphweave.queries import base, retrieval
 
 
 def plan(df) -> str:
@@ -116,3 +117,11 @@ def test_windows_of_many_documents_are_made_in_slices(spark, monkeypatch):
     for x in own.orderBy("doc_id", "chunk_index").collect():
         got.setdefault(x["doc_id"], []).append(x["text"])
     assert got == {i: w for i, t in enumerate(texts) if not t.isspace() and (w := by_sign(t, 100, 20))}
+
+
+def test_relations_that_questions_are_asked_of_are_merged_by_weight_alone(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    own, keys = retrieval.table_graph(spark, sf_dir)["relations"], ["source", "target", "relation_type", "weight"]
+    assert own.columns == [*keys, "description"]
+    merged = base.relations(spark, sf_dir).select(keys)
+    assert own.count() == merged.count() > 0 and own.select(keys).exceptAll(merged).isEmpty()
