@@ -84,19 +84,38 @@ def evidence_of(names: DataFrame, entity_chunks: DataFrame) -> DataFrame:
     return names.join(entity_chunks, "name").select(Q, F.col("chunk_id").alias("key")).distinct()
 
 
-def local_context(index: Index, questions: DataFrame, top_k: int, max_tokens: int) -> dict[str, DataFrame]:
+class Context(dict[str, DataFrame]):
+    """What is around each question, by name of the table; with what a prompt lists of it (see ask_local) in tables that
+    hold once what several questions share."""
+
+    who: DataFrame  # (question_id, alike): of questions that read alike one is looked into
+    lists: DataFrame  # (alike, block, bit)
+    shared: dict[str, DataFrame]  # entities and relations with (block, bits), claims and text units by question
+
+
+def local_context(index: Index, questions: DataFrame, top_k: int, max_tokens: int) -> Context:
     """Seeds, the entities around them, relations and claims among these, and the best of their chunks within a budget."""
     config = index.config
-    q = save(_embedded(questions, index))
+    asked = save(questions.groupBy("query").agg(F.min(Q).alias("alike")))
+    who = save(questions.select(Q, F.col("query").alias("q_")).join(asked, F.col("q_").eqNullSafe(F.col("query"))).select(Q, "alike"))
+    q = save(_embedded(asked.withColumnRenamed("alike", Q), index))
     seeds = save(retrieve.rank_named(_vectors(index, "entity"), q, min(top_k, config.max_top_k)).withColumnRenamed("key", "name"))
     around = graph.neighbors(seeds, graph.undirected(index.relations), config.neighbor_depth, by=(Q,)).select(Q, "name")
     names = save(seeds.select(Q, "name").unionByName(around).distinct())
-    entities = names.join(index.entities, "name")
-    relations = graph.induced(index.relations, names, by=(Q,))
-    claims = claims_about(index.claims, names)
+    claims = save(claims_about(index.claims, names))
     scored = retrieve.score_pairs(evidence_of(names, index.entity_chunks), _vectors(index, "chunk"), q)
     top = retrieve.rank_top(scored, config.max_text_units, "key").join(index.text_units.withColumnRenamed("chunk_id", "key"), "key")
-    return {"seeds": seeds, "entities": save(entities), "relations": save(relations), "claims": save(claims), "text_units": save(budget.select_within(top, max_tokens, [Q], tokenizer=index.own_tokenizer))}
+    texts = save(budget.select_within(top, max_tokens, [Q], tokenizer=index.own_tokenizer))
+    lists = providers.in_blocks(q, Q)
+    held = save(graph.held_by(names.join(lists, Q)))
+    entities, relations = save(held.join(index.entities, "name")), save(graph.induced_by(index.relations, held))
+    each = lambda rows: who.join(rows.withColumnRenamed(Q, "alike"), "alike").drop("alike")
+    # One row for each question again; read only by who asks for these tables.
+    apart = lambda rows: each(rows.join(lists, "block").filter(F.getbit("bits", F.col("bit").cast("int")) == 1).drop("block", "bits", "bit"))
+    ctx = Context(seeds=each(seeds), entities=each(names.join(index.entities, "name")), relations=apart(relations).select(Q, *index.relations.columns), claims=each(claims), text_units=each(texts))
+    ctx.who, ctx.lists = who, lists.withColumnRenamed(Q, "alike")
+    ctx.shared = {"entities": entities, "relations": relations, "claims": claims, "text_units": texts}
+    return ctx
 
 
 def first(rows: DataFrame, shown: int | None, *order: str) -> DataFrame:
@@ -105,15 +124,21 @@ def first(rows: DataFrame, shown: int | None, *order: str) -> DataFrame:
     return rows if shown is None else rows.filter(F.col("o") <= shown)
 
 
-def _local_lines(ctx: dict[str, DataFrame], shown: int | None) -> DataFrame:
-    """(question_id, section, k1, k2, k3, line): what a local prompt lists, in order of k1, k2, k3; never gathered here."""
+def _local_lines(ctx: Context, shown: int | None) -> DataFrame:
+    """(block, bits, section, k1, k2, k3, line): what local prompts list, in order of k1, k2, k3; never gathered here."""
     has = lambda rows, name: F.coalesce(F.col(name).cast("string"), F.lit("")) if name in rows.columns else F.lit("")
-    e, r, c, t = ctx["entities"], ctx["relations"], ctx["claims"], ctx["text_units"]
+    e, r, c, t = (ctx.shared[x] for x in ("entities", "relations", "claims", "text_units"))
+    lists = ctx.lists.withColumnRenamed("alike", Q)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), "bit").alias("bits")
 
     def of(section: int, rows: DataFrame, line: Column, *order: str, most: int | None = shown) -> DataFrame:
         keys = [F.col(x) for x in order] + [F.lit("")] * (3 - len(order))
+        if Q not in rows.columns and most is not None:
+            rows = rows.join(lists, "block").filter(F.getbit("bits", "bit") == 1).drop("block", "bits", "bit")
         own = rows if most is None else first(rows, most, *order)
-        return own.select(Q, F.lit(section).alias("section"), *[k.alias(f"k{i}") for i, k in enumerate(keys, 1)], line.alias("line"))
+        if Q in own.columns:
+            own = own.join(lists, Q).withColumn("bits", bit)
+        return own.select("block", "bits", F.lit(section).alias("section"), *[k.alias(f"k{i}") for i, k in enumerate(keys, 1)], line.alias("line"))
 
     claim = F.format_string("[%s] status=%s %s -> %s: %s", "id", has(c, "status"), has(c, "subject_id"), has(c, "object_id"), has(c, "description"))
     parts = [
@@ -125,11 +150,12 @@ def _local_lines(ctx: dict[str, DataFrame], shown: int | None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def ask_local(rows: DataFrame, ctx: dict[str, DataFrame], index: Index, provider: Provider | None, task: Column, head: Column, tail: Column | None = None) -> DataFrame:
+def ask_local(rows: DataFrame, ctx: Context, index: Index, provider: Provider | None, task: Column, head: Column, tail: Column | None = None) -> DataFrame:
     """rows(question_id, ..) with the provider's answer to head, the lists of the context, and tail."""
     config = index.config
     return providers.ask_lists(
-        rows, _local_lines(ctx, config.shown_items), Q, provider or OfflineProvider(), task, head, prompts.LOCAL, tail, listed=LISTED, retries=config.max_retry, parallel=config.provider_parallelism, stream=config.stream)
+        rows, _local_lines(ctx, config.shown_items), Q, provider or OfflineProvider(), task, head, prompts.LOCAL, tail, listed=LISTED, retries=config.max_retry, parallel=config.provider_parallelism, stream=config.stream,
+        lists=ctx.who.join(ctx.lists, "alike"))
 
 
 def in_order(parts: DataFrame) -> DataFrame:

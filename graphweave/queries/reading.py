@@ -23,6 +23,7 @@ from .text import TOKENS
 #: Small budgets, so that lists are packed into many batches and cut.
 GLOBAL = replace(BULK, map_tokens=24, reduce_tokens=42)
 DRIFT = replace(BULK, drift_actions=5, drift_reduce_tokens=300)
+TITLES = frozenset((*prompts.LOCAL, "Found before:"))
 FOLLOW_UP = "Who is located in NATION_{}?"
 
 
@@ -61,7 +62,9 @@ class Scout:
         root = own = section = None
         nations = []
         for line in lines_of(pieces):
-            if line in (*prompts.LOCAL, "Found before:"):
+            if section == "Relations:" and line.startswith("- "):  # nearly all lines are these
+                continue
+            if line in TITLES:
                 section = line
             elif section is None:
                 if root is None and (m := re.fullmatch(r"Question: .*?(\d+)\?", line)):
