@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ..functions.vectors import cosine, dot, doubles, norm
+from ..functions.vectors import dot, doubles, norm
 from ..sources.scratch import BROADCAST_ROWS, save
 from .rank import global_rank
 
@@ -62,10 +62,36 @@ def rank_top(scored: DataFrame, k: Column | int, *ties: Column | str, by: tuple[
 
 
 def score_pairs(pairs: DataFrame, vectors: DataFrame, questions: DataFrame, name: str = "key", vector: str = "vector") -> DataFrame:
-    """pairs(question_id, key) with score: only these are computed."""
-    q = questions.select("question_id", "question")
-    both = pairs.join(vectors.select(name, vector), name).join(q, "question_id")
-    return both.withColumn("score", F.round(cosine(F.col(vector), F.col("question")), DIGITS)).drop(vector, "question")
+    """pairs(question_id, key) with score, rounded to DIGITS digits. A vector goes to its task once for all questions of a
+    block that ask for it, and is multiplied with their matrix there."""
+    parts = question_blocks(questions.select("question_id", "question"))
+    if len(parts) > 1:
+        return reduce(DataFrame.unionByName, [score_pairs(pairs.join(p.select("question_id"), "question_id", "left_semi"), vectors, p, name, vector) for p in parts])
+    rows = parts[0].select("question_id", doubles(F.col("question")).alias("question")).collect()  # one block
+    spark, id_type = pairs.sparkSession, questions.schema["question_id"].dataType
+    q = np.array([r["question"] for r in rows], np.float64).reshape(len(rows), -1)
+    size = np.linalg.norm(q, axis=1)
+    told = spark.sparkContext.broadcast((q, size))
+    nth = spark.createDataFrame([(r["question_id"], i) for i, r in enumerate(rows)], StructType([StructField("question_id", id_type), StructField("nth", IntegerType())]))
+    own = pairs.select("question_id", name).join(F.broadcast(nth), "question_id").groupBy(name).agg(F.collect_list("nth").alias("nths"))
+    both = own.join(vectors.select(name, doubles(F.col(vector)).alias("v")), name).filter("v is not null").select(name, "nths", "v")
+    kind = to_arrow_type(vectors.schema[name].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, q_size = told.value
+        tile = max(1, TILE_BYTES // (8 * max(1, len(q))))
+        for b in batches:
+            for start in range(0, b.num_rows, tile):
+                t = b.slice(start, tile)
+                x = t.column(2).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+                col = t.column(1).flatten().to_numpy()
+                row = np.repeat(np.arange(t.num_rows), pc.list_value_length(t.column(1)).to_numpy())
+                both_ = np.linalg.norm(x, axis=1)[row] * q_size[col]
+                s = np.divide((x @ q.T)[row, col], both_, out=np.zeros(len(row)), where=both_ > 0)
+                yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(row)).cast(kind), pa.array(col), pa.array(np.rint(s * 10**DIGITS) / 10**DIGITS)], [name, "nth", "score"])
+
+    schema = StructType([vectors.schema[name], StructField("nth", IntegerType()), StructField("score", DoubleType())])
+    return both.mapInArrow(run, schema).join(F.broadcast(nth), "nth").select("question_id", name, "score")
 
 
 class Best:
